@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     w = F.greatest(F.coalesce(quality(F.col("text")), F.lit(1.0)), F.lit(1e-6))
     pick = _pick(docs, w, seed, CYCLE, SHARE, MOST).select("h", "copies")
     # Rows of equal id and text have one digest; which of them is taken doesn't matter.
-    pick = pick.groupBy("h").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    out = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text")).join(pick, F.col("_h") == F.col("h"))
-    share = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_n") == 1, 0).otherwise((F.col("_copies") % F.col("_n") > 0).cast("int"))
-    return out.where(share > 0).withColumn("_take", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
+    pick = pick.groupBy(F.col("h").alias("_mix_h")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_n"))
+    pick = pick.where("_mix_copies > 0").withColumn("_mix_share", F.ceil(F.col("_mix_copies") / F.col("_mix_n")).cast("int"))
+    out = docs.join(pick, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")) == F.col("_mix_h"))
+    return out.withColumn("_mix_take", F.explode(F.array_repeat(F.lit(1), F.col("_mix_share")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 KEY = "slicetopo-surrogates"
+#: Attempts after which surrogates of a crowded format get six more digits.
+CROWDED = 12
 #: Forms of address by gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sra", "Srta", "Signora", "Г-жа")
 MALE = ("Mr", "Herr", "Sr", "Signor", "Г-н")
@@ -108,7 +110,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) ->
     card = plain
     off = F.pmod(F.element_at(F.split(card, ""), -1).cast("int") + luhn(entity) - luhn(card), F.lit(10))
     card = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), off.cast("string"))
-    # A phone number keeps its country code and, in North America, the reserved 555.
+    # A phone number keeps its country code.
     lead = F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?=[ .\-(]))", 1)
     rest = F.substr(entity, F.length(lead) + 1, F.length(entity))
     phone = F.concat(lead, _chars(rest, salted, False))
@@ -123,7 +125,9 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) ->
     last = F.regexp_extract(who, r"^\p{L}+([ \-]\p{L}+)$", 1)
     name = F.concat(title, first, F.when(F.length(last) > 0, _chars(last, salted, False)).otherwise(F.when(attempt > 0, F.lower(_chars(who, salted, False))).otherwise("")))
     hexed = _chars(entity, salted, True)
-    return F.when(kind == "email", email).when(kind == "secret", hexed).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    made = F.when(kind == "email", email).when(kind == "secret", hexed).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    # Where a format has no free values left, distinctness goes before format.
+    return F.when(attempt >= CROWDED, F.concat(made, F.lpad(_draw(salted, F.lit(-3), 1_000_000).cast("string"), 6, "0"))).otherwise(made)
 
 
 def normal(entity: Column, kind: Column) -> Column:

@@ -1,0 +1,417 @@
+"""The operators against brute force on small tables, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from slicetopo.llm import chat, language, minhash, mixing, pieces, pii, rules, sharding, toxicity, vectors
+from slicetopo.llm.common import components, prefix_sums
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b for a in "ba ce di fo gu la me ni po ru sa te vi zo".split() for b in "lor men tis rak fen dol hub wig".split()]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def docs_of(spark, texts, langs=None, sources=None):
+    rows = [(i, t, (langs or ["xx"])[i % len(langs or ["xx"])], (sources or ["s0"])[i % len(sources or ["s0"])], len(t) if t is not None else None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, clashing column names."""
+    long = "word " * 9000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, long, "en", None, len(long)), (4, long, "en", None, len(long)), (None, "null id here", "en", "a", 12), (5, "x", None, "a", 1), (6, "a" * 30000, "en", "a", 30000)]
+    return spark.createDataFrame([(*r, 7, 8, 9, "k", 1.5) for r in rows], SCHEMA + ", size long, h long, rank int, key string, score double")
+
+
+def none_of(df):
+    return df.limit(0)
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(1)
+    rows = [(g, rng.random(), rng.randrange(9)) for g in (1, 1, 1, 2) for _ in range(50)]
+    df = spark.createDataFrame(rows, "g int, u double, v int").withColumn("b", F.floor(F.col("u") * 5))
+    for g in (1, 2):
+        got = sorted((r.u, r.before) for r in prefix_sums(df, ["g"], "b", ["u"], {"before": "v"}).where(f"g = {g}").collect())
+        total = 0
+        for (u, v), (x, before) in zip(sorted((u, v) for h, u, v in rows if h == g), got, strict=True):
+            assert (u, total) == (x, before)
+            total += v
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 100), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+# 1 ---------------------------------------------------------------------------
+
+
+def test_pieces_match_the_library_and_decode(spark):
+    import sentencepiece
+
+    path = pieces.default_model()
+    model, lib = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["Hello  world\n\n x", " a", "", "漢字 😀 é", "a" * 400, "tabs\tand\r\n", "  lead", "trail  "]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    for ids, t in zip(pieces.encode(model, texts, keys, 0.0), texts, strict=True):
+        assert ids.tolist() == lib.encode(t)
+    texts += ["▁x▁ y", "\0 zero \0a", None, "<s></s><unk>"]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    seen = set()
+    for seed in range(4):
+        got = pieces.encode(model, texts, keys, 0.3, seed=seed)
+        assert [pieces.decode(model, x) for x in got] == [t or "" for t in texts]
+        again = pieces.encode(model, texts, keys, 0.3, seed=seed)
+        assert all((a == b).all() for a, b in zip(got, again, strict=True))
+        seen.add(tuple(got[0].tolist()))
+    assert len(seen) > 1
+
+
+def test_short_and_long_segments_merge_alike(spark):
+    model = pieces.Pieces(pieces.default_model())
+    for w in (" international", " unbelievably", " aaaaaaaab", "  xx"):
+        for salt in range(20):
+            flat, n = pieces._merge_short(model, [w], np.array([salt], dtype=np.uint64), 2**62)
+            assert flat.tolist() == pieces._merge_long(model, w, np.uint64(salt), 2**62)
+
+
+def test_pieces_edge_rows(spark, odd):
+    out = pieces.encode_docs(odd).collect()
+    assert len(out) == 8 and all(r.lossless for r in out)
+    assert [r.n_tokens for r in out if r.doc_id in (1, 2)] == [0, 0]
+    assert pieces.encode_docs(none_of(odd)).count() == 0
+    back = {r.doc_id: r.text for r in pieces.decode_docs(pieces.encode_docs(odd)).collect()}
+    assert back[3] == " \n\t " and back[6] == "a" * 30000
+
+
+# 2 ---------------------------------------------------------------------------
+
+TONGUES = {"aa": ["the", "with", "thing", "other", "hand"], "bb": ["une", "avec", "chose", "autre", "leau"], "cc": ["der", "mit", "ding", "andere", "ung"]}
+
+
+def test_language_held_out_and_mixture(spark):
+    rng = random.Random(2)
+    say = lambda lang, n: " ".join(rng.choice(TONGUES[lang]) + rng.choice(["", "s", "er"]) for _ in range(n))
+    langs = list(TONGUES)
+    texts = [say(langs[i % 3], rng.randrange(5, 60)) for i in range(150)]
+    model = language.train(docs_of(spark, texts[:90], langs))
+    out = sorted(language.identify(docs_of(spark, texts), model).collect(), key=lambda r: r.doc_id)
+    assert [r.lang_pred for r in out] == [langs[i % 3] for i in range(150)]
+    labels, scores, mix = language.infer(model, [say("aa", 60) + " " + say("bb", 30), "123", None])
+    assert labels[0] == "aa" and set(mix[0]) == {"aa", "bb"} and abs(mix[0]["aa"] - 2 / 3) < 0.1
+    assert labels[1:] == ["und", "und"] and scores[2] == 0
+
+
+def test_language_edges(spark, odd):
+    model = language.train(odd.where("lang is not null and text is not null"))
+    got = {r.doc_id: r.lang_pred for r in language.identify(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == "und" and got[4] == "en"
+    assert language.identify(none_of(odd), language.train(none_of(odd))).count() == 0
+    assert {r.lang_pred for r in language.identify(odd, language.train(none_of(odd))).collect()} == {"und"}
+
+
+# 3 ---------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(3)
+    bad = ["vilest", "foulmen", "rotwig"]
+    rows = []
+    for i in range(400):
+        words = prose(rng, rng.randrange(20, 80)).split()
+        if i % 4 == 0:
+            for _ in range(2):
+                words.insert(rng.randrange(len(words)), rng.choice(bad).capitalize() + ".")
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    train = spark.createDataFrame(rows[:250], "text string, y int")
+    test = docs_of(spark, [t for t, _ in rows[250:]])
+    got = sorted(toxicity.score_toxicity(test, train).collect(), key=lambda r: r.doc_id)
+    assert [r.predicted for r in got] == [y for _, y in rows[250:]]
+    for r, (t, y) in zip(got, rows[250:], strict=True):
+        assert {t[s.start : s.end].rstrip(".").lower() for s in r.spans} <= set(bad)
+        assert bool(r.spans) == bool(y)
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(0)
+    e, lens, trans = rng.normal(size=9), np.array([4, 5]), rng.normal(size=(2, 2))
+    got = toxicity.forward_backward(e, np.array([0, 4]), lens, trans)
+    for at, n in ((0, 4), (4, 5)):
+        total, one = 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = [k >> j & 1 for j in range(n)]
+            p = np.exp(sum(e[at + j] for j in range(n) if y[j]) + sum(trans[y[j], y[j + 1]] for j in range(n - 1)))
+            total += p
+            one += p * np.array(y)
+        assert np.allclose(got[at : at + n], one / total)
+
+
+def test_toxicity_edges(spark, odd):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled_rows(odd, labels)
+    out = toxicity.score_toxicity(odd, rows).collect()
+    assert len(out) == 8 and {r.predicted for r in out} == {0} and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.score_toxicity(none_of(odd), none_of(rows)).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    for i in range(0, 300, 3):
+        x[i] = x[i - 1] + rng.normal(size=8) * rng.choice([0.05, 0.3])
+    x[7] = x[11] * 3
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0, None] + [0.0] * 6), (904, []), (None, [1.0] * 8), (905, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=40, block=16).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    comp = list(range(300))
+    for _ in range(300):
+        comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(link[i]))]) for i in range(300)]
+    assert {i + 1: (int(link[i].sum()), comp[i] + 1, comp[i] == i) for i in range(300)} == {k: v for k, v in got.items() if k and k < 900}
+    assert all(got[k] == (0, k, True) for k in range(900, 906)) and got[None][0] == 0
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# 5 ---------------------------------------------------------------------------
+
+
+def brute_groups(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= percent * (len(a) + len(sets[j]) - n):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return sets, [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates_against_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, rng.choice([3, 12, 40, 150])).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(12)):
+            base = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                base[rng.randrange(len(base))] = rng.choice(WORDS)
+            texts.append((" " if rng.random() < 0.3 else "\n").join(base).upper() if rng.random() < 0.2 else " ".join(base))
+    passage = prose(rng, 60)
+    texts += [f"{passage} {prose(rng, 60)}" for _ in range(60)] + ["", None, " \t"]
+    rng.shuffle(texts)
+    sets, want = brute_groups(texts, k, 80)
+    got = sorted(minhash.near_duplicates(docs_of(spark, texts), k=k).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in got] == want
+    assert [r.n_shingles for r in got] == [len(s) for s in sets]
+    assert [r.kept for r in got] == [i == w for i, w in enumerate(want)]
+
+
+def test_near_duplicates_edges(spark, odd):
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == 8
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_shingles == 0 and by[1].kept and by[4].component_id == 4 and by[None].component_id is None and by[None].kept
+    assert minhash.near_duplicates(none_of(odd)).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------
+
+
+def test_chat_digests_and_budget(spark):
+    rng = random.Random(6)
+    rows = []
+    for c in range(40):
+        roles = (["system"] if c % 3 == 0 else []) + [("user", "assistant")[i % 2] for i in range(rng.randrange(1, 14))]
+        rows += [(c, i, r, rng.choice(["</s>[INST] \\b\\ ok\\\\[ ]<", prose(rng, rng.randrange(1, 300)), "", None, "a\nb\\\\"])) for i, r in enumerate(roles)]
+    rows += [(99, None, None, "x"), (99, 1, "a]b[\\", "y"), (99, 1, "a]b[\\", "y"), (None, 0, "assistant", "z"), (98, 0, "system", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("size", F.lit(3))
+    formatted = chat.windows(df)
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((t if t is not None else -9, r or "", x or ""))
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for r in formatted.collect():
+        for w in r.windows:
+            turns = w.text[3:].split("</s>")[:-1]
+            new = w.text[w.new_from :].count("</s>")
+            assert w.n_tokens <= chat.BUDGET or new == 1
+            if r.conv_id is not None and r.conv_id % 3 == 0 and r.conv_id < 40:
+                assert turns[0].startswith("[system]")
+    assert any(w.n_repeated for r in formatted.collect() for w in r.windows)
+    assert chat.digests(chat.windows(df.limit(0))).count() == 0
+
+
+# 7 ---------------------------------------------------------------------------
+
+
+def test_targets(spark):
+    sizes = {"a": 100, "b": 1000, "c": 10, None: 50, "z": 0}
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n long, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    order = ["a", "b", "c", "z", None]
+    weight = dict(zip(order, [5, 2, 1, 5, 2], strict=True))
+    want, full, left = {}, set(), 1.5 * sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 2 * sizes[s]
+            left -= want[s]
+            full.add(s)
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in order)
+
+
+def test_mixing(spark):
+    rng = random.Random(7)
+    df = docs_of(spark, [prose(rng, rng.randrange(0, 40)) for _ in range(600)] + [None], sources=["a", "b", "b", "c"])
+    out = mixing.mix_sources(df).collect()
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
+    for s in ("a", "b", "c"):
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 40
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own) and own[0].source_size == sum(r.size for r in own)
+    rows = mixing.mixed(df).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in rows if r["count"]} == {r.doc_id: r.copies for r in out if r.copies}
+
+
+def test_mixing_edges(spark, odd):
+    out = mixing.mix_sources(odd).collect()
+    assert len(out) == 8 and all(r.taken <= 2 * r.size for r in out)
+    assert mixing.mix_sources(none_of(odd)).count() == 0
+    assert mixing.mixed(odd).columns == odd.columns
+
+
+# 8 ---------------------------------------------------------------------------
+
+
+def test_rule_features_against_brute_force(spark, odd):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        part = prose(rng, rng.randrange(1, 30))
+        texts.append("\n".join(rng.choice([part, prose(rng, 9), " ", "#a|b <x>", part]) for _ in range(rng.randrange(1, 6))) + rng.choice(["", " ", "\n"]))
+    texts += ["a " * 30, "", None]
+    got = sorted(rules.features(docs_of(spark, texts), "doc_id").collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, texts, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        covered = {j for i, x in enumerate(runs) if runs.count(x) > 1 for j in range(i, i + 8)}
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered))
+    out = rules.judge(odd, "doc_id").collect()
+    assert len(out) == 8 and not any(r.kept for r in out if r.n_words < 20)
+    assert rules.judge(none_of(odd), "doc_id").count() == 0
+
+
+def test_rules_drop_what_is_unusual(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(300)] + [" ".join(w + "%%%" for w in prose(rng, 60).split()) for _ in range(30)]
+    kept = {r.doc_id: r.kept for r in rules.judge(docs_of(spark, texts), "doc_id").collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 330))
+
+
+# 9 ---------------------------------------------------------------------------
+
+
+def test_surrogates(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"Mail bob.smith@mail3.example.com or BOB.SMITH@MAIL3.EXAMPLE.COM, call +1 (555) 555-0101.\nIP 10.20.30.40; {card}", 'token = "' + hashlib.sha1(b"x").hexdigest() + '" and Mrs Anna Miller met Herr Karl Maier. Г-жа Анна Петрова', "nothing 12 here", "bob.smith@mail3.example.com", "", None]
+    got = sorted(pii.pseudonymise(docs_of(spark, texts)).collect(), key=lambda r: r.doc_id)
+    for i, secret in [(0, "bob.smith"), (0, "BOB.SMITH"), (0, "10.20.30.40"), (0, card), (0, "555-0101"), (1, hashlib.sha1(b"x").hexdigest()), (1, "Miller"), (1, "Петрова")]:
+        assert secret not in got[i].text
+    assert got[2].text == texts[2] and got[4].text == "" and got[5].text is None
+    assert [r.n_entities for r in got] == [5, 4, 0, 1, 0, 0]
+    mail = got[3].text
+    assert mail in got[0].text and mail.upper() in got[0].text and re.fullmatch(r"[a-z]{3}\.[a-z]{5}@[a-z]{4}[0-9]\.example\.com", mail)
+    number = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[0].text).group()
+    digits = [int(c) for c in number if c != " "][::-1]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    name = re.search(r"Mrs (\w+) ([A-Z][a-z]{5}) met Herr (\w+) ([A-Z][a-z]{4})\. Г-жа (\w+) ([А-Я][а-я]{6})", got[1].text)
+    assert name and name[1] in pii.NAMES["f", "latin"] and name[3] in pii.NAMES["m", "latin"] and name[5] in pii.NAMES["f", "cyrillic"]
+    assert got[0].n_chars == len(got[0].text)
+
+
+def test_surrogates_stay_distinct(spark):
+    names = [(f"Dr {a}", "name") for a in WORDS] + [(f"+1 {i}{j}{k}", "phone") for i in range(9) for j in range(9) for k in range(9)]
+    got = pii.surrogates(spark.createDataFrame(names, "norm string, kind string")).collect()
+    assert len({r.surrogate.lower() for r in got}) == len(names)
+    assert not {r.surrogate.lower() for r in got} & {n.lower() for n, _ in names}
+
+
+def test_surrogates_edges(spark, odd):
+    out = pii.pseudonymise(odd)
+    assert out.columns == [*odd.columns, "n_entities"] and out.count() == 8
+    assert pii.pseudonymise(none_of(odd)).count() == 0
+
+
+# 10 --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("hot", [3, 400])
+def test_sharding(spark, hot):
+    rng = random.Random(10)
+    texts = [prose(rng, 5) for _ in range(700)] + ["same text"] * hot + ["pair é", "pair é", None]
+    df = docs_of(spark, texts)
+    out = sharding.balance(df, sharding.equal_text(df)).collect()
+    assert len(out) == len(texts)
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+        t = texts[r.doc_id] or ""
+        assert (r.size, r.text_crc32) == (len(t.encode()) + 8, zlib.crc32(t.encode()))
+    counts = [len(by.get(s, [])) for s in range(24)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
+    same = {r.shard for r in out if texts[r.doc_id] == "same text"}
+    assert len(same) <= -(-hot // min(counts)) + (0 if hot < 10 else 12)
+    assert len({r.shard for r in out if texts[r.doc_id] == "pair é"}) == 1
+
+
+def test_sharding_edges(spark, odd):
+    out = sharding.balance(odd, sharding.equal_text(odd)).collect()
+    assert len(out) == 8 and len({r.shard for r in out}) == 8 and {r.slot for r in out} == {0}
+    assert sharding.balance(none_of(odd), sharding.equal_text(odd)).count() == 0
