@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -41,14 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, seen: list | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a
-    lost executor costs no recomputation before it."""
+    lost executor costs no recomputation before it. ``seen``: (count, digest) aggregates
+    that are observed while writing, at no further pass."""
     spark = df.sparkSession
+    note = Observation()
+    if seen is not None:
+        digest = F.xxhash64("a", "b")
+        df = df.observe(note, F.count(F.lit(1)).alias("n"), F.bit_xor(digest).alias("d"), F.sum(F.pmod(digest, F.lit(2**31))).alias("s"))
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if seen is not None:
+        seen[:] = [(got := note.get)["n"], got["d"], got["s"]]
     return out
 
 
@@ -88,9 +95,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links reach. Alternating large-star and small-star rounds; each shrinks the
     distances to the root, so the rounds grow with the logarithm of the longest
     path. Minima are combined before the shuffle, so a hub is no hot task."""
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    digest = [F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))]
-    last = e.agg(*digest).first()
+    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), last := [])
     for _ in range(rounds):
         if not last[0]:
             break
@@ -99,10 +104,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(low.select("a", "m")).toDF("a", "b").distinct()
-        new = cut(small)
+        new = cut(small, now := [])
         drop(e)
-        e, now = new, new.agg(*digest).first()
-        if tuple(now) == tuple(last):
+        e = new
+        if now == last:
             break
         last = now
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -112,9 +117,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""
     x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -28,6 +28,18 @@ BINS, ROWS = 128, 4
 BLOCK = 256
 
 
+class Hashes(dict):
+    """64-bit hashes of words; those of a task's words are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = Hashes()
+KEEP_HASHES = 600_000
+
+
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the number of words of each text. A-Z are
     lower-cased; words are runs without ASCII white space."""
@@ -37,11 +49,9 @@ def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
             w = t.encode("utf-8", "surrogatepass").lower().split()
             counts[i] = len(w)
             words += w
-    if not words:
-        return np.zeros(0, dtype=np.uint64), counts
-    codes, uniques = pd.factorize(np.array(words, dtype=object))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in uniques), dtype=np.uint64, count=len(uniques))
-    return h[codes], counts
+    if len(_hashes) > KEEP_HASHES:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)), counts
 
 
 def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
@@ -184,6 +194,17 @@ def _blocks(percent: int, bins: int):
     return run
 
 
+def joined_labels(label: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links: components of the components that they join."""
+    if more.isEmpty():
+        return label
+    first = lambda c: F.coalesce(F.col(f"{c}r"), F.col(c)).alias(c)
+    ends = more.join(label.toDF("a", "ar"), "a", "left").join(label.toDF("b", "br"), "b", "left").select(first("a"), first("b"))
+    new = cut(components(ends))
+    old = label.join(new.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(new.join(label.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -209,15 +230,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bins: int =
     held = star.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     links = cut(held.mapInArrow(_confirm(percent), "a long, b long"))
     label = cut(components(links))
-    marked = joined.join(label, joined.id == label.node, "left").select("band", "key", "id", "size", F.coalesce("root", "id").alias("label"))
-    # Buckets with one component are done. Buckets of the same members are looked at once.
+    marked = joined.join(label, joined.id == label.node, "left").select("band", "key", "id", "c", F.coalesce("root", "id").alias("label"))
+    # The centre was compared with every member. Buckets whose other members are in one
+    # component are done; buckets of the same members are looked at once.
+    marked = marked.where("id <> c").select("band", "key", "id", "label")
     open_ = marked.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("d1"), F.bit_xor(F.xxhash64("id")).alias("d2")).where("lo <> hi")
     open_ = open_.groupBy("m", "d1", "d2").agg(F.min(F.struct("band", "key")).alias("w")).select("w.band", "w.key", F.ceil(F.col("m") / BLOCK).alias("nb"))
     todo = cut(marked.join(open_, ["band", "key"]).select("band", "key", "id", "label", "nb", (F.pmod(F.xxhash64("id"), F.col("nb"))).alias("blk")))
     with_pair = todo.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")).select("band", "key", "id", "label", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), F.when(F.col("blk") <= F.col("o"), 0).otherwise(1).alias("side"))
     more = with_pair.join(sets, "id").groupBy("band", "key", "bi", "bj").applyInPandas(_blocks(percent, bins), "a long, b long")
     more = cut(more)
-    label = cut(components(links.union(more)))
+    label = cut(joined_labels(label, more))
     got = base.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", "id"), ["h1", "h2"], "left").join(label, F.col("id") == F.col("node"), "left")
     same = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.least(F.coalesce("root", "id"), "doc_id"))
     out = got.select("doc_id", "n_shingles", same.cast("long").alias("component_id"))
