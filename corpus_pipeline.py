@@ -11,8 +11,8 @@ from slicetopo.llm.common import cut, table
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
-    rows = toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, rows, keep=[c for c in docs.columns if c != "text"], text=True)
+    labels = toxicity.usable_labels(table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, labels, keep=[c for c in docs.columns if c != "text"], text=True)
     return scored.where("predicted = 0").select(*docs.columns)
 
 

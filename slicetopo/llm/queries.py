@@ -22,7 +22,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = toxicity.score_toxicity(docs, toxicity.labelled_rows(docs, labels))
+    out = toxicity.score_toxicity(docs, toxicity.usable_labels(labels))
     return out.select("doc_id", (toxicity.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "spans")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from .minhash import shingle_sets
 
 #: Training uses at most this many toxic and this many clean labelled documents, chosen
 #: by hash, with at most so many characters in each class.
-SAMPLE = {1: 2000, 0: 5000}
-SAMPLE_CHARS = 16_000_000
+SAMPLE = {1: 1500, 0: 3500}
+SAMPLE_CHARS = 10_000_000
 WIDTH = 1 << 18
 CHAIN = 64
 BAR = 0.7
@@ -62,23 +62,33 @@ def features(word: str) -> list[int]:
 
 
 def cues(docs: list[tuple[set, int]]) -> set:
-    """Stems that mark toxic documents: taken one by one, each time the stem that
-    explains most toxic documents not yet explained, as long as chance would hardly
-    put it into so many toxic and so few clean documents."""
+    """Stems that mark toxic documents, from (words, label) pairs: those that chance would
+    hardly put into so many toxic and so few clean documents. Below the strict bar a stem
+    must explain toxic documents that no better one explains."""
     n, pos = len(docs), sum(y for _, y in docs)
     if not pos or pos == n:
         return set()
     rate = pos / n
-    toxic: dict[str, set] = defaultdict(set)
-    for i, (s, y) in enumerate(docs):
+    ids: dict[str, int] = {}
+    of: dict[str, list[int]] = {}
+    arrays = []
+    for words, _ in docs:
+        for w in words:
+            if w not in of:
+                of[w] = [ids.setdefault(x, len(ids)) for x in stems(w)]
+        arrays.append(np.unique(np.array([i for w in words for i in of[w]], dtype=np.int32)))
+    of.clear()
+    count = lambda label: np.bincount(np.concatenate([a for a, (_, y) in zip(arrays, docs, strict=True) if y == label]), minlength=len(ids))
+    toxic, clean = count(1), count(0)
+    able = (toxic >= 3) & (clean <= 0.02 * toxic)
+    where: dict[int, set] = defaultdict(set)
+    left = set()
+    for i, (a, (_, y)) in enumerate(zip(arrays, docs, strict=True)):
         if y:
-            for x in s:
-                toxic[x].add(i)
-    toxic = {x: d for x, d in toxic.items() if len(d) >= 3}
-    clean: Counter = Counter()
-    for s, y in docs:
-        if not y:
-            clean.update(x for x in s if x in toxic)
+            left.add(i)
+            for x in a[able[a]].tolist():
+                where[x].add(i)
+    names = {i: x for x, i in ids.items() if able[i]}
 
     def odds(t: int, c: int) -> float:
         """Log of the chance of t toxic ones among t + c documents, by Chernoff."""
@@ -87,14 +97,14 @@ def cues(docs: list[tuple[set, int]]) -> set:
             return 0.0
         return (t + c) * (q * math.log(q / rate) + ((1 - q) * math.log((1 - q) / (1 - rate)) if q < 1 else 0))
 
-    strict, loose = math.log(len(toxic) + 1) + 5, math.log(len(toxic) + 1) + 2
-    out, left = set(), {i for i, (_, y) in enumerate(docs) if y}
-    ranked = sorted(((odds(len(d), clean[x]), len(d), x) for x, d in toxic.items() if clean[x] <= 0.02 * len(d)), key=lambda r: (-r[0], len(r[2]), r[2]))
-    for o, _, x in ranked:
-        new = len(toxic[x] & left)
-        if o >= strict or (o >= loose and new >= 3 and clean[x] == 0):
+    seen = math.log((toxic >= 3).sum() + 1)
+    strict, loose = seen + 5, seen + 2
+    out = set()
+    ranked = sorted(((odds(int(toxic[i]), int(clean[i])), x, i) for i, x in names.items()), key=lambda r: (-r[0], len(r[1]), r[1]))
+    for o, x, i in ranked:
+        if o >= strict or (o >= loose and clean[i] == 0 and len(where[i] & left) >= 3):
             out.add(x)
-            left -= toxic[x]
+            left -= where[i]
     return out
 
 
@@ -172,8 +182,9 @@ def train(docs: list[tuple[str, int]], epochs: int = 8, rate: float = 0.4, keep:
     docs = one_of_each(docs)
     for text, y in docs:
         words = {w for t in set(text.split()) for w in runs(t)}
-        sets.append(({x for w in words for x in stems(w)}, y))
+        sets.append((words, y))
     bad = cues(sets)
+    sets.clear()
     chains = []
     for text, y in docs:
         own = split_chains(text.split(), bad if y else None)
@@ -217,17 +228,20 @@ def train(docs: list[tuple[str, int]], epochs: int = 8, rate: float = 0.4, keep:
     return {"w": weights.astype(np.float32), "bias": float(bias), "trans": trans}
 
 
-def sample(labelled: DataFrame, most: dict | None = None, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``most[y]`` labelled texts of each class y, in hash order, ``chars``
-    characters each class: a bound that does not grow with the input."""
-    rows = []
+def sample(docs: DataFrame, labels: DataFrame, most: dict | None = None, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """(text, label) of at most ``most[y]`` documents of each class y, in hash order of
+    their ids, and at most ``chars`` characters of each class: a bound that does not grow
+    with the input. Ids are chosen from ``labels`` (_id, y) alone, and only the chosen
+    ones, a bounded set, meet the texts."""
     most = most or SAMPLE
+    rows = []
     for y in (1, 0):
-        top = labelled.where((F.col("y") == y) & F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(most[y])
+        picked = labels.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most[y])
+        own = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.xxhash64("_id").alias("h"), "_id", "text")
         room = chars
-        for r in top.toLocalIterator():
+        for r in own.orderBy("h", "_id", "text").limit(most[y]).toLocalIterator():
             room -= len(r["text"])
-            if room < 0 and rows:
+            if room < 0:
                 break
             rows.append((r["text"], y))
     return rows
@@ -294,15 +308,14 @@ def _scorer(shared, with_text: bool = False):
     return run
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None, bar: float = BAR, text: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, bar: float = BAR, text: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` (and its text if ``text``) plus score, spans (offsets of toxic tokens, in code
-    points) and predicted. ``labelled`` has (text, y); rows with a null label or text
-    teach nothing. Null, empty and wordless texts score 0; without a toxic example every
+    points) and predicted. ``labels`` has (_id, y); ids without a text teach nothing. Null, empty and wordless texts score 0; without a toxic example every
     score is 0. Repeated rows score alike; an empty table gives an empty result."""
     spark = docs.sparkSession
     tune(spark)
     keep = keep or ["doc_id"]
-    model = train(sample(labelled))
+    model = train(sample(docs, labels))
     shared = spark.sparkContext.broadcast(model)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if text or f.name != "text")
@@ -315,8 +328,8 @@ def fold_of(doc_id, folds: int):
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """(text, y) of labelled documents outside the held-out fold."""
-    y = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
-    y = y.where(fold_of(F.col("_id"), folds) != held)
-    return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("text", "y")
+def usable_labels(labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """(_id, y) outside the held-out fold, one row per id; null ids and labels drop out, and
+    of conflicting labels toxic counts."""
+    y = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
+    return y.where(fold_of(F.col("_id"), folds) != held)

@@ -135,9 +135,8 @@ def test_toxicity_held_out(spark):
             for _ in range(2):
                 words.insert(rng.randrange(len(words)), rng.choice(bad).capitalize() + ".")
         rows.append((" ".join(words), int(i % 4 == 0)))
-    train = spark.createDataFrame(rows[:250], "text string, y int")
-    test = docs_of(spark, [t for t, _ in rows[250:]])
-    got = sorted(toxicity.score_toxicity(test, train).collect(), key=lambda r: r.doc_id)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows[:250])], "_id long, y int")
+    got = sorted(toxicity.score_toxicity(docs_of(spark, [t for t, _ in rows]), labels).collect(), key=lambda r: r.doc_id)[250:]
     assert [r.predicted for r in got] == [y for _, y in rows[250:]]
     for r, (t, y) in zip(got, rows[250:], strict=True):
         assert {t[s.start : s.end].rstrip(".").lower() for s in r.spans} <= set(bad)
@@ -160,7 +159,7 @@ def test_forward_backward_is_exact():
 
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = toxicity.labelled_rows(odd, labels)
+    rows = toxicity.usable_labels(labels)
     out = toxicity.score_toxicity(odd, rows).collect()
     assert len(out) == 8 and {r.predicted for r in out} == {0} and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score_toxicity(none_of(odd), none_of(rows)).count() == 0
