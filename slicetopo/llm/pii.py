@@ -47,12 +47,19 @@ KINDS = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}+)(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
 }
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
-#: What a text with an entity must have; a cheap test before the pattern.
-HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:{_TITLE})\.?[ ]\p{{Lu}}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CYR_LOWER = "абвгдежзиклмнопрстуфхцчшщыэюя"
 
 
+def hinted(text: Column) -> Column:
+    """What every text with an entity fulfils; cheap tests before the pattern: a digit, a sign
+    of an address, or a form of address with what follows it. False for null."""
+    hint = text.contains("@") | text.rlike("[0-9]")
+    for title in (*FEMALE, *MALE, *OPEN):
+        hint = hint | text.contains(f"{title} ") | text.contains(f"{title}. ")
+    return F.coalesce(hint, F.lit(False))
+
+
 def found(text: Column) -> Column:
     """The entities of a text in order; none for a null text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
@@ -170,8 +177,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     text. An empty table gives an empty result; further columns go through unchanged."""
     mine = "_pii_text"
     cols = docs.columns
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    hit = docs.where(hinted).withColumn("_pii_e", found(F.col("text"))).where(F.size("_pii_e") > 0)
+    maybe = hinted(F.col("text"))
+    hit = docs.where(maybe).withColumn("_pii_e", found(F.col("text"))).where(F.size("_pii_e") > 0)
     spans = hit.select(F.sha2("text", 256).alias("_pii_k"), F.col("_pii_e")).dropDuplicates(["_pii_k"])
     spans = cut(spans)
     each = spans.select("_pii_k", F.posexplode("_pii_e").alias("pos", "entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal(F.col("entity"), F.col("kind")))
@@ -184,7 +191,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     changed = hit.withColumn("_pii_k", F.sha2("text", 256)).join(named, "_pii_k")
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_pii_s"), i), F.lit("")))), "")
     changed = changed.withColumn(mine, whole)
-    clean = docs.where(~(hinted & (F.size(found(F.col("text"))) > 0)))
+    clean = docs.where(~(maybe & (F.size(found(F.col("text"))) > 0)))
     pick = lambda text, n: [text.alias("text") if c == "text" else F.length(text).cast(dict(docs.dtypes)["n_chars"]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in cols] + [n.cast("long").alias("n_entities")]
     done = changed.select(*pick(F.col(mine), F.size("_pii_e")))
     return clean.select(*[F.col(f"`{c}`") for c in cols], F.lit(0).cast("long").alias("n_entities")).unionByName(done)
