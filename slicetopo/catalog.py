@@ -142,6 +142,114 @@ def transpose_check(s, d):
     return r.select("set_id", "roi_a", "roi_b", D.classify(bits.transpose(F.col("bits"))).alias("reverse"), D.lookup(F.col("relation"), "complement").alias("complement"), bits.to_text(F.col("bits")).alias("text"))
 
 
+def _rings(boxes):
+    """Boxes as contours of structures, with string set names."""
+    from .sources import generators as G
+
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = F.array(corner("x1", "y1"), corner("x1", "y0"), corner("x0", "y0"), corner("x0", "y1"))
+    return boxes.select(F.col("set_id").cast("string").alias("set_id"), F.col("roi").cast("int").alias("roi"), F.col("z").cast("double").alias("z"), points.alias("points")).select(*[c.split(" ")[0] for c in G.CONTOURS.replace("<struct<x:double,y:double>>", "").split(", ")])
+
+
+def kernel_relations(s, d):
+    """The general kernel on every pair of boxes of a slice: relation and common area."""
+    import pandas as pd
+
+    from .operators import kernel as K
+    from .session import ship
+
+    ship(s)
+    b = b1(s, d)
+    side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x0", "x1", "y0", "y1")])
+    pairs_ = side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                p = [("+", K.ring_of([(r.x0_a, r.y0_a), (r.x1_a, r.y0_a), (r.x1_a, r.y1_a), (r.x0_a, r.y1_a)]))]
+                q = [("+", K.ring_of([(r.x0_b, r.y0_b), (r.x1_b, r.y0_b), (r.x1_b, r.y1_b), (r.x0_b, r.y1_b)]))]
+                out.append((r.set_id, r.roi_a, r.roi_b, r.z, K.relate27(p, q), round(K.combined_area([p, q], lambda u, v: u & v))))
+            yield pd.DataFrame(out, columns=["set_id", "roi_a", "roi_b", "z", "bits", "common"])
+
+    got = pairs_.mapInPandas(run, "set_id long, roi_a long, roi_b long, z long, bits int, common long")
+    return got.select("set_id", "roi_a", "roi_b", "z", D.classify(F.col("bits")).alias("relation"), "common")
+
+
+def _solid_contours(s, d):
+    on = b2(s, d).withColumn("z", F.explode(F.sequence("z0", "z1")))
+    return _rings(on)
+
+
+def ring_measures(s, d):
+    """Area, centroid and bounds of every ring, by shoelace expressions."""
+    r = _rings(b1(s, d))
+    c, o = scalars.ring_centroid(F.col("points")), scalars.ring_bounds(F.col("points"))
+    return r.select("set_id", "roi", F.col("z").cast("long").alias("z"), F.round(scalars.ring_area(F.col("points"))).cast("long").alias("area"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"), o["x0"].alias("x0"), o["y1"].alias("y1"))
+
+
+def structure_contours(s, d):
+    from .operators import structures
+
+    return structures.contour_report(_solid_contours(s, d))
+
+
+def structure_volumes(s, d):
+    from .operators import structures
+
+    return structures.volumes(_solid_contours(s, d))
+
+
+def structure_relations(s, d):
+    """The whole way from contours: caps, in-fill, region slices, pairs, merged bits."""
+    from .operators import structures
+
+    contours = _solid_contours(s, d)
+    return structures.relations(structures.region_slices(contours), structures.volumes(contours))
+
+
+def structure_margins(s, d):
+    from .operators import metrics, structures
+
+    contours = _solid_contours(s, d)
+    slices_ = structures.region_slices(contours)
+    return metrics.calculate("minimum_margins", slices_, structures.relations(slices_, structures.volumes(contours)))
+
+
+def logical_flags(s, d):
+    from .operators import logical
+
+    return logical.flags(pairs(s, d))
+
+
+def relation_symbols(s, d):
+    from .operators import report
+
+    cells = report.symbols(B.matrix_long(pairs(s, d), b2(s, d)))
+    return cells.select("set_id", "row_roi", "col_roi", "label", "symbol")
+
+
+def set_payload(s, d):
+    from .operators import report
+
+    return report.payload(pairs(s, d), b2(s, d))
+
+
+def diagram_edges(s, d):
+    from .operators import report
+
+    return report.diagram_edges(pairs(s, d))
+
+
+def definition_table(s, d):
+    return D.relation_defs(s).select("relation_type", "label", F.col("symmetric").alias("is_symmetric"), F.col("transitive").alias("is_transitive"), "complement", "mask", "value")
+
+
+def name_grammar(s, d):
+    parts = naming.parse_name(F.col("name"), "organ")
+    return _names(s, d).where(F.col("roi") % 3 == 1).select("roi", *[c.alias(k) for k, c in parts.items()])
+
+
 def streamed_relations(s, d):
     from .streaming.ingest import relations_by_stream
 
@@ -180,6 +288,18 @@ QUERIES = {
     "rounding": rounding,
     "unit_conversions": unit_conversions,
     "streamed_relations": streamed_relations,
+    "kernel_relations": kernel_relations,
+    "ring_measures": ring_measures,
+    "structure_contours": structure_contours,
+    "structure_volumes": structure_volumes,
+    "structure_relations": structure_relations,
+    "structure_margins": structure_margins,
+    "logical_flags": logical_flags,
+    "relation_symbols": relation_symbols,
+    "set_payload": set_payload,
+    "diagram_edges": diagram_edges,
+    "definition_table": definition_table,
+    "name_grammar": name_grammar,
 }
 
 ORACLES = {
@@ -245,4 +365,18 @@ CAST(floor(l_extendedprice / 0.5) AS BIGINT) AS half_steps, CAST(round_even(CAST
     "unit_conversions": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 OR l_quantity < 1 THEN CAST(l_quantity AS DOUBLE) * 10 ELSE CAST(l_quantity AS DOUBLE) END AS mm,
 CASE WHEN CAST(l_quantity AS DOUBLE) * 3 > 100 THEN CAST(l_quantity AS DOUBLE) * 3 ELSE CAST(l_quantity AS DOUBLE) * 3 * 100 END AS cgy,
 CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INT) * 100 AS VARCHAR) WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '00' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' dose' END AS dose FROM lineitem""",
+    "kernel_relations": f"""WITH {SLICE_REL} SELECT sr.set_id, roi_a, roi_b, sr.z, relation,
+CAST(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS BIGINT) AS common
+FROM sr JOIN b1 a ON sr.set_id = a.set_id AND sr.z = a.z AND roi_a = a.roi JOIN b1 b ON sr.set_id = b.set_id AND sr.z = b.z AND roi_b = b.roi""",
+    "ring_measures": f"""WITH {B1} SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi AS INTEGER) AS roi, z, (x1 - x0) * (y1 - y0) AS area,
+round((x0 + x1) / 2.0, 3) AS cx, round((y0 + y1) / 2.0, 3) AS cy, CAST(x0 AS DOUBLE) AS x0, CAST(y1 AS DOUBLE) AS y1 FROM b1""",
+    "diagram_edges": f"""WITH {PAIR_REL} SELECT set_id, roi_a, roi_b, relation, relation IN ({", ".join(f"'{x.name}'" for x in D.DEFINITIONS if x.symmetric)}) AS symmetric,
+CASE WHEN relation = 'OVERLAPS' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight, true AS layout_candidate FROM pr WHERE relation NOT IN ('DISJOINT', 'UNKNOWN')""",
+    "relation_symbols": f"""WITH {PAIR_REL}, c AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.complement or 'UNKNOWN'}')" for x in D.DEFINITIONS)}) t(relation, complement)),
+m AS (SELECT set_id, roi_b AS row_roi, roi_a AS col_roi, relation FROM pr UNION ALL SELECT set_id, roi_a, roi_b, complement FROM pr JOIN c USING (relation) UNION ALL SELECT set_id, roi, roi, 'EQUAL' FROM b2),
+l AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.label}', '{(chr(8835) if x.symbol == chr(8834) else chr(8848) if x.symbol == chr(8847) else x.symbol) if x.reversed_arrow else x.symbol}')" for x in D.DEFINITIONS)}) t(relation, label, symbol))
+SELECT set_id, row_roi, col_roi, label, symbol FROM m JOIN l USING (relation)""",
+    "definition_table": "SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{x.label}', {str(x.symmetric).lower()}, {str(x.transitive).lower()}, '{x.complement}', {x.mask}, {x.value})" for x in D.DEFINITIONS) + ") t(relation_type, label, is_symmetric, is_transitive, complement, mask, value)",
+    "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm WHERE roi % 3 = 1)
+SELECT roi, nullif(p.prefix, '') AS prefix, nullif(p.organ, '') AS organ, nullif(p.region, '') AS region, nullif(p.side, '') AS side, nullif(p.margin, '') AS margin FROM g""",
 }
