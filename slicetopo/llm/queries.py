@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, language, minhash, mixing, pieces, pii, rules, sharding, toxicity, vectors
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_vectors, op5_minhash, op6_chat, op7_mixing, op8_rules, op9_pii, op10_sharding)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
