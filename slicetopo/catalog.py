@@ -216,6 +216,13 @@ def structure_margins(s, d):
     return metrics.calculate("minimum_margins", slices_, structures.relations(slices_, structures.volumes(contours)))
 
 
+def region_relations(s, d):
+    from .operators import structures
+
+    contours = _solid_contours(s, d)
+    return structures.region_relations(structures.regions(contours), structures.volumes(contours))
+
+
 def logical_flags(s, d):
     from .operators import logical
 
@@ -294,6 +301,7 @@ QUERIES = {
     "structure_volumes": structure_volumes,
     "structure_relations": structure_relations,
     "structure_margins": structure_margins,
+    "region_relations": region_relations,
     "logical_flags": logical_flags,
     "relation_symbols": relation_symbols,
     "set_payload": set_payload,

@@ -299,3 +299,51 @@ def volumes(contours: DataFrame) -> DataFrame:
 
     got = contours.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(run, "set_id string, roi int, physical double, exterior double, hull double, num_regions int")
     return got.withColumn("place", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("hull"), F.desc("exterior"), F.desc("physical"), "roi")))
+
+
+REGIONS = "set_id string, roi int, zk long, label string, ops string, is_boundary boolean"
+
+
+def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
+    built = build(rows, list(pdf["zs"].iloc[0]))
+    roi, out = int(pdf["roi"].iloc[0]), []
+    by: dict[int, list] = {}
+    for n in built["nodes"]:
+        by.setdefault(key(n["z"]), []).append(n)
+    for zk, own in sorted(by.items()):
+        for label in sorted({n["label"] for n in own if not n["hole"]}):
+            solids = [n for n in own if n["label"] == label and not n["hole"]]
+            inner = [n for n in own if n["hole"] and any(not K.relate([("+", s["ring"])], [("+", n["ring"])]) & K.EI for s in solids)]
+            ops = [("+" if not n["hole"] else "-", n["ring"]) for n in sorted([*solids, *inner], key=lambda n: -abs(K.ring_area(n["ring"])))]
+            out.append((pdf["set_id"].iloc[0], roi, zk, f"{roi}{label}", _pack(ops), any(n["cap"] for n in solids)))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in REGIONS.split(", ")])
+
+
+def regions(contours: DataFrame) -> DataFrame:
+    """Every region of every structure on its slices, with its holes."""
+    ship(contours.sparkSession)
+    seq = contours.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
+    return contours.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
+
+
+def region_relations(regions_: DataFrame, order: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, region_a, region_b, bits, relation) of every pair of regions.
+    Only slices that both have count, boundary slices like others; the second region's
+    filled form and hull are the region itself."""
+    side = lambda x: regions_.select("set_id", F.col("roi").alias(f"roi_{x}"), "zk", F.col("label").alias(f"region_{x}"), F.col("ops").alias(f"ops_{x}"))
+    o = order.select("set_id", "roi", "place")
+    pairs = o.alias("p").join(o.alias("q"), (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.place") < F.col("q.place"))).select(F.col("p.set_id").alias("set_id"), F.col("p.roi").alias("roi_a"), F.col("q.roi").alias("roi_b"))
+    both = pairs.join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b", "zk"])
+    names = ["set_id", "roi_a", "roi_b", "region_a", "region_b"]
+
+    def run(batches):
+        for pdf in batches:
+            bits = []
+            for a, b in zip(pdf["ops_a"], pdf["ops_b"], strict=True):
+                a, b = _unpack(a), _unpack(b)
+                bits.append(K.relate(a, b) << 18 | K.relate(K.solid(a), b) << 9 | K.relate(K.hull(a), b))
+            yield pdf[names].assign(bits=bits)
+
+    got = both.mapInPandas(run, "set_id string, roi_a int, roi_b int, region_a string, region_b string, bits int")
+    return got.groupBy(*names).agg(F.bit_or("bits").alias("bits")).withColumn("relation", D.classify(F.col("bits")))

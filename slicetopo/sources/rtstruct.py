@@ -140,3 +140,32 @@ def filter_metadata(rois_: DataFrame, contours_: DataFrame) -> DataFrame:
     n = contours_.groupBy("set_id", "roi").agg(F.count("*").alias("n"))
     out = rois_.join(n, ["set_id", "roi"], "left")
     return out.select("set_id", "roi", F.col("name").alias("Structure ID"), F.col("roi_type").alias("DICOM Type"), F.col("structure_name").alias("Structure Name"), F.coalesce("n", F.lit(0)).alias("Contour Count"), F.col("n").isNotNull().alias("Has Contours")).orderBy("set_id", "roi")
+
+
+#: Kinds of image files, and the tag of the frame of reference.
+IMAGES = ("CT", "MR", "PT", "RTIMAGE")
+FRAME = (0x0020, 0x0052)
+
+
+def image_files(spark: SparkSession, folder: str, patient_id: str, study_uid: str | None = None, frame: str | None = None) -> DataFrame:
+    """(path, modality, matches_frame) of a patient's image files, of the study if one is
+    named; files of the same frame of reference come first, each group by path."""
+    ship(spark)
+    schema = "path string, modality string, patient_id string, study_uid string, frame string"
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    item = parse(bytes(content))
+                except (ValueError, struct.error):
+                    continue
+                out.append((path, text(item, "modality"), text(item, "patient_id"), text(item, "study_uid"), item.get(FRAME, b"").decode("ascii", "replace").strip(" \0")))
+            yield pd.DataFrame(out, columns=["path", "modality", "patient_id", "study_uid", "frame"])
+
+    found = files(spark, folder).mapInPandas(run, schema).where(F.col("modality").isin(*IMAGES) & (F.col("patient_id") == patient_id))
+    if study_uid:
+        found = found.where(F.col("study_uid") == study_uid)
+    same = F.col("frame") == frame if frame else F.lit(False)
+    return found.select("path", "modality", same.alias("matches_frame")).orderBy(F.desc("matches_frame"), "path")

@@ -175,3 +175,23 @@ def test_the_llm_part_can_go():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text().replace("llm/", ""), p
+
+
+def test_image_files(spark, tmp_path):
+    def file(name, modality, patient, frame):
+        data = element(0x0008, 0x0060, b"CS", modality) + element(0x0010, 0x0020, b"LO", patient) + element(0x0020, 0x000D, b"UI", b"1.2\0") + element(0x0020, 0x0052, b"UI", frame)
+        meta = element(0x0002, 0x0010, b"UI", b"1.2.840.10008.1.2.1\0")
+        (tmp_path / name).write_bytes(b"\0" * 128 + b"DICM" + struct.pack("<HH2sHI", 2, 0, b"UL", 4, len(meta)) + meta + data)
+
+    for row in (("a.dcm", b"CT", b"P1", b"9.9\0"), ("b.dcm", b"MR", b"P1", b"8.8\0"), ("c.dcm", b"CT", b"P2", b"8.8\0"), ("d.dcm", b"RTSTRUCT", b"P1", b"8.8\0")):
+        file(*row)
+    got = rtstruct.image_files(spark, str(tmp_path), "P1", frame="8.8").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.matches_frame) for r in got] == [("b.dcm", True), ("a.dcm", False)]
+    assert rtstruct.image_files(spark, str(tmp_path), "P1", study_uid="7").count() == 0
+
+
+def test_region_relations(spark):
+    parts = G.cuboid(spark, "s", 1, 2, 2, 4, 1, x=-4.0).unionByName(G.cuboid(spark, "s", 1, 2, 2, 4, 1, x=4.0)).unionByName(G.cuboid(spark, "s", 2, 1, 1, 2, 1, x=-4.0))
+    contours = spark.createDataFrame(parts.collect(), G.CONTOURS)
+    got = {(r.region_a, r.region_b): r.relation for r in structures.region_relations(structures.regions(contours), structures.volumes(contours)).collect()}
+    assert sorted(got.values()) == ["CONTAINS", "DISJOINT"] and {a for a, _ in got} == {"1A", "1B"} and {b for _, b in got} == {"2A"}
