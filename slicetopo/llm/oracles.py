@@ -28,7 +28,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 _Q = "list_sort(list({c}))[CAST(greatest(ceil({p} * count(*)), 1) AS INT)]"
 _BARS = ", ".join(f"{_Q.format(c=c, p=p)} AS {c}_{n}" for c in ("symbols", "doubled", "length") for n, p in (("a", "0.25"), ("b", "0.75")))
 _PICK = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{c}_{n} WHEN h.n >= 100 THEN h.{c}_{n} ELSE g.{c}_{n} END AS {c}_{n}" for c in ("symbols", "doubled", "length") for n in "ab")
-_IN = " AND ".join(f"{c} BETWEEN {c}_a - 6.0 * greatest({c}_b - {c}_a, {least}) AND {c}_b + 6.0 * greatest({c}_b - {c}_a, {least})" for c, least in (("symbols", 0.02), ("doubled", 0.05), ("length", 0.6)))
+_IN = " AND ".join(f"{c} BETWEEN {c}_a - 6.0 * greatest({c}_b - {c}_a, {least}) AND {c}_b + 6.0 * greatest({c}_b - {c}_a, {least})" for c, least in (("symbols", 0.01), ("doubled", 0.05), ("length", 0.6)))
 
 RULES = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), {SPACES}) IF x <> ''] AS w,

@@ -19,7 +19,7 @@ WINDOW = 8
 #: How many quartile distances a document may be outside; least distance of each ratio;
 #: documents below which a group takes its language's thresholds, or the corpus'.
 REACH = 6.0
-LEAST = {"symbols": 0.02, "doubled": 0.05, "length": 0.6}
+LEAST = {"symbols": 0.01, "doubled": 0.05, "length": 0.6}
 FEW = 100
 SKETCH = 1000
 #: Groups up to which the thresholds are broadcast; more are joined by a shuffle.
