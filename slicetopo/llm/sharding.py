@@ -2,7 +2,8 @@
 
 Documents start in the shard that a keyed hash names. In each round every group of
 linked documents (by a link key; the query links equal texts) looks where most of its
-members are, and members elsewhere move there as long as that shard has room; the
+members are, and members elsewhere move there (a group larger than a shard: to as many shards as it
+needs) as long as there is room; the
 quota of a round is what is free, and movers are ranked by a keyed hash with
 distributed prefix sums, so no shard's movers meet in one task. A last step makes the
 counts at most one apart: unlinked documents of shards that are too full fill those that
@@ -23,6 +24,13 @@ def _unit(h: Column) -> Column:
     return (F.pmod(h, F.lit(2**52)) + 0.5) / float(2**52)
 
 
+def _place(link: Column, h: Column, share: Column, seed: int) -> Column:
+    """A position in [0, 1) by which groups stay together and large ones are spread: a
+    group starts where its hash says and takes as much room as its share of all rows, so
+    its rows come into as many buckets as they need."""
+    return (_unit(F.xxhash64(link, F.lit(seed))) + _unit(F.xxhash64(h, F.lit(seed))) * share) / 2
+
+
 def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, link) for every row.
 
@@ -39,27 +47,32 @@ def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = R
     low, more = divmod(n, shards)
     quota = lambda s: F.lit(low) + F.when(s < more, 1).otherwise(0)
     start = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(shards)).cast("int").alias("shard")
-    linked = cut(base.join(members, "link").select("doc_id", "size", "text_crc32", "link", "h", start))
-    alone = base.join(members.select(F.col("link").alias("_l")), F.col("link") == F.col("_l"), "left_anti").select("doc_id", "size", "text_crc32", "link", "h", start)
+    linked = cut(base.join(members, "link").select("doc_id", "size", "text_crc32", "link", "h", (F.col("m") / F.lit(float(max(n, 1)))).alias("share"), start))
+    alone = base.join(members.select(F.col("link").alias("_l")), F.col("link") == F.col("_l"), "left_anti").select("doc_id", "size", "text_crc32", "link", "h", F.lit(0.0).alias("share"), start)
     # Linked documents take at most a shard's quota, so that no shard needs to give them up.
     for r in range(rounds):
         here = linked.groupBy("link", "shard").agg(F.count("*").alias("c"))
-        wish = here.groupBy("link").agg(F.max(F.struct("c", F.xxhash64("link", "shard", F.lit(r)).alias("t"), "shard")).alias("w")).select("link", F.col("w.shard").alias("want"))
+        # At most ``shards`` entries a group: where it has most, as many as it needs.
+        best = F.sort_array(F.collect_list(F.struct("c", F.xxhash64("link", "shard", F.lit(r)).alias("t"), "shard")), asc=False)
+        need = F.ceil(F.sum("c") / F.lit(float(max(low, 1)))).cast("int")
+        wish = here.groupBy("link").agg(F.transform(F.slice(best, F.lit(1), F.least(need, F.lit(shards))), lambda x: x["shard"]).alias("wants"))
         load = linked.groupBy("shard").agg(F.count("*").alias("load"))
         every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("want")).join(load, F.col("want") == F.col("shard"), "left").select("want", F.greatest(quota(F.col("want")) - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
-        movers = linked.join(wish, "link").where("shard <> want")
+        wishing = linked.join(wish, "link")
+        goal = F.get(F.col("wants"), F.pmod(F.xxhash64("h", F.lit(seed + r)), F.size("wants")).cast("int"))
+        movers = wishing.where(~F.array_contains("wants", F.col("shard"))).withColumn("want", goal).drop("wants")
         total = movers.groupBy("want").agg(F.count("*").alias("movers"))
         # Groups move together: the rank follows the group first.
-        ranked = movers.join(F.broadcast(every), "want").join(F.broadcast(total), "want").withColumn("one", F.lit(1)).withColumn("u", _unit(F.xxhash64("link", F.lit(seed + r)))).withColumn("bucket", bucket_of(F.col("u"), F.col("movers")))
+        ranked = movers.join(F.broadcast(every), "want").join(F.broadcast(total), "want").withColumn("one", F.lit(1)).withColumn("u", _place(F.col("link"), F.col("h"), F.col("share"), seed + r)).withColumn("bucket", bucket_of(F.col("u"), F.col("movers") * 2))
         ranked = prefix_sums(ranked, ["want"], "bucket", ["u", "link", "h"], {"rank": "one"})
-        stay = linked.join(wish, "link").where("shard = want").select(*linked.columns)
+        stay = wishing.where(F.array_contains("wants", F.col("shard"))).select(*linked.columns)
         moved = ranked.withColumn("shard", F.when(F.col("rank") < F.col("room"), F.col("want")).otherwise(F.col("shard"))).select(*linked.columns)
         new = cut(stay.unionByName(moved))
         drop(linked)
         linked = new
     all_ = cut(linked.withColumn("free", F.lit(0)).unionByName(alone.withColumn("free", F.lit(1))))
     # Within a shard linked documents come first, by group; the tail beyond the quota goes on.
-    u = F.when(F.col("free") == 1, 0.5 + _unit(F.xxhash64("h", F.lit(seed))) / 2).otherwise(_unit(F.xxhash64("link", F.lit(seed))) / 2)
+    u = F.when(F.col("free") == 1, 0.5 + _unit(F.xxhash64("h", F.lit(seed))) / 2).otherwise(_place(F.col("link"), F.col("h"), F.col("share"), seed) / 2)
     loads = all_.groupBy("shard").agg(F.count("*").alias("load"))
     placed = all_.withColumn("one", F.lit(1)).withColumn("u", u).join(F.broadcast(loads), "shard").withColumn("bucket", bucket_of(F.col("u"), F.col("load") * 2))
     placed = cut(prefix_sums(placed, ["shard"], "bucket", ["u", "link", "h"], {"rank": "one"}))
