@@ -47,4 +47,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce({_IN}, true) AS kept
 FROM m LEFT JOIN b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source"""
 
-ORACLES = {"op4_vectors": VECTORS, "op5_minhash": MINHASH, "op8_rules": RULES}
+CHAT = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i,
+  len([x FOR x IN string_split_regex(text, {SPACES}) IF x <> '']) + 4 AS cost,
+  6 + length(role) + length(text) + (length(role || text) - length(translate(role || text, '\[]<', ''))) AS len FROM c),
+p AS (SELECT *, sum(cost) OVER w AS upto, sum(cost) OVER w - cost AS before, count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT conv_id, max(n) AS n, max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) AS head, max(CASE WHEN i = 0 AND role = 'system' THEN cost ELSE 0 END) AS top,
+  max(CASE WHEN i = 0 AND role = 'system' THEN len ELSE 0 END) AS top_len FROM p GROUP BY 1),
+st AS (SELECT conv_id, head AS a FROM g UNION ALL
+  SELECT st.conv_id, min(q.i) FROM st JOIN g ON g.conv_id = st.conv_id JOIN p s ON s.conv_id = st.conv_id AND s.i = st.a
+  JOIN p q ON q.conv_id = st.conv_id AND q.i > st.a AND q.upto - s.before > greatest(384 - g.top, 1) GROUP BY st.conv_id, st.a),
+w AS (SELECT st.conv_id, a, coalesce(lead(a) OVER (PARTITION BY st.conv_id ORDER BY a), n) AS b, head, top_len FROM st JOIN g ON g.conv_id = st.conv_id),
+h AS (SELECT w.conv_id, w.a, w.b, w.top_len, w.a - count(j.i) AS h FROM w LEFT JOIN p s ON s.conv_id = w.conv_id AND s.i = w.a
+  LEFT JOIN p j ON j.conv_id = w.conv_id AND j.i >= w.head AND j.i < w.a AND s.before - j.before <= 128 GROUP BY w.conv_id, w.a, w.b, w.top_len),
+f AS (SELECT conv_id, sum(chars) AS formatted_chars FROM (SELECT h.conv_id, h.a, 3 + h.top_len + coalesce(sum(p.len), 0) AS chars
+  FROM h LEFT JOIN p ON p.conv_id = h.conv_id AND p.i >= h.h AND p.i < h.b GROUP BY h.conv_id, h.a, h.top_len) GROUP BY 1),
+d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY 1)
+SELECT d.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM d JOIN f USING (conv_id)"""
+
+ORACLES = {"op6_chat": CHAT, "op4_vectors": VECTORS, "op5_minhash": MINHASH, "op8_rules": RULES}
