@@ -16,6 +16,7 @@ from ..session import ship
 SPACE = r"\x20\x09-\x0D"
 #: Rows an Arrow batch holds at most; whole texts are long, so batches are small.
 BATCH_ROWS = 2048
+BATCH_BYTES = 16 << 20
 #: Rows a bucket of a distributed prefix sum aims at.
 BUCKET_ROWS = 8192
 
@@ -28,6 +29,7 @@ def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Small Arrow batches, so that a Python worker holds a few MB of text at once."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -66,6 +66,19 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g, sizes, words
 
 
+def parts(texts: list):
+    """Runs of texts with about CHUNK characters, so that very long texts don't add up."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "")
+        if size > CHUNK:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _count(batches):
     """Partial counts of one task, a row for each language and trigram class."""
     total: dict[str, np.ndarray] = {}
@@ -74,8 +87,8 @@ def _count(batches):
         for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
             by.setdefault(lang, []).append(t)
         for lang, texts in by.items():
-            g, _, _ = grams(texts)
-            total[lang] = total.get(lang, 0) + np.bincount(g, minlength=WIDTH)
+            for part in parts(texts):
+                total[lang] = total.get(lang, 0) + np.bincount(grams(part)[0], minlength=WIDTH)
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "gram", "n"])
@@ -156,14 +169,11 @@ def _run(shared):
         for b in batches:
             texts = b.column("text").to_pylist()
             labels, scores, mixes = [], [], []
-            part: list = []
-            size = 0
-            for t in [*texts, None]:
-                if part and (size > CHUNK or len(labels) + len(part) == len(texts)):
-                    x, y, z = infer(m, part)
-                    labels, scores, mixes, part, size = labels + x, [*scores, *y], mixes + z, [], 0
-                part.append(t)
-                size += len(t or "")
+            for part in parts(texts):
+                x, y, z = infer(m, part)
+                labels += x
+                scores += y.tolist()
+                mixes += z
             flat = [list(x.items()) for x in mixes]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(labels, type=pa.string()), pa.array(scores, type=pa.float64()), pa.array(flat, type=pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "mixture"])
 
