@@ -40,6 +40,10 @@ _hashes = Hashes()
 KEEP_HASHES = 600_000
 
 
+def forget_words() -> None:
+    _hashes.clear()
+
+
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the number of words of each text. A-Z are
     lower-cased; words are runs without ASCII white space."""

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from array import array
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, ragged, tune
-from .minhash import shingle_sets
+from .minhash import forget_words, shingle_sets
 
 #: Training uses at most this many toxic and this many clean labelled documents, chosen
 #: by hash, with at most so many characters in each class.
@@ -61,34 +62,36 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x) % WIDTH for x in names]
 
 
-def cues(docs: list[tuple[set, int]]) -> set:
-    """Stems that mark toxic documents, from (words, label) pairs: those that chance would
+def stems_of(text: str) -> set:
+    return {x for w in {w for t in set(text.split()) for w in runs(t)} for x in stems(w)}
+
+
+def cues(docs: list[tuple[str, int]]) -> set:
+    """Stems that mark toxic documents, from (text, label) pairs: those that chance would
     hardly put into so many toxic and so few clean documents. Below the strict bar a stem
-    must explain toxic documents that no better one explains."""
+    must explain toxic documents that no better one explains. Only stems of three toxic
+    documents or more are kept while counting, which bounds the memory."""
     n, pos = len(docs), sum(y for _, y in docs)
     if not pos or pos == n:
         return set()
     rate = pos / n
-    ids: dict[str, int] = {}
-    of: dict[str, list[int]] = {}
-    arrays = []
-    for words, _ in docs:
-        for w in words:
-            if w not in of:
-                of[w] = [ids.setdefault(x, len(ids)) for x in stems(w)]
-        arrays.append(np.unique(np.array([i for w in words for i in of[w]], dtype=np.int32)))
-    of.clear()
-    count = lambda label: np.bincount(np.concatenate([a for a, (_, y) in zip(arrays, docs, strict=True) if y == label]), minlength=len(ids))
-    toxic, clean = count(1), count(0)
-    able = (toxic >= 3) & (clean <= 0.02 * toxic)
-    where: dict[int, set] = defaultdict(set)
+    toxic: Counter = Counter()
+    for text, y in docs:
+        if y:
+            toxic.update(stems_of(text))
+    toxic = Counter({x: t for x, t in toxic.items() if t >= 3})
+    clean: Counter = Counter()
+    for text, y in docs:
+        if not y:
+            clean.update(x for x in stems_of(text) if x in toxic)
+    able = {x for x, t in toxic.items() if clean[x] <= 0.02 * t}
+    where: dict[str, set] = defaultdict(set)
     left = set()
-    for i, (a, (_, y)) in enumerate(zip(arrays, docs, strict=True)):
+    for i, (text, y) in enumerate(docs):
         if y:
             left.add(i)
-            for x in a[able[a]].tolist():
+            for x in stems_of(text) & able:
                 where[x].add(i)
-    names = {i: x for x, i in ids.items() if able[i]}
 
     def odds(t: int, c: int) -> float:
         """Log of the chance of t toxic ones among t + c documents, by Chernoff."""
@@ -97,14 +100,14 @@ def cues(docs: list[tuple[set, int]]) -> set:
             return 0.0
         return (t + c) * (q * math.log(q / rate) + ((1 - q) * math.log((1 - q) / (1 - rate)) if q < 1 else 0))
 
-    seen = math.log((toxic >= 3).sum() + 1)
+    seen = math.log(len(toxic) + 1)
     strict, loose = seen + 5, seen + 2
     out = set()
-    ranked = sorted(((odds(int(toxic[i]), int(clean[i])), x, i) for i, x in names.items()), key=lambda r: (-r[0], len(r[1]), r[1]))
-    for o, x, i in ranked:
-        if o >= strict or (o >= loose and clean[i] == 0 and len(where[i] & left) >= 3):
+    ranked = sorted(((odds(toxic[x], clean[x]), x) for x in able), key=lambda r: (-r[0], len(r[1]), r[1]))
+    for o, x in ranked:
+        if o >= strict or (o >= loose and not clean[x] and len(where[x] & left) >= 3):
             out.add(x)
-            left -= where[i]
+            left -= where[x]
     return out
 
 
@@ -167,38 +170,35 @@ def one_of_each(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     a text goes if one of eight minima over its three-word shingles was seen."""
     seen: set = set()
     out = []
-    for (text, y), s in zip(docs, shingle_sets([t for t, _ in docs], 3), strict=True):
+    for text, y in docs:
+        s = shingle_sets([text], 3)[0]
         if len(s):
             low = {(j, y, int(mix(s + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)).min())) for j in range(8)}
             if not low & seen:
                 out.append((text, y))
             seen |= low
+    forget_words()
     return out
 
 
 def train(docs: list[tuple[str, int]], epochs: int = 8, rate: float = 0.4, keep: float = 1e-4) -> dict:
     """Field weights from (text, label) pairs."""
-    sets = []
     docs = one_of_each(docs)
+    bad = cues(docs)
+    ids: dict[str, int] = {}
+    rows, gold, lens = array("i"), array("b"), []
     for text, y in docs:
-        words = {w for t in set(text.split()) for w in runs(t)}
-        sets.append((words, y))
-    bad = cues(sets)
-    sets.clear()
-    chains = []
-    for text, y in docs:
-        own = split_chains(text.split(), bad if y else None)
         # Of the clean documents' chains some are used, one in eight, to even the classes.
-        chains += own if y else [c for i, c in enumerate(own) if i % 8 == 0]
+        for i, (words, ys) in enumerate(split_chains(text.split(), bad if y else None)):
+            if y or i % 8 == 0:
+                rows.extend(ids.setdefault(w, len(ids)) for w in words)
+                gold.extend(ys)
+                lens.append(len(words))
     weights, trans = np.zeros(WIDTH, dtype=np.float64), np.zeros((2, 2))
     bias = -6.0
-    if not bad or not chains:
+    if not bad or not lens:
         return {"w": weights.astype(np.float32), "bias": -30.0, "trans": trans}
-    ids: dict[str, int] = {}
-    words = [ids.setdefault(w, len(ids)) for c, _ in chains for w in c]
-    rows = np.array(words)
-    gold = np.array([y for _, ys in chains for y in ys], dtype=np.float64)
-    lens = np.array([len(c) for c, _ in chains])
+    rows, gold, lens = np.array(rows), np.array(gold, dtype=np.float64), np.array(lens)
     starts = np.cumsum(lens) - lens
     feats = [features(w) for w in ids]
     flat = np.array([f for fs in feats for f in fs])
