@@ -56,8 +56,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own = cut(measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[sketch(c).alias(c) for c in names]))
     merged = lambda c: F.kll_merge_agg_double(c, SKETCH)
     by_lang = own.groupBy("lang").agg(F.sum("n").alias("n_l"), *[merged(c).alias(f"{c}_l") for c in names]).withColumnRenamed("lang", "_lang")
-    by_all = own.agg(F.sum("n").alias("n_a"), *[merged(c).alias(f"{c}_a") for c in names])
-    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(by_all), F.lit(True))
+    # One row of sketches for the whole corpus, of bounded size.
+    whole = own.agg(*[merged(c).alias(c) for c in names]).first()
+    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumns({f"{c}_a": F.lit(whole[c]).cast("binary") for c in names})
     out = []
     for c in names:
         pick = F.when(F.col("n") >= FEW, F.col(c)).when(F.col("n_l") >= FEW, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
