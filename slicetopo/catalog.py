@@ -257,6 +257,16 @@ def name_grammar(s, d):
     return _names(s, d).where(F.col("roi") % 3 == 1).select("roi", *[c.alias(k) for k, c in parts.items()])
 
 
+def name_grammar_all(s, d):
+    """Every name by every grammar; ``grammar``: the first that takes the name, target names
+    before margins and organs."""
+    n = F.col("name")
+    parts = {g: naming.parse_name(n, g) for g in ("target", "margin", "organ")}
+    takes = {"target": parts["target"]["family"], "margin": parts["margin"]["size"], "organ": parts["organ"]["organ"]}
+    chosen = F.coalesce(*[F.when(c.isNotNull(), F.lit(g)) for g, c in takes.items()])
+    return _names(s, d).select("roi", "name", chosen.alias("grammar"), *[c.alias(f"{g}_{k}") for g, cs in parts.items() for k, c in cs.items()])
+
+
 def streamed_relations(s, d):
     from .streaming.ingest import relations_by_stream
 
@@ -308,6 +318,7 @@ QUERIES = {
     "diagram_edges": diagram_edges,
     "definition_table": definition_table,
     "name_grammar": name_grammar,
+    "name_grammar_all": name_grammar_all,
 }
 
 ORACLES = {
@@ -387,4 +398,15 @@ SELECT set_id, row_roi, col_roi, label, symbol FROM m JOIN l USING (relation)"""
     "definition_table": "SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{x.label}', {str(x.symmetric).lower()}, {str(x.transitive).lower()}, '{x.complement}', {x.mask}, {x.value})" for x in D.DEFINITIONS) + ") t(relation_type, label, is_symmetric, is_transitive, complement, mask, value)",
     "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm WHERE roi % 3 = 1)
 SELECT roi, nullif(p.prefix, '') AS prefix, nullif(p.organ, '') AS organ, nullif(p.region, '') AS region, nullif(p.side, '') AS side, nullif(p.margin, '') AS margin FROM g""",
+    # DuckDB has no look-ahead, so a target's number is told from its dose in two steps.
+    "name_grammar_all": f"""WITH {NAMES_SQL}, g AS (SELECT roi, name,
+  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?(I?[GCPIH]TV)([npsv])?[_ ]?(.*)$', ['prefix', 'family', 'kind', 'rest']) AS t,
+  regexp_extract(trim(name), '(?i)(.+?)([+-])(\\d+(?:\\.\\d+)?)\\s*(mm|cm)?$', ['base', 'sign', 'size', 'unit']) AS m,
+  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS o FROM nm),
+n AS (SELECT *, regexp_extract(t.rest, '^(\\d{{1,2}})(?:\\D|$)', 1) AS number FROM g),
+d AS (SELECT *, regexp_extract(substr(t.rest, length(number) + 1), '(?i)^[_ ]?(\\d{{3,5}})?([a-c])?', ['dose', 'part']) AS d FROM n)
+SELECT roi, name, CASE WHEN t.family <> '' THEN 'target' WHEN m.size <> '' THEN 'margin' WHEN o.organ <> '' THEN 'organ' END AS grammar,
+nullif(t.prefix, '') AS target_prefix, nullif(t.family, '') AS target_family, nullif(t.kind, '') AS target_kind, nullif(number, '') AS target_number, nullif(d.dose, '') AS target_dose, nullif(d.part, '') AS target_part,
+nullif(m.base, '') AS margin_base, nullif(m.sign, '') AS margin_sign, nullif(m.size, '') AS margin_size, nullif(m.unit, '') AS margin_unit,
+nullif(o.prefix, '') AS organ_prefix, nullif(o.organ, '') AS organ_organ, nullif(o.region, '') AS organ_region, nullif(o.side, '') AS organ_side, nullif(o.margin, '') AS organ_margin FROM d""",
 }
