@@ -135,6 +135,11 @@ def slice_label_counts(s, d):
     return B.slice_relations(b1(s, d)).groupBy("z").pivot("relation", ["DISJOINT", "OVERLAPS", "BORDERS", "CONTAINS", "WITHIN"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+def slice_label_counts_all(s, d):
+    """Relations of slices of every kind, and pairs, by slice."""
+    return B.slice_relations(b1(s, d)).groupBy("z").agg(F.count("*").alias("pairs"), *[F.count_if(F.col("relation") == x.name).alias(x.name) for x in D.DEFINITIONS])
+
+
 def transpose_check(s, d):
     from .functions import bits
 
@@ -319,6 +324,7 @@ QUERIES = {
     "definition_table": definition_table,
     "name_grammar": name_grammar,
     "name_grammar_all": name_grammar_all,
+    "relation_slice_pivot_all": slice_label_counts_all,
 }
 
 ORACLES = {
@@ -409,4 +415,5 @@ SELECT roi, name, CASE WHEN t.family <> '' THEN 'target' WHEN m.size <> '' THEN
 nullif(t.prefix, '') AS target_prefix, nullif(t.family, '') AS target_family, nullif(t.kind, '') AS target_kind, nullif(number, '') AS target_number, nullif(d.dose, '') AS target_dose, nullif(d.part, '') AS target_part,
 nullif(m.base, '') AS margin_base, nullif(m.sign, '') AS margin_sign, nullif(m.size, '') AS margin_size, nullif(m.unit, '') AS margin_unit,
 nullif(o.prefix, '') AS organ_prefix, nullif(o.organ, '') AS organ_organ, nullif(o.region, '') AS organ_region, nullif(o.side, '') AS organ_side, nullif(o.margin, '') AS organ_margin FROM d""",
+    "relation_slice_pivot_all": f"WITH {SLICE_REL} SELECT z, count(*) AS pairs, " + ", ".join(f"count(*) FILTER (relation = '{x.name}') AS \"{x.name}\"" for x in D.DEFINITIONS) + " FROM sr GROUP BY z",
 }

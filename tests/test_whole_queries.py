@@ -1,6 +1,7 @@
 """Registered queries over every row and every kind, against plain Python."""
 
 import re
+from collections import Counter
 
 from slicetopo import catalog
 from slicetopo.functions import naming
@@ -25,3 +26,15 @@ def test_every_name_meets_every_grammar(spark, monkeypatch):
                 assert got[roi][f"{g}_{k}"] == (m and m[k] or None), (name, g, k)
         assert got[roi].grammar == (took or [None])[0]
     assert {r.grammar for r in got.values()} == {"target", "margin", "organ", None}
+
+
+def test_slices_count_every_relation(spark):
+    want = {}
+    for r in catalog.QUERIES["box_slice_relations"](spark, DATA).collect():
+        want.setdefault(r.z, Counter())[r.relation] += 1
+    got = {r.z: r.asDict() for r in catalog.QUERIES["relation_slice_pivot_all"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    for z, r in got.items():
+        assert {k: r[k] for k in r if k not in ("z", "pairs") and r[k]} == want[z]
+        assert r["pairs"] == sum(want[z].values())
+    assert sum(r["PARTITIONED"] + r["PARTITIONS"] for r in got.values()) > 0
