@@ -174,6 +174,16 @@ def area(a: Region) -> float:
     return combined_area([a], lambda x: x)
 
 
+def region_centroid(a: Region) -> np.ndarray:
+    """The centroid of all of a region's area, without its holes; NaN if it has none."""
+    pieces = noded(segments(a))
+    if not len(pieces):
+        return np.full(2, math.nan)
+    left, right = sides(pieces, a)
+    c = (pieces[:, 0] * pieces[:, 3] - pieces[:, 2] * pieces[:, 1]) * (left.astype(int) - right.astype(int))
+    return ((pieces[:, :2] + pieces[:, 2:]) * c[:, None]).sum(axis=0) / (3 * c.sum()) if abs(c.sum()) > SNAP else np.full(2, math.nan)
+
+
 def boundary(a: Region) -> np.ndarray:
     """The pieces that bound a region."""
     pieces = noded(segments(a))

@@ -30,7 +30,7 @@ def _all(region: str, boundary: str) -> list:
 
 
 def _sides(slices: DataFrame, pairs: DataFrame, same_slice: bool) -> DataFrame:
-    side = lambda x: slices.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("zk").alias("zk" if same_slice else f"zk_{x}"), F.col("z").alias(f"z_{x}"), F.col("region").alias(f"region_{x}"), F.col("boundary").alias(f"boundary_{x}"))
+    side = lambda x: slices.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("zk").alias("zk" if same_slice else f"zk_{x}"), F.col("z").alias(f"z_{x}"), F.col("region").alias(f"region_{x}"), F.col("boundary").alias(f"boundary_{x}"), F.col("labels").alias(f"labels_{x}"))
     on_b = ["set_id", "roi_b", "zk"] if same_slice else ["set_id", "roi_b"]
     return pairs.join(side("a"), ["set_id", "roi_a"]).join(side("b"), on_b)
 
@@ -54,7 +54,7 @@ def minimum_distance(slices: DataFrame, relations: DataFrame) -> DataFrame:
     return seed.select(*PAIR, F.col("bound").alias("d")).unionByName(rest).groupBy(*PAIR).agg(F.round(F.min("d"), 2).alias("minimum_distance"))
 
 
-MARGINS = "set_id string, roi_a int, roi_b int, z double, nearest double, farthest double, x_plus double, x_minus double, y_plus double, y_minus double, common double, area_a double, area_b double"
+MARGINS = "set_id string, roi_a int, roi_b int, z double, labels_a array<string>, labels_b array<string>, nearest double, farthest double, x_plus double, x_minus double, y_plus double, y_minus double, common double, area_a double, area_b double"
 
 
 def _margins(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,12 +64,13 @@ def _margins(pdf: pd.DataFrame) -> pd.DataFrame:
         sa, sb = K.solid(a), K.solid(b)
         if not sa or not sb:
             continue
-        outer = max((x for _, x in sb), key=lambda x: abs(K.ring_area(x)))
-        start = K.centroid(outer)
+        start = K.region_centroid(b)
+        if np.isnan(start).any():
+            start = K.centroid(max((x for _, x in sb), key=lambda x: abs(K.ring_area(x))))
         points = np.concatenate([x for _, x in [*sa, *sb]])
         far = 2 * float(np.ptp(points, axis=0).max() + np.abs(points - start).max())
         rays = [K.ray_length(sa, sb, start, start + np.array(d) * far) for d in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-        rows.append((r.set_id, r.roi_a, r.roi_b, r.z_a, K.boundary_distance(a, b), K.hausdorff(a, b), *rays, K.combined_area([a, b], lambda u, v: u & v), K.area(a), K.area(b)))
+        rows.append((r.set_id, r.roi_a, r.roi_b, r.z_a, r.labels_a, r.labels_b, K.boundary_distance(a, b), K.hausdorff(a, b), *rays, K.combined_area([a, b], lambda u, v: u & v), K.area(a), K.area(b)))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in MARGINS.split(", ")])
 
 
@@ -79,19 +80,41 @@ def slice_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
     return _sides(slices, relations.select(*PAIR), True).mapInPandas(lambda it: (_margins(x) for x in it), MARGINS)
 
 
-def margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """Least and largest margins of each pair: four directions by rays, two along z by the
-    ends of the structures, the least distance of boundaries and the discrete Hausdorff
-    distance. Zero for relations whose boundaries meet by definition."""
+DIRECTIONS = ("x_minus", "x_plus", "y_minus", "y_plus", "z_minus", "z_plus")
+
+
+def region_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, relation, region_a, region_b, the six directions, minimum,
+    maximum) of every pair of regions that have a slice in common, rounded to 0.01.
+
+    A slice's margins are those of all the geometry on it, for each pair of its regions;
+    a direction's margin is the least over the pair's slices. The two along z are between
+    the ends of the regions. Zero for relations whose boundaries meet by definition."""
     use = relations.where(F.col("relation").isin(*APPLIES["minimum_margins"]))
-    per = slice_margins(slices, use).groupBy(*PAIR).agg(F.min("nearest").alias("minimum"), F.max("farthest").alias("maximum"), *[F.min(c).alias(c) for c in ("x_plus", "x_minus", "y_plus", "y_minus")])
-    ends = slices.where("has_region").groupBy("set_id", "roi").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    a = ends.select("set_id", F.col("roi").alias("roi_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    b = ends.select("set_id", F.col("roi").alias("roi_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    out = use.select(*PAIR, "relation").join(per, PAIR).join(a, ["set_id", "roi_a"]).join(b, ["set_id", "roi_b"])
+    both = slice_margins(slices, use).withColumn("region_a", F.explode("labels_a")).withColumn("region_b", F.explode("labels_b"))
+    per = both.groupBy(*PAIR, "region_a", "region_b").agg(F.min("nearest").alias("minimum"), F.max("farthest").alias("maximum"), *[F.min(F.round(c, 2)).alias(c) for c in DIRECTIONS[:4]])
+    ends = slices.where("has_region").select("set_id", "z", F.explode(F.array_except("labels", "cap_labels")).alias("label")).groupBy("set_id", "label").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    side = lambda x: ends.select("set_id", F.col("label").alias(f"region_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    out = use.select(*PAIR, "relation").join(per, PAIR).join(side("a"), ["set_id", "region_a"]).join(side("b"), ["set_id", "region_b"])
+    out = out.withColumns({"z_plus": F.abs(F.col("hi_a") - F.col("hi_b")), "z_minus": F.abs(F.col("lo_b") - F.col("lo_a"))})
+    zero = F.col("relation").isin(*ZERO)
+    return out.select(*PAIR, "relation", "region_a", "region_b", *[F.when(zero, 0.0).otherwise(F.round(c, 2)).alias(c) for c in (*DIRECTIONS, "minimum", "maximum")])
+
+
+def margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
+    """Least and largest margins of each pair: four directions by rays from the centroid of
+    all of the second on a slice, two along z by the ends of the regions, the least distance
+    of boundaries and the discrete Hausdorff distance, each the worst of the pairs of regions
+    (the largest of ``maximum``). ``region_a`` and ``region_b``: the pair of regions of the
+    least distance; ``worst_direction``: that of the least margin. These are null where
+    margins are zero by definition."""
+    per = region_margins(slices, relations)
+    worst = F.array_min(F.array(*[F.struct(F.col(c).alias("v"), F.lit(i).alias("i")) for i, c in enumerate(DIRECTIONS)]))
+    closest = F.struct("minimum", "region_a", "region_b")
+    got = per.groupBy(*PAIR, "relation").agg(*[F.min(c).alias(c) for c in ("x_plus", "x_minus", "y_plus", "y_minus", "minimum")], F.max("maximum").alias("maximum"), F.min("z_plus").alias("z_plus"), F.min("z_minus").alias("z_minus"), F.min(closest).alias("_c"), F.min(worst).alias("_w"))
     zero = F.col("relation").isin(*ZERO)
-    keep = lambda c: F.when(zero, 0.0).otherwise(F.round(c, 2))
-    return out.select(*PAIR, "relation", *[keep(F.col(c)).alias(c) for c in ("x_plus", "x_minus", "y_plus", "y_minus", "minimum", "maximum")], keep(F.abs(F.col("hi_a") - F.col("hi_b"))).alias("z_plus"), keep(F.abs(F.col("lo_b") - F.col("lo_a"))).alias("z_minus"))
+    name = F.element_at(F.array(*map(F.lit, DIRECTIONS)), F.col("_w")["i"] + 1)
+    return got.withColumns({"region_a": F.when(~zero, F.col("_c")["region_a"]), "region_b": F.when(~zero, F.col("_c")["region_b"]), "worst_direction": F.when(~zero, name)}).drop("_c", "_w")
 
 
 def overlap(slices: DataFrame, relations: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def _unpack(text: str) -> list:
     return [(op, np.array(r)) for op, r in json.loads(text)]
 
 
-SLICES = "set_id string, roi int, zk long, z double, region string, boundary string, exterior string, hull string, is_boundary boolean, is_interpolated boolean, has_region boolean"
+SLICES = "set_id string, roi int, zk long, z double, region string, boundary string, exterior string, hull string, is_boundary boolean, is_interpolated boolean, has_region boolean, labels array<string>, cap_labels array<string>"
 
 
 def _structure(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,12 +183,13 @@ def _structure(pdf: pd.DataFrame) -> pd.DataFrame:
     by: dict[int, list] = {}
     for n in nodes:
         by.setdefault(key(n["z"]), []).append(n)
+    labels_of = lambda nodes: sorted({f"{int(pdf['roi'].iloc[0])}{n['label']}" for n in nodes if not n["hole"]})
     for zk, own in sorted(by.items()):
         real = [n for n in own if not n["made"]]
         use = real if real else own
         one = assemble(use)[0]
         hulled = [("+", K.convex_hull(np.concatenate([n["ring"] for n in use if n["region"] == r and not n["hole"]]))) for r in sorted({n["region"] for n in use if not n["hole"]})]
-        out.append((pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), zk, use[0]["z"], _pack(one["region"]), _pack(one["boundary"]), _pack(one["exterior"]), _pack(hulled), bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"])))
+        out.append((pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), zk, use[0]["z"], _pack(one["region"]), _pack(one["boundary"]), _pack(one["exterior"]), _pack(hulled), bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"]), labels_of(use), labels_of([n for n in use if n["cap"]])))
     return pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
 
 
