@@ -39,7 +39,7 @@ def slice_records(slice_relations: DataFrame) -> DataFrame:
 
 
 def payload(relations: DataFrame, structures: DataFrame) -> DataFrame:
-    """(set_id, payload): a set's matrix, names and volumes as JSON."""
+    """(set_id, payload): a set's matrix, numbers and volumes as JSON."""
     cells = symbols(matrix_long(relations, structures))
     rows = cells.groupBy("set_id", "row_roi").agg(F.sort_array(F.collect_list(F.struct("col_roi", "label", "symbol"))).alias("cells"))
     matrix = rows.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("row_roi", "cells"))).alias("rows"))
