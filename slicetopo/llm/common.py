@@ -19,6 +19,11 @@ BATCH_ROWS = 2048
 BATCH_BYTES = 16 << 20
 #: Rows a bucket of a distributed prefix sum aims at.
 BUCKET_ROWS = 8192
+#: Keys with more rows than this are dealt over several tasks of a join; of such keys there
+#: are at most HOT_KEYS, as the limit rises with the rows.
+HOT_ROWS, HOT_KEYS = 512, 10_000
+#: Edges up to which no node can be too hot for one task.
+FEW_EDGES = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +38,13 @@ def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (tests on
-    one machine) a temporary folder is set."""
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary folder is
+    set on a local master; on a cluster each machine would have its own, so this raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="slicetopo-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slicetopo-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
@@ -92,26 +98,61 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return out.select(*kept, *[(F.col(f"_o_{o}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(o) for o, c in sums.items()])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row for each key) so that no key's rows meet in one
+    task. ``counts``: (keys, n), the rows of ``many`` for each key. Rows of a key with more
+    than the limit are dealt by a hash of the columns ``by`` over n / limit tasks, and its
+    row of ``one`` is repeated for each. The hot keys are broadcast: there are at most
+    HOT_KEYS of them, as the limit is at least a HOT_KEYS-th of all rows."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / F.lit(limit)).alias("_salts"))
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    hot = F.broadcast(cut(hot))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    dealt = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit(23), *by), salts)).drop("_salts")
+    held = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(held, [*keys, "_salt"], how).drop("_salt")
+
+
+def _with_least(pairs: DataFrame, small: bool) -> DataFrame:
+    """``pairs`` (k, v) with m, the least of v for each k."""
+    low = pairs.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if small:
+        return pairs.join(low.select("k", "m"), "k")
+    low = cut(low)
+    return salted_join(pairs, low.select("k", "m"), ["k"], low.select("k", "n"), ["v"])
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node that
     links reach. Alternating large-star and small-star rounds; each shrinks the
     distances to the root, so the rounds grow with the logarithm of the longest
-    path. Minima are combined before the shuffle, so a hub is no hot task."""
+    path; if they run out, this raises. Minima are combined before the shuffle, and the
+    edges of a hub are dealt over several tasks."""
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), last := [])
+    done = not last[0]
     for _ in range(rounds):
-        if not last[0]:
+        if done:
             break
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(low.select("a", "m")).toDF("a", "b").distinct()
-        new = cut(small, now := [])
+        small = last[0] <= FEW_EDGES
+        both = e.union(e.select("b", "a")).toDF("k", "v")
+        # The least neighbour of each node, itself included; its larger neighbours move there.
+        large = _with_least(both, small).where("v > k").select(F.col("v").alias("k"), F.least("k", "m").alias("v")).distinct()
+        if not small:
+            large = cut(large)
+        # Each node keeps its least neighbour, and its other ones move to that.
+        near = _with_least(large, small).select(F.when(F.col("v") == F.col("m"), F.col("k")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        new = cut(near.where("a <> b").distinct(), now := [])
         drop(e)
+        if not small:
+            drop(large)
         e = new
-        if now == last:
-            break
+        done = now == last
         last = now
+    if not done:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

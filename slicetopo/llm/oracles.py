@@ -23,12 +23,22 @@ r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y F
 c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-#: A quartile as the sketch gives it: the smallest value with at least that share at or
-#: below it. The sketch is exact for groups that are smaller than it.
-_Q = "list_sort(list({c}))[CAST(greatest(ceil({p} * count(*)), 1) AS INT)]"
-_BARS = ", ".join(f"{_Q.format(c=c, p=p)} AS {c}_{n}" for c in ("symbols", "doubled", "length") for n, p in (("a", "0.25"), ("b", "0.75")))
-_PICK = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{c}_{n} WHEN h.n >= 100 THEN h.{c}_{n} ELSE g.{c}_{n} END AS {c}_{n}" for c in ("symbols", "doubled", "length") for n in "ab")
-_IN = " AND ".join(f"{c} BETWEEN {c}_a - 6.0 * greatest({c}_b - {c}_a, {least}) AND {c}_b + 6.0 * greatest({c}_b - {c}_a, {least})" for c, least in (("symbols", 0.01), ("doubled", 0.05), ("length", 0.6)))
+#: A ratio's bucket, in steps: fixed up to 4,096, then a 4,096th of the value wide.
+_B = "({q} - {q} % (CASE WHEN {q} < 4096 THEN 1 ELSE 1 << CAST(length(bin({q})) - 12 AS INT) END))"
+_RATIOS = {"symbols": "10000 * n_symbols // greatest(word_chars, 1)", "doubled": "1000 * n_dup_lines // greatest(n_lines, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
+_Q = "list_sort(list({c}))[CAST((count(*) * {p} + 99) // 100 AS INT)]"
+
+
+def _bars(c: str) -> str:
+    q = {p: _Q.format(c=c, p=p) for p in (25, 50, 75, 90)}
+    tail = f"{q[75]} - {q[25]}" if c == "length" else f"greatest({q[75]} - {q[25]}, {q[90]} - {q[50]})"
+    return f"{q[25]} - 4 * ({q[75]} - {q[25]}) AS {c}_lo, {q[75]} + 4 * ({tail}) AS {c}_hi"
+
+
+_BARS = ", ".join(map(_bars, _RATIOS))
+_PICK = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{c}_{n} WHEN h.n >= 100 THEN h.{c}_{n} ELSE g.{c}_{n} END AS {c}_{n}" for c in _RATIOS for n in ("lo", "hi"))
+_IN = """10000 * n_symbols <= symbols_hi * word_chars + 30000 AND 1000 * n_dup_lines <= doubled_hi * n_lines + 3000
+  AND 100 * word_chars // greatest(n_words, 1) BETWEEN length_lo - 300 / sqrt(greatest(n_words, 1)) AND length_hi + 300 / sqrt(greatest(n_words, 1))"""
 
 RULES = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), {SPACES}) IF x <> ''] AS w,
@@ -37,13 +47,13 @@ g8 AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g8) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY 1),
 f AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)),
-m AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_words, 1) AS doubled, word_chars / greatest(n_words, 1) AS length FROM f),
+m AS (SELECT *, {", ".join(_B.format(q=f"({x})") + f" AS {c}" for c, x in _RATIOS.items())} FROM f),
 u AS (SELECT * FROM m WHERE n_words >= 20),
 o AS (SELECT lang, source, count(*) AS n, {_BARS} FROM u GROUP BY 1, 2), h AS (SELECT lang, count(*) AS n, {_BARS} FROM u GROUP BY 1), g AS (SELECT {_BARS} FROM u),
 b AS (SELECT o.lang, o.source, {_PICK} FROM o JOIN h ON o.lang IS NOT DISTINCT FROM h.lang CROSS JOIN g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce({_IN}, true) AS kept
 FROM m LEFT JOIN b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source"""
 

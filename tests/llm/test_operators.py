@@ -349,8 +349,41 @@ def test_rule_features_against_brute_force(spark, odd):
 def test_rules_drop_what_is_unusual(spark):
     rng = random.Random(9)
     texts = [prose(rng, 60) for _ in range(300)] + [" ".join(w + "%%%" for w in prose(rng, 60).split()) for _ in range(30)]
+    line = prose(rng, 3)
+    texts += ["\n".join([prose(rng, 40), *[line] * 4]), prose(rng, 60) + " $ # %", "\n".join(x for _ in range(12) for x in (prose(rng, 9), line))]
     kept = {r.doc_id: r.kept for r in rules.judge(docs_of(spark, texts), "doc_id").collect()}
-    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 330))
+    # Three symbols or repeated lines are chance in a group that has none.
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 330)) and kept[330] and kept[331] and not kept[332]
+
+
+def test_thresholds_fall_back_by_level_and_reruns_agree(spark):
+    """Naive thresholds: exact quantiles of bucketed ratios in a group of 100, else in its
+    language, else in the corpus."""
+    rng = random.Random(19)
+    rows = []
+    for i in range(900):
+        lang = "aa" if i < 700 else rng.choice(["bb", None]) if i < 880 else "cc"
+        n = rng.randrange(20, 60)
+        rows.append((i, " ".join(rng.choice(WORDS) + rng.choice(["", "#"] if lang == "bb" else [""]) for _ in range(n)), lang, rng.choice(["s", "s", "s", "t", None]), 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    measured = rules.features(df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")}), "doc_id", "lang", "source").cache()
+    got = {(r.lang, r.source): r for r in rules.thresholds(measured.repartition(7)).collect()}
+    values = [(r.lang, r.source, {"symbols": r.n_symbols * 10000 // r.word_chars, "doubled": r.n_dup_lines * 1000 // r.n_lines, "length": r.word_chars * 100 // r.n_words}) for r in measured.collect()]
+    levels = set()
+    for (lang, source), r in got.items():
+        own = [v for a, b, v in values if (a, b) == (lang, source)]
+        tongue = [v for a, _, v in values if a == lang]
+        use = own if len(own) >= 100 else tongue if len(tongue) >= 100 else [v for _, _, v in values]
+        levels.add(1 if use is own else 2 if use is tongue else 3)
+        for k in rules.RATIOS:
+            x = sorted(v[k] for v in use)
+            q = {p: x[-(-len(x) * p // 100) - 1] for p in (25, 50, 75, 90)}
+            q = {p: v - v % (1 if v < 4096 else 1 << v.bit_length() - 12) for p, v in q.items()}
+            tail = q[75] - q[25] if k == "length" else max(q[75] - q[25], q[90] - q[50])
+            assert (r[f"{k}_lo"], r[f"{k}_hi"]) == (q[25] - 4 * (q[75] - q[25]), q[75] + 4 * tail)
+    assert levels == {1, 2, 3}
+    one = sorted(map(tuple, rules.judge(df, "doc_id").collect()))
+    assert one == sorted(map(tuple, rules.judge(df.repartition(11), "doc_id").collect())) and len(one) == 900
 
 
 # 9 ---------------------------------------------------------------------------
