@@ -233,6 +233,45 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert [r.kept for r in got] == [i == w for i, w in enumerate(want)]
 
 
+def test_common_values_are_counted_exactly():
+    rng = np.random.default_rng(8)
+    for top in (40, 4000):
+        left, right = ([np.unique(rng.integers(0, top, rng.integers(1, 90))) for _ in range(n)] for n in (70, 50))
+        assert minhash.in_common(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert minhash.in_common([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_near_duplicates_of_repeated_ids_and_hubs(spark, monkeypatch, few):
+    """Texts that share a doc_id each keep their links; nothing hangs on how keys are dealt."""
+    from slicetopo.llm import common
+
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    if not few:
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(55)
+    base = prose(rng, 31).split()
+    near = [*base[:-1], "other"]
+    rows = [(9, " ".join(base)), (9, prose(rng, 30)), (12, " ".join(near)), (4, prose(rng, 30)), (4, prose(rng, 31)), (4, None), (4, "")]
+    rows += [(12, prose(rng, 32)), (30, rows[7 - 4][1]), (None, " ".join(base))]
+    hub = prose(rng, 60).split()
+    for i in range(40):
+        own = list(hub)
+        own[rng.randrange(60)] = WORDS[i]
+        rows.append((100 + i, " ".join(own)))
+    rows += [(200 + i, rows[20][1]) for i in range(20)]
+    ids = [i for i, _ in rows]
+    sets, group = brute_groups([t for _, t in rows], 5, 80)
+    # Groups of rows and equal ids together.
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if group[i] == group[j] and ids[i] is not None and ids[j] is not None or (ids[i] is not None and ids[i] == ids[j]) or i == j) for i in range(len(rows))]
+    want = sorted((ids[i], len(sets[i]), min(ids[j] for j in range(len(rows)) if label[i] == label[j])) for i in range(len(rows)) if ids[i] is not None)
+    out = minhash.near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, component_id int, kept string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out if r.doc_id is not None) and len(out) == len(rows)
+
+
 def test_near_duplicates_edges(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == 8
