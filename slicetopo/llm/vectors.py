@@ -10,6 +10,9 @@ into blocks; a task compares two blocks, so a hot cell is spread over many tasks
 Products are made in single precision with a safe margin, and what comes near the bar
 is decided in double precision. A task returns link counts and the links of a spanning
 forest of what it saw, so a group of m vectors gives about m rows, not m squared.
+
+A node is a distinct vector. Its number is the smallest vec_id that has it, but for
+vec_ids that have several vectors: those get a node for each.
 """
 
 from __future__ import annotations
@@ -20,11 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, tune
+from .common import components, cut, drop, salted_join, tune
 
 BAR = 0.9
 #: Vectors in the sample for the centroids; vectors a cell aims at; vectors in a block.
 SAMPLE, CELL, BLOCK = 20_000, 4096, 2048
+#: Most centroids of one vector length; a sample of any length has this many vectors at least.
+CENTROIDS, LEAST = 4096, 64
+#: Cells up to which tables about cells are broadcast.
+SMALL = 100_000
+#: Nodes of vectors whose vec_id has several: from here on.
+EXTRA = 1 << 62
 
 
 def fit(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
@@ -40,24 +49,33 @@ def fit(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     return c
 
 
+def unit(x: np.ndarray) -> np.ndarray | None:
+    """``x`` scaled to length 1, by its largest part first, so that no square overflows or
+    vanishes; None for a zero vector and one with a part that is not finite."""
+    top = np.abs(x).max(initial=0.0)
+    if not np.isfinite(x).all() or not top:
+        return None
+    x = x / top
+    return x / np.linalg.norm(x)
+
+
 def _clean(batches):
-    """Unit vectors (double) of usable rows, and a digest by which equal vectors meet."""
+    """Unit vectors (double) of usable rows, and a digest by which equal vectors meet; null
+    for the others."""
     import hashlib
 
     for b in batches:
-        ids, units, keys, dims = [], [], [], []
+        units, keys = [], []
         for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
             raw = v.values if v.is_valid else None
-            if i is None or raw is None or not len(raw) or raw.null_count:
-                continue
-            x = raw.to_numpy(zero_copy_only=False).astype(np.float64)
-            n = np.linalg.norm(x)
-            if np.isfinite(x).all() and n > 0 and np.isfinite(n):
-                ids.append(i)
-                units.append((x / n).tolist())
-                keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).hexdigest())
-                dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.string()), pa.array(dims, type=pa.int32()), pa.array(units, type=pa.list_(pa.float64()))], names=["vec_id", "key", "dim", "x"])
+            x = None
+            if i is not None and raw is not None and len(raw) and not raw.null_count:
+                x = unit(raw.to_numpy(zero_copy_only=False).astype(np.float64))
+            units.append(None if x is None else x.tolist())
+            # Zeros of either sign are one.
+            keys.append(None if x is None else hashlib.blake2b((raw.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).tobytes(), digest_size=16).hexdigest())
+        dims = [None if x is None else len(x) for x in units]
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, type=pa.string()), pa.array(dims, type=pa.int32()), pa.array(units, type=pa.list_(pa.float64()))], names=["vec_id", "key", "dim", "x"])
 
 
 def _cells(shared, bar: float):
@@ -123,43 +141,87 @@ def _compare(bar: float):
     return run
 
 
+def centroids(reps: DataFrame, sample: int, cell: int) -> dict[int, np.ndarray]:
+    """Centroids for each vector length, from a sample that all lengths share by their
+    numbers of vectors; one job draws it, by a hash of the vectors."""
+    counts = {r["dim"]: r["c"] for r in reps.groupBy("dim").agg(F.count("*").alias("c")).collect()}
+    total, scale = sum(counts.values()), 1 << 40
+    want = {d: min(c, max(LEAST, sample * c // total)) for d, c in counts.items()}
+    limit = F.lit(0).cast("long")
+    for d, c in counts.items():
+        limit = F.when(F.col("dim") == d, F.lit(min(scale, want[d] * scale // c))).otherwise(limit)
+    drawn = reps.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(scale)) < limit).select("dim", "key", "x").toArrow().sort_by("key")
+    out = {}
+    dims = drawn.column("dim").to_numpy()
+    for d, c in counts.items():
+        own = drawn.filter(pa.array(dims == d)).column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        if not len(own):
+            own = np.eye(1, d)
+        out[d] = fit(own, max(1, min(CENTROIDS, round(c / cell))))
+    return out
+
+
+def _nodes(clean: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, dim, vec_id, n, x, node) of every distinct vector, and edges (a, b) between the
+    nodes of vec_ids that have several vectors, None if there are none."""
+    reps = clean.groupBy("key", "dim").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min_by("x", "vec_id").alias("x"))
+    several = cut(clean.groupBy("vec_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(F.col("vec_id").alias("_multi")))
+    if several.isEmpty():
+        return cut(reps.withColumn("node", F.col("vec_id"))), None
+    own = F.lit(EXTRA) + F.pmod(F.xxhash64("key"), F.lit(EXTRA - 1))
+    reps = cut(reps.join(several, F.col("vec_id") == F.col("_multi"), "left").withColumn("node", F.when(F.col("_multi").isNull(), F.col("vec_id")).otherwise(own)).drop("_multi"))
+    held = clean.select("vec_id", "key", "dim").join(several, F.col("vec_id") == F.col("_multi"), "left_semi").distinct().join(reps.select("key", "dim", "node"), ["key", "dim"])
+    low = held.groupBy("vec_id").agg(F.min("node").alias("low"), F.count("*").alias("n"))
+    same = salted_join(held, low.select("vec_id", "low"), ["vec_id"], low.select("vec_id", "n"), ["node"])
+    return reps, cut(same.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+
+
 def near_vectors(vectors: DataFrame, bar: float = BAR, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Null, empty and zero vectors and vectors with null or non-finite parts link with
     nothing. Vectors of unequal lengths link with nothing of another length. Rows that
-    repeat a vec_id are one vector of that id each: they link with each other as copies,
-    and every row shows the id's links. A null vec_id links with nothing and is kept. An
-    empty table gives an empty result; further columns are ignored."""
+    repeat a vec_id are vectors of their own: copies link with each other, each row shows
+    its own vector's links, and all are in one component. A cosine that equals the bar is a
+    link. A null vec_id links with nothing and is kept. An empty table gives an empty
+    result; further columns are ignored."""
     spark = vectors.sparkSession
     tune(spark, 4096)
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    clean = cut(named.mapInArrow(_clean, "vec_id long, key string, dim int, x array<double>"))
-    reps = cut(clean.groupBy("key", "dim").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min_by("x", "vec_id").alias("x")))
-    counts = {r["dim"]: r["c"] for r in reps.groupBy("dim").agg(F.count("*").alias("c")).collect()}
-    some = {}
-    for d, c in counts.items():
-        part = reps.where(F.col("dim") == d).orderBy(F.xxhash64("key")).limit(sample).select("x").toArrow().column("x").combine_chunks()
-        some[d] = fit(part.flatten().to_numpy().reshape(-1, d), max(1, min(4096, round(c / cell))))
-    shared = spark.sparkContext.broadcast(some)
-    held = cut(reps.select("vec_id", "n", "dim", "x").mapInArrow(_cells(shared, bar), "vec_id long, n long, dim int, x array<double>, cell int, home boolean"))
-    sizes = held.where("home").groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("nb"))
-    placed = held.join(sizes, ["dim", "cell"]).withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")))
-    # A home block meets itself and the later home blocks; a guest meets every home block.
-    pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    home = pairs.where("home").select("dim", "cell", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), "vec_id", "n", "x")
-    # Guests are cut into blocks too; those blocks are numbered from -1 downwards.
-    guests = placed.where("not home").groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("ng"))
-    gb = placed.where("not home").join(guests, ["dim", "cell"]).withColumn("g", -1 - F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("ng")))
-    guest = gb.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("dim", "cell", F.col("g").alias("bi"), F.col("o").alias("bj"), F.lit(0).alias("side"), "vec_id", "n", "x")
-    host = placed.where("home").join(guests, ["dim", "cell"]).withColumn("g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ng")))).select("dim", "cell", (-F.col("g")).alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), "vec_id", "n", "x")
-    found = cut(home.unionByName(guest).unionByName(host).groupBy("dim", "cell", "bi", "bj").applyInPandas(_compare(bar), "vec_id long, n_links long, other long"))
-    label = cut(components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))))
+    rows = cut(named.mapInArrow(_clean, "vec_id long, key string, dim int, x array<double>"))
+    clean = rows.where("key is not null")
+    reps, same = _nodes(clean)
+    shared = spark.sparkContext.broadcast(centroids(reps, sample, cell))
+    held = cut(reps.select(F.col("node").alias("vec_id"), "n", "dim", "x").mapInArrow(_cells(shared, bar), "vec_id long, n long, dim int, x array<double>, cell int, home boolean"))
+    # Blocks of each cell; at most CENTROIDS rows for each vector length.
+    many = held.groupBy("dim", "cell").agg(F.count_if("home").alias("nh"), F.count_if(~F.col("home")).alias("ng")).where("nh > 0")
+    many = cut(many.select("dim", "cell", F.ceil(F.col("nh") / block).alias("nb"), F.ceil(F.col("ng") / block).alias("ng"), (F.col("nh") + F.col("ng")).alias("n")))
+    if many.count() <= SMALL:
+        placed = held.join(F.broadcast(many.drop("n")), ["dim", "cell"])
+    else:
+        placed = salted_join(held, many.drop("n"), ["dim", "cell"], many.select("dim", "cell", "n"), ["vec_id"])
+    # A home block meets itself and the other home blocks; a guest block, numbered from -1
+    # downwards, meets every home block.
+    blk = F.when(F.col("home"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb"))).otherwise(-1 - F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("ng")))
+    others = F.when(F.col("home"), F.sequence(-F.col("ng"), F.col("nb") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    pairs = placed.withColumn("blk", blk).withColumn("o", F.explode(others))
+    side = F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1)
+    met = pairs.select("dim", "cell", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), side.alias("side"), "vec_id", "n", "x")
+    found = cut(met.groupBy("dim", "cell", "bi", "bj").applyInPandas(_compare(bar), "vec_id long, n_links long, other long"))
+    edges = found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
+    label = cut(components(edges if same is None else edges.unionByName(same)))
     links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    of = reps.select("key", "dim", F.col("vec_id").alias("rep"), "n").join(links, F.col("rep") == F.col("vec_id"), "left").select("key", "dim", "rep", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    of = of.join(label, F.col("rep") == F.col("node"), "left").select("key", "dim", "n_links", F.coalesce("root", "rep").alias("component_id"))
-    each = clean.select("vec_id", "key", "dim").join(of, ["key", "dim"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    drop(held)
-    out = named.select("vec_id").join(each.withColumnRenamed("vec_id", "_v"), F.col("vec_id") == F.col("_v"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = reps.select("key", "dim", F.col("vec_id").alias("least"), "node", "n").join(links, F.col("node") == links.vec_id, "left").select("key", "dim", "least", "node", "n", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    of = of.join(label.toDF("_node", "root"), F.col("node") == F.col("_node"), "left").select("key", "dim", "least", "n", "n_links", F.coalesce("root", "node").alias("root"))
+    if same is not None:
+        # Components of extra nodes are named by the smallest vec_id in them.
+        of = cut(of)
+        named_by = of.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("n"))
+        of = salted_join(of, named_by.select("root", "low"), ["root"], named_by.select("root", "n"), ["key"]).withColumn("root", F.col("low"))
+    of = cut(of.select("key", "dim", "n", "n_links", "root"))
+    got = salted_join(clean.select("vec_id", "key", "dim"), of.drop("n"), ["key", "dim"], of.select("key", "dim", "n"), ["vec_id"])
+    for used in (held, many):
+        drop(used)
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = got.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.least("root", "vec_id").alias("component_id")).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

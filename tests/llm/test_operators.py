@@ -168,6 +168,22 @@ def test_toxicity_edges(spark, odd):
 # 4 ---------------------------------------------------------------------------
 
 
+def brute_vectors(rows, bar=0.9):
+    """(vec_id, n_links, component_id) of rows, by all pairs in exact fractions of length."""
+    ok = [i for i, (k, v) in enumerate(rows) if k is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    u = {i: np.array(rows[i][1]) / np.abs(rows[i][1]).max() for i in ok}
+    u = {i: x / np.sqrt((x * x).sum()) for i, x in u.items()}
+    link = [[i in u and j in u and i != j and len(u[i]) == len(u[j]) and float(u[i] @ u[j]) >= bar for j in range(len(rows))] for i in range(len(rows))]
+    label = list(range(len(rows)))
+    join = [[link[i][j] or (rows[i][0] is not None and rows[i][0] == rows[j][0] and i in u and j in u) or i == j for j in range(len(rows))] for i in range(len(rows))]
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if join[i][j]) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    return sorted((rows[i][0], sum(link[i]), min(rows[j][0] for j in range(len(rows)) if label[i] == label[j])) for i in range(len(rows)) if rows[i][0] is not None)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
@@ -175,18 +191,29 @@ def test_vectors_against_brute_force(spark):
         x[i] = x[i - 1] + rng.normal(size=8) * rng.choice([0.05, 0.3])
     x[7] = x[11] * 3
     rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0, None] + [0.0] * 6), (904, []), (None, [1.0] * 8), (905, [1.0, 0.0])]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=40, block=16).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    link = u @ u.T >= 0.9
-    np.fill_diagonal(link, False)
-    comp = list(range(300))
-    for _ in range(300):
-        comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(link[i]))]) for i in range(300)]
-    assert {i + 1: (int(link[i].sum()), comp[i] + 1, comp[i] == i) for i in range(300)} == {k: v for k, v in got.items() if k and k < 900}
-    assert all(got[k] == (0, k, True) for k in range(900, 906)) and got[None][0] == 0
+    frame = lambda rows: spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, n_links int, key string")
+    got = vectors.near_vectors(frame(rows), cell=40, block=16).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == brute_vectors(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_extreme_lengths_ties_and_repeated_ids(spark, monkeypatch):
+    from slicetopo.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = np.random.default_rng(14)
+    tie = [0.9, float(np.sqrt(1 - 0.81))]
+    rows = [(1, [1e200, 1.0]), (2, [1e200, 2.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [5e-324, 0.0]), (6, tie)]
+    rows += [(20, [0.0, 0.0, 1.0]), (20, [0.0, 1.0, 0.0]), (21, [0.0, 1.0, 0.05]), (19, [0.0, 0.05, 1.0]), (22, [0.0, 1.0, 0.0]), (22, [0.0, 1.0, 0.0])]
+    rows += [(30 + i, [3.0, 4.0, -1.0]) for i in range(20)] + [(60 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=8, block=4).collect()
+    want = brute_vectors(rows)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert dict((k, c) for k, _, c in want)[21] == 19
+
+
 # 5 ---------------------------------------------------------------------------
 
 
