@@ -1,23 +1,26 @@
 """Operator 1, SentencePiece encoding and decoding with seeded merge-dropout.
 
-A model's pieces are merged by their scores, the best candidate first. A candidate,
-that is two neighbouring symbols whose concatenation is a piece, is skipped when a
-keyed hash of (seed, variant, segment, place, piece) is below the dropout rate; the
-variant of each segment is a keyed hash of the seed, the document and the segment's
-place. So the same word gets various segmentations, reruns agree, and every
-segmentation is made of merges alone. Characters without a piece become byte pieces.
-Decoding gives the text back exactly, whatever the segmentation: a space and the
-literal character U+2581 stay apart, the latter is written in bytes.
+A model's pieces are merged by their scores, the best candidate first; of equal ones the
+leftmost. A candidate, that is two neighbouring symbols whose concatenation is a piece, is
+skipped when a keyed hash of (seed, document, place of the segment, place of the candidate,
+piece) is below the dropout rate. So every occurrence of a word draws its own segmentation,
+reruns agree, and every segmentation is made of merges alone. Characters without a piece
+become byte pieces. Decoding gives the text back exactly, whatever the segmentation: a
+space and the literal character U+2581 stay apart, the latter is written in bytes.
 
 A text's segments end where no piece can go across: before a space that follows
-another character, and around line ends. Short segments are merged side by side in
-numpy arrays, long ones with a heap.
+another character, and around line ends; a model with pieces that do is refused. A
+segment's result depends on nothing but which of its possible candidates are skipped. So
+results are kept by (segment, skipped candidates), and an occurrence whose skips were seen
+before costs a look-up. Short segments are merged side by side in numpy arrays, long ones,
+and those with more candidates than a key holds, with a heap and without a memory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import mix, ragged, tune
 
-DROPOUT, VARIANTS, SEED = 0.1, 8, 1
+DROPOUT, SEED = 0.1, 1
 SEGMENT = re.compile(r" *[^ \n]+| +|\n")
-#: Longest segment that is merged in arrays.
-SHORT = 32
+#: Longest segment that is merged in arrays; most candidates of a segment that is kept.
+SHORT, CANDIDATES = 32, 40
+#: Segments and results that a task keeps.
+MOST_SEGMENTS, MOST_RESULTS = 400_000, 1_200_000
 NONE = np.int32(2**31 - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,6 +73,9 @@ class Pieces:
         for p, i in ids.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
+        crossing = [p for p in ids if SEGMENT.fullmatch(p) is None and not p.isspace()] + [p for p in ids if "\n" in p and p != "\n"]
+        if crossing:
+            raise ValueError(f"pieces go across segments: {crossing[:5]}")
         pairs = sorted((ids[p[:k]] << 20 | ids[p[k:]], rank[i], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.keys = np.array([k for k, _, _ in pairs], dtype=np.int64)
         self.rank = np.array([r for _, r, _ in pairs], dtype=np.int32)
@@ -75,11 +83,65 @@ class Pieces:
         for i, r in rank.items():
             self.made[r] = i
         self.merge = {k: r for k, r, _ in pairs}
+        # What a merge can make, by its text; by a hash of its characters for whole arrays.
+        made = {r for _, r, _ in pairs}
+        self.makes = {p: rank[i] for p, i in ids.items() if rank[i] in made}
+        self.longest = max(map(len, self.makes), default=1)
+        table = sorted((rolled([ord(c) for c in p]), r) for p, r in self.makes.items())
+        self.hashes = np.array([h for h, _ in table], dtype=np.uint64)
+        self.hash_rank = np.array([r for _, r in table], dtype=np.int64)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[_short(self.hashes)] = True
+
+    def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All that merges can make in words, as place << 20 | rank, one word after the other,
+        and their number for each word. A chance equality of hashes adds one that no merge
+        makes, which changes no result."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(size, kind="stable")
+        row, cand = [], []
+        for part in np.array_split(order, max(1, len(order) // 20_000)):
+            if not len(part):
+                continue
+            width = max(1, int(size[part].max()))
+            cp = np.array([words[i] for i in part], dtype=f"U{width}").view(np.uint32).reshape(len(part), width).astype(np.uint64)
+            h = cp
+            for n in range(2, min(width, self.longest) + 1):
+                h = h[:, :-1] * BASE + cp[:, n - 1 :]
+                r, a = np.nonzero(self.maybe[_short(h)])
+                fits = a + n <= size[part][r]
+                r, a = r[fits], a[fits]
+                x = h[r, a]
+                at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+                real = self.hashes[at] == x
+                row.append(part[r[real]])
+                cand.append(a[real] << 20 | self.hash_rank[at[real]])
+        row, cand = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (row, cand))
+        return cand[np.lexsort((cand, row))].astype(np.uint64), np.bincount(row, minlength=len(words))
+
+
+BASE = np.uint64(0x100000001B3)
+
+
+def rolled(codes: list[int]) -> int:
+    """The hash of characters that :meth:`Pieces.candidates` rolls over words."""
+    h = 0
+    for c in codes:
+        h = (h * int(BASE) + c) % (1 << 64)
+    return h
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h * GOLD >> np.uint64(42)).astype(np.int64)
 
 
 def _skip(salt, place, rank, limit: int):
-    """Whether candidates are skipped. salt: of variant and segment."""
-    return mix(salt + GOLD * (place.astype(np.uint64) << np.uint64(20) | rank.astype(np.uint64))) < np.uint64(limit)
+    """Whether candidates are skipped. salt: of a segment's occurrence."""
+    return _skipped(salt, place.astype(np.uint64) << np.uint64(20) | rank.astype(np.uint64), limit)
+
+
+def _skipped(salt, candidate, limit: int):
+    return mix(salt + GOLD * candidate) < np.uint64(limit)
 
 
 def _look(m: Pieces, left, right, salt, place, limit: int):
@@ -175,69 +237,128 @@ class Numbers(dict):
 
 
 class Memo:
-    """Segmentations that a task has made, by (segment, variant). It is emptied when it
-    holds ``most`` segments, so its memory is bounded."""
+    """What a task has merged: segments with their candidates, and results by segment and
+    skipped candidates. Both are emptied when they are full, so memory is bounded."""
 
-    def __init__(self, variants: int, most: int = 600_000):
-        self.variants, self.most = variants, most
+    def __init__(self, m: Pieces):
+        self.m = m
         self.clear()
 
     def clear(self) -> None:
         self.ids = Numbers()
-        self.start = np.full(0, -1, dtype=np.int64)
-        self.lens = np.zeros(0, dtype=np.int32)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.cands = np.zeros(0, dtype=np.uint64)
+        self.empty_results()
+
+    def empty_results(self) -> None:
+        self.slots = Numbers()
+        self.start = np.zeros(0, dtype=np.int64)
+        self.lens = np.zeros(0, dtype=np.int64)
         self.store = np.zeros(1 << 16, dtype=np.int32)
         self.used = 0
 
-    def rows(self, segs: list[str]) -> np.ndarray:
-        """Numbers of segments; new ones are added."""
-        if len(self.ids) > self.most:
+    def rows(self, segs: list[str], limit: int) -> np.ndarray:
+        """Numbers of segments; new ones are added with their candidates. A segment that is
+        not kept, being long or holding a zero character, has -1 candidates."""
+        if len(self.ids) > MOST_SEGMENTS:
             self.clear()
+        elif len(self.slots) > MOST_RESULTS:
+            self.empty_results()
+        old = len(self.ids)
         out = np.fromiter(map(self.ids.__getitem__, segs), dtype=np.int64, count=len(segs))
-        more = len(self.ids) * self.variants - len(self.start)
-        if more > 0:
-            more = max(more, len(self.start) // 2)
-            self.start = np.concatenate([self.start, np.full(more, -1, dtype=np.int64)])
-            self.lens = np.concatenate([self.lens, np.zeros(more, dtype=np.int32)])
+        if len(self.ids) > old:
+            new = list(itertools.islice(self.ids, old, None))
+            flat, n = np.zeros(0, dtype=np.uint64), np.zeros(len(new), dtype=np.int64)
+            loose = np.array([len(w) > SHORT or "\0" in w for w in new])
+            if limit:
+                flat, n = self.m.candidates(["" if x else w for w, x in zip(new, loose.tolist(), strict=True)])
+                loose |= n > CANDIDATES
+                flat, n = flat[np.repeat(~loose, n)], np.where(loose, -1, n)
+            n[loose] = -1
+            held = np.maximum(n, 0)
+            self.begin = np.concatenate([self.begin, len(self.cands) + np.cumsum(held) - held])
+            self.count = np.concatenate([self.count, n])
+            self.cands = np.concatenate([self.cands, flat])
         return out
 
-    def add(self, m: Pieces, combos: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
-        bare = np.flatnonzero(flat < 0)
-        if len(bare):  # characters without a piece, in bytes
-            parts = [m.byte[list(chr(-1 - x).encode("utf-8", "surrogatepass"))] for x in flat[bare].tolist()]
-            reps = np.ones(len(flat), dtype=np.int64)
-            reps[bare] = [len(x) for x in parts]
-            owner = np.repeat(np.repeat(np.arange(len(lens)), lens), reps)
-            wide = np.repeat(flat, reps)
-            wide[wide < 0] = np.concatenate(parts)
-            flat, lens = wide, np.bincount(owner, minlength=len(lens))
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Keep results; their places in the store."""
         need = self.used + len(flat)
         if need > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(max(need - len(self.store), len(self.store) // 2), dtype=np.int32)])
         self.store[self.used : need] = flat
-        self.start[combos] = self.used + np.cumsum(lens) - lens
-        self.lens[combos] = lens
+        start = self.used + np.cumsum(lens) - lens
         self.used = need
+        return start
+
+
+def _in_bytes(m: Pieces, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters without a piece as the pieces of their bytes."""
+    bare = np.flatnonzero(flat < 0)
+    if not len(bare):
+        return flat, lens
+    parts = [m.byte[list(chr(-1 - x).encode("utf-8", "surrogatepass"))] for x in flat[bare].tolist()]
+    reps = np.ones(len(flat), dtype=np.int64)
+    reps[bare] = [len(x) for x in parts]
+    owner = np.repeat(np.repeat(np.arange(len(lens)), lens), reps)
+    wide = np.repeat(flat, reps)
+    wide[wide < 0] = np.concatenate(parts)
+    return wide, np.bincount(owner, minlength=len(lens))
 
 
-def _fill(m: Pieces, memo: Memo, words: list[str], combos: np.ndarray, limit: int, seed: int) -> None:
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    salt = mix(hashes + GOLD * ((combos % memo.variants).astype(np.uint64) + np.uint64(1000 + seed)))
+def _merged(m: Pieces, words: list[str], salt: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one after the other, and their numbers; each with its own salt."""
     size = np.fromiter((len(w) if "\0" not in w else SHORT + 1 for w in words), dtype=np.int64, count=len(words))
+    at_all, flats, counts = [], [], []
     for lo, hi in ((0, 5), (5, 8), (8, 12), (12, 18), (18, SHORT)):
         at = np.flatnonzero((size > lo) & (size <= hi))
         for part in np.array_split(at, max(1, len(at) // 10000)):
             if len(part):
-                memo.add(m, combos[part], *_merge_short(m, [words[i] for i in part], salt[part], limit))
+                flat, n = _in_bytes(m, *_merge_short(m, [words[i] for i in part], salt[part], limit))
+                at_all.append(part)
+                flats.append(flat)
+                counts.append(n)
     for i in np.flatnonzero(size > SHORT).tolist():
         own = np.array(_merge_long(m, words[i], salt[i], limit), dtype=np.int32)
-        memo.add(m, combos[i : i + 1], own, np.array([len(own)]))
-
-
-def encode(m: Pieces, texts: list, keys: np.ndarray, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, memo: Memo | None = None) -> list[np.ndarray]:
+        flat, n = _in_bytes(m, own, np.array([len(own)]))
+        at_all.append(np.array([i]))
+        flats.append(flat)
+        counts.append(n)
+    if not at_all:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    at, flat, n = np.concatenate(at_all), np.concatenate(flats), np.concatenate(counts)
+    begin = np.cumsum(n) - n
+    order = np.argsort(at, kind="stable")
+    return flat[ragged(begin[order], n[order])], n[order]
+
+
+def encode(m: Pieces, texts: list, keys: np.ndarray, dropout: float = DROPOUT, seed: int = SEED, memo: Memo | None = None) -> list[np.ndarray]:
     """Ids of each text; ``keys`` vary the segmentation between texts."""
     limit = min(int(dropout * 2**64), 2**64 - 1)
-    memo = memo or Memo(variants)
+    memo = memo or Memo(m)
+    out: list[np.ndarray] = []
+    for lo, hi in parts_of(texts):
+        out += _encode(m, texts[lo:hi], keys[lo:hi], limit, seed, memo)
+    return out
+
+
+#: Characters that are encoded at once; a longer text is encoded alone.
+AT_ONCE = 2_000_000
+
+
+def parts_of(texts: list) -> list[tuple[int, int]]:
+    """Ranges of texts of about AT_ONCE characters."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > AT_ONCE:
+            out.append((lo, i + 1))
+            lo, size = i + 1, 0
+    return out + [(lo, len(texts))] if lo < len(texts) else out
+
+
+def _encode(m: Pieces, texts: list, keys: np.ndarray, limit: int, seed: int, memo: Memo) -> list[np.ndarray]:
     segs: list[str] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
@@ -247,16 +368,38 @@ def encode(m: Pieces, texts: list, keys: np.ndarray, dropout: float = DROPOUT, v
             segs += own
     if not segs:
         return [np.zeros(0, dtype=np.int32) for _ in texts]
-    rows = memo.rows(segs)
+    rows = memo.rows(segs, limit)
     place = ragged(np.zeros(len(counts), dtype=np.int64), counts)
-    spread = mix(np.repeat(keys.astype(np.uint64), counts) + GOLD * (place.astype(np.uint64) + np.uint64(seed))) % np.uint64(variants if limit else 1)
-    combo = rows * variants + spread.astype(np.int64)
-    absent = np.flatnonzero(memo.start[combo] < 0)
-    if len(absent):
-        todo, first = np.unique(combo[absent], return_index=True)
-        _fill(m, memo, [segs[i] for i in absent[first].tolist()], todo, limit, seed)
-    lens = memo.lens[combo].astype(np.int64)
-    flat = memo.store[ragged(memo.start[combo], lens)]
+    salt = mix(np.repeat(keys.astype(np.uint64), counts) + GOLD * (place.astype(np.uint64) + np.uint64(1000 + seed)))
+    n = memo.count[rows]
+    kept = np.flatnonzero(n >= 0)
+    # Which candidates of each occurrence are skipped, as bits of a number.
+    bits = np.zeros(len(segs), dtype=np.int64)
+    if limit:  # sums of distinct powers under 2^53 are exact
+        own = n[kept]
+        cand = memo.cands[ragged(memo.begin[rows[kept]], own)]
+        hit = np.flatnonzero(_skipped(np.repeat(salt[kept], own), cand, limit))
+        owner = np.repeat(kept, own)[hit]
+        bit = ragged(np.zeros(len(own), dtype=np.int64), own)[hit]
+        bits = np.bincount(owner, weights=2.0**bit, minlength=len(segs)).astype(np.int64)
+    key = rows[kept] << CANDIDATES | bits[kept]
+    uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
+    old = len(memo.slots)
+    slot = np.fromiter(map(memo.slots.__getitem__, uniq.tolist()), dtype=np.int64, count=len(uniq))
+    new = np.flatnonzero(slot >= old)
+    if len(new):
+        at = kept[first[new[np.argsort(slot[new], kind="stable")]]]
+        flat, size = _merged(m, [segs[i] for i in at.tolist()], salt[at], limit)
+        memo.start = np.concatenate([memo.start, memo.add(flat, size)])
+        memo.lens = np.concatenate([memo.lens, size])
+    start, lens = np.zeros(len(segs), dtype=np.int64), np.zeros(len(segs), dtype=np.int64)
+    start[kept], lens[kept] = memo.start[slot][back], memo.lens[slot][back]
+    # Those that are not kept go behind the store.
+    loose = np.flatnonzero(n < 0)
+    more, size = _merged(m, [segs[i] for i in loose.tolist()], salt[loose], limit)
+    start[loose], lens[loose] = memo.used + np.cumsum(size) - size, size
+    source = np.concatenate([memo.store[: memo.used], more]) if len(more) else memo.store
+    flat = source[ragged(start, lens)]
     upto = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
     return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
@@ -267,13 +410,14 @@ def decode(m: Pieces, ids) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _run(shared, dropout: float, variants: int, seed: int):
+def _run(shared, dropout: float, seed: int):
     def run(batches):
-        m, memo = shared.value, Memo(variants)
+        m = shared.value
+        memo = Memo(m)
         for b in batches:
             texts = b.column("text").to_pylist()
             keys = np.fromiter((xxhash.xxh3_64_intdigest(repr(x)) for x in b.column("doc_id").to_pylist()), dtype=np.uint64, count=len(texts))
-            ids = encode(m, texts, keys, dropout, variants, seed, memo)
+            ids = encode(m, texts, keys, dropout, seed, memo)
             n = np.array([len(x) for x in ids], dtype=np.int64)
             first, last = int(m.byte.min()), int(m.byte.max())
             in_bytes = np.array([int(((x >= first) & (x <= last)).sum()) for x in ids], dtype=np.int64)
@@ -286,9 +430,10 @@ def _run(shared, dropout: float, variants: int, seed: int):
     return run
 
 
-def encode_docs(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encode_docs(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, n_byte_tokens, ids_sha256, lossless, ids): every whole text in
-    pieces. Null and empty texts have no ids. ``lossless``: decoding gave the text back.
+    pieces. Null and empty texts have no ids, and decode to an empty text. ``lossless``:
+    decoding gave the text back (for a null text: an empty one).
     Rows that repeat a doc_id and text get the same ids; an empty table gives an empty
     result; further columns are ignored. The model is read on the driver and broadcast;
     its size doesn't depend on the documents."""
@@ -297,7 +442,7 @@ def encode_docs(docs: DataFrame, model: str | None = None, dropout: float = DROP
     shared = spark.sparkContext.broadcast(Pieces(model or default_model()))
     own = docs.select("doc_id", "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_run(shared, dropout, variants, seed), f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, lossless boolean, ids array<int>")
+    return own.mapInArrow(_run(shared, dropout, seed), f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, lossless boolean, ids array<int>")
 
 
 def _back(shared):
@@ -311,7 +456,8 @@ def _back(shared):
 
 
 def decode_docs(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, ids); null ids give a null text, no ids an empty one.
+    Further columns are ignored; repeated rows stay."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(Pieces(model or default_model()))
     kind = encoded.schema["doc_id"].dataType.simpleString()

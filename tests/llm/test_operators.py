@@ -87,6 +87,54 @@ def test_short_and_long_segments_merge_alike(spark):
             assert flat.tolist() == pieces._merge_long(model, w, np.uint64(salt), 2**62)
 
 
+def naive_merge(model, word, salt, limit):
+    """The best candidate that is not skipped, again and again; of equal ones the leftmost."""
+    symbols = [(i, i + 1) for i in range(len(word))]
+    while True:
+        found = []
+        for x, y in zip(symbols, symbols[1:], strict=False):
+            r = model.makes.get(word[x[0] : y[1]])
+            parts = word[x[0] : x[1]], word[y[0] : y[1]]
+            if r is not None and all(len(p) == 1 and model.char[ord(p)] >= 0 or p in model.makes for p in parts):
+                if not limit or not pieces._skip(np.array([salt]), np.array([x[0]]), np.array([r]), limit)[0]:
+                    found.append((r, x[0]))
+        if not found:
+            return [word[a:b] for a, b in symbols]
+        _, a = min(found)
+        i = [x[0] for x in symbols].index(a)
+        symbols[i : i + 2] = [(a, symbols[i + 1][1])]
+
+
+def test_dropout_against_naive_merging():
+    """Every occurrence draws its own skips, whatever the memory already holds."""
+    model = pieces.Pieces(pieces.default_model())
+    rng = random.Random(5)
+    words = ["international", "unbelievably", "aaaa", "the", "information", "x" * 50, "ab" * 30, "übergröße", "a\0b", "naïveté"]
+    text = " ".join(rng.choice(words) for _ in range(600))
+    limit = int(0.3 * 2**64)
+    for memory in (pieces.Memo(model), None):
+        for key in (3, 4):
+            flat = pieces.encode(model, [text], np.array([key], dtype=np.uint64), 0.3, memo=memory)[0].tolist()
+            want = []
+            for j, seg in enumerate(pieces.SEGMENT.findall(" " + text)):
+                salt = pieces.mix(np.array([key], dtype=np.uint64) + pieces.GOLD * np.uint64(j + 1000 + pieces.SEED))[0]
+                for p in naive_merge(model, seg, salt, limit):
+                    want.append(p.encode())
+            got = [model.raw[i] for i in flat]
+            assert b"".join(got) == b"".join(want)
+            ends = lambda ps: {sum(map(len, ps[: i + 1])) for i in range(len(ps))}
+            assert ends(want) <= ends(got) and all(len(p) == 1 for p in got if p not in want)
+    many = pieces.encode(model, ["international " * 2000], np.array([1], dtype=np.uint64), 0.3)[0]
+    forms = {tuple(x) for x in np.split(many, np.flatnonzero([model.raw[i].startswith(b" ") for i in many]))}
+    assert len(forms) > 40
+
+
+def test_a_model_with_pieces_across_segments_is_refused(monkeypatch):
+    monkeypatch.setattr(pieces, "SEGMENT", re.compile(r" *[^ \nt]+|t+| +|\n"))
+    with pytest.raises(ValueError):
+        pieces.Pieces(pieces.default_model())
+
+
 def test_pieces_edge_rows(spark, odd):
     out = pieces.encode_docs(odd).collect()
     assert len(out) == 8 and all(r.lossless for r in out)
