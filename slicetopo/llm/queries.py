@@ -17,7 +17,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.fold_of(F.col("doc_id"), 4) == 2
-    model = language.train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held, F.lit(False))))
+    model = language.train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held))
     return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "mixture")
 
 

@@ -1,13 +1,21 @@
-"""Operator 3, toxicity: a linear-chain conditional random field tags toxic tokens;
+"""Operator 3, toxicity: a linear-chain conditional random field tags toxic words;
 forward-backward marginals give document scores and the offending offsets.
 
+A token is a run of letters; a chain ends with a sentence or after ``CHAIN`` tokens. The
+field has weights of hashed features of the word (itself, its prefixes, its length class),
+a bias, and transition weights between the labels of neighbours. All are trained together
+by gradient steps on the chains' likelihood: forward-backward gives the expected labels and
+the expected pairs of labels, and the gradient is what was expected less what was given.
+Training and scoring use the same tokens, chains and features.
+
 Labels are given for documents, not for tokens. Token labels are derived from them:
 stems (word prefixes of four to seven letters, and whole words) that occur in toxic
 documents far oftener than chance allows, and not in clean ones, mark the tokens of
-toxic documents that carry them; every token of a clean document is clean. The field
-is then trained on these tokens: per label weights of hashed features of the word
-(itself, its prefixes, its length class) and transition weights, by gradient steps on
-the chain's likelihood. Chains end with a sentence or after ``CHAIN`` tokens.
+toxic documents that carry them; every token of a clean document is clean.
+
+A document's score is the chance that one of its ``TOP`` likeliest tokens is toxic, taken
+as independent: 1 - product of (1 - marginal). Marginals of all tokens are computed; taking
+the likeliest keeps the score from growing with a clean text's length.
 """
 
 from __future__ import annotations
@@ -23,34 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ragged, tune
+from .common import mix, tune
 from .minhash import forget_words, shingle_sets
 
 #: Training uses at most this many toxic and this many clean labelled documents, chosen
 #: by hash, with at most so many characters in each class.
 SAMPLE = {1: 1500, 0: 3500}
-SAMPLE_CHARS = 10_000_000
+SAMPLE_CHARS = 6_000_000
 WIDTH = 1 << 18
 CHAIN = 64
 BAR = 0.7
-#: A token counts towards a score from this marginal on.
-FLOOR = 0.05
-RUN = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"\S+")
-
-
-def runs(token: str) -> list[str]:
-    """The words in a token, a run without white space: its runs of letters."""
-    return RUN.findall(token.lower())
-
-
-def core(token: str) -> str:
-    """A token's longest word."""
-    return max(runs(token), key=len, default="")
-
-
-def ends(token: str) -> bool:
-    return token[-1] in ".!?"
+TOP = 4
+#: Tokens that are scored at once; a longer text is scored alone.
+AT_ONCE = 250_000
+KEEP_WORDS = 400_000
+#: A word, or the end of a sentence.
+TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s|$)")
+END = ".!?"
 
 
 def stems(word: str) -> list[str]:
@@ -63,7 +60,7 @@ def features(word: str) -> list[int]:
 
 
 def stems_of(text: str) -> set:
-    return {x for w in {w for t in set(text.split()) for w in runs(t)} for x in stems(w)}
+    return {x for w in {t.lower() for t in set(TOKEN.findall(text)) if t not in END} for x in stems(w)}
 
 
 def cues(docs: list[tuple[str, int]]) -> set:
@@ -111,58 +108,76 @@ def cues(docs: list[tuple[str, int]]) -> set:
     return out
 
 
-def split_chains(toks: list[str], bad: set | None) -> list[tuple[list[str], list[int]]]:
-    """Chains of words with their labels. A chain ends after a sentence's last token."""
-    out, words, ys = [], [], []
-    for t in toks:
-        w = core(t)
-        words.append(w)
-        ys.append(int(bad is not None and any(x in bad for x in stems(w))))
-        if ends(t) or len(words) >= CHAIN:
-            out.append((words, ys))
-            words, ys = [], []
-    return [*out, (words, ys)] if words else out
-
-
-def forward_backward(e: np.ndarray, starts: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Marginals of label 1. ``e``: log potentials of label 1 against label 0, all
-    chains one after the other. Chains run side by side, the longest first."""
-    marg = np.zeros(len(e))
-    if not len(lens):
-        return marg
-    order = np.argsort(-lens, kind="stable")
-    s, n = starts[order], lens[order]
-    longest = int(n[0])
-    alive = np.searchsorted(-n, -np.arange(longest), side="left")  # chains longer than t
-    x = np.exp(np.clip(e, -30, 30))
+def chains(tokens: list[str]) -> tuple[list[str], list[int]]:
+    """Words, and where chains of them start; ends of sentences are none."""
+    words, starts, fresh, since = [], [], True, 0
+    for t in tokens:
+        if t in END:
+            fresh = True
+            continue
+        if fresh or since == CHAIN:
+            starts.append(len(words))
+            fresh, since = False, 0
+        words.append(t)
+        since += 1
+    return words, starts
+
+
+class Layout:
+    """Chains side by side, the longest first: the tokens at place t of all chains that have
+    one are a run of ``order`` from ``at[t]`` to ``at[t + 1]``."""
+
+    def __init__(self, starts: np.ndarray, lens: np.ndarray):
+        by = np.argsort(-lens, kind="stable")
+        n = lens[by]
+        self.longest = int(n[0]) if len(n) else 0
+        alive = np.searchsorted(-n, -np.arange(self.longest), side="left")  # chains longer than t
+        self.at = np.concatenate([[0], np.cumsum(alive)])
+        self.order = np.concatenate([starts[by[:k]] + t for t, k in enumerate(alive)]) if self.longest else np.zeros(0, dtype=np.int64)
+
+    def run(self, t: int) -> slice:
+        return slice(int(self.at[t]), int(self.at[t + 1]))
+
+
+def forward_backward(e: np.ndarray, layout: Layout, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals of label 1, expected numbers of pairs of labels, and the logarithm of all
+    chains' sums. ``e``: log potentials of label 1 against label 0."""
+    x = np.exp(np.clip(e[layout.order], -30, 30))
     m = np.exp(trans)
-    fwd = np.zeros((len(e), 2))
-    a = None
-    for t in range(longest):
-        k = alive[t]
-        at = s[:k] + t
-        if t == 0:
-            f0, f1 = np.ones(k), x[at]
-        else:
-            p0, p1 = a[0][:k], a[1][:k]
-            f0 = p0 * m[0, 0] + p1 * m[1, 0]
-            f1 = (p0 * m[0, 1] + p1 * m[1, 1]) * x[at]
-        z = f0 + f1
-        f0, f1 = f0 / z, f1 / z
-        fwd[at, 0], fwd[at, 1] = f0, f1
-        a = (f0, f1)
-    b0, b1 = np.ones(len(s)), np.ones(len(s))
-    for t in range(longest - 1, -1, -1):
-        k = alive[t]
-        at = s[:k] + t
-        f = fwd[at]
-        p1 = f[:, 1] * b1[:k]
-        marg[at] = p1 / (p1 + f[:, 0] * b0[:k])
-        y1 = b1[:k] * x[at]
-        n0, n1 = m[0, 0] * b0[:k] + m[0, 1] * y1, m[1, 0] * b0[:k] + m[1, 1] * y1
-        z = n0 + n1
-        b0[:k], b1[:k] = n0 / z, n1 / z
-    return marg
+    f0, f1 = np.ones(len(x)), x.copy()
+    total = 0.0
+    for t in range(layout.longest):
+        now = layout.run(t)
+        if t:
+            before = layout.run(t - 1)
+            k = now.stop - now.start
+            p0, p1 = f0[before][:k], f1[before][:k]
+            f0[now] = p0 * m[0, 0] + p1 * m[1, 0]
+            f1[now] = (p0 * m[0, 1] + p1 * m[1, 1]) * x[now]
+        z = f0[now] + f1[now]
+        f0[now] /= z
+        f1[now] /= z
+        total += float(np.log(z).sum())
+    marg = np.zeros(len(x))
+    pairs = np.zeros((2, 2))
+    b0, b1 = np.ones(len(x)), np.ones(len(x))
+    for t in range(layout.longest - 1, -1, -1):
+        now = layout.run(t)
+        if t + 1 < layout.longest:
+            after = layout.run(t + 1)
+            k = after.stop - after.start
+            n0, n1 = b0[after], b1[after] * x[after]
+            u0, u1 = f0[now][:k], f1[now][:k]
+            joint = [[u0 * m[0, 0] * n0, u0 * m[0, 1] * n1], [u1 * m[1, 0] * n0, u1 * m[1, 1] * n1]]
+            z = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+            pairs += [[float((c / z).sum()) for c in row] for row in joint]
+            c0, c1 = m[0, 0] * n0 + m[0, 1] * n1, m[1, 0] * n0 + m[1, 1] * n1
+            b0[now][:k], b1[now][:k] = c0 / (c0 + c1), c1 / (c0 + c1)
+        p0, p1 = f0[now] * b0[now], f1[now] * b1[now]
+        marg[now] = p1 / (p0 + p1)
+    out = np.zeros(len(e))
+    out[layout.order] = marg
+    return out, pairs, total
 
 
 def one_of_each(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -181,51 +196,66 @@ def one_of_each(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def train(docs: list[tuple[str, int]], epochs: int = 8, rate: float = 0.4, keep: float = 1e-4) -> dict:
-    """Field weights from (text, label) pairs."""
+class Field:
+    """Chains of words with features, their labels, and the likelihood of weights."""
+
+    def __init__(self, words: list[list[str]], starts: list[list[int]], labels: list[list[int]]):
+        ids: dict[str, int] = {}
+        self.rows = np.array(array("i", (ids.setdefault(w, len(ids)) for ws in words for w in ws)), dtype=np.int64)
+        self.gold = np.array(array("b", (y for ys in labels for y in ys)), dtype=np.float64)
+        first = np.cumsum([0, *map(len, words)])
+        begin = np.array([a + s for a, ss in zip(first.tolist(), starts, strict=False) for s in ss], dtype=np.int64)
+        self.layout = Layout(begin, np.diff(np.append(begin, len(self.rows))))
+        own = [features(w) for w in ids]
+        self.flat = np.array([f for fs in own for f in fs], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(own)), [len(f) for f in own])
+        self.n_words = len(ids)
+        later = np.ones(len(self.rows), dtype=bool)
+        later[begin] = False
+        later = np.flatnonzero(later)
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (self.gold[later - 1].astype(int), self.gold[later].astype(int)), 1)
+
+    def gradient(self, w: np.ndarray, bias: float, trans: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """Log likelihood of the labels, and its gradient by weights, bias and transitions."""
+        logit = np.bincount(self.owner, weights=w[self.flat], minlength=self.n_words) + bias
+        e = logit[self.rows]
+        marg, pairs, total = forward_backward(e, self.layout, trans)
+        off = self.gold - marg
+        by_word = np.bincount(self.rows, weights=off, minlength=self.n_words)
+        like = float((e * self.gold).sum() + (self.seen * trans).sum()) - total
+        return like, np.bincount(self.flat, weights=by_word[self.owner], minlength=len(w)), float(off.sum()), self.seen - pairs
+
+
+def train(docs: list[tuple[str, int]], epochs: int = 25, rate: float = 1.0, keep: float = 1e-3) -> dict:
+    """Field weights from (text, label) pairs: gradient steps with a step size of each
+    weight that shrinks with its past gradients; ``keep`` pulls weights to 0."""
     docs = one_of_each(docs)
     bad = cues(docs)
-    ids: dict[str, int] = {}
-    rows, gold, lens = array("i"), array("b"), []
+    words, starts, labels = [], [], []
     for text, y in docs:
-        # Of the clean documents' chains some are used, one in eight, to even the classes.
-        for i, (words, ys) in enumerate(split_chains(text.split(), bad if y else None)):
-            if y or i % 8 == 0:
-                rows.extend(ids.setdefault(w, len(ids)) for w in words)
-                gold.extend(ys)
-                lens.append(len(words))
-    weights, trans = np.zeros(WIDTH, dtype=np.float64), np.zeros((2, 2))
-    bias = -6.0
-    if not bad or not lens:
-        return {"w": weights.astype(np.float32), "bias": -30.0, "trans": trans}
-    rows, gold, lens = np.array(rows), np.array(gold, dtype=np.float64), np.array(lens)
-    starts = np.cumsum(lens) - lens
-    feats = [features(w) for w in ids]
-    flat = np.array([f for fs in feats for f in fs])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    pair = np.ones(len(gold), dtype=bool)
-    pair[starts] = False
-    now = np.flatnonzero(pair)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[now - 1].astype(int), gold[now].astype(int)), 1)
-    trans = np.log((seen + 1) / (seen.sum(axis=1, keepdims=True) + 2))  # closed form of the observed bigrams
-    trans -= trans[:, :1]
-    trans[0, :] *= 0.5
-    ssq = np.full(WIDTH, 1e-2)
-    per_word = np.bincount(rows, minlength=len(ids)).astype(float)
-    target = np.bincount(rows, weights=gold, minlength=len(ids))
-    bsq = 1.0
+        ws, ss = chains(TOKEN.findall(text))
+        ws = [w.lower() for w in ws]
+        words.append(ws)
+        starts.append(ss)
+        labels.append([int(y == 1 and any(x in bad for x in stems(w))) for w in ws])
+    w, trans = np.zeros(WIDTH), np.zeros((2, 2))
+    if not bad or not any(words):
+        return {"w": w.astype(np.float32), "bias": -30.0, "trans": trans}
+    field = Field(words, starts, labels)
+    del words, labels
+    bias, w2, b2, t2 = -6.0, np.full(WIDTH, 1e-2), 1.0, np.ones((2, 2))
     for _ in range(epochs):
-        logit = np.bincount(owner, weights=weights[flat], minlength=len(ids)) + bias
-        marg = forward_backward(logit[rows], starts, lens, trans)
-        g = np.bincount(rows, weights=marg, minlength=len(ids)) - target
-        grad = np.bincount(flat, weights=g[owner], minlength=WIDTH) + keep * per_word.sum() * 1e-3 * weights
-        ssq += grad**2
-        weights -= rate * 4 * grad / np.sqrt(ssq)
-        gb = g.sum()
-        bsq += gb**2
-        bias -= rate * gb / math.sqrt(bsq)
-    return {"w": weights.astype(np.float32), "bias": float(bias), "trans": trans}
+        _, gw, gb, gt = field.gradient(w, bias, trans)
+        gw -= keep * w
+        w2 += gw**2
+        w += rate * gw / np.sqrt(w2)
+        b2 += gb**2
+        bias += 0.4 * rate * gb / math.sqrt(b2)
+        gt[:, 0] = 0  # going to label 0 is the measure
+        t2 += gt**2
+        trans += 0.4 * rate * gt / np.sqrt(t2)
+    return {"w": w.astype(np.float32), "bias": float(bias), "trans": trans}
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: dict | None = None, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
@@ -240,92 +270,110 @@ def sample(docs: DataFrame, labels: DataFrame, most: dict | None = None, chars:
         own = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.xxhash64("_id").alias("h"), "_id", "text")
         room = chars
         for r in own.orderBy("h", "_id", "text").limit(most[y]).toLocalIterator():
-            room -= len(r["text"])
-            if room < 0:
-                break
-            rows.append((r["text"], y))
+            if len(r["text"]) <= room:  # a text that doesn't fit is left out, later ones may
+                room -= len(r["text"])
+                rows.append((r["text"], y))
     return rows
 
 
-def _scorer(shared, with_text: bool = False):
+class Scorer:
+    """Scores and spans of texts by a trained field."""
+
+    def __init__(self, model: dict):
+        self.w, self.bias, self.trans = model["w"].astype(np.float64), model["bias"], model["trans"]
+        self.known: dict[str, float] = {}
+
+    def odds(self, words: list[str]) -> np.ndarray:
+        """Log odds of tokens by themselves; those of words that were met are kept."""
+        if len(self.known) > KEEP_WORDS:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        if new:
+            at = [features(x.lower()) for x in new]
+            size = np.array([len(x) for x in at])
+            own = np.add.reduceat(self.w[np.array([f for x in at for f in x])], np.cumsum(size) - size) + self.bias
+            self.known.update(zip(new, own.tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
+
+    def score(self, texts: list) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        scores, spans = np.zeros(len(texts)), [[] for _ in texts]
+        words: list[str] = []
+        starts: list[int] = []
+        held: list[tuple[int, int]] = []  # text, number of its words
+        for i, t in enumerate(texts):
+            if t:
+                own, begin = chains(TOKEN.findall(t))
+                starts += [len(words) + s for s in begin]
+                words += own
+                held.append((i, len(own)))
+            if words and (len(words) >= AT_ONCE or i + 1 == len(texts)):
+                self._score(texts, words, starts, held, scores, spans)
+                words, starts, held = [], [], []
+        return scores, spans
+
+    def _score(self, texts, words, starts, held, scores, spans) -> None:
+        begin = np.array(starts, dtype=np.int64)
+        marg, _, _ = forward_backward(self.odds(words), Layout(begin, np.diff(np.append(begin, len(words)))), self.trans)
+        at = 0
+        for i, n in held:
+            own = marg[at : at + n]
+            at += n
+            if not n:
+                continue
+            top = own if n <= TOP else np.partition(own, n - TOP)[n - TOP :]
+            scores[i] = -math.expm1(float(np.log1p(-np.minimum(top, 1 - 1e-9)).sum()))
+            hit = set(np.flatnonzero(own >= 0.5).tolist())
+            if hit:
+                places = [m.span() for m in TOKEN.finditer(texts[i]) if m.group() not in END]
+                spans[i] = [places[j] for j in sorted(hit)]
+
+
+def _scorer(shared, with_text: bool):
     def run(batches):
-        m = shared.value
-        w, bias, trans = m["w"], m["bias"], m["trans"]
-        # The most that neighbours can add to a token's log odds.
-        gain = max(0.0, (trans[:, 1] - trans[:, 0]).max()) + max(0.0, (trans[1] - trans[0]).max())
-        known: dict[str, float] = {}  # log odds of a token by itself
+        scorer = Scorer(shared.value)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            words: list[str] = []
-            counts = np.zeros(len(texts), dtype=np.int64)
-            for i, t in enumerate(texts):
-                if t:
-                    toks = t.split()
-                    counts[i] = len(toks)
-                    words += toks
-            if len(known) > 1_000_000:
-                known.clear()
-            new = [(x, r) for x in set(words).difference(known) for r in (runs(x) or [""])]
-            if new:
-                at = [features(r) for _, r in new]
-                size = np.array([len(x) for x in at])
-                odds = np.add.reduceat(w[np.array([f for x in at for f in x])], np.cumsum(size) - size) + bias
-                for (x, _), v in sorted(zip(new, odds.tolist(), strict=True), key=lambda r: r[1]):
-                    known[x] = v  # the last is the highest of the token's words
-            score = np.zeros(len(texts))
-            spans: list[list] = [[] for _ in texts]
-            if words:
-                e = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-                doc = np.repeat(np.arange(len(texts)), counts)
-                begin = np.cumsum(counts) - counts
-                # Chains that can't reach FLOOR anywhere add nothing; the others are run.
-                hot = np.flatnonzero(e + gain >= math.log(FLOOR / (1 - FLOOR)))
-                for i in np.unique(doc[hot]).tolist():
-                    at, n = int(begin[i]), int(counts[i])
-                    own = words[at : at + n]
-                    last = np.fromiter(map(ends, own), dtype=bool, count=n)
-                    first = np.zeros(n, dtype=bool)
-                    first[0] = True
-                    first[1:] = last[:-1]
-                    opened = np.flatnonzero(first)
-                    first |= (np.arange(n) - opened[np.cumsum(first) - 1]) % CHAIN == 0
-                    starts = np.flatnonzero(first)
-                    lens = np.diff(np.append(starts, n))
-                    able = np.maximum.reduceat(e[at : at + n], starts) + gain >= math.log(FLOOR / (1 - FLOOR))
-                    starts, lens = starts[able], lens[able]
-                    where = ragged(starts, lens)
-                    marg = forward_backward(e[at : at + n][where], np.cumsum(lens) - lens, lens, trans)
-                    hit = marg >= FLOOR
-                    score[i] = -math.expm1(float(np.log1p(-np.minimum(marg[hit], 1 - 1e-9)).sum()))
-                    wanted = set(where[marg >= 0.5].tolist())
-                    spans[i] = [m.span() for j, m in enumerate(TOKEN.finditer(texts[i])) if j in wanted] if wanted else []
+            score, spans = scorer.score(b.column("_text").to_pylist())
             flat = [{"start": s, "end": t} for x in spans for s, t in x]
             offs = np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32)
             kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            kept = [c for c in b.schema.names if with_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(score), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, type=kind))], names=[*kept, "score", "spans"])
+            kept = [c for c in b.schema.names if with_text or c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(score), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, type=kind))], names=[*kept, "_score", "_spans"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, bar: float = BAR, text: bool = False) -> DataFrame:
-    """``keep`` columns of ``docs`` (and its text if ``text``) plus score, spans (offsets of toxic tokens, in code
-    points) and predicted. ``labels`` has (_id, y); ids without a text teach nothing. Null, empty and wordless texts score 0; without a toxic example every
-    score is 0. Repeated rows score alike; an empty table gives an empty result."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], text: bool) -> DataFrame:
+    """Columns ``_0``, ``_1`` ... of ``keep``, _text if ``text``, _score and _spans. The
+    input's names don't matter, so none can clash."""
     spark = docs.sparkSession
     tune(spark)
-    keep = keep or ["doc_id"]
-    model = train(sample(docs, labels))
-    shared = spark.sparkContext.broadcast(model)
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if text or f.name != "text")
-    out = own.mapInArrow(_scorer(shared, text), f"{kinds}, score double, spans array<struct<start:int,end:int>>")
-    return out.withColumn("predicted", F.when(F.col("score") >= bar, 1).otherwise(0))
+    shared = spark.sparkContext.broadcast(train(sample(docs, labels)))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if text or f.name != "_text")
+    return own.mapInArrow(_scorer(shared, text), f"{kinds}, _score double, _spans array<struct<start:int,end:int>>")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, bar: float = BAR) -> DataFrame:
+    """``keep`` columns of ``docs``, score, spans (offsets of toxic words, in code points)
+    and predicted. ``labels`` has (_id, y); ids without a text teach nothing. Null, empty
+    and wordless texts score 0; without a toxic example every score is as good as 0. A
+    score that equals the bar is predicted 1. Repeated rows score alike; an empty table
+    gives an empty result. A kept column that is named like a result gives way to it."""
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in ("score", "spans", "predicted")]
+    out = _scored(docs, labels, keep, False)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias("score"), F.col("_spans").alias("spans"), F.when(F.col("_score") >= bar, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the bar."""
+    keep = [c for c in docs.columns if c != "text"]
+    out = _scored(docs, labels, keep, True).where(F.col("_score") < bar)
+    return out.select(*[(F.col("_text") if c == "text" else F.col(f"_{keep.index(c)}")).alias(c) for c in docs.columns])
 
 
 def fold_of(doc_id, folds: int):
-    """crc32 of the id's text, modulo ``folds``."""
-    return F.crc32(doc_id.cast("string")) % folds
+    """crc32 of the id's text, modulo ``folds``; -1, no fold, for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(-1))
 
 
 def usable_labels(labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

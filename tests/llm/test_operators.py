@@ -191,18 +191,85 @@ def test_toxicity_held_out(spark):
         assert bool(r.spans) == bool(y)
 
 
+def brute_chain(e, trans):
+    """Log of the sum over all labellings, marginals of label 1, expected pairs."""
+    n = len(e)
+    total, one, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+    for k in range(2**n):
+        y = [k >> j & 1 for j in range(n)]
+        p = np.exp(sum(e[j] for j in range(n) if y[j]) + sum(trans[y[j], y[j + 1]] for j in range(n - 1)))
+        total += p
+        one += p * np.array(y)
+        for u, v in zip(y, y[1:], strict=False):
+            pairs[u, v] += p
+    return np.log(total), one / total, pairs / total
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
-    e, lens, trans = rng.normal(size=9), np.array([4, 5]), rng.normal(size=(2, 2))
-    got = toxicity.forward_backward(e, np.array([0, 4]), lens, trans)
-    for at, n in ((0, 4), (4, 5)):
-        total, one = 0.0, np.zeros(n)
-        for k in range(2**n):
-            y = [k >> j & 1 for j in range(n)]
-            p = np.exp(sum(e[at + j] for j in range(n) if y[j]) + sum(trans[y[j], y[j + 1]] for j in range(n - 1)))
-            total += p
-            one += p * np.array(y)
-        assert np.allclose(got[at : at + n], one / total)
+    e, lens, trans = rng.normal(size=10), np.array([4, 5, 1]), rng.normal(size=(2, 2))
+    starts = np.array([0, 4, 9])
+    marg, pairs, total = toxicity.forward_backward(e, toxicity.Layout(starts, lens), trans)
+    each = [brute_chain(e[a : a + n], trans) for a, n in zip(starts, lens, strict=True)]
+    assert np.allclose(marg, np.concatenate([x[1] for x in each]))
+    assert np.allclose(pairs, sum(x[2] for x in each)) and np.isclose(total, sum(x[0] for x in each))
+
+
+def test_likelihood_and_gradient_of_the_field():
+    """Against all labellings of small chains, and against small steps of each weight."""
+    rng = np.random.default_rng(1)
+    words, starts, labels = [["ab", "vilest", "cd"], ["vilest", "ab", "ab", "xyzzy"]], [[0, 2], [0]], [[0, 1, 0], [1, 1, 0, 0]]
+    field = toxicity.Field(words, starts, labels)
+    w, bias, trans = rng.normal(size=toxicity.WIDTH) * 0.3, -0.4, rng.normal(size=(2, 2))
+    like, gw, gb, gt = field.gradient(w, bias, trans)
+    want = 0.0
+    for ws, ys in ((["ab", "vilest"], [0, 1]), (["cd"], [0]), (words[1], labels[1])):
+        e = np.array([w[toxicity.features(x)].sum() + bias for x in ws])
+        want += e[np.array(ys) == 1].sum() + sum(trans[u, v] for u, v in zip(ys, ys[1:], strict=False)) - brute_chain(e, trans)[0]
+    assert np.isclose(like, want)
+    step = 1e-6
+    for i in [*toxicity.features("vilest")[:3], toxicity.features("cd")[0], 7]:
+        d = np.zeros_like(w)
+        d[i] = step
+        assert abs((field.gradient(w + d, bias, trans)[0] - like) / step - gw[i]) < 1e-3
+    assert abs((field.gradient(w, bias + step, trans)[0] - like) / step - gb) < 1e-3
+    for i in range(2):
+        for j in range(2):
+            d = np.zeros((2, 2))
+            d[i, j] = step
+            assert abs((field.gradient(w, bias, trans + d)[0] - like) / step - gt[i, j]) < 1e-3
+
+
+def test_scores_are_those_of_every_chain():
+    """No token is left out: batches, long texts and words between signs."""
+    rng = np.random.default_rng(2)
+    model = {"w": rng.normal(size=toxicity.WIDTH).astype(np.float32), "bias": -1.0, "trans": rng.normal(size=(2, 2))}
+    texts = ["One two. three", "", None, "12 ,", "a-b_c " * 3, "word. " * 9, "five! six? seven.eight nine"]
+    scores, spans = toxicity.Scorer(model).score(texts)
+    cut = {0: [["One", "two"], ["three"]], 4: [["a", "b", "c"] * 3], 5: [["word"]] * 9, 6: [["five"], ["six"], ["seven", "eight", "nine"]]}
+    for i, t in enumerate(texts):
+        ms = np.concatenate([brute_chain(np.array([model["w"].astype(float)[toxicity.features(x.lower())].sum() - 1 for x in c]), model["trans"])[1] for c in cut.get(i, [])] or [np.zeros(0)])
+        assert np.isclose(scores[i], 1 - np.prod(1 - np.sort(ms)[-toxicity.TOP :]))
+        assert [t[a:b] for a, b in spans[i]] == [x for x, m in zip((x for c in cut.get(i, []) for x in c), ms, strict=True) if m >= 0.5]
+    assert len(toxicity.chains(["x"] * 200)[1]) == -(-200 // toxicity.CHAIN)
+
+
+def test_toxic_examples_that_do_not_fit_leave_room_for_others(spark):
+    docs = docs_of(spark, ["bad " * 400, "bad one", "good", "bad two"])
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 1)], "_id long, y int")
+    assert sorted(toxicity.sample(docs, labels, chars=20)) == [("bad one", 1), ("bad two", 1), ("good", 0)]
+
+
+def test_toxicity_of_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "_id long, y int")
+    rows = [(i, prose(random.Random(i), 30) + (" vilest" if i % 4 == 0 else ""), i * 2.0, "s", 5, [i]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, Spans string, predicted int, _0 array<int>")
+    left = toxicity.without_toxic(docs, labels)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] % 4]
+    out = toxicity.score_toxicity(docs, labels, keep=docs.columns)
+    assert out.columns == ["doc_id", "text", "_0", "score", "spans", "predicted"]
+    assert [r.doc_id for r in out.where("predicted = 1").orderBy("doc_id").collect()] == [i for i in range(60) if i % 4 == 0]
 
 
 def test_toxicity_edges(spark, odd):
@@ -210,6 +277,7 @@ def test_toxicity_edges(spark, odd):
     rows = toxicity.usable_labels(labels)
     out = toxicity.score_toxicity(odd, rows).collect()
     assert len(out) == 8 and {r.predicted for r in out} == {0} and all(0 <= r.score <= 1 for r in out)
+    assert spark.createDataFrame([(None,), (4,)], "i long").select(toxicity.fold_of(F.col("i"), 3) == 1).collect()[0][0] is False
     assert toxicity.score_toxicity(none_of(odd), none_of(rows)).count() == 0
 
 
