@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bucket_of, cut, prefix_sums
+from .common import SPACE, bucket_of, cut, prefix_sums, salted_join
 
 #: Weights of the sources in their order, repeating.
 CYCLE = (5, 2, 1)
@@ -61,11 +61,13 @@ def _pick(docs: DataFrame, weight: Column, seed: int, cycle, share: float, most:
     digest = F.xxhash64(F.lit(seed), "doc_id", "text")
     base = cut(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), weight.alias("w"), digest.alias("h")))
     sums = base.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    plan = targets(sums, cycle, share, most)
+    # One row for each source; which side of a join is broadcast, Spark decides by its size.
+    plan = cut(targets(sums, cycle, share, most))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     u = (F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
-    plan = plan.withColumnRenamed("source", "_src")
-    keyed = base.join(plan, F.col("source").eqNullSafe(F.col("_src"))).select("doc_id", "source", "size", "h", "rank", "n", "source_size", "target", "epochs", "rest", (-F.log(u) / F.col("w")).alias("key"))
+    named = lambda df: df.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    plan = named(plan).drop("source")
+    keyed = salted_join(named(base), plan, ["_src"], plan.select("_src", "n"), ["h"]).select("doc_id", "source", "size", "h", "rank", "n", "source_size", "target", "epochs", "rest", (-F.log(u) / F.col("w")).alias("key"))
     keyed = keyed.withColumn("bucket", bucket_of(1 - F.exp(-F.col("key") * 0.75), F.col("n")))
     placed = prefix_sums(keyed, ["rank"], "bucket", ["key", "h", "doc_id"], {"before": "size"})
     extra = F.when((F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")), 1).otherwise(0)
@@ -85,12 +87,26 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, seed: int = 7, cy
     return _pick(docs, w, seed, cycle, share, most).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
-def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: none, once or repeated."""
+def mixed(docs: DataFrame, seed: int = 7, cycle=CYCLE, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: none, once or repeated, and as many as
+    :func:`mix_sources` says. Rows of equal id and text that are not all taken alike are
+    told apart by drawn numbers, which are written before they are compared."""
     w = F.greatest(F.coalesce(quality(F.col("text")), F.lit(1.0)), F.lit(1e-6))
-    pick = _pick(docs, w, seed, CYCLE, SHARE, MOST).select("h", "copies")
-    # Rows of equal id and text have one digest; which of them is taken doesn't matter.
-    pick = pick.groupBy(F.col("h").alias("_mix_h")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_n"))
-    pick = pick.where("_mix_copies > 0").withColumn("_mix_share", F.ceil(F.col("_mix_copies") / F.col("_mix_n")).cast("int"))
-    out = docs.join(pick, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")) == F.col("_mix_h"))
-    return out.withColumn("_mix_take", F.explode(F.array_repeat(F.lit(1), F.col("_mix_share")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pick = _pick(docs, w, seed, cycle, share, most).select("h", "source", "copies")
+    # Rows of equal id and text have one digest; those of a source have one key too.
+    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_mix_s")
+    pick = cut(pick.groupBy(F.col("h").alias("_mix_h"), src).agg(F.sum("copies").alias("_mix_t"), F.count("*").alias("_mix_n")).where("_mix_t > 0"))
+    keys = ["_mix_h", "_mix_s"]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.xxhash64(F.lit(seed), "doc_id", "text").alias("_mix_h"), src)
+    per = pick.select(*keys, F.expr("_mix_t div _mix_n").alias("_mix_each"), (F.col("_mix_t") % F.col("_mix_n")).alias("_mix_more"))
+    back = lambda df, times: df.withColumn("_mix_i", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    counts = pick.select(*keys, F.col("_mix_n").alias("n"))
+    even = back(salted_join(own, per.where("_mix_more = 0"), keys, counts, ["_mix_h"]), F.col("_mix_each"))
+    # Only the digest at which a source's rest ends can be taken in part.
+    split = per.where("_mix_more > 0")
+    if split.isEmpty():
+        return even
+    part = cut(own.join(split.join(counts, keys), keys).withColumn("_mix_u", F.rand(seed)))
+    part = part.withColumn("_mix_b", bucket_of(F.col("_mix_u"), F.col("n"))).withColumn("_mix_one", F.lit(1))
+    ranked = prefix_sums(part, keys, "_mix_b", ["_mix_u"], {"_mix_rank": "_mix_one"})
+    return even.unionByName(back(ranked, F.col("_mix_each") + F.when(F.col("_mix_rank") < F.col("_mix_more"), 1).otherwise(0)))

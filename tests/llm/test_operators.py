@@ -495,6 +495,51 @@ def test_mixing(spark):
     assert {r.doc_id: r["count"] for r in rows if r["count"]} == {r.doc_id: r.copies for r in out if r.copies}
 
 
+def naive_mix(rows, target, seed=7):
+    """Copies of each row of one source: epochs, then by key until the rest is reached. rows:
+    (id, size, key)."""
+    total = sum(n for _, n, _ in rows)
+    epochs = int(target // total) if total else 0
+    rest, out, upto = target - epochs * total, {}, 0
+    for i, n, _ in sorted(rows, key=lambda r: r[2]):
+        out[i] = epochs + (1 if n and 2 * upto + n <= 2 * rest else 0)
+        upto += n
+    return out
+
+
+def test_mixing_against_naive_selection(spark):
+    """Exponential keys, their order and the taken set, and that heavy weights win."""
+    rng = random.Random(71)
+    texts = [prose(rng, rng.randrange(1, 40)) + rng.choice(["", " 123 456 789 ###"]) for _ in range(500)]
+    df = docs_of(spark, texts, sources=["a", "b", "b", "c", None])
+    out = {r.doc_id: r for r in mixing.mix_sources(df).collect()}
+    keyed = {r.doc_id: r for r in df.select("doc_id", mixing.quality(F.col("text")).alias("w"), F.xxhash64(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(7)).alias("u")).collect()}
+    for s in ("a", "b", "c", None):
+        own = [r for r in out.values() if r.source == s]
+        rows = [(r.doc_id, r.size, -np.log((keyed[r.doc_id].u % 2**52 + 0.5) / 2.0**52) / keyed[r.doc_id].w) for r in own]
+        assert {r.doc_id: r.copies for r in own} == naive_mix(rows, own[0].target)
+    letters = sum(o is not None and c not in "0123456789#" for t in texts[:1] for o, c in enumerate(t))
+    assert letters and keyed[0].w <= 1
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_equal_rows_are_taken_as_often_as_the_plan_says(spark, monkeypatch, hot):
+    from slicetopo.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = [(1, "one two three four five six seven eight nine ten", "xx", "a", i) for i in range(5)] + [(2, "x y", "xx", "b", 9)] * 2 + [(3, "u v w", "xx", None, 1), (4, None, "xx", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_0", F.lit("clash"))
+    for share in (0.3, 0.8, 1.5):
+        plan = {}
+        for r in mixing.mix_sources(df, share=share).collect():
+            plan[r.doc_id] = plan.get(r.doc_id, 0) + r.copies
+        got = mixing.mixed(df, share=share)
+        assert got.columns == df.columns
+        assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {k: v for k, v in plan.items() if v}
+        most = [r["count"] for r in got.where("doc_id = 1").groupBy("n_chars").count().collect()]
+        assert not most or max(most) <= 2
+
+
 def test_mixing_edges(spark, odd):
     out = mixing.mix_sources(odd).collect()
     assert len(out) == 8 and all(r.taken <= 2 * r.size for r in out)
