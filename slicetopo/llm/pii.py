@@ -1,17 +1,23 @@
 """Operator 9, personal data: detected entities get keyed surrogates of their type.
 
-One regular expression finds e-mail addresses, secrets, IPv4 addresses, card and phone
-numbers, and names after a form of address. Every distinct entity of the corpus, in its
-normal form, gets one surrogate everywhere (coreference); the surrogate keeps its
-script, case, gender and format: digits stay digits and letters letters of the same
-case and script in their places, a card number passes the same check as the original,
-an address' octets stay in range, an example domain stays what it is, a name after a
-female or male form of address becomes a name of that gender in its script. Surrogates
-are checked against each other and against all entities of the corpus; those that
-collide are drawn again until none does (distinctness).
-
-All of it is SQL functions and joins. Only documents with an entity are joined, by a
-digest of their text; what is joined are entities, a small part of the corpus.
+One regular expression finds e-mail addresses, secrets, IP addresses, account, card and
+phone numbers, and names after a form of address. A mention is taken apart into bare
+entities: the digits of a number without its separators, an address in lower case, the
+given and the family name without the form of address. Every bare entity of the corpus gets
+one surrogate everywhere (coreference), drawn from a keyed digest, and each mention is
+written with it in the mention's own format. So ``Mr Smith`` and ``Mr. Smith``, or a number
+with spaces and with hyphens, stay the same person and the same number.
+
+A surrogate keeps type, script, gender and format: digits stay digits and letters letters
+of their script, a card number keeps its check sum and an account number a valid one, a
+phone number keeps its country code, an octet its range, a reserved domain stays what it is,
+a given name after a female or male form of address becomes a name of that gender in its
+script. Surrogates are checked against each other and against all entities of the corpus;
+those that collide are drawn again until none does (distinctness). Formats of a fixed length
+are drawn from their own space; if that is full, the job fails and says so.
+
+All of it is SQL functions and joins. What is joined are entities, a small part of the
+corpus; only rows with an entity are written and shuffled.
 """
 
 from __future__ import annotations
@@ -19,59 +25,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, salted_join
 
-KEY = "slicetopo-surrogates"
-#: Attempts after which surrogates of a crowded format get six more digits.
-CROWDED = 12
 #: Forms of address by gender.
-FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sra", "Srta", "Signora", "Г-жа")
-MALE = ("Mr", "Herr", "Sr", "Signor", "Г-н")
+FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sra", "Srta", "Signora", "Г-жа", "Госпожа", "Κα", "Κυρία")
+MALE = ("Mr", "Herr", "Sr", "Signor", "Г-н", "Господин", "Κος", "Κύριος")
 OPEN = ("Dr", "Prof")
-#: Surrogate names by gender and script.
+#: Beginnings that all forms of address have.
+BEGINNINGS = ("Mr", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sr", "Signor", "Г-", "Госп", "Κ", "Herr", "Dr", "Prof")
+#: Surrogate given names by gender and script.
 NAMES = {
     ("f", "latin"): ("Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Julia", "Karla", "Laura", "Marta", "Nora", "Olga", "Paula"),
     ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Konrad", "Leon", "Martin", "Nils", "Oscar", "Paul"),
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Тамара", "Юлия"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Юрий"),
+    ("f", "greek"): ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Ηλέκτρα", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Όλγα", "Ρένα", "Σοφία", "Χρυσή"),
+    ("m", "greek"): ("Άγγελος", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θωμάς", "Ιάσονας", "Κώστας", "Λουκάς", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Τάσος", "Φίλιππος", "Χρήστος"),
 }
+#: Syllables and endings of longer given names; letters of surrogates.
+SYLLABLES = {"latin": ("la", "ri", "mo", "ne", "ta", "vi", "do", "su"), "cyrillic": ("ла", "ри", "мо", "не", "та", "ви", "до", "су"), "greek": ("λα", "ρι", "μο", "νε", "τα", "βι", "δο", "σου")}
+ENDINGS = {("f", "latin"): "na", ("m", "latin"): "n", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("f", "greek"): "να", ("m", "greek"): "νος"}
+LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+DIGITS, HEX = "0123456789", "abcdef"
 _TITLE = "|".join((*FEMALE, *MALE, *OPEN))
-#: In this order; the alternatives can't start with each other's first character where
-#: both could match, but for digits, where the longer form comes first.
+#: How keys of services begin.
+_TOKEN = r"AKIA|ASIA|sk-|gh[pousr]_|xox[abprs]-|eyJ"
+#: In this order. All begin after a character that is no letter and no digit.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9A-Za-z.\-])[0-9]{4}(?:([ \-]?)[0-9]{4}){2}(?:[ \-]?[0-9]{1,7})(?![0-9A-Za-z\-])|(?<![0-9A-Za-z.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}+)(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
+    "email": r"[\p{L}\p{N}_%+.\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "hex": r"(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])",
+    "token": rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|sk-[A-Za-z0-9_\-]{{16,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|xox[abprs]-[A-Za-z0-9\-]{{10,}}|eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}})(?![A-Za-z0-9])",
+    "ip6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
+    "ip": r"(?<!\.)(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"(?<!\+)\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<!-)[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
+    "card": r"(?<![.\-])[0-9]{4}(?:[ \-]?[0-9]{4}){2}(?:[ \-]?[0-9]{1,7})(?![0-9A-Za-z\-])|(?<![.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
+    "name": rf"(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}+)(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
 }
-PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
-LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-CYR_LOWER = "абвгдежзиклмнопрстуфхцчшщыэюя"
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{x})" for x in KINDS.values()) + ")"
 
 
 def hinted(text: Column) -> Column:
     """What every text with an entity fulfils; cheap tests before the pattern: a digit, a sign
-    of an address, or a form of address with what follows it. False for null."""
-    hint = text.contains("@") | text.rlike("[0-9]")
-    for title in (*FEMALE, *MALE, *OPEN):
-        hint = hint | text.contains(f"{title} ") | text.contains(f"{title}. ")
+    of an address, or the beginning of a form of address or of a key. False for null."""
+    hint = text.rlike("[0-9@]")
+    for mark in (*BEGINNINGS, "sk-", "xox", "eyJ"):
+        hint = hint | text.contains(mark)
     return F.coalesce(hint, F.lit(False))
 
 
 def found(text: Column) -> Column:
-    """The entities of a text in order; none for a null text."""
+    """The mentions of a text in order; none for a null text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def kind_of(entity: Column) -> Column:
-    """The type of an entity that :func:`found` gave."""
-    e = F.when(entity.contains("@"), "email")
-    e = e.when(entity.rlike(r"^[A-Fa-f0-9]{32,64}$"), "secret")
-    e = e.when(entity.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
-    e = e.when(entity.rlike(r"^[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "card")
-    return e.when(entity.rlike(r"^[+(0-9]"), "phone").otherwise("name")
+def kind_of(mention: Column) -> Column:
+    """The type of a mention that :func:`found` gave."""
+    m = F.when(mention.contains("@"), "email")
+    m = m.when(mention.rlike(r"^[A-Fa-f0-9]{32,64}$") & mention.rlike("[0-9]"), "hex")
+    m = m.when(mention.rlike(rf"^(?:{_TOKEN})"), "token").when(mention.contains(":"), "ip6")
+    m = m.when(mention.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(mention.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
+    m = m.when(mention.rlike(r"^[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}"), "card").when(mention.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "number")
+    return m.when(mention.rlike(r"^[+(0-9]"), "phone").otherwise("name")
+
+
+def bare(text: Column) -> Column:
+    """Letters and digits only."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9]", "")
+
+
+_TITLED = rf"^(?:{_TITLE})\.?[ ]"
+
+
+def atoms(mention: Column, kind: Column) -> Column:
+    """The bare entities of a mention, as an array of (kind, norm, gender): one, or a given
+    and a family name. A single name is a family name."""
+    one = lambda k, n, g=F.lit(None).cast("string"): F.struct(k.alias("kind"), n.alias("norm"), g.alias("gender"))
+    low = F.lower(mention)
+    # Numbers without a country code have the formats of code 1.
+    phone = F.concat(F.when(mention.startswith("+"), "").otherwise("1"), bare(mention))
+    norm = F.when(kind.isin("email", "hex", "ip6"), low).when(kind == "phone", phone).when(kind.isin("iban", "card", "number"), bare(mention)).otherwise(mention)
+    title = F.regexp_replace(F.regexp_extract(mention, _TITLED, 0), r"[. ]", "")
+    who = F.lower(F.regexp_replace(mention, _TITLED, ""))
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
+    family = F.element_at(F.split(who, " "), -1)
+    names = F.when(who.contains(" "), F.array(one(F.lit("given"), F.substring_index(who, " ", 1), gender), one(F.lit("family"), family))).otherwise(F.array(one(F.lit("family"), family)))
+    return F.when(kind == "name", names).otherwise(F.array(one(kind, norm)))
 
 
 def _draw(salted: Column, place: Column, n: int) -> Column:
@@ -79,15 +118,24 @@ def _draw(salted: Column, place: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(salted, place), F.lit(n)).cast("int")
 
 
-def _chars(entity: Column, salted: Column, hexadecimal: bool) -> Column:
+def _pick(letters: str | tuple, salted: Column, place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, letters)), _draw(salted, place, len(letters)) + 1)
+
+
+def _syllables(choice: tuple, salted: Column, n: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.array_join(F.transform(places, lambda i: _pick(choice, salted, i)), "")
+
+
+def _chars(entity: Column, salted: Column, hexadecimal: bool = False) -> Column:
     """Each letter and digit by a keyed one of its script and case; the rest stays. The
-    first digit of a run never becomes 0."""
-    low, up = ("abcdef", "ABCDEF") if hexadecimal else (LOWER, UPPER)
-    cyr = CYR_LOWER
+    first character never becomes 0."""
 
     def one(c: Column, i: Column) -> Column:
         pick = lambda letters: F.substr(F.lit(letters), _draw(salted, i, len(letters)) + 1, F.lit(1))
-        return F.when(c.rlike("[a-z]"), pick(low)).when(c.rlike("[A-Z]"), pick(up)).when(c.rlike("[0-9]"), F.when(i == 0, pick("123456789")).otherwise(pick(DIGITS))).when(c.rlike(r"[а-я]"), pick(cyr)).when(c.rlike(r"[А-Я]"), F.upper(pick(cyr))).when(c.rlike(r"\p{Ll}"), pick("àâäçéèêëîïñöôùûü")).when(c.rlike(r"\p{Lu}"), F.upper(pick("àâäçéèêëîïñöôùûü"))).otherwise(c)
+        digit = F.when(i == 0, pick("123456789")).otherwise(pick(DIGITS))
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC)).when(c.rlike(r"\p{IsGreek}"), pick(GREEK)).otherwise(pick(HEX if hexadecimal else LATIN))
+        return F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
@@ -99,99 +147,145 @@ def luhn(number: Column) -> Column:
     return F.pmod(F.aggregate(value, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(10))
 
 
-def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate that an entity's normal form draws at an attempt."""
-    salted = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, entity, attempt.cast("string")), 256)
-    plain = _chars(entity, salted, False)
-    local = _chars(F.substring_index(entity, "@", 1), salted, False)
-    domain = F.substring_index(entity, "@", -1)
+def mod97(account: Column) -> Column:
+    """The check of an account number: 1 for a valid one. The first four characters count
+    last, letters as numbers from 10."""
+    turned = F.split(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4))), "")
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).when(c == "", a).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
+def country_code(digits: Column) -> Column:
+    """The country code that a phone number's digits begin with: one digit for 1 and 7, two
+    for the codes that are so long, else three."""
+    two = r"^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+    return F.when(digits.rlike("^[17]"), F.substr(digits, F.lit(1), F.lit(1))).when(digits.rlike(two), F.substr(digits, F.lit(1), F.lit(2))).otherwise(F.substr(digits, F.lit(1), F.lit(3)))
+
+
+def surrogate(norm: Column, kind: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The surrogate that a bare entity draws at an attempt."""
+    salted = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, F.coalesce(gender, F.lit("")), attempt.cast("string")), 256)
+    plain = _chars(norm, salted)
+    domain = F.substring_index(norm, "@", -1)
     # The registered part of a domain and its ending stay where they are reserved names.
     reserved = domain.rlike(r"(?i)(^|\.)example\.(com|org|net)$")
     tail = F.regexp_extract(domain, r"((?:\.|^)[^.]+\.[A-Za-z]{2,})$", 1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    named = F.when(F.length(head) > 0, _chars(head, F.concat(salted, F.lit("d")), False)).otherwise("")
-    email = F.concat(local, F.lit("@"), F.when(reserved, F.concat(named, tail)).otherwise(F.concat(named, F.when(tail.startswith("."), ".").otherwise(""), F.lit("example.org"))))
-    octet = lambda k: F.pmod(F.xxhash64(salted, F.lit(k)), F.lit(254)) + 1
-    ip = F.concat_ws(".", *[octet(k) for k in range(4)])
+    named = F.when(F.length(head) > 0, _chars(head, F.concat(salted, F.lit("d")))).otherwise("")
+    end = F.when(reserved, tail).otherwise(F.concat(F.when(tail.startswith("."), ".").otherwise(""), F.lit("example.org")))
+    email = F.concat(_chars(F.substring_index(norm, "@", 1), salted), F.lit("@"), named, end)
+    ip = F.concat_ws(".", *[F.pmod(F.xxhash64(salted, F.lit(k)), F.lit(254)) + 1 for k in range(4)])
     # A card's last digit makes the check sum what it was.
-    card = plain
-    off = F.pmod(F.element_at(F.split(card, ""), -1).cast("int") + luhn(entity) - luhn(card), F.lit(10))
-    card = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), off.cast("string"))
-    # A phone number keeps its country code.
-    lead = F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?=[ .\-(]))", 1)
-    rest = F.substr(entity, F.length(lead) + 1, F.length(entity))
-    phone = F.concat(lead, _chars(rest, salted, False))
-    title = F.regexp_extract(entity, rf"^((?:{_TITLE})\.?[ ])", 1)
-    who = F.substr(entity, F.length(title) + 1, F.length(entity))
-    script = F.when(who.rlike(r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
-    bare = F.regexp_replace(title, r"[. ]", "")
-    gender = F.when(bare.isin(*FEMALE), "f").when(bare.isin(*MALE), "m").when(_draw(salted, F.lit(-2), 2) == 0, "f").otherwise("m")
-    first = F.lit("")
+    off = F.pmod(F.substr(plain, F.length(plain), F.lit(1)).cast("int") + luhn(norm) - luhn(plain), F.lit(10))
+    card = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), off.cast("string"))
+    # An account number keeps its country and gets the check digits of the rest.
+    rest = _chars(F.substr(norm, F.lit(5)), salted)
+    country = F.substr(norm, F.lit(1), F.lit(2))
+    check = F.lpad((98 - mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    lead = country_code(norm)
+    phone = F.concat(lead, _chars(F.substr(norm, F.length(lead) + 1), salted))
+    start = F.regexp_extract(norm, rf"^(?:{_TOKEN})", 0)
+    token = F.concat(start, _chars(F.substr(norm, F.length(start) + 1), salted))
+    # Given names: a plain one first, longer ones where that is taken.
+    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    given = F.lit("")
     for (g, s), names in NAMES.items():
-        first = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), _draw(salted, F.lit(-1), len(names)) + 1)).otherwise(first)
-    last = F.regexp_extract(who, r"^\p{L}+([ \-]\p{L}+)$", 1)
-    name = F.concat(title, first, F.when(F.length(last) > 0, _chars(last, salted, False)).otherwise(F.when(attempt > 0, F.lower(_chars(who, salted, False))).otherwise("")))
-    hexed = _chars(entity, salted, True)
-    made = F.when(kind == "email", email).when(kind == "secret", hexed).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
-    # Where a format has no free values left, distinctness goes before format.
-    return F.when(attempt >= CROWDED, F.concat(made, F.lpad(_draw(salted, F.lit(-3), 1_000_000).cast("string"), 6, "0"))).otherwise(made)
-
-
-def normal(entity: Column, kind: Column) -> Column:
-    """The form under which mentions corefer: e-mail addresses and secrets in any case."""
-    return F.when(kind.isin("email", "secret"), F.lower(entity)).otherwise(entity)
-
-
-def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
-    """(norm, kind, surrogate) for distinct (norm, kind): surrogates differ from each
-    other and from every entity. Of those that draw the same one the smallest entity keeps
-    it, the others draw again; a surrogate that is an entity itself is drawn again."""
-    known = cut(entities.distinct())
-    now = cut(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("norm"), F.col("kind"), F.lit(0), key)))
+        more = _syllables(SYLLABLES[s], salted, attempt)
+        own = _pick(names, salted, F.lit(-1))
+        given = F.when((gender == g) & (script == s), F.when(attempt == 0, own).otherwise(F.concat(own, more, F.lit(ENDINGS[g, s])))).otherwise(given)
+    # Family names grow where those of their length are taken.
+    grown = F.concat(plain, F.when(attempt > 3, _chars(F.array_join(F.array_repeat(F.substr(norm, F.length(norm), F.lit(1)), attempt - 3), ""), F.concat(salted, F.lit("m")))).otherwise(""))
+    made = F.when(kind == "email", email).when(kind.isin("hex", "ip6"), _chars(norm, salted, True)).when(kind == "token", token).when(kind == "ip", ip)
+    made = made.when(kind == "iban", F.concat(country, check, rest)).when(kind == "card", card).when(kind == "number", plain).when(kind == "phone", phone)
+    return made.when(kind == "given", F.lower(given)).otherwise(grown)
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """(norm, kind, gender, surrogate) for distinct (norm, kind, gender): surrogates differ
+    from each other and from every entity of their kind. Of those that draw the same one the
+    smallest entity keeps it, the others draw again; a surrogate that is an entity itself is
+    drawn again. Raises an error where a format's space has no room."""
+    known = cut(entities.select("norm", "kind", F.coalesce("gender", F.lit("")).alias("gender")).distinct())
+    now = cut(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("norm"), F.col("kind"), F.col("gender"), F.lit(0), key)))
+    real = known.select("kind", F.col("norm").alias("surrogate")).distinct().withColumn("is_entity", F.lit(True))
+    who = F.struct("norm", "gender")
     for _ in range(rounds):
-        low = F.lower("surrogate")
-        rivals = now.groupBy(low.alias("s")).agg(F.min("norm").alias("owner"), F.count("*").alias("n"))
-        real = known.select(F.lower("norm").alias("s")).distinct().withColumn("is_entity", F.lit(True))
-        bad = rivals.join(real, "s", "left").where((F.col("n") > 1) | F.col("is_entity")).select("s", "owner", F.coalesce("is_entity", F.lit(False)).alias("is_entity"))
-        bad = cut(bad)
+        rivals = now.groupBy("kind", "surrogate").agg(F.min(who).alias("owner"), F.count("*").alias("n"))
+        bad = cut(rivals.join(real, ["kind", "surrogate"], "left").where((F.col("n") > 1) | F.col("is_entity")).withColumn("is_entity", F.coalesce("is_entity", F.lit(False))))
         if bad.isEmpty():
             drop(bad)
-            break
-        # Spelled-out condition: rows whose surrogate is free keep it.
-        again = now.join(bad, F.lower(now.surrogate) == bad.s, "left")
-        redo = F.col("is_entity") | (F.col("owner") != F.col("norm"))
-        attempt = F.col("attempt") + F.when(F.coalesce(redo, F.lit(False)), 1).otherwise(0)
-        new = cut(again.select("norm", "kind", attempt.alias("attempt"), F.when(F.coalesce(redo, F.lit(False)), surrogate(F.col("norm"), F.col("kind"), attempt, key)).otherwise(F.col("surrogate")).alias("surrogate")))
+            return now.select("norm", "kind", "gender", "surrogate")
+        again = salted_join(now, bad.drop("n"), ["kind", "surrogate"], bad.select("kind", "surrogate", "n"), ["norm"], "left")
+        redo = F.coalesce(F.col("is_entity") | (F.col("owner") != who), F.lit(False))
+        attempt = F.col("attempt") + F.when(redo, 1).otherwise(0)
+        fresh = surrogate(F.col("norm"), F.col("kind"), F.col("gender"), attempt, key)
+        new = cut(again.select("norm", "kind", "gender", attempt.alias("attempt"), F.when(redo, fresh).otherwise(F.col("surrogate")).alias("surrogate")))
         drop(now)
         drop(bad)
         now = new
-    return now.select("norm", "kind", "surrogate")
-
-
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and n_entities.
-
-    Null and empty texts stay, with 0 entities. Equal entities get equal surrogates in all
-    rows, so repeated rows stay equal. An upper-case mention of a surrogate that stands
-    for a lower-case form is upper-case. n_chars, where there is such a column, follows the
-    text. An empty table gives an empty result; further columns go through unchanged."""
-    mine = "_pii_text"
-    cols = docs.columns
-    maybe = hinted(F.col("text"))
-    hit = docs.where(maybe).withColumn("_pii_e", found(F.col("text"))).where(F.size("_pii_e") > 0)
-    spans = hit.select(F.sha2("text", 256).alias("_pii_k"), F.col("_pii_e")).dropDuplicates(["_pii_k"])
-    spans = cut(spans)
-    each = spans.select("_pii_k", F.posexplode("_pii_e").alias("pos", "entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal(F.col("entity"), F.col("kind")))
-    table = surrogates(each.select("norm", "kind"), key)
-    shown = F.when((F.col("kind").isin("email", "secret")) & (F.col("entity") == F.upper("entity")) & (F.col("entity") != F.lower("entity")), F.upper("surrogate")).otherwise(F.col("surrogate"))
-    named = each.join(table, ["norm", "kind"]).select("_pii_k", F.struct("pos", shown.alias("s")).alias("p"))
-    named = named.groupBy("_pii_k").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]).alias("_pii_s"))
-    # A text is cut at its entities, and put together with surrogates between the pieces.
-    pieces = F.split(F.col("text"), PATTERN, -1)
-    changed = hit.withColumn("_pii_k", F.sha2("text", 256)).join(named, "_pii_k")
-    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_pii_s"), i), F.lit("")))), "")
-    changed = changed.withColumn(mine, whole)
-    clean = docs.where(~(maybe & (F.size(found(F.col("text"))) > 0)))
-    pick = lambda text, n: [text.alias("text") if c == "text" else F.length(text).cast(dict(docs.dtypes)["n_chars"]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in cols] + [n.cast("long").alias("n_entities")]
-    done = changed.select(*pick(F.col(mine), F.size("_pii_e")))
-    return clean.select(*[F.col(f"`{c}`") for c in cols], F.lit(0).cast("long").alias("n_entities")).unionByName(done)
+    full = [r["kind"] for r in now.where(F.col("attempt") >= rounds // 2).select("kind").distinct().limit(20).collect()]
+    raise RuntimeError(f"no free surrogates left for kinds {full}")
+
+
+def written(mention: Column, kind: Column, made: Column) -> Column:
+    """A mention with its surrogates ``made`` (an array) in its own format."""
+    first = F.element_at(made, 1)
+    shout = (mention == F.upper(mention)) & (mention != F.lower(mention))
+    # A number's characters come into the places of the mention's, from the right.
+    size = F.length(bare(mention))
+    source = F.substr(first, F.length(first) - size + 1)
+    place = lambda i: F.length(bare(F.substr(mention, F.lit(1), i + 1)))
+    number = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(source, place(i), F.lit(1))).otherwise(c)), "")
+    capital = lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
+    each = F.transform(made, lambda n: F.array_join(F.transform(F.split(n, "-"), capital), "-"))
+    name = F.concat(F.regexp_extract(mention, _TITLED, 0), F.array_join(each, " "))
+    return F.when(kind == "name", name).when(kind.isin("iban", "phone", "card", "number"), number).when(kind.isin("email", "hex", "ip6") & shout, F.upper(first)).otherwise(first)
+
+
+def replacements(mentions: DataFrame, key: str) -> DataFrame:
+    """(mention, shown) for distinct mentions. A given name after a form of address that
+    tells no gender has the gender that the corpus shows for it, else a keyed one."""
+    kinds = mentions.select("mention").withColumn("form", kind_of(F.col("mention")))
+    each = cut(kinds.select("mention", "form", F.posexplode(atoms(F.col("mention"), F.col("form"))).alias("pos", "a")).select("mention", "form", "pos", "a.kind", "a.norm", "a.gender"))
+    given = each.where("kind = 'given'")
+    coin = F.when(F.pmod(F.xxhash64(F.lit(key), "norm"), F.lit(2)) == 0, "f").otherwise("m")
+    told = given.groupBy("norm").agg(F.min("gender").alias("told")).select("norm", F.lit("given").alias("kind"), F.coalesce("told", coin).alias("told"))
+    each = each.join(told, ["norm", "kind"], "left").withColumn("gender", F.coalesce("gender", "told", F.lit(""))).drop("told")
+    each = cut(each)
+    made = surrogates(each.select("norm", "kind", "gender"), key)
+    counts = each.groupBy("norm", "kind", "gender").agg(F.count("*").alias("n"))
+    got = salted_join(each, made, ["norm", "kind", "gender"], counts, ["mention"])
+    got = got.groupBy("mention", "form").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
+    return got.select("mention", written(F.col("mention"), F.col("form"), F.col("made")).alias("shown"))
+
+
+def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and the number of entities in a column ``count``.
+
+    ``key`` is the secret on which all surrogates hang; who has it can test guesses. Null and
+    empty texts stay, with 0 entities. Equal entities get equal surrogates in all rows, so
+    repeated rows stay equal. An address in capitals stays in capitals. n_chars, where there
+    is such a column, follows the text. An empty table gives an empty result; further columns
+    go through unchanged, but for one named like ``count``, which gives way to it."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    cols = [c for c in docs.columns if count is None or c.lower() != count.lower()]
+    kinds = dict(docs.dtypes)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(cols)])
+    text = f"_{cols.index('text')}"
+    shown = lambda n: [F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"_{i}").alias(c) for i, c in enumerate(cols)] + ([n.cast("long").alias(count)] if count else [])
+    as_they_are = lambda n: [F.col(f"_{i}").alias(c) for i, c in enumerate(cols)] + ([n.cast("long").alias(count)] if count else [])
+    maybe = hinted(F.col(text))
+    # Rows with mentions, a small part, are numbered and written.
+    hit = own.where(maybe).withColumn("_e", found(F.col(text))).where(F.size("_e") > 0)
+    hit = cut(hit.withColumn("_p", F.split(text, PATTERN, -1)).withColumn("_row", F.monotonically_increasing_id()))
+    each = hit.select("_row", F.posexplode("_e").alias("pos", "mention"))
+    mentions = cut(each.groupBy("mention").agg(F.count("*").alias("n")))
+    table = cut(replacements(mentions, key))
+    named = salted_join(each, table, ["mention"], mentions, ["_row", "pos"])
+    named = named.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda p: p["shown"]).alias("_s"))
+    # A text is put together of its pieces with surrogates between them.
+    whole = F.array_join(F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_s"), i), F.lit("")))), "")
+    done = hit.join(named, "_row").withColumn(text, whole).select(*shown(F.size("_e")))
+    clean = own.where(~(maybe & F.coalesce(F.col(text).rlike(PATTERN), F.lit(False)))).select(*as_they_are(F.lit(0)))
+    drop(mentions)
+    return clean.unionByName(done)
