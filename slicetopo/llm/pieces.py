@@ -90,14 +90,15 @@ class Pieces:
         table = sorted((rolled([ord(c) for c in p]), r) for p, r in self.makes.items())
         self.hashes = np.array([h for h, _ in table], dtype=np.uint64)
         self.hash_rank = np.array([r for _, r in table], dtype=np.int64)
-        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[_short(self.hashes)] = True
+        self.maybe_pair = np.zeros(1 << 20, dtype=bool)
+        self.maybe_pair[_short(self.keys.astype(np.uint64))] = True
 
-    def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All that merges can make in words, as place << 20 | rank, one word after the other,
         and their number for each word. A chance equality of hashes adds one that no merge
         makes, which changes no result."""
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(size, kind="stable")
         row, cand = [], []
         for part in np.array_split(order, max(1, len(order) // 20_000)):
@@ -105,13 +106,16 @@ class Pieces:
                 continue
             width = max(1, int(size[part].max()))
             cp = np.array([words[i] for i in part], dtype=f"U{width}").view(np.uint32).reshape(len(part), width).astype(np.uint64)
-            h = cp
+            h, own = cp, size[part]
             for n in range(2, min(width, self.longest) + 1):
                 h = h[:, :-1] * BASE + cp[:, n - 1 :]
-                r, a = np.nonzero(self.maybe[_short(h)])
-                fits = a + n <= size[part][r]
-                r, a = r[fits], a[fits]
-                x = h[r, a]
+                wide = width - n + 1
+                flat = np.flatnonzero(self.maybe[_short(h)])
+                r = flat // wide
+                a = flat - r * wide
+                fits = a + n <= own[r]
+                r, a, flat = r[fits], a[fits], flat[fits]
+                x = h.ravel()[flat]
                 at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
                 real = self.hashes[at] == x
                 row.append(part[r[real]])
@@ -132,7 +136,7 @@ def rolled(codes: list[int]) -> int:
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    return (h * GOLD >> np.uint64(42)).astype(np.int64)
+    return (h * GOLD >> np.uint64(44)).view(np.int64)
 
 
 def _skip(salt, place, rank, limit: int):
@@ -147,21 +151,25 @@ def _skipped(salt, candidate, limit: int):
 def _look(m: Pieces, left, right, salt, place, limit: int):
     """Ranks of the pieces that pairs of symbols make, NONE for no or a skipped one."""
     key = left.astype(np.int64) << 20 | right.astype(np.int64)
-    at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-    rank = np.where((m.keys[at] == key) & (left >= 0) & (right >= 0), m.rank[at], NONE)
+    rank = np.full(len(key), NONE, dtype=np.int32)
+    # Characters without a piece are negative, and so is their key or its part.
+    some = np.flatnonzero(m.maybe_pair[_short(key.view(np.uint64))])
+    some = some[(left[some] >= 0) & (right[some] >= 0)]
+    at = np.minimum(np.searchsorted(m.keys, key[some]), len(m.keys) - 1)
+    real = m.keys[at] == key[some]
+    hit, own = some[real], m.rank[at[real]]
     if limit:
-        hit = np.flatnonzero(rank != NONE)
-        if len(hit):
-            rank[hit[_skip(salt[hit], place[hit], rank[hit], limit)]] = NONE
+        kept = ~_skip(salt[hit], place[hit], own, limit)
+        hit, own = hit[kept], own[kept]
+    rank[hit] = own
     return rank
 
 
-def _merge_short(m: Pieces, words: list[str], salt: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _merge_short(m: Pieces, words: list[str], lens: np.ndarray, salt: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words, one after the other, and their number for each word; a
     character without a piece is -1 - its code point."""
-    width = max(len(w) for w in words)
+    width = int(lens.max())
     cp = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.int64)
-    lens = np.array([len(w) for w in words])
     cols = np.arange(width)
     inside = cols[None, :] < lens[:, None]
     sym = np.where(m.char[cp] >= 0, m.char[cp], -1 - cp).astype(np.int32)
@@ -170,7 +178,9 @@ def _merge_short(m: Pieces, words: list[str], salt: np.ndarray, limit: int) -> t
     prv = np.broadcast_to(cols - 1, sym.shape).astype(np.int32).copy()
     rank = np.full(sym.shape, NONE, dtype=np.int32)
     if width > 1:
-        r, c = np.nonzero(inside[:, 1:])
+        flat = np.flatnonzero(inside[:, 1:])
+        r = flat // (width - 1)
+        c = flat - r * (width - 1)
         rank[r, c] = _look(m, sym[r, c], sym[r, c + 1], salt[r], c, limit)
     rows = np.arange(len(words))
     while len(rows):
@@ -246,6 +256,7 @@ class Memo:
 
     def clear(self) -> None:
         self.ids = Numbers()
+        self.size = np.zeros(0, dtype=np.int64)
         self.begin = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
         self.cands = np.zeros(0, dtype=np.uint64)
@@ -270,9 +281,15 @@ class Memo:
         if len(self.ids) > old:
             new = list(itertools.islice(self.ids, old, None))
             flat, n = np.zeros(0, dtype=np.uint64), np.zeros(len(new), dtype=np.int64)
-            loose = np.array([len(w) > SHORT or "\0" in w for w in new])
+            size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+            loose = size > SHORT
+            if "\0" in "".join(new):
+                loose |= np.array(["\0" in w for w in new])
+            self.size = np.concatenate([self.size, size])
             if limit:
-                flat, n = self.m.candidates(["" if x else w for w, x in zip(new, loose.tolist(), strict=True)])
+                if loose.any():
+                    new = ["" if x else w for w, x in zip(new, loose.tolist(), strict=True)]
+                flat, n = self.m.candidates(new, np.where(loose, 0, size))
                 loose |= n > CANDIDATES
                 flat, n = flat[np.repeat(~loose, n)], np.where(loose, -1, n)
             n[loose] = -1
@@ -307,15 +324,15 @@ def _in_bytes(m: Pieces, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray
     return wide, np.bincount(owner, minlength=len(lens))
 
 
-def _merged(m: Pieces, words: list[str], salt: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, one after the other, and their numbers; each with its own salt."""
-    size = np.fromiter((len(w) if "\0" not in w else SHORT + 1 for w in words), dtype=np.int64, count=len(words))
+def _merged(m: Pieces, words: list[str], size: np.ndarray, salt: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one after the other, and their numbers; each with its own salt. Words
+    of a size over SHORT are merged one by one."""
     at_all, flats, counts = [], [], []
     for lo, hi in ((0, 5), (5, 8), (8, 12), (12, 18), (18, SHORT)):
         at = np.flatnonzero((size > lo) & (size <= hi))
         for part in np.array_split(at, max(1, len(at) // 10000)):
             if len(part):
-                flat, n = _in_bytes(m, *_merge_short(m, [words[i] for i in part], salt[part], limit))
+                flat, n = _in_bytes(m, *_merge_short(m, [words[i] for i in part.tolist()], size[part], salt[part], limit))
                 at_all.append(part)
                 flats.append(flat)
                 counts.append(n)
@@ -388,16 +405,16 @@ def _encode(m: Pieces, texts: list, keys: np.ndarray, limit: int, seed: int, mem
     slot = np.fromiter(map(memo.slots.__getitem__, uniq.tolist()), dtype=np.int64, count=len(uniq))
     new = np.flatnonzero(slot >= old)
     if len(new):
-        at = kept[first[new[np.argsort(slot[new], kind="stable")]]]
-        flat, size = _merged(m, [segs[i] for i in at.tolist()], salt[at], limit)
-        memo.start = np.concatenate([memo.start, memo.add(flat, size)])
-        memo.lens = np.concatenate([memo.lens, size])
+        at = kept[first[new]]  # new slots are numbered in this order
+        flat, made = _merged(m, [segs[i] for i in at.tolist()], memo.size[rows[at]], salt[at], limit)
+        memo.start = np.concatenate([memo.start, memo.add(flat, made)])
+        memo.lens = np.concatenate([memo.lens, made])
     start, lens = np.zeros(len(segs), dtype=np.int64), np.zeros(len(segs), dtype=np.int64)
     start[kept], lens[kept] = memo.start[slot][back], memo.lens[slot][back]
     # Those that are not kept go behind the store.
     loose = np.flatnonzero(n < 0)
-    more, size = _merged(m, [segs[i] for i in loose.tolist()], salt[loose], limit)
-    start[loose], lens[loose] = memo.used + np.cumsum(size) - size, size
+    more, made = _merged(m, [segs[i] for i in loose.tolist()], np.full(len(loose), SHORT + 1), salt[loose], limit)
+    start[loose], lens[loose] = memo.used + np.cumsum(made) - made, made
     source = np.concatenate([memo.store[: memo.used], more]) if len(more) else memo.store
     flat = source[ragged(start, lens)]
     upto = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
