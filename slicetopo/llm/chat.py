@@ -10,6 +10,10 @@ is a span of its own. Each window holds the conversation's first turn if its rol
 system, then as many of the turns before the span as fit into the history budget, then
 the span. The loss mask covers the texts of assistant turns of the span; repeated turns
 are masked, so each assistant text counts once.
+
+A conversation is one row, an array of turns. Prefix sums and the walk from span to span
+are folds whose state is copied in chunks, and where a span or a history ends is found by
+halving, so the work grows with the number of turns (times its logarithm), not its square.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from .mixing import n_words
 
 BUDGET, HISTORY, MARKS = 512, 128, 4
+#: Entries that a fold copies at most for each new one.
+CHUNK = 256
 #: How characters are written; the backslash first.
 WRITTEN = (("\\", "\\\\"), ("[", "\\b"), ("]", "\\c"), ("<", "\\l"))
 BEGIN, END = "<s>", "</s>"
@@ -42,10 +48,47 @@ def unescape(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, r"\\\\", -1), rest), "\\")
 
 
+def _chunked(items: Column, kind: str, state: dict[str, Column], step) -> Column:
+    """A fold over an array that gives an array of a ``kind``. ``step``: from the state's
+    fields and an item to (whether there is an entry, the entry, the new fields). Entries are
+    kept in chunks, so that a long result isn't copied for each of them."""
+    none, empty = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    begin = F.struct(empty.alias("full"), none.alias("part"), *[c.alias(k) for k, c in state.items()])
+
+    def one(a: Column, item: Column) -> Column:
+        here, entry, new = step(a, item)
+        grown = F.concat(a["part"], F.array(entry.cast(kind)))
+        over = here & (F.size(a["part"]) >= CHUNK - 1)
+        full = F.when(over, F.concat(a["full"], F.array(grown))).otherwise(a["full"])
+        part = F.when(over, none).when(here, grown).otherwise(a["part"])
+        return F.struct(full.alias("full"), part.alias("part"), *[c.alias(k) for k, c in new.items()])
+
+    return F.aggregate(items, begin, one, lambda a: F.concat(F.flatten(a["full"]), a["part"]))
+
+
 def _running(values: Column) -> Column:
     """Prefix sums of an array of longs, from 0; one longer than the array."""
-    first = F.array(F.lit(0).cast("long"))
-    return F.aggregate(values, first, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    step = lambda a, v: (F.lit(True), a["sum"] + v, {"sum": a["sum"] + v})
+    return F.concat(F.array(F.lit(0).cast("long")), _chunked(values, "bigint", {"sum": F.lit(0).cast("long")}, step))
+
+
+def _chain(nexts: Column, first: Column, n: Column) -> Column:
+    """first, nexts[first], nexts[nexts[first]] ... below n."""
+    step = lambda a, goal: (a["at"] == a["goal"], a["at"], {"goal": F.when(a["at"] == a["goal"], goal).otherwise(a["goal"]), "at": a["at"] + 1})
+    found = _chunked(nexts, "int", {"goal": first.cast("int"), "at": F.lit(0)}, step)
+    # A conversation of nothing but a system turn is one span without turns.
+    return F.when(first < n, found).otherwise(F.array(first.cast("int")))
+
+
+def _last_below(rising: str, n: Column, most: Column) -> Column:
+    """The last place, 0 to n, of a rising array at which it is ``most`` at most; 0 if none."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"] + 1, 1)
+        fits = F.get(F.col(rising), mid) <= most
+        return F.struct(F.when(fits, mid).otherwise(a["lo"]).alias("lo"), F.when(fits, a["hi"]).otherwise(F.greatest(mid - 1, a["lo"])).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), halve, lambda a: a["lo"])
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -64,18 +107,19 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     conv = conv.withColumn("whole", whole)
     conv = conv.withColumn("cp", _running(F.col("cost"))).withColumn("lp", _running(F.transform("whole", lambda x: F.length(x).cast("long"))))
     free = F.lit(budget) - F.when(F.col("head") == 1, F.col("cost")[0]).otherwise(0) - history
-    begun = F.array(F.col("head"))
-    # A span ends where its prefix sum passes what is free.
-    later = F.when(F.col("head") + 1 < F.col("n"), F.sequence(F.col("head") + 1, F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    at = lambda arr, i: F.get(F.col(arr), i)
     conv = conv.withColumn("free", F.greatest(free, F.lit(1)))
-    starts = F.aggregate(later, begun, lambda acc, i: F.when(at("cp", i + 1) - at("cp", F.element_at(acc, -1)) > F.col("free"), F.concat(acc, F.array(i))).otherwise(acc))
-    conv = conv.withColumn("starts", starts)
+    at = lambda arr, i: F.get(F.col(arr), i)
+    # A span from a turn takes turns as long as their costs fit, and one at least.
+    nexts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.greatest(_last_below("cp", F.col("n"), at("cp", i) + F.col("free")), i + 1))
+    conv = conv.withColumn("starts", _chain(nexts, F.col("head"), F.col("n")))
 
     def window(a: Column, w: Column) -> Column:
         b = F.coalesce(F.get(F.col("starts"), w + 1), F.col("n"))
-        # Turns of the history: those whose cost up to the span fits.
-        h = a - F.when(w == 0, 0).otherwise(F.size(F.filter(F.slice("cp", F.col("head") + 1, a - F.col("head")), lambda c: at("cp", a) - c <= history)))
+        # The history begins with the first turn, but for the system turn, whose costs up to
+        # the span fit.
+        past = _last_below("cp", F.col("n"), at("cp", a) - history - 1)
+        first_in = F.when(at("cp", a) > history, past + 1).otherwise(0)
+        h = F.when(w == 0, a).otherwise(F.greatest(first_in, F.col("head")))
         top = F.lit(len(BEGIN)) + F.when(F.col("head") == 1, at("lp", F.lit(1))).otherwise(0)
         first = F.when(F.col("head") == 1, F.col("whole")[0]).otherwise("")
         text = F.concat(F.lit(BEGIN), first, F.array_join(F.slice("whole", h + 1, b - h), ""))

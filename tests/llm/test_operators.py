@@ -83,7 +83,7 @@ def test_short_and_long_segments_merge_alike(spark):
     model = pieces.Pieces(pieces.default_model())
     for w in (" international", " unbelievably", " aaaaaaaab", "  xx"):
         for salt in range(20):
-            flat, n = pieces._merge_short(model, [w], np.array([salt], dtype=np.uint64), 2**62)
+            flat, n = pieces._merge_short(model, [w], np.array([len(w)]), np.array([salt], dtype=np.uint64), 2**62)
             assert flat.tolist() == pieces._merge_long(model, w, np.uint64(salt), 2**62)
 
 
@@ -117,7 +117,7 @@ def test_dropout_against_naive_merging():
             flat = pieces.encode(model, [text], np.array([key], dtype=np.uint64), 0.3, memo=memory)[0].tolist()
             want = []
             for j, seg in enumerate(pieces.SEGMENT.findall(" " + text)):
-                salt = pieces.mix(np.array([key], dtype=np.uint64) + pieces.GOLD * np.uint64(j + 1000 + pieces.SEED))[0]
+                salt = pieces.mix(np.array([key], dtype=np.uint64) + pieces.GOLD * np.array([j + 1000 + pieces.SEED], dtype=np.uint64))[0]
                 for p in naive_merge(model, seg, salt, limit):
                     want.append(p.encode())
             got = [model.raw[i] for i in flat]
@@ -457,6 +457,47 @@ def test_chat_digests_and_budget(spark):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+def naive_windows(turns, budget=chat.BUDGET, history=chat.HISTORY):
+    """(history's first turn, span's first, span's end) of each window, turn by turn."""
+    cost = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) + chat.MARKS for _, x in turns]
+    head = int(turns[0][0] == "system")
+    free = max(1, budget - head * cost[0] - history)
+    out, a = [], head
+    while True:
+        b = a
+        while b < len(turns) and (b == a or sum(cost[a : b + 1]) <= free):
+            b += 1
+        h = a
+        while out and h > head and sum(cost[h - 1 : a]) <= history:
+            h -= 1
+        out.append((h, a, b))
+        if b >= len(turns):
+            return out
+        a = b
+
+
+def test_windows_against_naive_spans_of_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 7)
+    rng = random.Random(66)
+    rows = []
+    for c in range(12):
+        roles = (["system"] if c % 2 else []) + [("user", "assistant")[i % 2] for i in range(rng.choice([0, 1, 40, 700]))]
+        rows += [(c, i, r, prose(rng, rng.choice([0, 1, 3, 20, 90, 600])) if len(roles) < 100 else prose(rng, rng.choice([1, 200, 380]))) for i, r in enumerate(roles)]
+    rows += [(50, i, "user", "x" * 50000 + " y" * 2000) for i in range(3)]
+    got = {r.conv_id: r.windows for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    by = {}
+    for c, _, r, x in rows:
+        by.setdefault(c, []).append((r, x))
+    for c, turns in by.items():
+        spans = naive_windows(turns)
+        assert len(spans) == len(got[c])
+        first = f"[system]{turns[0][1]}</s>" if turns[0][0] == "system" else ""
+        for w, (h, a, b) in zip(got[c], spans, strict=True):
+            said = lambda lo, hi: "".join(f"[{r}]{x}</s>" for r, x in turns[lo:hi])
+            assert w.text == "<s>" + first + said(h, b) and w.n_repeated == a - h
+            assert w.new_from == len("<s>" + first + said(h, a))
+
+
 # 7 ---------------------------------------------------------------------------
 
 
