@@ -1,13 +1,17 @@
 """Operator 2, language identification by mixture inference.
 
 Training counts letter trigrams (with word ends) per language over all training rows.
-For a document every word has, per language, a log likelihood: the mean log
-probability of its trigrams times their number, damped so that long words don't
-dominate. Expectation-maximisation over the words estimates the proportions of the
-languages. The language set is chosen by penalised likelihood: starting from all
-languages, the one with the smallest proportion is left out as long as the likelihood,
-less a penalty for each language, does not fall. The label is the language with the
-largest proportion, the score its proportion times how surely it beats the others.
+For a document every word has, per language, a likelihood: the product of its trigrams'
+probabilities, relative to the word's best language, never below exp(-40), and mixed with
+a 0.1 % share that any language may have any word. Expectation-maximisation over the words
+estimates the proportions of the languages. The language set is chosen by penalised
+likelihood: starting from all languages, the one with the smallest proportion (the first of
+equal ones) is left out as long as the likelihood, less a penalty for each language, does
+not fall. The label is the language with the largest proportion (the first of equal ones),
+the score its proportion times how surely it beats the others.
+
+Words are counted in parts of a text of bounded size; a text's repeated words are one row
+with a count, so the memory follows the distinct words of a part, times the languages.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import mix, ragged, tune
 
 #: Trigram classes; a model has this many numbers for each language.
 WIDTH = 1 << 16
@@ -66,13 +70,13 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g, sizes, words
 
 
-def parts(texts: list):
-    """Runs of texts with about CHUNK characters, so that very long texts don't add up."""
+def parts(texts: list, most: int = CHUNK):
+    """Runs of texts with about ``most`` characters, so that very long texts don't add up."""
     run, size = [], 0
     for t in texts:
         run.append(t)
         size += len(t or "")
-        if size > CHUNK:
+        if size > most:
             yield run
             run, size = [], 0
     if run:
@@ -107,19 +111,36 @@ def train(rows: DataFrame) -> dict:
     return {"names": names, "logp": np.log(table / table.sum(axis=0)).astype(np.float32)}
 
 
-def _loglik(p: np.ndarray, like: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(np.log(np.maximum((like * p[doc]).sum(axis=1), 1e-300)), starts)
+def _loglik(p: np.ndarray, like: np.ndarray, times: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(times * np.log(np.maximum((like * p[doc]).sum(axis=1), 1e-300)), starts)
 
 
-def _em(like: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: np.ndarray, on: np.ndarray) -> np.ndarray:
+def _em(like: np.ndarray, times: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Proportions of the languages of ``on`` in each document. ``times``: how often each
+    word stands in its document, ``n``: words of the documents."""
     p = on / on.sum(axis=1, keepdims=True)
     for _ in range(STEPS):
         r = like * p[doc]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        r *= (times / np.maximum(r.sum(axis=1), 1e-300))[:, None]
         p = np.add.reduceat(r, starts, axis=0) / n[:, None]
     return p
 
 
+def _folded(g: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence of each distinct (document, word), by document, and how often it
+    stands there. Words are told apart by two digests of their trigram classes."""
+    begin = np.cumsum(sizes) - sizes
+    place = (np.arange(len(g)) - np.repeat(begin, sizes) + 1).astype(np.uint64)
+    mixed = g.astype(np.uint64) + place * np.uint64(1 << 20)
+    digests = [np.add.reduceat(mix(mixed + np.uint64(salt)), begin) for salt in (1, 2)]
+    order = np.lexsort((digests[1], digests[0], doc))
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for x in (doc, *digests):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+
+
 def infer(model: dict, texts: list) -> tuple[list[str], np.ndarray, list[dict]]:
     """Label, score and proportions of each text."""
     names, logp = model["names"], model["logp"]
@@ -129,29 +150,39 @@ def infer(model: dict, texts: list) -> tuple[list[str], np.ndarray, list[dict]]:
     if not len(names) or not len(has):
         return labels, scores, mixes
     n = words[has]
-    starts = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(has)), n)
-    ll = np.add.reduceat(logp[g], np.cumsum(sizes) - sizes, axis=0).astype(np.float64)
+    at, times = _folded(g, sizes, doc)
+    begin = np.cumsum(sizes) - sizes
+    doc, own = doc[at], ragged(begin[at], sizes[at])
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    ll = np.add.reduceat(logp[g[own]], np.cumsum(sizes[at]) - sizes[at], axis=0).astype(np.float64)
     ll -= ll.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(ll, -40))
     like = 0.999 * like + 0.001  # a word may be in no language
     on = np.ones((len(has), len(names)))
-    p = _em(like, starts, doc, n, on)
-    best = _loglik(p, like, starts, doc) - PENALTY * on.sum(axis=1)
-    for _ in range(len(names) - 1):
-        low = np.where(on > 0, p, np.inf).argmin(axis=1)
-        less = on.copy()
-        less[np.arange(len(has)), low] = 0
-        open_ = less.sum(axis=1) > 0
-        less[~open_] = on[~open_]
-        q = _em(like, starts, doc, n, less)
-        new = _loglik(q, like, starts, doc) - PENALTY * less.sum(axis=1)
-        better = open_ & (new >= best)
-        if not better.any():
+    p = _em(like, times, starts, doc, n, on)
+    best = _loglik(p, like, times, starts, doc) - PENALTY * on.sum(axis=1)
+    # Documents that still lose languages, and their words.
+    open_, rows = np.arange(len(has)), np.arange(len(doc))
+    while len(open_) and len(names) > 1:
+        less = on[open_].copy()
+        low = np.where(less > 0, p[open_], np.inf).argmin(axis=1)
+        less[np.arange(len(open_)), low] = 0
+        some = less.sum(axis=1) > 0
+        open_, less = open_[some], less[some]
+        keep = np.isin(doc[rows], open_)
+        rows = rows[keep]
+        if not len(rows):
             break
-        on[better], p[better], best[better] = less[better], q[better], new[better]
+        number = np.searchsorted(open_, doc[rows])
+        begin_ = np.flatnonzero(np.diff(number, prepend=-1))
+        q = _em(like[rows], times[rows], begin_, number, n[open_], less)
+        new = _loglik(q, like[rows], times[rows], begin_, number) - PENALTY * less.sum(axis=1)
+        better = new >= best[open_]
+        open_ = open_[better]
+        on[open_], p[open_], best[open_] = less[better], q[better], new[better]
     top = p.argmax(axis=1)
-    one = np.add.reduceat(np.log(like), starts, axis=0)
+    one = np.add.reduceat(times[:, None] * np.log(like), starts, axis=0)
     one -= one.max(axis=1, keepdims=True)
     post = np.exp(np.maximum(one, -60))
     post = post[np.arange(len(has)), top] / post.sum(axis=1)
@@ -169,7 +200,7 @@ def _run(shared):
         for b in batches:
             texts = b.column("text").to_pylist()
             labels, scores, mixes = [], [], []
-            for part in parts(texts):
+            for part in parts(texts, CHUNK // max(1, len(m["names"]) // 16)):
                 x, y, z = infer(m, part)
                 labels += x
                 scores += y.tolist()
@@ -184,8 +215,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score, mixture) for every row.
 
     Null texts and texts without a letter are `und` with score 0 and an empty mixture; so
-    is every text when no language was learned. Rows with a null lang teach nothing. Equal
-    proportions: the first language in order. Repeated rows get equal results; an empty
+    is every text when no language was learned. Rows with a null lang teach nothing. Of
+    languages that fit alike the last in order stays. Repeated rows get equal results; an empty
     table gives an empty result; further columns are ignored."""
     spark = docs.sparkSession
     tune(spark, 1024)
