@@ -12,12 +12,12 @@ are not. A group larger than a shard fills shards one after the other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, drop, prefix_sums
+from .common import bucket_of, cut, drop, prefix_sums, salted_join
 
-SHARDS, ROUNDS, SEED = 24, 3, 5
+SHARDS, ROUNDS, SEED = 24, 12, 5
 
 
 def _unit(h: Column) -> Column:
@@ -42,13 +42,15 @@ def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = R
     base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("text_crc32"), link.alias("link"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     base = cut(base)
     n = base.count()
-    members = base.where("link is not null").groupBy("link").agg(F.count("*").alias("m")).where("m > 1")
+    members = cut(base.where("link is not null").groupBy("link").agg(F.count("*").alias("m")).where("m > 1"))
+    counts = members.select("link", F.col("m").alias("n"))
     # Quotas: counts at most one apart.
     low, more = divmod(n, shards)
     quota = lambda s: F.lit(low) + F.when(s < more, 1).otherwise(0)
     start = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(shards)).cast("int").alias("shard")
-    linked = cut(base.join(members, "link").select("doc_id", "size", "text_crc32", "link", "h", (F.col("m") / F.lit(float(max(n, 1)))).alias("share"), start))
-    alone = base.join(members.select(F.col("link").alias("_l")), F.col("link") == F.col("_l"), "left_anti").select("doc_id", "size", "text_crc32", "link", "h", F.lit(0.0).alias("share"), start)
+    linked = cut(salted_join(base, members, ["link"], counts, ["h", "doc_id"]).select("doc_id", "size", "text_crc32", "link", "h", (F.col("m") / F.lit(float(max(n, 1)))).alias("share"), start))
+    free = salted_join(base, members, ["link"], counts, ["h", "doc_id"], "left").where("m is null")
+    alone = free.select("doc_id", "size", "text_crc32", "link", "h", F.lit(0.0).alias("share"), start)
     # Linked documents take at most a shard's quota, so that no shard needs to give them up.
     for r in range(rounds):
         here = linked.groupBy("link", "shard").agg(F.count("*").alias("c"))
@@ -58,7 +60,7 @@ def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = R
         wish = here.groupBy("link").agg(F.transform(F.slice(best, F.lit(1), F.least(need, F.lit(shards))), lambda x: x["shard"]).alias("wants"))
         load = linked.groupBy("shard").agg(F.count("*").alias("load"))
         every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("want")).join(load, F.col("want") == F.col("shard"), "left").select("want", F.greatest(quota(F.col("want")) - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
-        wishing = linked.join(wish, "link")
+        wishing = salted_join(linked, cut(wish), ["link"], counts, ["h", "doc_id"])
         goal = F.get(F.col("wants"), F.pmod(F.xxhash64("h", F.lit(seed + r)), F.size("wants")).cast("int"))
         movers = wishing.where(~F.array_contains("wants", F.col("shard"))).withColumn("want", goal).drop("wants")
         total = movers.groupBy("want").agg(F.count("*").alias("movers"))
@@ -66,10 +68,15 @@ def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = R
         ranked = movers.join(F.broadcast(every), "want").join(F.broadcast(total), "want").withColumn("one", F.lit(1)).withColumn("u", _place(F.col("link"), F.col("h"), F.col("share"), seed + r)).withColumn("bucket", bucket_of(F.col("u"), F.col("movers") * 2))
         ranked = prefix_sums(ranked, ["want"], "bucket", ["u", "link", "h"], {"rank": "one"})
         stay = wishing.where(F.array_contains("wants", F.col("shard"))).select(*linked.columns)
-        moved = ranked.withColumn("shard", F.when(F.col("rank") < F.col("room"), F.col("want")).otherwise(F.col("shard"))).select(*linked.columns)
+        goes = F.col("rank") < F.col("room")
+        moved = ranked.withColumn("_moved", goes).withColumn("shard", F.when(goes, F.col("want")).otherwise(F.col("shard"))).select(*linked.columns, "_moved")
+        note = Observation()
+        moved = moved.observe(note, F.count_if("_moved").alias("n")).drop("_moved")
         new = cut(stay.unionByName(moved))
         drop(linked)
         linked = new
+        if not note.get["n"]:
+            break
     all_ = cut(linked.withColumn("free", F.lit(0)).unionByName(alone.withColumn("free", F.lit(1))))
     # Within a shard linked documents come first, by group; the tail beyond the quota goes on.
     u = F.when(F.col("free") == 1, 0.5 + _unit(F.xxhash64("h", F.lit(seed))) / 2).otherwise(_place(F.col("link"), F.col("h"), F.col("share"), seed) / 2)
@@ -102,6 +109,15 @@ def balance(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = R
     return keep.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "link")
 
 
+def cut_groups(placed: DataFrame) -> DataFrame:
+    """(link, n, shards, least) of linked groups that are in more shards than the ``least``
+    that their rows need; ``placed`` is what :func:`balance` gave."""
+    full = placed.groupBy("shard").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 1
+    per = placed.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("c"))
+    groups = per.groupBy("link").agg(F.sum("c").alias("n"), F.count("*").alias("shards")).withColumn("least", F.ceil(F.col("n") / F.lit(full)))
+    return groups.where(F.col("shards") > F.col("least"))
+
+
 def equal_text(docs: DataFrame) -> Column:
     """Links documents with equal texts; null texts link with nothing."""
     return F.when(F.col("text").isNotNull(), F.sha2("text", 256))
