@@ -68,6 +68,9 @@ class Pieces:
         for i in plain:
             ids[names[i].replace("▁", " ")] = i
             self.raw[i] = names[i].replace("▁", " ").encode()
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw], dtype=np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         self.char = np.full(0x110000, -1, dtype=np.int32)
         for p, i in ids.items():
@@ -238,6 +241,10 @@ def _merge_long(m: Pieces, word: str, salt: np.uint64, limit: int) -> list[int]:
     return [s for s, d in zip(sym, dead, strict=True) if not d]
 
 
+#: Marks of segments without candidates: never kept, or met once only.
+NEVER, ONCE = -1, -2
+
+
 class Numbers(dict):
     """Numbers segments in the order in which they are first asked for."""
 
@@ -270,8 +277,9 @@ class Memo:
         self.used = 0
 
     def rows(self, segs: list[str], limit: int) -> np.ndarray:
-        """Numbers of segments; new ones are added with their candidates. A segment that is
-        not kept, being long or holding a zero character, has -1 candidates."""
+        """Numbers of segments. A segment's candidates are looked up when it is met for the
+        second time; until then it has ONCE candidates, and NEVER if it is not kept, being
+        long, rich in candidates, or holding a zero character."""
         if len(self.ids) > MOST_SEGMENTS:
             self.clear()
         elif len(self.slots) > MOST_RESULTS:
@@ -280,22 +288,27 @@ class Memo:
         out = np.fromiter(map(self.ids.__getitem__, segs), dtype=np.int64, count=len(segs))
         if len(self.ids) > old:
             new = list(itertools.islice(self.ids, old, None))
-            flat, n = np.zeros(0, dtype=np.uint64), np.zeros(len(new), dtype=np.int64)
             size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            loose = size > SHORT
-            if "\0" in "".join(new):
-                loose |= np.array(["\0" in w for w in new])
+            if "\0" in "".join(new):  # arrays of text would lose it
+                size[np.array(["\0" in w for w in new])] = SHORT + 1
+            n = np.where(size > SHORT, NEVER, ONCE)
             self.size = np.concatenate([self.size, size])
+            self.count = np.concatenate([self.count, n])
+            self.begin = np.concatenate([self.begin, np.zeros(len(new), dtype=np.int64)])
+        times = np.bincount(out, minlength=len(self.ids))
+        times[:old] *= 2
+        again = np.flatnonzero((self.count == ONCE) & (times > 1))
+        if len(again):
+            at = np.empty(len(self.ids), dtype=np.int64)
+            at[out] = np.arange(len(out))
+            flat, n = np.zeros(0, dtype=np.uint64), np.zeros(len(again), dtype=np.int64)
             if limit:
-                if loose.any():
-                    new = ["" if x else w for w, x in zip(new, loose.tolist(), strict=True)]
-                flat, n = self.m.candidates(new, np.where(loose, 0, size))
-                loose |= n > CANDIDATES
-                flat, n = flat[np.repeat(~loose, n)], np.where(loose, -1, n)
-            n[loose] = -1
+                flat, n = self.m.candidates([segs[i] for i in at[again].tolist()], self.size[again])
+                many = n > CANDIDATES
+                flat, n = flat[np.repeat(~many, n)], np.where(many, NEVER, n)
             held = np.maximum(n, 0)
-            self.begin = np.concatenate([self.begin, len(self.cands) + np.cumsum(held) - held])
-            self.count = np.concatenate([self.count, n])
+            self.begin[again] = len(self.cands) + np.cumsum(held) - held
+            self.count[again] = n
             self.cands = np.concatenate([self.cands, flat])
         return out
 
@@ -413,7 +426,7 @@ def _encode(m: Pieces, texts: list, keys: np.ndarray, limit: int, seed: int, mem
     start[kept], lens[kept] = memo.start[slot][back], memo.lens[slot][back]
     # Those that are not kept go behind the store.
     loose = np.flatnonzero(n < 0)
-    more, made = _merged(m, [segs[i] for i in loose.tolist()], np.full(len(loose), SHORT + 1), salt[loose], limit)
+    more, made = _merged(m, [segs[i] for i in loose.tolist()], memo.size[rows[loose]], salt[loose], limit)
     start[loose], lens[loose] = memo.used + np.cumsum(made) - made, made
     source = np.concatenate([memo.store[: memo.used], more]) if len(more) else memo.store
     flat = source[ragged(start, lens)]
@@ -427,6 +440,16 @@ def decode(m: Pieces, ids) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def same_again(m: Pieces, ids: list[np.ndarray], texts: list) -> list[bool]:
+    """Whether decoding ids gives their texts, for all of a batch at once."""
+    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    size = m.raw_size[flat]
+    got = m.raw_bytes[ragged(m.raw_start[flat], size)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, ids)])].tolist()
+    want = ((" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+    return [got[a:b] == w for a, b, w in zip(ends[:-1], ends[1:], want, strict=True)]
+
+
 def _run(shared, dropout: float, seed: int):
     def run(batches):
         m = shared.value
@@ -438,7 +461,7 @@ def _run(shared, dropout: float, seed: int):
             n = np.array([len(x) for x in ids], dtype=np.int64)
             first, last = int(m.byte.min()), int(m.byte.max())
             in_bytes = np.array([int(((x >= first) & (x <= last)).sum()) for x in ids], dtype=np.int64)
-            lossless = [decode(m, x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            lossless = same_again(m, ids, texts)
             digest = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
             offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32))

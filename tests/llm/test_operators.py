@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,6 +74,8 @@ def test_pieces_match_the_library_and_decode(spark):
     for seed in range(4):
         got = pieces.encode(model, texts, keys, 0.3, seed=seed)
         assert [pieces.decode(model, x) for x in got] == [t or "" for t in texts]
+        assert pieces.same_again(model, got, texts) == [True] * len(texts)
+        assert pieces.same_again(model, got, ["Hello"] + texts[1:]) == [False] + [True] * (len(texts) - 1)
         again = pieces.encode(model, texts, keys, 0.3, seed=seed)
         assert all((a == b).all() for a, b in zip(got, again, strict=True))
         seen.add(tuple(got[0].tolist()))
@@ -162,6 +165,52 @@ def test_language_held_out_and_mixture(spark):
     assert labels[1:] == ["und", "und"] and scores[2] == 0
 
 
+def naive_em(like, on, steps):
+    """Proportions and log likelihood of one document, language by language and word by word."""
+    names = [k for k in range(len(on)) if on[k]]
+    p = {k: 1 / len(names) for k in names}
+    for _ in range(steps):
+        new = dict.fromkeys(names, 0.0)
+        for word in like:
+            total = sum(word[k] * p[k] for k in names)
+            for k in names:
+                new[k] += word[k] * p[k] / total
+        p = {k: v / len(like) for k, v in new.items()}
+    return p, sum(np.log(sum(word[k] * p[k] for k in names)) for word in like)
+
+
+def test_mixtures_against_naive_em(spark):
+    """Proportions, the set by penalised likelihood, and the label, document by document."""
+    rng = random.Random(22)
+    say = lambda lang, n: " ".join(rng.choice(TONGUES[lang]) + rng.choice(["", "s", "er"]) for _ in range(n))
+    langs = list(TONGUES)
+    model = language.train(docs_of(spark, [say(langs[i % 3], 40) for i in range(60)], langs))
+    texts = [say("aa", rng.randrange(1, 9)) + " " + say(rng.choice(langs), rng.randrange(0, 30)) for _ in range(25)] + ["word", "a b c"]
+    labels, scores, mixes = language.infer(model, texts)
+    for t, label, mixture in zip(texts, labels, mixes, strict=True):
+        g, sizes, _ = language.grams([t])
+        like, at = [], 0
+        for n in sizes.tolist():
+            ll = model["logp"][g[at : at + n]].sum(axis=0).astype(float)
+            at += n
+            like.append(0.999 * np.exp(np.maximum(ll - ll.max(), -40)) + 0.001)
+        on = [1] * len(langs)
+        p, ll = naive_em(like, on, language.STEPS)
+        best = ll - language.PENALTY * len(langs)
+        while sum(on) > 1:
+            low = min(p, key=lambda k: (p[k], k))
+            less = [x and k != low for k, x in enumerate(on)]
+            q, ll = naive_em(like, less, language.STEPS)
+            if ll - language.PENALTY * sum(less) < best:
+                break
+            on, p, best = less, q, ll - language.PENALTY * sum(less)
+        assert label == model["names"][max(p, key=lambda k: (p[k], -k))]
+        assert {k: round(v, 6) for k, v in mixture.items()} == {model["names"][k]: round(v, 6) for k, v in p.items() if v > 1e-3}
+    # Of languages that fit alike the first is left out first.
+    flat = {"names": ["aa", "bb"], "logp": np.zeros((language.WIDTH, 2), dtype=np.float32)}
+    assert language.infer(flat, ["one two"])[0] == ["bb"]
+
+
 def test_language_edges(spark, odd):
     model = language.train(odd.where("lang is not null and text is not null"))
     got = {r.doc_id: r.lang_pred for r in language.identify(odd, model).collect()}
@@ -794,6 +843,53 @@ def test_sharding(spark, hot):
     assert len({r.shard for r in out if texts[r.doc_id] == "pair é"}) == 1
 
 
+def naive_propagation(groups, n, shards, rng):
+    """Groups cut by plain label propagation: everyone starts at random; in turn, each member
+    goes where most of its group is, if a place is free there; then counts are evened out by
+    rows without a group."""
+    quota = [n // shards + (s < n % shards) for s in range(shards)]
+    at = {(g, i): rng.randrange(shards) for g, m in groups.items() for i in range(m)}
+    load = Counter(at.values())
+    for _ in range(12):
+        for (g, i), s in list(at.items()):
+            best = Counter(at[g, j] for j in range(groups[g])).most_common(1)[0][0]
+            if best != s and load[best] < quota[best]:
+                at[g, i] = best
+                load[s] -= 1
+                load[best] += 1
+    return sum(len({at[g, j] for j in range(m)}) > 1 for g, m in groups.items())
+
+
+@pytest.mark.parametrize("hot", [512, 4])
+def test_sharding_cuts_no_more_groups_than_naive_propagation(spark, monkeypatch, hot):
+    from slicetopo.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(101)
+    groups = {f"group {g}": rng.choice([2, 2, 3, 5, 9]) for g in range(60)}
+    texts = [g for g, m in groups.items() for _ in range(m)] + [prose(rng, 6) for _ in range(400)]
+    df = docs_of(spark, texts)
+    out = sharding.balance(df, sharding.equal_text(df)).cache()
+    rows = out.collect()
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    cut_now = {g for g in groups if len(where[g]) > 1}
+    assert len(cut_now) <= naive_propagation(groups, len(texts), 24, rng)
+    assert sharding.cut_groups(out).count() == len(cut_now)
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 24
+    assert sorted(map(tuple, sharding.balance(df.repartition(7), sharding.equal_text(df)).select("doc_id", "shard", "slot").collect())) == sorted((r.doc_id, r.shard, r.slot) for r in rows)
+
+
+def test_sharding_of_equal_rows(spark):
+    """Rows equal in id and text are rows of their own: each has its place."""
+    df = docs_of(spark, ["x y z"] * 3).unionByName(docs_of(spark, ["x y z"] * 3)).unionByName(docs_of(spark, ["other", None]))
+    out = sharding.balance(df, sharding.equal_text(df), shards=3).collect()
+    assert Counter(r.doc_id for r in out) == {0: 3, 1: 3, 2: 2}
+    assert len({(r.shard, r.slot) for r in out}) == 8 and sorted(Counter(r.shard for r in out).values()) == [2, 3, 3]
+
+
 def test_sharding_edges(spark, odd):
     out = sharding.balance(odd, sharding.equal_text(odd)).collect()
     assert len(out) == 8 and len({r.shard for r in out}) == 8 and {r.slot for r in out} == {0}
