@@ -6,40 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import naming, scalars
 from .operators import boxes as B
-from .operators import filters, slices
+from .operators import filters, labels, logical, metrics, report, slices, structures
+from .oracles import ORACLES
 from .plans import definitions as D
-
-# ---- SQL of the box fixtures ------------------------------------------------
-
-B1 = """
-b1 AS (SELECT set_id, roi, z, x0, x0 + 2 * (p % 5 + 1) AS x1, p % 8 AS y0, p % 8 + 2 * (o % 5 + 1) AS y1 FROM (
-  SELECT CAST(l_suppkey // 40 AS BIGINT) AS set_id, CAST(l_suppkey % 40 AS BIGINT) AS roi, CAST(l_linenumber AS BIGINT) AS z,
-    CAST(floor(l_quantity / 4) AS BIGINT) AS x0, CAST(l_partkey AS BIGINT) AS p, CAST(l_orderkey AS BIGINT) AS o,
-    row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1)"""
-B2 = """
-b2k AS (SELECT CAST(s_suppkey // 60 AS BIGINT) AS set_id, CAST(s_suppkey % 60 AS BIGINT) AS k FROM supplier),
-b2r AS (SELECT set_id, k, k AS roi FROM b2k UNION ALL SELECT set_id, k, k + 1000 FROM b2k WHERE k % 15 = 0),
-b2 AS (SELECT *, (x1 - x0) * (y1 - y0) * (z1 - z0 + 1) AS volume FROM (SELECT set_id, roi, k % 6 AS x0, k % 6 + 2 * (1 + k % 4) AS x1,
-  (7 * k) % 5 AS y0, (7 * k) % 5 + 2 * (1 + (k // 4) % 4) AS y1, k % 3 AS z0, k % 3 + 1 + (k // 3) % 3 AS z1 FROM b2r))"""
-
-
-def _cells(a: str, b: str) -> str:
-    ox, oy = (f"(least({a}.{u}1, {b}.{u}1) - greatest({a}.{u}0, {b}.{u}0))" for u in "xy")
-    out = lambda p, q: f"({p}.x0 < {q}.x0 OR {p}.x1 > {q}.x1 OR {p}.y0 < {q}.y0 OR {p}.y1 > {q}.y1)"
-    same = lambda u: f"({a}.{u}0 IN ({b}.{u}0, {b}.{u}1) OR {a}.{u}1 IN ({b}.{u}0, {b}.{u}1))"
-    return f"""262657 * (1 + CASE WHEN {ox} > 0 AND {oy} > 0 THEN 256 ELSE 0 END + CASE WHEN {out(a, b)} THEN 64 ELSE 0 END
-  + CASE WHEN {out(b, a)} THEN 4 ELSE 0 END + CASE WHEN ({same("x")} AND {oy} > 0) OR ({same("y")} AND {ox} > 0) THEN 16 ELSE 0 END)"""
-
-
-NAME = "CASE " + " ".join(f"WHEN bits & {d.mask} = {d.value} THEN '{d.name}'" for d in D.DEFINITIONS if d.mask) + " ELSE 'UNKNOWN' END"
-RANK_SQL = "CASE relation " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(D.RANK, 1)) + " ELSE 99 END"
-SLICE_REL = f"""{B1}, sr AS (SELECT *, {NAME} AS relation FROM (SELECT a.set_id, a.roi AS roi_a, b.roi AS roi_b, a.z, CAST({_cells("a", "b")} AS INTEGER) AS bits
-  FROM b1 a JOIN b1 b ON a.set_id = b.set_id AND a.z = b.z AND a.roi < b.roi))"""
-PAIR_REL = f"""{B2}, pr AS (SELECT *, {NAME} AS relation FROM (SELECT set_id, roi_a, roi_b, CAST(bit_or(bits) AS INTEGER) AS bits FROM (
-  SELECT a.set_id, a.roi AS roi_a, b.roi AS roi_b, CASE WHEN s.z BETWEEN a.z0 AND a.z1 AND s.z BETWEEN b.z0 AND b.z1 THEN {_cells("a", "b")}
-    WHEN s.z BETWEEN a.z0 AND a.z1 THEN 262657 * 73 WHEN s.z BETWEEN b.z0 AND b.z1 THEN 262657 * 7 ELSE 0 END AS bits
-  FROM b2 a JOIN b2 b ON a.set_id = b.set_id AND (a.volume > b.volume OR (a.volume = b.volume AND a.roi < b.roi))
-  CROSS JOIN (SELECT unnest(range(0, 8)) AS z) s) GROUP BY ALL))"""
+from .session import written
+from .sources import generators as G
 
 # ---- queries ----------------------------------------------------------------
 
@@ -69,14 +40,6 @@ def filter_rule_report(s, d):
     return out.select("roi", F.col("SelectedByDefault").alias("selected"), F.col("DisplayedByDefault").alias("displayed"), F.concat_ws(",", "MatchedRules").alias("matched"), F.col("FinalMatch").alias("final"), F.col("FilterReason").alias("reason"))
 
 
-RULE_SQL = """
-m AS (SELECT p_partkey AS roi, lower(p_type) LIKE '%romo' AS r1, lower(p_type) LIKE 'standard%' AS r2, regexp_matches(p_type, '(?i)small|MEDIUM') AS r3,
-  lower(p_brand) = 'brand#12' AND regexp_matches(p_type, '(?i)large') AS r4 FROM part),
-rep AS (SELECT roi, CASE WHEN r2 THEN false WHEN r1 THEN true ELSE false END AS selected, CASE WHEN r4 THEN true WHEN r3 THEN false ELSE true END AS displayed,
-  concat_ws(',', CASE WHEN r1 THEN 'promo' END, CASE WHEN r2 THEN 'standard' END, CASE WHEN r3 THEN 'small' END, CASE WHEN r4 THEN 'shown' END) AS matched,
-  CASE WHEN r4 THEN 'shown' WHEN r3 THEN 'small' WHEN r2 THEN 'standard' WHEN r1 THEN 'promo' END AS final FROM m)"""
-
-
 def _names(s, d):
     """Names in the manner of structures, from parts."""
     k = F.col("p_partkey")
@@ -89,12 +52,6 @@ def _names(s, d):
     return p.select(k.alias("roi"), F.when(k % 3 == 0, target).when(k % 3 == 1, organ).otherwise(opt).alias("name"))
 
 
-NAMES_SQL = """
-nm AS (SELECT p_partkey AS roi, CASE WHEN p_partkey % 3 = 0 THEN (['PTV','gtv','ITV','CTV'])[CAST(p_partkey % 4 + 1 AS INT)] || ' ' || CAST(40 + p_partkey % 30 AS VARCHAR) || (['','a','b'])[CAST(p_partkey % 3 + 1 AS INT)]
-  WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', 1) || ([' L',' R',' B','','_PRV05'])[CAST(p_partkey % 5 + 1 AS INT)]
-  ELSE (['opt ','eval '])[CAST(p_partkey % 2 + 1 AS INT)] || split_part(p_name, ' ', 1) || ([' a',' b',''])[CAST(p_partkey % 3 + 1 AS INT)] END AS name FROM part)"""
-
-
 def name_groups(s, d):
     n = F.col("name")
     return _names(s, d).select("roi", "name", naming.side_tag(n).alias("side"), naming.variant_group(n).alias("variant"), naming.dose_group(n).alias("dose"))
@@ -119,8 +76,8 @@ def custom_sort_index(s, d):
 
 
 def rounding(s, d):
-    x = F.col("l_extendedprice")
-    return B.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.round_one_up(F.floor(x)).cast("long").alias("one_up"), F.round(scalars.floor_to_grid(x, 0.5) * 2).cast("long").alias("half_steps"), F.round(scalars.round_value(F.floor(x).cast("double"), 10.0)).cast("long").alias("tens"), scalars.slice_key(F.col("l_quantity")).alias("zk"), scalars.slice_label(F.col("l_quantity").cast("double")).alias("label"))
+    x, q = F.col("l_extendedprice"), F.col("l_quantity").cast("double")
+    return B.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.round_one_up(F.floor(x)).cast("long").alias("one_up"), F.round(scalars.floor_to_grid(x, 0.5) * 2).cast("long").alias("half_steps"), F.round(scalars.round_value(F.floor(x).cast("double"), 10.0)).cast("long").alias("tens"), F.round(scalars.round_value(q * 0.125, 0.01) * 1000).cast("long").alias("fine"), F.round(scalars.round_value(q * 0.3, 0.5) * 10).cast("long").alias("halves"), scalars.slice_key(F.col("l_quantity")).alias("zk"), scalars.slice_label(F.col("l_quantity").cast("double")).alias("label"))
 
 
 def unit_conversions(s, d):
@@ -149,8 +106,6 @@ def transpose_check(s, d):
 
 def _rings(boxes):
     """Boxes as contours of structures, with string set names."""
-    from .sources import generators as G
-
     corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     points = F.array(corner("x1", "y1"), corner("x1", "y0"), corner("x0", "y0"), corner("x0", "y1"))
     return boxes.select(F.col("set_id").cast("string").alias("set_id"), F.col("roi").cast("int").alias("roi"), F.col("z").cast("double").alias("z"), points.alias("points")).select(*[c.split(" ")[0] for c in G.CONTOURS.replace("<struct<x:double,y:double>>", "").split(", ")])
@@ -193,66 +148,148 @@ def ring_measures(s, d):
     return r.select("set_id", "roi", F.col("z").cast("long").alias("z"), F.round(scalars.ring_area(F.col("points"))).cast("long").alias("area"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"), o["x0"].alias("x0"), o["y1"].alias("y1"))
 
 
-def structure_contours(s, d):
-    from .operators import structures
+def _nodes(s, d):
+    """Contours and caps of the solid boxes, written once for all that follows."""
+    return written(structures.nodes(_solid_contours(s, d)))
+
 
-    return structures.contour_report(_solid_contours(s, d))
+def structure_contours(s, d):
+    return structures.contour_report(_nodes(s, d))
 
 
 def structure_volumes(s, d):
-    from .operators import structures
+    return structures.volumes(_nodes(s, d))
+
+
+def structure_table(s, d):
+    rois = b2(s, d).select(F.col("set_id").cast("string").alias("set_id"), F.col("roi").cast("int").alias("roi"), F.concat(F.lit("structure "), "roi").alias("name"))
+    return structures.summary(_nodes(s, d), rois)
+
 
-    return structures.volumes(_solid_contours(s, d))
+def structure_extents(s, d):
+    """Resolution of each set, from the extents of its contours."""
+    contours = _solid_contours(s, d)
+    rois = contours.select("set_id", "roi", F.concat(F.lit("structure "), "roi").alias("name")).distinct()
+    out = report.resolution(report.extents(contours, rois))
+    return out.select("set_id", F.round("resolution", 9).alias("resolution"))
+
+
+def _slices(s, d):
+    """Region slices of the solid boxes, written once, and the order of their structures."""
+    own = _nodes(s, d)
+    return written(structures.region_slices(own)), structures.volumes(own)
 
 
 def structure_relations(s, d):
     """The whole way from contours: caps, in-fill, region slices, pairs, merged bits."""
-    from .operators import structures
+    return structures.relations(*_slices(s, d))
+
+
+def structure_slice_records(s, d):
+    """Relations of every pair on every original slice, with flags, from the records."""
+    records = report.contour_slice_records(structures.slice_relations(*_slices(s, d)).where("not has_boundary and not is_interpolated"))
+    return records.select("set_id", "roi_a", "roi_b", F.explode("records").alias("slice", "r")).select("set_id", "roi_a", "roi_b", "slice", "r.*")
 
-    contours = _solid_contours(s, d)
-    return structures.relations(structures.region_slices(contours), structures.volumes(contours))
+
+def _metric(s, d, name):
+    own, order = _slices(s, d)
+    return metrics.calculate(name, own, written(structures.relations(own, order)))
 
 
 def structure_margins(s, d):
-    from .operators import metrics, structures
+    return _metric(s, d, "minimum_margins")
 
-    contours = _solid_contours(s, d)
-    slices_ = structures.region_slices(contours)
-    return metrics.calculate("minimum_margins", slices_, structures.relations(slices_, structures.volumes(contours)))
 
+def structure_distances(s, d):
+    return _metric(s, d, "minimum_distance").select("set_id", "roi_a", "roi_b", "minimum_distance")
 
-def region_relations(s, d):
-    from .operators import structures
 
-    contours = _solid_contours(s, d)
-    return structures.region_relations(structures.regions(contours), structures.volumes(contours))
+def structure_overlaps(s, d):
+    return _metric(s, d, "volume_overlap").select("set_id", "roi_a", "roi_b", F.round("dice", 6).alias("dice"), F.round("common_area").cast("long").alias("common_area"))
 
 
-def logical_flags(s, d):
-    from .operators import logical
+def region_relations(s, d):
+    own = _nodes(s, d)
+    return structures.region_relations(structures.regions(own), structures.volumes(own))
 
+
+def logical_flags(s, d):
     return logical.flags(pairs(s, d))
 
 
-def relation_symbols(s, d):
-    from .operators import report
+def logical_contains(s, d):
+    return B.logical(pairs(s, d)).withColumn("intermediates", F.concat_ws(",", F.col("intermediates").cast("array<string>")))
+
+
+def logical_limited_mode(s, d):
+    out = labels.display_mode(B.logical(pairs(s, d)), list(range(1, 13)), "limited")
+    return out.withColumn("intermediates", F.array_join(F.transform(F.array_sort("intermediates"), lambda x: x.cast("string")), ","))
+
+
+def _box_regions(s, d):
+    """Relations of the slice boxes' structures, and of each pair of their regions."""
+    per = B.region_pair_relations(b1(s, d))
+    whole = per.groupBy("set_id", "roi_a", "roi_b").agg(F.bit_or("bits").alias("bits"))
+    return whole.withColumn("relation", D.classify(F.col("bits"))), per
+
+
+def region_label(s, d):
+    return labels.display_label(*_box_regions(s, d))
+
+
+def relation_description(s, d):
+    out = labels.describe(*_box_regions(s, d))
+    text = F.array_join(F.transform("summary", lambda x: F.concat(x["label"], F.lit(":"), x["count"].cast("string"))), "; ")
+    return out.select("set_id", "roi_a", "roi_b", "consolidated_label", "consolidated_type", "has_multiple_regions", F.size("per_region").cast("long").alias("n_region_pairs"), text.alias("summary"))
+
 
+def relation_symbols(s, d):
     cells = report.symbols(B.matrix_long(pairs(s, d), b2(s, d)))
     return cells.select("set_id", "row_roi", "col_roi", "label", "symbol")
 
 
+def _payload(s, d):
+    boxes, rel = b2(s, d), pairs(s, d)
+    own = boxes.withColumns({"name": F.concat(F.lit("structure "), "roi"), "num_regions": F.lit(1), "slice_range": F.concat_ws(" to ", "z0", "z1")})
+    on = boxes.select("set_id", "roi", F.explode(F.sequence("z0", "z1")).alias("z"), F.lit(False).alias("is_interpolated"))
+    return report.payload(rel, own, on)
+
+
 def set_payload(s, d):
-    from .operators import report
+    """What a client shows of each set, with flags of logical relations, faded."""
+    rel = logical.flags(pairs(s, d)).withColumn("set_id", F.col("set_id").cast("long"))
+    return report.payload(rel, b2(s, d), mode="faded")
 
-    return report.payload(pairs(s, d), b2(s, d))
 
+def payload_cells(s, d):
+    """The matrix as a client reads it from the payload."""
+    read = F.from_json("payload", "rows array<long>, columns array<long>, data array<array<string>>")
+    rows = _payload(s, d).select("set_id", read.alias("p")).select("set_id", "p.columns", F.explode(F.arrays_zip("p.rows", "p.data")).alias("r"))
+    cells = rows.select("set_id", F.col("r.rows").alias("row_roi"), F.explode(F.arrays_zip("columns", "r.data")).alias("c"))
+    return cells.select("set_id", "row_roi", F.col("c.columns").alias("col_roi"), F.col("c.data").alias("label"))
 
-def diagram_edges(s, d):
-    from .operators import report
 
+def diagram_edges(s, d):
     return report.diagram_edges(pairs(s, d))
 
 
+def swapped_text(s, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, "A is in B").when(k % 4 == 1, "A and B").when(k % 4 == 2, "B and A touch B").otherwise("AB, a and A")
+    file = F.when(k % 3 == 0, "upload_upload_plan.dcm").when(k % 3 == 1, "0123456789abcdef0123456789abcdef_x.dcm").otherwise("upload_")
+    turned = naming.swap_ab(text)
+    return B.read(s, d, "part").select("p_partkey", turned.alias("given"), naming.swap_ab(turned).alias("swapped"), naming.strip_upload_prefix(file).alias("file"))
+
+
+def generated_scenes(s, d):
+    """Slices, total area and range of generated volumes."""
+    made = {"cuboid": G.cuboid(s, "cuboid", 1, 4, 6, 4, 0.5), "cylinder": G.vertical_cylinder(s, "cylinder", 1, 2.0, 4, 1), "bar": G.horizontal_cylinder(s, "bar", 1, 2.0, 6, 1), "prism": G.extruded(s, "prism", 1, [(0, 0), (4, 0), (0, 3)], 2, 1)}
+    out = None
+    for one in made.values():
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.col("set_id").alias("kind")).agg(F.count("*").alias("n_contours"), F.round(F.sum(scalars.ring_area(F.col("points"))), 4).alias("area"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+
+
 def definition_table(s, d):
     return D.relation_defs(s).select("relation_type", "label", F.col("symmetric").alias("is_symmetric"), F.col("transitive").alias("is_transitive"), "complement", "mask", "value")
 
@@ -283,13 +320,14 @@ QUERIES = {
     "box_pair_relations": lambda s, d: pairs(s, d),
     "relation_histogram_ranked": lambda s, d: B.histogram(pairs(s, d)),
     "relation_transpose_check": transpose_check,
-    "relation_matrix_long": lambda s, d: B.matrix_long(pairs(s, d), b2(s, d)),
+    "relation_matrix_long": lambda s, d: B.matrix_long(pairs(s, d), b2(s, d)).select("set_id", "row_roi", "col_roi", "relation"),
     "relation_cumulative": lambda s, d: B.cumulative(B.slice_relations(b1(s, d))),
     "relation_slice_pivot": slice_label_counts,
-    "logical_contains": lambda s, d: B.logical(pairs(s, d)),
-    "logical_limited_mode": lambda s, d: B.display_mode(B.logical(pairs(s, d)), [1, 2, 3], "limited"),
+    "logical_contains": logical_contains,
+    "logical_limited_mode": logical_limited_mode,
     "equal_components": lambda s, d: B.equal_components(pairs(s, d), b2(s, d)),
-    "region_label": lambda s, d: B.display_label(B.slice_relations(b1(s, d))),
+    "region_label": region_label,
+    "relation_description": relation_description,
     "box_metrics": lambda s, d: B.box_metrics(b2(s, d), pairs(s, d)),
     "volume_rank": lambda s, d: B.volume_rank(b2(s, d)),
     "region_components": lambda s, d: B.components_of_structures(b1(s, d)),
@@ -316,6 +354,14 @@ QUERIES = {
     "structure_volumes": structure_volumes,
     "structure_relations": structure_relations,
     "structure_margins": structure_margins,
+    "structure_distances": structure_distances,
+    "structure_overlaps": structure_overlaps,
+    "structure_slice_records": structure_slice_records,
+    "structure_table": structure_table,
+    "structure_extents": structure_extents,
+    "generated_scenes": generated_scenes,
+    "swapped_text": swapped_text,
+    "payload_cells": payload_cells,
     "region_relations": region_relations,
     "logical_flags": logical_flags,
     "relation_symbols": relation_symbols,
@@ -327,93 +373,4 @@ QUERIES = {
     "relation_slice_pivot_all": slice_label_counts_all,
 }
 
-ORACLES = {
-    "box_slice_relations": f"WITH {SLICE_REL} SELECT * FROM sr",
-    "box_pair_relations": f"WITH {PAIR_REL} SELECT * FROM pr",
-    "streamed_relations": f"WITH {PAIR_REL} SELECT * FROM pr",
-    "relation_histogram_ranked": f"WITH {PAIR_REL} SELECT relation, CAST({RANK_SQL} AS INTEGER) AS rank, count(*) AS n FROM pr GROUP BY 1, 2",
-    "relation_matrix_long": f"""WITH {PAIR_REL}, c AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.complement or 'UNKNOWN'}')" for x in D.DEFINITIONS)}) t(relation, complement))
-SELECT set_id, roi_b AS row_roi, roi_a AS col_roi, relation FROM pr UNION ALL SELECT set_id, roi_a, roi_b, complement FROM pr JOIN c USING (relation) UNION ALL SELECT set_id, roi, roi, 'EQUAL' FROM b2""",
-    "relation_transpose_check": f"""WITH {PAIR_REL}, c AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.complement}')" for x in D.DEFINITIONS)}) t(relation, complement))
-SELECT set_id, roi_a, roi_b, CASE complement WHEN '' THEN 'UNKNOWN' ELSE complement END AS reverse, complement, lpad(bin(bits), 27, '0') AS text FROM pr JOIN c USING (relation)""",
-    "relation_cumulative": f"WITH {SLICE_REL}, cu AS (SELECT set_id, roi_a, roi_b, z, bit_or(bits) OVER (PARTITION BY set_id, roi_a, roi_b ORDER BY z ROWS UNBOUNDED PRECEDING) AS bits FROM sr) SELECT set_id, roi_a, roi_b, z, {NAME} AS relation FROM cu",
-    "relation_slice_pivot": f"WITH {SLICE_REL} SELECT z, " + ", ".join(f"count(*) FILTER (relation = '{x}') AS \"{x}\"" for x in ("DISJOINT", "OVERLAPS", "BORDERS", "CONTAINS", "WITHIN")) + " FROM sr GROUP BY z",
-    "logical_contains": f"""WITH {PAIR_REL}, e AS (SELECT set_id, roi_a, roi_b FROM pr WHERE relation = 'CONTAINS'),
-t AS (SELECT p.set_id, p.roi_a, q.roi_b, min(p.roi_b) AS via FROM e p JOIN e q ON p.set_id = q.set_id AND p.roi_b = q.roi_a GROUP BY 1, 2, 3)
-SELECT e.*, via IS NOT NULL AS is_logical, via FROM e LEFT JOIN t USING (set_id, roi_a, roi_b)""",
-    "logical_limited_mode": f"""WITH {PAIR_REL}, e AS (SELECT set_id, roi_a, roi_b FROM pr WHERE relation = 'CONTAINS'),
-t AS (SELECT p.set_id, p.roi_a, q.roi_b, min(p.roi_b) AS via FROM e p JOIN e q ON p.set_id = q.set_id AND p.roi_b = q.roi_a GROUP BY 1, 2, 3)
-SELECT e.*, via IS NOT NULL AS is_logical, via, NOT (via IS NOT NULL AND via IN (1, 2, 3)) AS shown, false AS faded FROM e LEFT JOIN t USING (set_id, roi_a, roi_b)""",
-    "equal_components": f"""WITH RECURSIVE {PAIR_REL}, e AS (SELECT set_id, roi_a AS x, roi_b AS y FROM pr WHERE relation = 'EQUAL' UNION SELECT set_id, roi_b, roi_a FROM pr WHERE relation = 'EQUAL'),
-w AS (SELECT set_id, roi, roi AS other FROM b2 UNION SELECT w.set_id, w.roi, e.y FROM w JOIN e ON w.set_id = e.set_id AND w.other = e.x) SELECT set_id, roi, min(other) AS canonical FROM w GROUP BY 1, 2""",
-    "region_label": f"""WITH {SLICE_REL}, l AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.label}')" for x in D.DEFINITIONS)}) t(relation, label)),
-k AS (SELECT DISTINCT set_id, roi_a, roi_b, {RANK_SQL} AS r, label FROM sr JOIN l USING (relation) WHERE relation <> 'UNKNOWN') SELECT set_id, roi_a, roi_b, string_agg(label, ' & ' ORDER BY r) AS label FROM k GROUP BY 1, 2, 3""",
-    "box_metrics": f"""WITH {PAIR_REL}, j AS (SELECT pr.set_id, roi_a, roi_b, relation, greatest(a.x0 - b.x1, b.x0 - a.x1, 0) AS gx, greatest(a.y0 - b.y1, b.y0 - a.y1, 0) AS gy, greatest(a.z0 - b.z1, b.z0 - a.z1, 0) AS gz,
-greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) * greatest(least(a.z1, b.z1) - greatest(a.z0, b.z0) + 1, 0) AS c, a.volume + b.volume AS v,
-least(b.x0 - a.x0, a.x1 - b.x1, b.y0 - a.y0, a.y1 - b.y1) AS m, greatest(b.x0 - a.x0, a.x1 - b.x1, b.y0 - a.y0, a.y1 - b.y1) AS w
-FROM pr JOIN b2 a ON pr.set_id = a.set_id AND roi_a = a.roi JOIN b2 b ON pr.set_id = b.set_id AND roi_b = b.roi)
-SELECT set_id, roi_a, roi_b, relation, gx * gx + gy * gy + gz * gz AS gap2, c AS overlap_volume, 2000 * c // v AS dice_permille,
-CASE WHEN relation IN ('CONTAINS', 'PARTITIONED', 'EQUAL') THEN m END AS margin, CASE WHEN relation IN ('CONTAINS', 'PARTITIONED', 'EQUAL') THEN w END AS widest FROM j""",
-    "volume_rank": f"WITH {B2} SELECT set_id, roi, volume, row_number() OVER (PARTITION BY set_id ORDER BY volume DESC, roi) AS place FROM b2",
-    "region_components": f"""WITH {B1}, p AS (SELECT *, lag(z) OVER w AS pz, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM b1 WINDOW w AS (PARTITION BY set_id, roi ORDER BY z))
-SELECT set_id, roi, CAST(sum(CASE WHEN pz = z - 1 AND least(x1, px1) > greatest(x0, px0) AND least(y1, py1) > greatest(y0, py0) THEN 0 ELSE 1 END) AS BIGINT) AS n_regions FROM p GROUP BY 1, 2""",
-    "nearest_slice": f"""WITH {B1}, p AS (SELECT set_id, roi, z, lag(z) OVER w AS before, lead(z) OVER w AS after FROM b1 WINDOW w AS (PARTITION BY set_id, roi ORDER BY z))
-SELECT *, CASE WHEN before IS NULL THEN after WHEN after IS NULL OR z - before <= after - z THEN before ELSE after END AS nearest FROM p""",
-    "slice_sequence": f"""WITH {B1}, p AS (SELECT set_id, roi, z, lag(z) OVER w AS previous_z, lead(z) OVER w AS next_z FROM b1 WINDOW w AS (PARTITION BY set_id, roi ORDER BY z))
-SELECT *, CASE WHEN previous_z IS NOT NULL AND next_z IS NOT NULL THEN (next_z - previous_z) / 2.0 ELSE CAST(coalesce(z - previous_z, next_z - z) AS DOUBLE) END AS gap FROM p""",
-    "slice_spacing": f"WITH {B1}, p AS (SELECT set_id, roi, lead(z) OVER (PARTITION BY set_id, roi ORDER BY z) - z AS s FROM b1) SELECT set_id, roi, coalesce(median(s), 0.01) AS spacing, count(*) AS n_slices FROM p GROUP BY 1, 2",
-    "missing_slices": """WITH y1 AS (SELECT DISTINCT CAST(o_custkey // 40 AS BIGINT) AS set_id, CAST(o_custkey % 40 AS BIGINT) AS roi, CAST(year(o_orderdate) AS BIGINT) AS z FROM orders), r AS (SELECT set_id, roi, min(z) AS lo, max(z) AS hi FROM y1 GROUP BY 1, 2), g AS (SELECT DISTINCT set_id, z FROM y1)
-SELECT r.set_id, r.roi, g.z, (SELECT max(z) FROM y1 h WHERE h.set_id = r.set_id AND h.roi = r.roi AND h.z < g.z) AS inf1,
-(SELECT z FROM (SELECT h.z, row_number() OVER (ORDER BY h.z DESC) AS n FROM y1 h WHERE h.set_id = r.set_id AND h.roi = r.roi AND h.z < g.z) WHERE n = 2) AS inf2,
-(SELECT min(z) FROM y1 h WHERE h.set_id = r.set_id AND h.roi = r.roi AND h.z > g.z) AS sup1,
-(SELECT z FROM (SELECT h.z, row_number() OVER (ORDER BY h.z) AS n FROM y1 h WHERE h.set_id = r.set_id AND h.roi = r.roi AND h.z > g.z) WHERE n = 2) AS sup2
-FROM r JOIN g ON r.set_id = g.set_id AND g.z BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM y1 h WHERE h.set_id = r.set_id AND h.roi = r.roi AND h.z = g.z)""",
-    "slice_gaps": f"""WITH {B1}, r AS (SELECT set_id, roi, count(DISTINCT z) AS n, min(z) AS lo, max(z) AS hi FROM b1 GROUP BY 1, 2), g AS (SELECT DISTINCT set_id, z FROM b1)
-SELECT r.set_id, roi, n, count(*) AS expected, n < count(*) AS has_gaps FROM r JOIN g ON r.set_id = g.set_id AND g.z BETWEEN lo AND hi GROUP BY r.set_id, roi, n""",
-    "trapezoid_volume": f"""WITH {B1}, a AS (SELECT set_id, roi, z, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM b1),
-p AS (SELECT set_id, roi, (lead(z) OVER w - z) * (lead(area) OVER w + area) / 2.0 AS part FROM a WINDOW w AS (PARTITION BY set_id, roi ORDER BY z)) SELECT set_id, roi, coalesce(sum(part), 0.0) AS volume FROM p GROUP BY 1, 2""",
-    "structure_summary": f"""WITH {B1}, a AS (SELECT set_id, roi, z, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM b1),
-p AS (SELECT set_id, roi, z, (lead(z) OVER w - z) * (lead(area) OVER w + area) / 2.0 AS part FROM a WINDOW w AS (PARTITION BY set_id, roi ORDER BY z))
-SELECT set_id, roi, coalesce(sum(part), 0.0) AS volume, count(*) AS num_contours, count(DISTINCT z) AS num_slices, min(z) || ' to ' || max(z) AS slice_range FROM p GROUP BY 1, 2""",
-    "filter_rule_report": f"WITH {RULE_SQL} SELECT *, CASE WHEN final IS NULL THEN 'default: exclude' ELSE 'rule: ' || final END AS reason FROM rep",
-    "filter_preview": f"WITH {RULE_SQL} SELECT count(*) FILTER (final IS NOT NULL) AS matched, count(*) FILTER (selected) AS selected, count(*) FILTER (NOT displayed) AS hidden FROM rep",
-    "filter_excluded": f"WITH {RULE_SQL} SELECT roi FROM rep WHERE selected",
-    "include_exclude_names": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m]') AND NOT regexp_matches(p_name, 'green|z$')",
-    "name_groups": f"""WITH {NAMES_SQL} SELECT roi, name, regexp_extract(trim(name), ' ([LRB])$', 1) AS side,
-CASE WHEN regexp_matches(name, '(?i)^(opt|eval)[ _]+\\S') THEN lower(regexp_replace(regexp_replace(trim(name), '(?i)^(opt|eval)[ _]+', ''), '(?i) [abc]$', '')) END AS variant,
-CASE WHEN regexp_matches(name, '(?i)\\bI?[GCPIH]TV\\s*\\d+') AND NOT regexp_matches(name, '(?i)^(opt|eval)[ _]+\\S') THEN upper(regexp_extract(name, '(?i)\\b(I?[GCPIH]TV)\\s*(\\d+)', 1)) || regexp_extract(name, '(?i)\\b(I?[GCPIH]TV)\\s*(\\d+)', 2) END AS dose FROM nm""",
-    "name_checks": f"WITH {NAMES_SQL} SELECT roi, length(name) <= 16 AS short_enough, NOT contains(name, ' ') AS no_spaces, count(*) OVER (PARTITION BY lower(name)) = 1 AS no_duplicate, regexp_matches(name, '^[zZ_]') AS hidden FROM nm",
-    "custom_sort_index": """WITH r AS (SELECT p_partkey, p_type, p_size, CAST(CASE p_brand WHEN 'Brand#17' THEN 1 WHEN 'Brand#12' THEN 2 WHEN 'Brand#2' THEN 3 ELSE 4 END AS INTEGER) AS brand_rank FROM part)
-SELECT p_partkey, brand_rank, dense_rank() OVER (PARTITION BY brand_rank ORDER BY p_type, p_size DESC) AS sort_index FROM r""",
-    "rounding": """SELECT l_orderkey, l_linenumber, CAST(ceil(floor(l_extendedprice) / pow(10, floor(log10(floor(l_extendedprice))))) * pow(10, floor(log10(floor(l_extendedprice)))) AS BIGINT) AS one_up,
-CAST(floor(l_extendedprice / 0.5) AS BIGINT) AS half_steps, CAST(round_even(CAST(floor(l_extendedprice) AS DOUBLE) / 10, 0) * 10 AS BIGINT) AS tens, CAST(round(l_quantity * 10000) AS BIGINT) AS zk, format('{:.4f}', CAST(l_quantity AS DOUBLE)) AS label FROM lineitem""",
-    "unit_conversions": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 OR l_quantity < 1 THEN CAST(l_quantity AS DOUBLE) * 10 ELSE CAST(l_quantity AS DOUBLE) END AS mm,
-CASE WHEN CAST(l_quantity AS DOUBLE) * 3 > 100 THEN CAST(l_quantity AS DOUBLE) * 3 ELSE CAST(l_quantity AS DOUBLE) * 3 * 100 END AS cgy,
-CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INT) * 100 AS VARCHAR) WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '00' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' dose' END AS dose FROM lineitem""",
-    "kernel_relations": f"""WITH {SLICE_REL} SELECT sr.set_id, roi_a, roi_b, sr.z, relation,
-CAST(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS BIGINT) AS common
-FROM sr JOIN b1 a ON sr.set_id = a.set_id AND sr.z = a.z AND roi_a = a.roi JOIN b1 b ON sr.set_id = b.set_id AND sr.z = b.z AND roi_b = b.roi""",
-    "ring_measures": f"""WITH {B1} SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi AS INTEGER) AS roi, z, (x1 - x0) * (y1 - y0) AS area,
-round((x0 + x1) / 2.0, 3) AS cx, round((y0 + y1) / 2.0, 3) AS cy, CAST(x0 AS DOUBLE) AS x0, CAST(y1 AS DOUBLE) AS y1 FROM b1""",
-    "diagram_edges": f"""WITH {PAIR_REL} SELECT set_id, roi_a, roi_b, relation, relation IN ({", ".join(f"'{x.name}'" for x in D.DEFINITIONS if x.symmetric)}) AS symmetric,
-CASE WHEN relation = 'OVERLAPS' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight, true AS layout_candidate FROM pr WHERE relation NOT IN ('DISJOINT', 'UNKNOWN')""",
-    "relation_symbols": f"""WITH {PAIR_REL}, c AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.complement or 'UNKNOWN'}')" for x in D.DEFINITIONS)}) t(relation, complement)),
-m AS (SELECT set_id, roi_b AS row_roi, roi_a AS col_roi, relation FROM pr UNION ALL SELECT set_id, roi_a, roi_b, complement FROM pr JOIN c USING (relation) UNION ALL SELECT set_id, roi, roi, 'EQUAL' FROM b2),
-l AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.label}', '{(chr(8835) if x.symbol == chr(8834) else chr(8848) if x.symbol == chr(8847) else x.symbol) if x.reversed_arrow else x.symbol}')" for x in D.DEFINITIONS)}) t(relation, label, symbol))
-SELECT set_id, row_roi, col_roi, label, symbol FROM m JOIN l USING (relation)""",
-    "definition_table": "SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{x.label}', {str(x.symmetric).lower()}, {str(x.transitive).lower()}, '{x.complement}', {x.mask}, {x.value})" for x in D.DEFINITIONS) + ") t(relation_type, label, is_symmetric, is_transitive, complement, mask, value)",
-    "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm WHERE roi % 3 = 1)
-SELECT roi, nullif(p.prefix, '') AS prefix, nullif(p.organ, '') AS organ, nullif(p.region, '') AS region, nullif(p.side, '') AS side, nullif(p.margin, '') AS margin FROM g""",
-    # DuckDB has no look-ahead, so a target's number is told from its dose in two steps.
-    "name_grammar_all": f"""WITH {NAMES_SQL}, g AS (SELECT roi, name,
-  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?(I?[GCPIH]TV)([npsv])?[_ ]?(.*)$', ['prefix', 'family', 'kind', 'rest']) AS t,
-  regexp_extract(trim(name), '(?i)(.+?)([+-])(\\d+(?:\\.\\d+)?)\\s*(mm|cm)?$', ['base', 'sign', 'size', 'unit']) AS m,
-  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS o FROM nm),
-n AS (SELECT *, regexp_extract(t.rest, '^(\\d{{1,2}})(?:\\D|$)', 1) AS number FROM g),
-d AS (SELECT *, regexp_extract(substr(t.rest, length(number) + 1), '(?i)^[_ ]?(\\d{{3,5}})?([a-c])?', ['dose', 'part']) AS d FROM n)
-SELECT roi, name, CASE WHEN t.family <> '' THEN 'target' WHEN m.size <> '' THEN 'margin' WHEN o.organ <> '' THEN 'organ' END AS grammar,
-nullif(t.prefix, '') AS target_prefix, nullif(t.family, '') AS target_family, nullif(t.kind, '') AS target_kind, nullif(number, '') AS target_number, nullif(d.dose, '') AS target_dose, nullif(d.part, '') AS target_part,
-nullif(m.base, '') AS margin_base, nullif(m.sign, '') AS margin_sign, nullif(m.size, '') AS margin_size, nullif(m.unit, '') AS margin_unit,
-nullif(o.prefix, '') AS organ_prefix, nullif(o.organ, '') AS organ_organ, nullif(o.region, '') AS organ_region, nullif(o.side, '') AS organ_side, nullif(o.margin, '') AS organ_margin FROM d""",
-    "relation_slice_pivot_all": f"WITH {SLICE_REL} SELECT z, count(*) AS pairs, " + ", ".join(f"count(*) FILTER (relation = '{x.name}') AS \"{x.name}\"" for x in D.DEFINITIONS) + " FROM sr GROUP BY z",
-}
+__all__ = ["ORACLES", "QUERIES"]

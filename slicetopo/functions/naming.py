@@ -14,16 +14,20 @@ def side_tag(name: Column) -> Column:
 
 
 def variant_group(name: Column) -> Column:
-    """What names of optimisation and evaluation structures share; null for others."""
-    bare = F.regexp_replace(F.trim(name), r"(?i)^(opt|eval)[ _]+", "")
-    return F.when(F.trim(name).rlike(r"(?i)^(opt|eval)[ _]+\S"), F.lower(F.regexp_replace(bare, r"(?i) [abc]$", "")))
+    """What names of optimisation and evaluation structures share, in their own spelling;
+    null for others. The prefix is followed by a space; a last a, b or c goes."""
+    t = F.trim(name)
+    rest = F.trim(F.regexp_replace(t, r"(?i)^(opt|eval) ", ""))
+    bare = F.trim(F.regexp_replace(rest, r" [abc]$", ""))
+    return F.when(t.rlike(r"(?i)^(opt|eval) "), F.nullif(bare, F.lit("")))
 
 
 def dose_group(name: Column) -> Column:
-    """Target family and dose, such as PTV60; null for others and for variants."""
-    form = r"(?i)\b(I?[GCPIH]TV)\s*(\d+)(?:[a-c])?\b"
+    """Target family and dose, such as PTV60, wherever they stand in a name; null for others
+    and for names of optimisation and evaluation structures."""
+    form = r"(?i)(I?[GCPIH]TV)\s*(\d+)(?:[a-c])?\b"
     family = F.regexp_extract(name, form, 1)
-    return F.when((family != "") & variant_group(name).isNull(), F.concat(F.upper(family), F.regexp_extract(name, form, 2)))
+    return F.when((family != "") & ~F.trim(name).rlike("(?i)^(opt|eval) "), F.concat(F.upper(family), F.regexp_extract(name, form, 2)))
 
 
 def dose_to_cgy(text: Column) -> Column:
@@ -45,14 +49,14 @@ def checks(name: Column, times: Column) -> dict[str, Column]:
 
 def strip_upload_prefix(name: Column) -> Column:
     """File names without the identifiers and words that uploading puts in front."""
-    one = r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|upload)_"
+    one = r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|upload)_"
     return F.regexp_replace(name, rf"^(?:{one})+(?=.)", "")
 
 
 def swap_ab(text: Column) -> Column:
-    """The words A and B exchanged, but in "A and B"."""
-    t = F.regexp_replace(text, r"\bA and B\b", "\u0001")
-    for a, b in ((r"\bA\b", "\u0002"), (r"\bB\b", "A"), ("\u0002", "B"), ("\u0001", "A and B")):
+    """The words A and B exchanged, but in "A and B" and "B and A"."""
+    t = F.replace(F.replace(text, F.lit("A and B"), F.lit("\u0001")), F.lit("B and A"), F.lit("\u0003"))
+    for a, b in ((r"\bA\b", "\u0002"), (r"\bB\b", "A"), ("\u0002", "B"), ("\u0001", "A and B"), ("\u0003", "B and A")):
         t = F.regexp_replace(t, a, b)
     return t
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 
 def round_value(x: Column, tolerance: float) -> Column:
-    """The nearest multiple of the tolerance, ties to even; 0 changes nothing."""
+    """The quotient by the tolerance, rounded to the tolerance's places, times it, rounded
+    again; ties to even. So the result is finer than a multiple. 0 changes nothing."""
     if tolerance < 0:
         raise ValueError("tolerance is negative")
     if tolerance == 0:
         return x
     places = -int(math.log10(tolerance)) + 1
-    return F.bround(F.bround(x / tolerance, 0) * tolerance, places)
+    return F.bround(F.bround(x / tolerance, places) * tolerance, places)
 
 
 def round_one_up(x: Column) -> Column:
@@ -76,6 +77,11 @@ def slice_label(z: Column) -> Column:
     return F.format_string("%.4f", z)
 
 
+def shown_list(x: Column) -> Column:
+    """A list as JSON; null is empty text."""
+    return F.coalesce(F.to_json(x), F.lit(""))
+
+
 def truthy(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes", "y", "on"), F.lit(False))
 

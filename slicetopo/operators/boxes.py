@@ -84,11 +84,14 @@ def histogram(relations: DataFrame) -> DataFrame:
 
 
 def matrix_long(relations: DataFrame, structures: DataFrame) -> DataFrame:
-    """(set_id, row_roi, col_roi, relation): both directions and the diagonal. The reverse
-    of a cell is its complement."""
-    forward = relations.select("set_id", F.col("roi_b").alias("row_roi"), F.col("roi_a").alias("col_roi"), "relation")
-    back = relations.select("set_id", F.col("roi_a").alias("row_roi"), F.col("roi_b").alias("col_roi"), F.coalesce(F.nullif(D.lookup(F.col("relation"), "complement"), F.lit("")), F.lit("UNKNOWN")).alias("relation"))
-    diagonal = structures.select("set_id", F.col("roi").alias("row_roi"), F.col("roi").alias("col_roi"), F.lit("EQUAL").alias("relation"))
+    """(set_id, row_roi, col_roi, relation, is_logical, intermediates): both directions and the
+    diagonal. The reverse of a cell is its complement, and follows from others if it does."""
+    follows = [F.col("is_logical") if "is_logical" in relations.columns else F.lit(False).alias("is_logical")]
+    follows.append(F.col("intermediates").cast("array<long>").alias("intermediates") if "intermediates" in relations.columns else F.array().cast("array<long>").alias("intermediates"))
+    forward = relations.select("set_id", F.col("roi_b").alias("row_roi"), F.col("roi_a").alias("col_roi"), "relation", *follows)
+    complement = F.coalesce(F.nullif(D.lookup(F.col("relation"), "complement"), F.lit("")), F.lit("UNKNOWN"))
+    back = relations.select("set_id", F.col("roi_a").alias("row_roi"), F.col("roi_b").alias("col_roi"), complement.alias("relation"), *follows)
+    diagonal = structures.select("set_id", F.col("roi").alias("row_roi"), F.col("roi").alias("col_roi"), F.lit("EQUAL").alias("relation"), F.lit(False).alias("is_logical"), F.array().cast("array<long>").alias("intermediates"))
     return forward.unionByName(back).unionByName(diagonal)
 
 
@@ -98,14 +101,6 @@ def matrix_wide(long: DataFrame, rois: list[int], symbols: bool = False) -> Data
     return long.where(F.col("col_roi").isin(rois)).withColumn("cell", cell).groupBy("set_id", "row_roi").pivot("col_roi", rois).agg(F.first("cell"))
 
 
-def display_label(per_region: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, label): the labels of a pair's region relations by rank,
-    joined by an ampersand."""
-    one = per_region.groupBy("set_id", "roi_a", "roi_b", "relation").agg(F.count("*").alias("n"))
-    ranked = F.array_sort(F.collect_list(F.struct(D.rank(F.col("relation")).alias("r"), D.lookup(F.col("relation"), "label").alias("l"))))
-    return one.where("relation <> 'UNKNOWN'").groupBy("set_id", "roi_a", "roi_b").agg(F.concat_ws(" & ", F.transform(ranked, lambda x: x["l"])).alias("label"))
-
-
 def cumulative(slices: DataFrame) -> DataFrame:
     """Relation of the slices so far, along each pair."""
     along = Window.partitionBy("set_id", "roi_a", "roi_b").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
@@ -150,14 +145,30 @@ def components_of_structures(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("starts", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).groupBy("set_id", "roi").agg(F.sum("starts").cast("long").alias("n_regions"))
 
 
+def region_pair_relations(boxes: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, region_a, region_b, bits, relation) of every pair of regions, that
+    is of runs of overlapping boxes on following slices, over the slices that both have."""
+    w = Window.partitionBy("set_id", "roi").orderBy("z")
+    p = lambda c: F.lag(c).over(w)
+    joined = (p("z") == F.col("z") - 1) & (F.least("x1", p("x1")) > F.greatest("x0", p("x0"))) & (F.least("y1", p("y1")) > F.greatest("y0", p("y0")))
+    starts = boxes.withColumn("starts", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    own = starts.withColumn("region", F.concat_ws(".", "roi", F.sum("starts").over(w)))
+    a, b = own.alias("a"), own.alias("b")
+    met = a.join(b, (F.col("a.set_id") == F.col("b.set_id")) & (F.col("a.z") == F.col("b.z")) & (F.col("a.roi") < F.col("b.roi")))
+    out = met.select(F.col("a.set_id").alias("set_id"), F.col("a.roi").alias("roi_a"), F.col("b.roi").alias("roi_b"), F.col("a.region").alias("region_a"), F.col("b.region").alias("region_b"), box_bits("a", "b").alias("bits"))
+    merged = out.groupBy("set_id", "roi_a", "roi_b", "region_a", "region_b").agg(F.bit_or("bits").alias("bits"))
+    return merged.withColumn("relation", D.classify(F.col("bits")))
+
+
 def logical(relations: DataFrame, kinds: tuple[str, ...] = ("CONTAINS",)) -> DataFrame:
-    """(set_id, roi_a, roi_b, is_logical, via): an edge of a transitive relation is logical if
-    its ends are linked through others too; via is the smallest of the structures directly
-    between. One self-join: for a transitive relation a longer path has a shorter one."""
+    """(set_id, roi_a, roi_b, is_logical, via, intermediates): an edge of a transitive relation
+    is logical if its ends are linked through others too; intermediates are the structures
+    between, via the smallest of them. One self-join: for a transitive relation a longer path
+    has a shorter one."""
     e = relations.where(F.col("relation").isin(*kinds)).select("set_id", "roi_a", "roi_b")
     p, q = e.alias("p"), e.alias("q")
-    two = p.join(q, (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.roi_b") == F.col("q.roi_a"))).groupBy(F.col("p.set_id").alias("s"), F.col("p.roi_a").alias("x"), F.col("q.roi_b").alias("y")).agg(F.min("p.roi_b").alias("via"))
-    return e.join(two, (F.col("set_id") == F.col("s")) & (F.col("roi_a") == F.col("x")) & (F.col("roi_b") == F.col("y")), "left").select("set_id", "roi_a", "roi_b", F.col("via").isNotNull().alias("is_logical"), "via")
+    two = p.join(q, (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.roi_b") == F.col("q.roi_a"))).groupBy(F.col("p.set_id").alias("s"), F.col("p.roi_a").alias("x"), F.col("q.roi_b").alias("y")).agg(F.min("p.roi_b").alias("via"), F.sort_array(F.collect_set("p.roi_b")).alias("intermediates"))
+    return e.join(two, (F.col("set_id") == F.col("s")) & (F.col("roi_a") == F.col("x")) & (F.col("roi_b") == F.col("y")), "left").select("set_id", "roi_a", "roi_b", F.col("via").isNotNull().alias("is_logical"), "via", F.coalesce("intermediates", F.array().cast("array<long>")).alias("intermediates"))
 
 
 def equal_components(relations: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -169,15 +180,5 @@ def equal_components(relations: DataFrame, boxes: DataFrame) -> DataFrame:
     return boxes.select("set_id", "roi").join(low, ["set_id", "roi"], "left").select("set_id", "roi", F.least("roi", F.coalesce("low", "roi")).alias("canonical"))
 
 
-def display_mode(logical_edges: DataFrame, visible: list[int], mode: str) -> DataFrame:
-    """Edges with ``shown``: hide drops logical edges, limited only those whose structure
-    between is visible, faded and show keep all; faded says so."""
-    if mode not in ("hide", "limited", "faded", "show"):
-        raise ValueError(f"unknown mode {mode}")
-    is_logical, seen = F.col("is_logical"), F.col("via").isin(visible) if visible else F.lit(True)
-    shown = {"hide": ~is_logical, "limited": ~(is_logical & seen), "faded": F.lit(True), "show": F.lit(True)}[mode]
-    return logical_edges.withColumn("shown", shown).withColumn("faded", is_logical if mode == "faded" else F.lit(False))
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

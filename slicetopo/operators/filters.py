@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -48,6 +49,20 @@ class Rule:
     also: Rule | None = None
 
 
+def from_json(text: str) -> dict:
+    """Arguments of :func:`report` from a JSON file: ``rules`` with id, action, field,
+    match_type, value (a list for structure lists), case_sensitive, enabled and a companion
+    rule ``with``, in file order, and what holds where no rule does."""
+    raw = json.loads(text)
+
+    def one(x: dict) -> Rule:
+        value = x.get("value", "")
+        also = one(x["with"]) if x.get("with") else None
+        return Rule(str(x.get("id", "")), x.get("action", ""), x.get("field", ""), x.get("match_type", "").replace("_", " "), tuple(value) if isinstance(value, list) else value, bool(x.get("case_sensitive", False)), bool(x.get("enabled", True)), also)
+
+    return {"rules": [one(x) for x in raw.get("rules", [])], "default": "include" if raw.get("include by default") else "exclude", "displayed": bool(raw.get("display by default", True))}
+
+
 def matches(rule: Rule) -> Column:
     """Regular expression, exact, prefix, suffix, or a case-sensitive structure list, which
     counts for the field Structure ID only."""
@@ -65,11 +80,11 @@ def matches(rule: Rule) -> Column:
     return hit & matches(rule.also) if rule.also else hit
 
 
-def report(rows: DataFrame, rules: list[Rule], default: str = "exclude") -> DataFrame:
+def report(rows: DataFrame, rules: list[Rule], default: str = "exclude", displayed: bool = True) -> DataFrame:
     """``rows`` with SelectedByDefault, DisplayedByDefault, IsFiltered, IsHidden,
     MatchedRules, FinalMatch and FilterReason. The last matching rule of a state wins."""
     used = [r for r in rules if r.enabled]
-    selected, displayed = F.lit(default == "include"), F.lit(True)
+    selected, displayed = F.lit(default == "include"), F.lit(displayed)
     for r in used:
         hit = matches(r)
         if r.action in ("include", "exclude"):

@@ -1,7 +1,8 @@
 """Planar geometry on regions with holes, in numpy.
 
 A region is an ordered list of (op, ring): `+` adds a ring's inside, `-` takes it away,
-`&` keeps what is inside. All segments of the rings of two regions are cut where they
+`&` keeps what is inside; `|`, without a ring, ends a part: a region is the union of its
+parts. All segments of the rings of two regions are cut where they
 meet; what lies left and right of each piece then decides every question whose answer
 is a set of dimension one or more: the cells of a DE-9IM matrix, areas of any
 combination, lengths along rays. Contacts in single points count as no contact.
@@ -17,6 +18,33 @@ SNAP = 1e-9
 II, IB, IE, BI, BB, BE, EI, EB, EE = (1 << (8 - i) for i in range(9))
 
 Region = list  # of (op, ring)
+NO_RING = np.zeros((0, 2))
+
+
+def pack(a: Region) -> tuple[str, list[int], list[float]]:
+    """A region as its ops, the numbers of points, and all coordinates in a row."""
+    flat = [r for _, r in a]
+    return "".join(op for op, _ in a), [len(r) for r in flat], np.concatenate(flat).ravel().tolist() if flat else []
+
+
+def unpack(ops: str, sizes, xy) -> Region:
+    points = np.asarray(xy, dtype=float).reshape(-1, 2)
+    ends = np.cumsum(np.asarray(sizes, dtype=int))
+    return [(op, points[e - n : e]) for op, n, e in zip(ops, sizes, ends, strict=True)]
+
+
+def bounds(a: Region) -> np.ndarray | None:
+    """Least and largest x and y of all rings that add; None without any."""
+    points = [r for op, r in a if op == "+" and len(r)]
+    if not points:
+        return None
+    p = np.concatenate(points)
+    return np.concatenate([p.min(axis=0), p.max(axis=0)])
+
+
+def apart(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two bounds have a gap between them."""
+    return bool((p[:2] > q[2:] + 1e-7).any() or (q[:2] > p[2:] + 1e-7).any())
 
 
 def ring_of(points) -> np.ndarray:
@@ -64,11 +92,20 @@ def inside_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
 
 
 def inside(points: np.ndarray, region: Region) -> np.ndarray:
-    out = np.zeros(len(points), dtype=bool)
+    done = np.zeros(len(points), dtype=bool)
+    out = done.copy()
     for op, ring in region:
+        if op == "|":
+            done |= out
+            out = np.zeros(len(points), dtype=bool)
+            continue
         here = inside_ring(points, ring)
         out = out | here if op == "+" else out & ~here if op == "-" else out & here
-    return out
+    return done | out
+
+
+def union(a: Region, b: Region) -> Region:
+    return [*a, ("|", NO_RING), *b] if a and b else a or b
 
 
 def segments(*regions: Region) -> np.ndarray:
@@ -159,6 +196,140 @@ def relate(a: Region, b: Region) -> int:
     return EE + sum(bit for bit, hit in cells if hit.any())
 
 
+#: Pairs of segments that :func:`relate_many` looks at in one go.
+AT_ONCE = 1_000_000
+
+
+def relate_many(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    """The nine bits of many pairs of regions: what :func:`relate` does, for all in the same
+    arrays, with segments of different pairs kept apart."""
+    out = np.zeros(len(pairs), dtype=np.int64)
+    size = np.array([sum(len(r) for _, r in a) + sum(len(r) for _, r in b) for a, b in pairs], dtype=np.int64) ** 2
+    lo, upto = 0, np.cumsum(size)
+    while lo < len(pairs):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        out[lo:hi] = [relate(*pairs[lo])] if hi == lo + 1 else _relate_some(pairs[lo:hi])
+        lo = hi
+    return out
+
+
+def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of the given lengths: the run of each entry and its place in the run."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Rings:
+    """All rings of many pairs, side by side: their segments, owners and ops."""
+
+    def __init__(self, pairs: list[tuple[Region, Region]]):
+        rings, owner, side, ops, place = [], [], [], [], []
+        for k, pair in enumerate(pairs):
+            for s, region in enumerate(pair):
+                for t, (op, r) in enumerate(region):
+                    rings.append(r)
+                    owner.append(k)
+                    side.append(s)
+                    ops.append("+-&|".index(op) + 1)
+                    place.append(t)
+        size = np.array([len(r) for r in rings], dtype=np.int64)
+        self.n, self.most = len(pairs), max(place, default=-1) + 1
+        # Ops by side, pair and place; 0 for none.
+        self.ops = np.zeros((2, self.n, self.most), dtype=np.int8)
+        self.ops[side, owner, place] = ops
+        points = np.concatenate([*rings, NO_RING])
+        ring, at = _within(size)
+        follow = np.arange(len(points)) + 1
+        last = at == size[ring] - 1
+        follow[last] -= size[ring][last]
+        self.seg = np.hstack([points, points[follow]])
+        self.pair, self.side, self.place = (np.array(x, dtype=np.int64)[ring] for x in (owner, side, place))
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the segments of each pair, cut where two of a pair meet, and their pairs."""
+        r = self.seg[:, 2:] - self.seg[:, :2]
+        size = np.hypot(r[:, 0], r[:, 1])
+        use = size > SNAP
+        seg, r, size, pair = self.seg[use], r[use], size[use], self.pair[use]
+        p = seg[:, :2]
+        lo, hi = np.minimum(p, seg[:, 2:]) - 1e-7, np.maximum(p, seg[:, 2:]) + 1e-7
+        count = np.bincount(pair, minlength=self.n)
+        begin = np.cumsum(count) - count
+        i, k = _within(count[pair])
+        j = begin[pair[i]] + k
+        near = (i != j) & (lo[i, 0] <= hi[j, 0]) & (lo[j, 0] <= hi[i, 0]) & (lo[i, 1] <= hi[j, 1]) & (lo[j, 1] <= hi[i, 1])
+        i, j = i[near], j[near]
+        cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+        d, den = p[j] - p[i], cross(r[i], r[j])
+        flat = np.abs(den) <= 1e-12 * size[i] * size[j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = cross(d, r[j]) / den, cross(d, r[i]) / den
+        slack = 1e-9 / size[j]
+        ok = ~flat & (u >= -slack) & (u <= 1 + slack) & (t > 0) & (t < 1)
+        own, at = [i[ok]], [t[ok]]
+        line = flat & (np.abs(cross(d, r[i])) <= 1e-9 * size[i] * np.maximum(1, np.hypot(d[:, 0], d[:, 1])))
+        for c in (0, 2):
+            e = seg[j[line]][:, c : c + 2] - p[i[line]]
+            tt = (e * r[i[line]]).sum(axis=1) / size[i[line]] ** 2
+            good = (tt > 0) & (tt < 1)
+            own.append(i[line][good])
+            at.append(tt[good])
+        every = np.arange(len(seg))
+        own, at = np.concatenate([*own, every, every]), np.concatenate([*at, np.zeros(len(seg)), np.ones(len(seg))])
+        order = np.lexsort((at, own))
+        own, at = own[order], at[order]
+        same = own[1:] == own[:-1]
+        a, b, k = at[:-1][same], at[1:][same], own[:-1][same]
+        keep = (b - a) * size[k] > 1e-8
+        a, b, k = a[keep], b[keep], k[keep]
+        out = np.hstack([p[k] + r[k] * a[:, None], p[k] + r[k] * b[:, None]])
+        flip = (out[:, 0] > out[:, 2] + 1e-10) | ((np.abs(out[:, 0] - out[:, 2]) <= 1e-10) & (out[:, 1] > out[:, 3]))
+        out[flip] = out[flip][:, [2, 3, 0, 1]]
+        whole = np.round(out * 1e7).astype(np.int64)
+        order = np.lexsort((*whole.T, pair[k]))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (whole[order][1:] != whole[order][:-1]).any(axis=1) | (pair[k][order][1:] != pair[k][order][:-1])
+        return out[order[first]], pair[k][order[first]]
+
+    def inside(self, points: np.ndarray, pair: np.ndarray, side: int) -> np.ndarray:
+        """Whether points lie in the region of a side of their pair."""
+        mine = np.flatnonzero(self.side == side)
+        count = np.bincount(self.pair[mine], minlength=self.n)
+        begin = np.cumsum(count) - count
+        at, k = _within(count[pair])
+        edge = mine[begin[pair[at]] + k]
+        x0, y0, x1, y1 = self.seg[edge].T
+        px, py = points[at].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ((y0 > py) != (y1 > py)) & (px < x0 + (py - y0) * (x1 - x0) / (y1 - y0))
+        odd = np.bincount(at[hit] * self.most + self.place[edge[hit]], minlength=len(points) * self.most).reshape(-1, self.most) % 2 == 1
+        done, out = np.zeros(len(points), dtype=bool), np.zeros(len(points), dtype=bool)
+        for t in range(self.most):
+            op, here = self.ops[side, pair, t], odd[:, t]
+            done |= out & (op == 4)
+            out = np.where(op == 1, out | here, np.where(op == 2, out & ~here, np.where(op == 3, out & here, np.where(op == 4, False, out))))
+        return done | out
+
+
+def _relate_some(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    rings = _Rings(pairs)
+    if not rings.most:
+        return np.full(len(pairs), EE)
+    pieces, pair = rings.pieces()
+    d = pieces[:, 2:] - pieces[:, :2]
+    size = np.hypot(d[:, 0], d[:, 1])
+    mid = (pieces[:, :2] + pieces[:, 2:]) / 2 + d * 0.0137
+    off = np.stack([-d[:, 1], d[:, 0]], axis=1) * (np.minimum(1e-6, size * 1e-3) / size)[:, None]
+    both = np.concatenate([mid + off, mid - off])
+    (al, ar), (bl, br) = (np.split(rings.inside(both, np.tile(pair, 2), s), 2) for s in (0, 1))
+    on_a, on_b = al != ar, bl != br
+    cells = ((II, (al & bl) | (ar & br)), (IE, (al & ~bl) | (ar & ~br)), (EI, (~al & bl) | (~ar & br)), (BB, on_a & on_b), (IB, on_b & al & ar), (BI, on_a & bl & br), (EB, on_b & ~al & ~ar), (BE, on_a & ~bl & ~br))
+    out = np.full(len(pairs), EE)
+    for bit, hit in cells:
+        out += bit * (np.bincount(pair[hit], minlength=len(pairs)) > 0)
+    return out
+
+
 def combined_area(regions: list[Region], keep) -> float:
     """Area where ``keep`` of the regions' membership holds."""
     pieces = noded(segments(*regions))
@@ -215,8 +386,8 @@ def hull(a: Region) -> Region:
 
 
 def solid(a: Region) -> Region:
-    """Holes filled: the outer rings, less holes that reach the outside."""
-    return [(op, r) for op, r in a if op == "+"]
+    """Holes filled: the outer rings, part by part."""
+    return [(op, r) for op, r in a if op != "-"]
 
 
 def _point_segments(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -245,6 +416,17 @@ def boundary_distance(a: Region, b: Region) -> float:
     return float(min(_point_segments(p.reshape(-1, 2), q).min(), _point_segments(q.reshape(-1, 2), p).min()))
 
 
+def common_boundary(a: Region, b: Region) -> tuple[float, float, float]:
+    """Lengths of the boundary that both have, and of each one's."""
+    pieces = noded(segments(a, b))
+    if not len(pieces):
+        return 0.0, 0.0, 0.0
+    size = np.hypot(pieces[:, 2] - pieces[:, 0], pieces[:, 3] - pieces[:, 1])
+    (al, ar), (bl, br) = sides(pieces, a), sides(pieces, b)
+    on_a, on_b = al != ar, bl != br
+    return float(size[on_a & on_b].sum()), float(size[on_a].sum()), float(size[on_b].sum())
+
+
 def hausdorff(a: Region, b: Region) -> float:
     """Discrete: the farthest vertex of one boundary from the vertices of the other."""
     p, q = boundary(a).reshape(-1, 2), boundary(b).reshape(-1, 2)

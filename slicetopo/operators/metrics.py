@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernel as K
-from .structures import _unpack
+from .structures import geometry
 
 #: Relations for which a metric applies.
 APPLIES = {
@@ -19,65 +21,145 @@ APPLIES = {
     "minimum_margins": ("CONTAINS", "SURROUNDS", "SHELTERS", "PARTITIONED", "CONFINES", "EQUAL"),
     "maximum_margin": ("CONTAINS", "SURROUNDS", "CONFINES", "EQUAL", "PARTITIONED"),
     "volume_overlap": ("OVERLAPS", "PARTITIONED", "CONTAINS", "EQUAL"),
+    "surface_overlap": ("BORDERS", "CONFINES"),
 }
 ZERO = ("EQUAL", "PARTITIONED", "CONFINES")
 PAIR = ["set_id", "roi_a", "roi_b"]
 
 
-def _all(region: str, boundary: str) -> list:
+#: Metrics by category of a configuration, and directions (x_neg, x_pos, y_neg,
+#: y_pos, z_neg, z_pos) by patient orientation.
+CATEGORIES = {"margins": ("minimum_margins", "maximum_margin"), "distance": ("minimum_distance",), "volume": ("volume_overlap",), "surface": ("surface_overlap",), "geometry": ()}
+ORIENTATIONS = {"HFS": "R L A P I S", "HFP": "L R P A I S", "FFS": "L R A P S I", "FFP": "R L P A S I"}
+AXES = ("x_minus", "x_plus", "y_minus", "y_plus", "z_minus", "z_plus")
+
+
+@dataclass(frozen=True)
+class Config:
+    """What metrics are calculated and how they are shown; :meth:`from_json` reads a file with
+    units, precision, enabled_metrics, margin_settings and non_applicable_handling."""
+
+    categories: tuple[str, ...] = ("margins", "distance", "volume", "surface")
+    orthogonal: bool = True
+    minimum: bool = True
+    maximum: bool = False
+    distance_decimals: int = 2
+    ratio_decimals: int = 3
+    unit: str = "cm"
+    orientation: str = "HFS"
+    anatomical: bool = True
+    not_applicable: str = "nan"
+
+    def __post_init__(self):
+        if unknown := set(self.categories) - set(CATEGORIES):
+            raise ValueError(f"unknown categories {sorted(unknown)}")
+        if self.distance_decimals < 0 or self.ratio_decimals < 0:
+            raise ValueError("decimals are negative")
+        if self.orientation not in ORIENTATIONS:
+            raise ValueError(f"orientation is one of {tuple(ORIENTATIONS)}")
+        if self.not_applicable not in ("nan", "none", "zero"):
+            raise ValueError("not_applicable is nan, none or zero")
+
+    @classmethod
+    def from_json(cls, text: str) -> Config:
+        raw = json.loads(text)
+        modes = [m.removeprefix("use_") for m, on in raw.get("non_applicable_handling", {"use_nan": True}).items() if m.startswith("use_") and on]
+        if len(modes) != 1:
+            raise ValueError("exactly one way to show what does not apply")
+        on = tuple(c for c in CATEGORIES if raw.get("enabled_metrics", {}).get(c, c != "geometry"))
+        margins_, places = raw.get("margin_settings", {}), raw.get("precision", {})
+        labels = margins_.get("anatomical_labels", {})
+        return cls(on, margins_.get("calculate_orthogonal", True), margins_.get("calculate_minimum", True), margins_.get("calculate_maximum", False), places.get("distance", 2), places.get("ratio", 3), raw.get("units", {}).get("distance", "cm"), labels.get("default_orientation", "HFS"), labels.get("use_anatomical", True), modes[0])
+
+    def metrics(self) -> list[str]:
+        names = [n for c in self.categories for n in CATEGORIES[c]]
+        return [n for n in names if (n != "minimum_margins" or self.orthogonal or self.minimum) and (n != "maximum_margin" or self.maximum)]
+
+
+def _all(row: dict) -> list:
     """A slice's whole geometry: its region and its boundary together."""
-    return [*_unpack(region), *[(op, r) for op, r in _unpack(boundary) if op == "+"]]
+    return K.union(geometry(row, "region"), geometry(row, "boundary"))
 
 
-def _sides(slices: DataFrame, pairs: DataFrame, same_slice: bool) -> DataFrame:
-    side = lambda x: slices.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("zk").alias("zk" if same_slice else f"zk_{x}"), F.col("z").alias(f"z_{x}"), F.col("region").alias(f"region_{x}"), F.col("boundary").alias(f"boundary_{x}"), F.col("labels").alias(f"labels_{x}"))
-    on_b = ["set_id", "roi_b", "zk"] if same_slice else ["set_id", "roi_b"]
-    return pairs.join(side("a"), ["set_id", "roi_a"]).join(side("b"), on_b)
-
-
-def _distances(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = [K.distance(_all(r.region_a, r.boundary_a), _all(r.region_b, r.boundary_b)) for r in pdf.itertuples()]
-    return pd.DataFrame({"set_id": pdf["set_id"], "roi_a": pdf["roi_a"], "roi_b": pdf["roi_b"], "d": np.hypot(np.array(d, dtype=float), pdf["dz"].to_numpy())})
+def _by_set(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` pair of a set with the slices of both, as rows. Slices are shuffled once by
+    set; a set, which is small, is read once in a task, whatever its number of pairs."""
+    ship(slices.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+    keep = ["set_id", "roi", "zk", "z", "region_ops", "region_n", "region_xy", "boundary_ops", "boundary_n", "boundary_xy", "labels"]
+
+    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list[dict]] = {}
+        needed = set(wanted["roi_a"]) | set(wanted["roi_b"])
+        for r in own[own["roi"].isin(needed)].to_dict("records"):
+            by.setdefault(int(r["roi"]), []).append({"zk": r["zk"], "z": r["z"], "labels": list(r["labels"]), "all": (whole := _all(r)), "bounds": K.bounds(whole)})
+        rows = []
+        for a, b in zip(wanted["roi_a"].tolist(), wanted["roi_b"].tolist(), strict=True):
+            rows += [(wanted["set_id"].iloc[0], a, b, *x) for x in each(by.get(a, []), by.get(b, []))]
+        return pd.DataFrame(rows, columns=names)
+
+    return slices.select(*keep).groupBy("set_id").cogroup(pairs.select(*PAIR).groupBy("set_id")).applyInPandas(run, schema)
+
+
+def _least_distance(a: list[dict], b: list[dict]):
+    """The least distance over pairs of slices. What the boxes round slices and their distance
+    along z allow comes first, and once that is no less than the best, the rest can't be."""
+    a, b = ([x for x in side if x["bounds"] is not None] for side in (a, b))
+    if not a or not b:
+        return
+    p, q = np.array([x["bounds"] for x in a]), np.array([y["bounds"] for y in b])
+    gap = np.maximum(np.maximum(p[:, None, :2] - q[None, :, 2:], q[None, :, :2] - p[:, None, 2:]), 0)
+    dz = np.abs(np.array([x["z"] for x in a])[:, None] - np.array([y["z"] for y in b])[None])
+    least = np.sqrt((gap**2).sum(axis=2) + dz**2)
+    best = None
+    for k in np.lexsort((dz.ravel(), least.ravel())).tolist():
+        i, j = divmod(k, len(b))
+        if best is not None and least[i, j] >= best[0]:
+            break
+        d = K.distance(a[i]["all"], b[j]["all"])
+        if not math.isnan(d) and (best is None or math.hypot(d, dz[i, j]) < best[0]):
+            best = (math.hypot(d, dz[i, j]), i, j)
+    if best is not None:
+        d, i, j = best
+        first = lambda x: x["labels"][0] if x["labels"] else None
+        yield round(d, 2), a[i]["z"], b[j]["z"], first(a[i]), first(b[j])
+
+
+DISTANCES = "set_id string, roi_a int, roi_b int, minimum_distance double, z_a double, z_b double, region_a string, region_b string"
 
 
 def minimum_distance(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, minimum_distance), rounded to 0.01, over all pairs of slices.
-    The nearest slices come first and bound the rest: pairs of slices that are farther
-    apart than the bound are never compared."""
-    ship(slices.sparkSession)
-    pairs = relations.where(F.col("relation").isin(*APPLIES["minimum_distance"])).select(*PAIR)
-    both = _sides(slices, pairs, False).withColumn("dz", F.abs(F.col("z_a") - F.col("z_b")))
-    run = lambda df: df.mapInPandas(lambda it: (_distances(x) for x in it), "set_id string, roi_a int, roi_b int, d double").where(~F.isnan("d"))
-    nearest = both.groupBy(*PAIR).agg(F.min("dz").alias("least"))
-    seed = run(both.join(nearest, PAIR).where(F.col("dz") <= F.col("least") + 1e-9).drop("least")).groupBy(*PAIR).agg(F.min("d").alias("bound"))
-    rest = run(both.join(seed, PAIR).where(F.col("dz") < F.col("bound")).drop("bound"))
-    return seed.select(*PAIR, F.col("bound").alias("d")).unionByName(rest).groupBy(*PAIR).agg(F.round(F.min("d"), 2).alias("minimum_distance"))
+    """(set_id, roi_a, roi_b, minimum_distance, z_a, z_b, region_a, region_b), rounded to 0.01,
+    over all pairs of slices; z and regions are those of the nearest pair of slices."""
+    return _by_set(slices, relations.where(F.col("relation").isin(*APPLIES["minimum_distance"])), _least_distance, DISTANCES)
 
 
-MARGINS = "set_id string, roi_a int, roi_b int, z double, labels_a array<string>, labels_b array<string>, nearest double, farthest double, x_plus double, x_minus double, y_plus double, y_minus double, common double, area_a double, area_b double"
+MARGINS = "set_id string, roi_a int, roi_b int, z double, labels_a array<string>, labels_b array<string>, nearest double, farthest double, x_plus double, x_minus double, y_plus double, y_minus double"
 
 
-def _margins(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for r in pdf.itertuples():
-        a, b = _all(r.region_a, r.boundary_a), _all(r.region_b, r.boundary_b)
-        sa, sb = K.solid(a), K.solid(b)
-        if not sa or not sb:
+def _margins(a: list[dict], b: list[dict]):
+    """Margins on each slice that both have."""
+    other = {y["zk"]: y for y in b}
+    for x in a:
+        y = other.get(x["zk"])
+        if y is None:
+            continue
+        p, q = x["all"], y["all"]
+        sp, sq = K.solid(p), K.solid(q)
+        if not sp or not sq:
             continue
-        start = K.region_centroid(b)
+        start = K.region_centroid(q)
         if np.isnan(start).any():
-            start = K.centroid(max((x for _, x in sb), key=lambda x: abs(K.ring_area(x))))
-        points = np.concatenate([x for _, x in [*sa, *sb]])
+            start = K.centroid(max((r for _, r in sq if len(r)), key=lambda r: abs(K.ring_area(r))))
+        points = np.concatenate([r for _, r in [*sp, *sq]])
         far = 2 * float(np.ptp(points, axis=0).max() + np.abs(points - start).max())
-        rays = [K.ray_length(sa, sb, start, start + np.array(d) * far) for d in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-        rows.append((r.set_id, r.roi_a, r.roi_b, r.z_a, r.labels_a, r.labels_b, K.boundary_distance(a, b), K.hausdorff(a, b), *rays, K.combined_area([a, b], lambda u, v: u & v), K.area(a), K.area(b)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in MARGINS.split(", ")])
+        rays = [K.ray_length(sp, sq, start, start + np.array(d) * far) for d in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+        yield x["z"], x["labels"], y["labels"], K.boundary_distance(p, q), K.hausdorff(p, q), *rays
 
 
 def slice_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """Margins and areas of each pair on each slice that both have."""
-    ship(slices.sparkSession)
-    return _sides(slices, relations.select(*PAIR), True).mapInPandas(lambda it: (_margins(x) for x in it), MARGINS)
+    """Margins of each pair on each slice that both have."""
+    return _by_set(slices, relations, _margins, MARGINS)
 
 
 DIRECTIONS = ("x_minus", "x_plus", "y_minus", "y_plus", "z_minus", "z_plus")
@@ -117,15 +199,80 @@ def margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
     return got.withColumns({"region_a": F.when(~zero, F.col("_c")["region_a"]), "region_b": F.when(~zero, F.col("_c")["region_b"]), "worst_direction": F.when(~zero, name)}).drop("_c", "_w")
 
 
+def maximum_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, relation, maximum, region_a, region_b, z): the largest discrete
+    Hausdorff distance over common slices, rounded to 0.01, with its slice and regions; 0,
+    without these, for relations whose boundaries meet by definition."""
+    use = relations.where(F.col("relation").isin(*APPLIES["maximum_margin"]))
+    most = F.max(F.struct(F.round("farthest", 2).alias("v"), (-F.col("z")).alias("down"), F.element_at("labels_a", 1).alias("a"), F.element_at("labels_b", 1).alias("b")))
+    per = slice_margins(slices, use).groupBy(*PAIR).agg(most.alias("m"))
+    zero = F.col("relation").isin(*ZERO)
+    return use.select(*PAIR, "relation").join(per, PAIR).select(*PAIR, "relation", F.when(zero, 0.0).otherwise(F.col("m.v")).alias("maximum"), F.when(~zero, F.col("m.a")).alias("region_a"), F.when(~zero, F.col("m.b")).alias("region_b"), F.when(~zero, -F.col("m.down")).alias("z"))
+
+
+def _areas(a: list[dict], b: list[dict]):
+    """The common area and both areas on each slice that both have; a structure's own are
+    calculated once for all its pairs."""
+    other = {y["zk"]: y for y in b}
+    for x in a:
+        y = other.get(x["zk"])
+        if y is None or x["bounds"] is None or y["bounds"] is None:
+            continue
+        for side in (x, y):
+            if "area" not in side:
+                side["area"] = K.area(side["all"])
+        common = 0.0 if K.apart(x["bounds"], y["bounds"]) else K.combined_area([x["all"], y["all"]], lambda u, v: u & v)
+        yield x["z"], common, x["area"], y["area"]
+
+
 def overlap(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, dice): twice the common area over both areas, over all slices."""
+    """(set_id, roi_a, roi_b, dice, common_area, area_a, area_b): twice the common area over
+    both areas, and the areas, summed over all slices that both have."""
     use = relations.where(F.col("relation").isin(*APPLIES["volume_overlap"]))
-    per = slice_margins(slices.where("not is_boundary"), use).groupBy(*PAIR).agg(F.sum("common").alias("c"), F.sum("area_a").alias("a"), F.sum("area_b").alias("b"))
-    return per.select(*PAIR, (2 * F.col("c") / (F.col("a") + F.col("b"))).alias("dice"))
+    per = _by_set(slices.where("not is_boundary"), use, _areas, "set_id string, roi_a int, roi_b int, z double, common double, area_a double, area_b double")
+    per = per.groupBy(*PAIR).agg(F.sum("common").alias("common_area"), F.sum("area_a").alias("area_a"), F.sum("area_b").alias("area_b"))
+    return per.select(*PAIR, (2 * F.col("common_area") / (F.col("area_a") + F.col("area_b"))).alias("dice"), "common_area", "area_a", "area_b")
+
+
+def _surfaces(a: list[dict], b: list[dict]):
+    """Lengths of the common boundary and of both boundaries on each slice that both have."""
+    other = {y["zk"]: y for y in b}
+    for x in a:
+        y = other.get(x["zk"])
+        if y is not None:
+            yield x["z"], *K.common_boundary(x["all"], y["all"])
+
+
+def surface_overlap(slices: DataFrame, relations: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, common, share_a, share_b): the length of boundary that both have,
+    over common slices, and its share of each one's boundary there."""
+    use = relations.where(F.col("relation").isin(*APPLIES["surface_overlap"]))
+    per = _by_set(slices.where("not is_boundary"), use, _surfaces, "set_id string, roi_a int, roi_b int, z double, common double, a double, b double")
+    got = per.groupBy(*PAIR).agg(F.sum("common").alias("common"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return got.select(*PAIR, "common", (F.col("common") / F.col("a")).alias("share_a"), (F.col("common") / F.col("b")).alias("share_b"))
+
+
+def centroids(nodes: DataFrame) -> DataFrame:
+    """(set_id, roi, x, y, z): the centroid of a structure's contours, each by its area, holes
+    taken away, on original slices."""
+    from ..functions.scalars import ring_centroid
+
+    ring = F.transform(F.sequence(F.lit(0), F.expr("size(ring) div 2") - 1), lambda i: F.struct(F.get("ring", 2 * i).alias("x"), F.get("ring", 2 * i + 1).alias("y")))
+    own = nodes.where("problem is null and not is_made").select("set_id", "roi", "z", F.when(F.col("is_hole"), -F.col("area")).otherwise(F.col("area")).alias("w"), ring_centroid(ring).alias("c"))
+    mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w"))
+    return own.groupBy("set_id", "roi").agg(mean("c.x").alias("x"), mean("c.y").alias("y"), mean("z").alias("z"))
+
+
+def centroid_distance(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, distance) of the centroids of each pair."""
+    c = centroids(nodes)
+    side = lambda x: c.select("set_id", F.col("roi").alias(f"roi_{x}"), *[F.col(u).alias(f"{u}_{x}") for u in "xyz"])
+    got = relations.select(*PAIR).join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b"])
+    return got.select(*PAIR, F.sqrt(sum(F.pow(F.col(f"{u}_a") - F.col(f"{u}_b"), 2) for u in "xyz")).alias("distance"))
 
 
 #: Metrics by name; both spellings of a name are known.
-REGISTRY = {"minimum_distance": minimum_distance, "minimum_margins": margins, "orthogonal_margins": margins, "minimum_margin": margins, "maximum_margin": margins, "volume_overlap": overlap}
+REGISTRY = {"minimum_distance": minimum_distance, "minimum_margins": margins, "orthogonal_margins": margins, "minimum_margin": margins, "maximum_margin": maximum_margins, "volume_overlap": overlap, "surface_overlap": surface_overlap}
 
 
 def register(name: str, metric) -> None:
@@ -141,5 +288,25 @@ def calculate(name: str, slices: DataFrame, relations: DataFrame) -> DataFrame:
     return REGISTRY[name](slices, relations)
 
 
+def calculate_all(config: Config, slices: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """The metrics that a configuration enables, by name, rounded to its decimals. Pairs to
+    which a metric does not apply are shown as the configuration says."""
+    out = {}
+    shown = {"nan": F.lit(float("nan")), "zero": F.lit(0.0), "none": F.lit(None).cast("double")}[config.not_applicable]
+    for name in config.metrics():
+        got = calculate(name, slices, relations)
+        values = [c for c, t in got.dtypes if t == "double"]
+        got = got.withColumns({c: F.round(c, config.ratio_decimals if c in ("dice", "share_a", "share_b") else config.distance_decimals) for c in values})
+        rest = relations.select(*PAIR).join(got.select(*PAIR), PAIR, "left_anti")
+        got = got.unionByName(rest.select(*PAIR, *[shown.alias(c) for c in values]), allowMissingColumns=True)
+        out[name] = named_directions(got, config.orientation) if name == "minimum_margins" and config.anatomical else got
+    return out
+
+
+def named_directions(margins_: DataFrame, orientation: str = "HFS") -> DataFrame:
+    """Margins with columns for a patient's directions instead of axes."""
+    return margins_.withColumnsRenamed(dict(zip(AXES, ORIENTATIONS[orientation].split(), strict=True)))
+
+
 def is_missing(x: float | None) -> bool:
     return x is None or math.isnan(x)

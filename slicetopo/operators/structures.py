@@ -1,19 +1,20 @@
 """From contours to region slices, and from these to relations and metrics.
 
 A structure (one ROI of a set) is small: its contours are put together in one grouped
-call, over the set's slice sequence, which travels as an array column. What grows with
-the corpus, the number of sets, structures and pairs, is spread by Spark: contours are
-shuffled once by structure, region slices once by pair and slice, and the bits of slices
-merge with a bitwise or that is combined before the shuffle.
+call, over the set's slice sequence, which travels as an array column. What comes out,
+contours and caps with their links, is a table (:func:`nodes`) from which all else is made:
+volumes, reports, regions, and the region slices. What grows with the corpus, the number of
+sets, structures and pairs, is spread by Spark: contours are shuffled once by structure,
+region slices once by set and slice, where all pairs of a slice are related in one call that
+reads each structure once; the bits of slices merge with a bitwise or that is combined
+before the shuffle. Functions take contours or the table that :func:`nodes` made of them.
 """
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as bitcols
@@ -29,48 +30,61 @@ def key(z: float) -> int:
 
 
 def check_contours(contours: DataFrame) -> DataFrame:
-    """``contours`` with ``problem``: null, or why a ring can't be used. Bad rings are set
-    aside instead of failing a job."""
+    """``contours`` with ``problem``: null, or why a ring can't be used."""
     n = F.size("points")
-    return contours.withColumn("problem", F.when(F.col("points").isNull() | (n < 3), "fewer than three points").when(F.col("z").isNull() | F.isnan("z"), "no slice position").when(F.exists("points", lambda p: p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"])), "missing coordinate"))
+    bad = lambda p: p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"])
+    problem = F.when(F.col("points").isNull() | (n < 3), "fewer than three points").when(F.col("z").isNull() | F.isnan("z"), "no slice position").when(F.exists("points", bad), "missing coordinate")
+    return contours.withColumn("problem", problem)
 
 
-def holes(rings: list[np.ndarray]) -> tuple[list[bool], list[int | None]]:
-    """Hole flags and containers of one slice's rings, largest area first. A ring within an
-    earlier one is a hole if that one is none; the last container decides. Rings that
-    overlap in part raise an error."""
-    flags, inside_of = [], []
+def holes(rings: list[np.ndarray]) -> tuple[list[bool], list[int | None], list[bool]]:
+    """Hole flags, containers and overlaps of one slice's rings, largest area first. A ring
+    within an earlier one is a hole if that one is none; the last container decides. A ring
+    that overlaps an earlier one in part is marked, and counts for nothing."""
+    flags, inside_of, overlaps = [], [], []
     for i, r in enumerate(rings):
-        flag, container = False, None
+        flag, container, crossing = False, None, False
         for j in range(i):
+            if overlaps[j]:
+                continue
             nine = K.relate([("+", rings[j])], [("+", r)])
             if nine & K.II:
                 if nine & K.EI:
-                    raise ValueError("contours of one structure overlap on a slice")
+                    crossing = True
+                    break
                 flag, container = not flags[j], j
-        flags.append(flag)
-        inside_of.append(container)
-    return flags, inside_of
+        flags.append(flag and not crossing)
+        inside_of.append(None if crossing else container)
+        overlaps.append(crossing)
+    return flags, inside_of, overlaps
 
 
 def build(rings: pd.DataFrame, zs: list[float]) -> dict:
-    """Contours, edges, regions, hole types and caps of one structure. ``rings``: z and
-    ring; ``zs``: the set's original slices, in order."""
+    """Contours, edges, regions, hole types and caps of one structure, and the rings that
+    can't be used. ``rings``: z and ring; ``zs``: the set's original slices, in order."""
     at = {key(z): i for i, z in enumerate(zs)}
     nodes: list[dict] = []
+    bad: list[tuple[float, np.ndarray, str]] = []
     for z, group in sorted(rings.groupby("z"), key=lambda g: g[0]):
         own = sorted((K.ring_of(r) for r in group["ring"]), key=lambda r: -abs(K.ring_area(r)))
-        flags, container = holes(own)
-        base = len(nodes)
-        for r, hole, inside in zip(own, flags, container, strict=True):
-            nodes.append({"z": z, "ring": r, "hole": hole, "inside": None if inside is None else base + inside, "cap": False, "made": False})
-    solid_of = [[("+", n["ring"]), *(("-", m["ring"]) for m in nodes if m["hole"] and m["inside"] == i and m["z"] == n["z"])] for i, n in enumerate(nodes)]
+        bad += [(z, r, "a ring that crosses itself or has no area") for r in own if not K.is_simple(r)]
+        own = [r for r in own if K.is_simple(r)]
+        flags, container, crossing = holes(own)
+        bad += [(z, r, "a ring that overlaps another of its structure") for r, c in zip(own, crossing, strict=True) if c]
+        number = np.cumsum([not c for c in crossing]) - 1 + len(nodes)
+        for r, hole, inside, c in zip(own, flags, container, crossing, strict=True):
+            if not c:
+                nodes.append({"z": z, "ring": r, "hole": hole, "inside": None if inside is None else int(number[inside]), "cap": False, "made": False})
+    by_z: dict[int, list[int]] = {}
+    for i, n in enumerate(nodes):
+        by_z.setdefault(key(n["z"]), []).append(i)
+    solid_of = [[("+", n["ring"]), *(("-", nodes[j]["ring"]) for j in by_z[key(n["z"])] if nodes[j]["hole"] and nodes[j]["inside"] == i)] for i, n in enumerate(nodes)]
     edges = []
     for i, n in enumerate(nodes):
         k = at[key(n["z"])]
         if k + 1 < len(zs):
-            for j, m in enumerate(nodes):
-                if key(m["z"]) == key(zs[k + 1]) and m["hole"] == n["hole"] and K.relate(solid_of[i], solid_of[j]) & K.II:
+            for j in by_z.get(key(zs[k + 1]), ()):
+                if nodes[j]["hole"] == n["hole"] and K.relate(solid_of[i], solid_of[j]) & K.II:
                     edges.append((i, j))
     root = list(range(len(nodes)))
 
@@ -90,7 +104,8 @@ def build(rings: pd.DataFrame, zs: list[float]) -> dict:
             for linked, step in ((lower, -1), (upper, 1)):
                 if i not in linked:
                     k = at[key(n["z"])] + step
-                    closed = 0 <= k < len(zs) and any(not m["hole"] and key(m["z"]) == key(zs[k]) and not K.relate([("+", m["ring"])], [("+", n["ring"])]) & K.EI for m in nodes)
+                    beyond = by_z.get(key(zs[k]), ()) if 0 <= k < len(zs) else ()
+                    closed = any(not nodes[j]["hole"] and not K.relate([("+", nodes[j]["ring"])], [("+", n["ring"])]) & K.EI for j in beyond)
                     open_[find(i)] = open_.get(find(i), False) or not closed
     # Caps: half-way to the next slice of the set, a quarter of the spacing at its ends.
     gaps = np.diff(zs)
@@ -112,22 +127,83 @@ def build(rings: pd.DataFrame, zs: list[float]) -> dict:
         for j in related:
             nodes.append({**nodes[j], "z": z, "cap": False, "made": True, "inside": None, "of": j})
             root.append(find(j))
-    regions = sorted({find(i) for i, n in enumerate(nodes) if not n["hole"]}, key=lambda r: (min(n["z"] for i, n in enumerate(nodes) if find(i) == r), -max(abs(K.ring_area(n["ring"])) for i, n in enumerate(nodes) if find(i) == r)))
+    solid_roots = sorted({find(i) for i, n in enumerate(nodes) if not n["hole"]})
+    first = {r: min((n["z"], -abs(K.ring_area(n["ring"]))) for i, n in enumerate(nodes) if find(i) == r) for r in solid_roots}
+    regions = sorted(solid_roots, key=lambda r: (first[r][0], first[r][1], r))
     label = {r: chr(65 + k % 26) + ("" if k < 26 else str(k // 26 - 1)) for k, r in enumerate(regions)}
     for i, n in enumerate(nodes):
         n["region"] = find(i)
         n["label"] = label.get(find(i), "")
         n["open"] = bool(open_.get(find(i), False))
         n["hole_type"] = "None" if not n["hole"] else "Open" if n["open"] else "Closed" if find(i) in open_ else "Unknown"
-    return {"nodes": nodes, "edges": edges, "n_original": len(solid_of), "regions": len(regions)}
+    return {"nodes": nodes, "edges": edges, "n_original": len(solid_of), "regions": len(regions), "bad": bad}
+
+
+#: A contour or cap: its place in its structure, its links upwards, its shares of volumes.
+NODES = (
+    "set_id string, roi int, node int, z double, ring array<double>, area double, is_hole boolean, hole_type string, is_open boolean, "
+    "is_cap boolean, is_made boolean, of int, region int, label string, up array<int>, physical double, exterior double, hull double, problem string"
+)
+
+
+def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
+    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
+    built = build(rows, list(pdf["zs"].iloc[0]))
+    own = built["nodes"]
+    up: list[list[int]] = [[] for _ in own]
+    for i, j in built["edges"]:
+        up[i].append(j)
+    spans = [*built["edges"], *((i, n["of"]) for i, n in enumerate(own) if n["cap"])]
+    volume = np.zeros((len(own), 3))
+    hull_area: dict[int, float] = {}
+    for i, j in spans:
+        a, b = own[i], own[j]
+        gap = abs(a["z"] - b["z"])
+        v = (abs(K.ring_area(a["ring"])) + abs(K.ring_area(b["ring"]))) / 2 * gap
+        for k in (i, j):
+            if k not in hull_area:
+                hull_area[k] = abs(K.ring_area(K.convex_hull(own[k]["ring"])))
+        h = (hull_area[i] + hull_area[j]) / 2 * gap
+        volume[i] += (-v if a["hole"] else v, 0 if a["hole_type"] == "Closed" else -v if a["hole"] else v, 0 if a["hole"] else h)
+    out = [(set_id, roi, i, n["z"], np.round(n["ring"], 9).ravel().tolist(), abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], n["open"], n["cap"], n["made"], n.get("of", -1), n["region"], n["label"], up[i], *volume[i].tolist(), None) for i, n in enumerate(own)]
+    out += [(set_id, roi, -1, z, r.ravel().tolist(), abs(K.ring_area(r)), False, "None", False, False, False, -1, -1, "", [], 0.0, 0.0, 0.0, why) for z, r, why in built["bad"]]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
+
+
+def nodes(contours: DataFrame) -> DataFrame:
+    """Contours and caps of every structure of (set_id, roi, z, points), with links and shares
+    of volumes. Rings that can't be used have a ``problem`` and no other part; the set's
+    sequence is its slices with a usable position and ring. Worth writing where several
+    steps follow."""
+    if "node" in contours.columns:
+        return contours
+    ship(contours.sparkSession)
+    checked = check_contours(contours.select("set_id", "roi", "z", "points"))
+    good = checked.where("problem is null").drop("problem")
+    seq = good.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
+    got = good.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(_nodes, NODES)
+    xy = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
+    fields = {"set_id": F.col("set_id"), "roi": F.col("roi"), "z": F.col("z"), "ring": xy, "problem": F.col("problem"), "node": F.lit(-1), "of": F.lit(-1), "region": F.lit(-1)}
+    bad = checked.where("problem is not null").select(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in NODES.split(", "))])
+    return got.unionByName(bad)
+
 
+def quarantined(contours: DataFrame) -> DataFrame:
+    """(set_id, roi, z, ring, problem): rings that were set aside, and why."""
+    return nodes(contours).where("problem is not null").select("set_id", "roi", "z", "ring", "problem")
 
-def infill(built: dict, zs: list[float]) -> list[dict]:
+
+def usable(contours: DataFrame) -> DataFrame:
+    return nodes(contours).where("problem is null")
+
+
+def infill(own: list[dict], edges: list[tuple[int, int]], zs: list[float]) -> list[dict]:
     """Rings for slices of the whole sequence strictly inside an edge; each in-fill splits
     what remains above it, so later ones lie half-way between the last and the target."""
-    out, nodes = [], built["nodes"]
-    spans = [(nodes[i], nodes[j]) for i, j in built["edges"]]
-    spans += [(nodes[n["of"]], n) if n["z"] > nodes[n["of"]]["z"] else (n, nodes[n["of"]]) for n in nodes if n.get("cap")]
+    out = []
+    spans = [(own[i], own[j]) for i, j in edges]
+    spans += [(own[n["of"]], n) if n["z"] > own[n["of"]]["z"] else (n, own[n["of"]]) for n in own if n["cap"]]
     for lo, hi in spans:
         low = lo["ring"]
         for z in zs:
@@ -137,16 +213,18 @@ def infill(built: dict, zs: list[float]) -> list[dict]:
     return out
 
 
-def assemble(nodes: list[dict]) -> list[dict]:
-    """One slice's region and boundary op lists, and the exterior's."""
-    region, edge, outer, edge_outer = [], [], [], []
-    holes_in, flags = [], False
+def assemble(nodes: list[dict]) -> dict:
+    """One slice's region, boundary and exterior, as regions of the kernel. Contours count
+    from the largest to the smallest; at the end of a hole the hole leaves the boundary, and
+    what of the region so far lies in it is a boundary."""
+    region, edge, outer = [], [], []
+    ends = []
     for n in sorted(nodes, key=lambda n: -abs(K.ring_area(n["ring"]))):
         r = n["ring"]
-        flags = flags or n["cap"]
         if not n["hole"]:
             (edge if n["cap"] else region).append(("+", r))
-            (edge_outer if n["cap"] else outer).append(("+", r))
+            if not n["cap"]:
+                outer.append(("+", r))
         elif not n["cap"]:
             region.append(("-", r))
             if n["open"]:
@@ -154,197 +232,270 @@ def assemble(nodes: list[dict]) -> list[dict]:
                 outer.append(("-", r))
         else:
             edge.append(("-", r))
-            holes_in.append(r)
-    # The end of a hole inside its structure: the structure's own wall is a boundary there.
-    wall = [*region]
-    for r in holes_in:
-        if region:
-            edge += [("+", r)] if not any(op == "+" for op, _ in edge) else []
-    return [{"region": wall, "boundary": edge, "exterior": outer, "is_cap": flags}]
+            if region:
+                ends.append([*region, ("&", r)])
+    if not any(op == "+" for op, _ in edge):
+        edge = []
+    for part in ends:
+        edge = K.union(edge, part)
+    return {"region": region, "boundary": edge, "exterior": outer, "is_cap": any(n["cap"] for n in nodes)}
 
 
-def _pack(ops: list) -> str:
-    return json.dumps([[op, np.round(r, 9).tolist()] for op, r in ops])
+#: The regions of a slice that are stored.
+GEOMETRIES = ("region", "boundary", "exterior", "hull")
+_PACKED = ", ".join(f"{g}_ops string, {g}_n array<int>, {g}_xy array<double>" for g in GEOMETRIES)
+SLICES = f"set_id string, roi int, zk long, z double, {_PACKED}, is_boundary boolean, is_interpolated boolean, has_region boolean, labels array<string>, cap_labels array<string>"
 
 
-def _unpack(text: str) -> list:
-    return [(op, np.array(r)) for op, r in json.loads(text)]
+def geometry(row, name: str) -> K.Region:
+    """A stored region of a row (a mapping)."""
+    return K.unpack(row[f"{name}_ops"], row[f"{name}_n"], row[f"{name}_xy"])
 
 
-SLICES = "set_id string, roi int, zk long, z double, region string, boundary string, exterior string, hull string, is_boundary boolean, is_interpolated boolean, has_region boolean, labels array<string>, cap_labels array<string>"
+def _own_nodes(pdf: pd.DataFrame) -> tuple[list[dict], list[tuple[int, int]]]:
+    pdf = pdf.sort_values("node")
+    own = [{"z": r.z, "ring": np.asarray(r.ring).reshape(-1, 2), "hole": r.is_hole, "open": r.is_open, "cap": r.is_cap, "made": r.is_made, "of": r.of, "region": r.region, "label": r.label} for r in pdf.itertuples()]
+    return own, [(i, int(j)) for i, up in enumerate(pdf["up"]) for j in up]
 
 
 def _structure(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-    zs = list(pdf["zs"].iloc[0])
-    built = build(rows, zs)
-    nodes = [*built["nodes"], *infill(built, list(pdf["all_z"].iloc[0]))]
+    own, edges = _own_nodes(pdf)
+    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
     out = []
     by: dict[int, list] = {}
-    for n in nodes:
+    for n in [*own, *infill(own, edges, list(pdf["all_z"].iloc[0]))]:
         by.setdefault(key(n["z"]), []).append(n)
-    labels_of = lambda nodes: sorted({f"{int(pdf['roi'].iloc[0])}{n['label']}" for n in nodes if not n["hole"]})
-    for zk, own in sorted(by.items()):
-        real = [n for n in own if not n["made"]]
-        use = real if real else own
-        one = assemble(use)[0]
-        hulled = [("+", K.convex_hull(np.concatenate([n["ring"] for n in use if n["region"] == r and not n["hole"]]))) for r in sorted({n["region"] for n in use if not n["hole"]})]
-        out.append((pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), zk, use[0]["z"], _pack(one["region"]), _pack(one["boundary"]), _pack(one["exterior"]), _pack(hulled), bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"]), labels_of(use), labels_of([n for n in use if n["cap"]])))
+    labels_of = lambda nodes: sorted({f"{roi}{n['label']}" for n in nodes if not n["hole"]})
+    for zk, here in sorted(by.items()):
+        real = [n for n in here if not n["made"]]
+        use = real if real else here
+        one = assemble(use)
+        one["hull"] = [("+", K.convex_hull(np.concatenate([n["ring"] for n in use if n["region"] == r and not n["hole"]]))) for r in sorted({n["region"] for n in use if not n["hole"]})]
+        packed = [x for g in GEOMETRIES for x in K.pack(one[g])]
+        out.append((set_id, roi, zk, use[0]["z"], *packed, bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"]), labels_of(use), labels_of([n for n in use if n["cap"]])))
     return pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
 
 
-def _caps_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-    built = build(rows, list(pdf["zs"].iloc[0]))
-    return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "roi": int(pdf["roi"].iloc[0]), "z": sorted({n["z"] for n in built["nodes"] if n["cap"]})})
-
-
 def region_slices(contours: DataFrame) -> DataFrame:
-    """Region slices of every structure of (set_id, roi, z, points), with caps and in-fill.
+    """Region slices of every structure, with caps and in-fill.
 
     The set's sequence is its distinct slices; the caps of all its structures are added
     before in-fill, so a structure is cut at its neighbours' caps as well."""
-    ship(contours.sparkSession)
-    seq = contours.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
-    with_seq = contours.join(seq, "set_id")
-    caps = with_seq.groupBy("set_id", "roi").applyInPandas(_caps_of, "set_id string, roi int, z double")
-    all_z = contours.select("set_id", "z").union(caps.select("set_id", "z")).groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("all_z"))
-    return with_seq.join(all_z, "set_id").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
+    own = usable(contours)
+    all_z = own.where("not is_made or is_cap").groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("all_z"))
+    return own.join(all_z, "set_id").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
 
 
 def contour_report(contours: DataFrame) -> DataFrame:
     """(set_id, roi, z, area, is_hole, hole_type, region, is_boundary) of every contour."""
-    ship(contours.sparkSession)
-    seq = contours.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
+    return usable(contours).select("set_id", "roi", "z", "area", "is_hole", "hole_type", F.concat(F.col("roi").cast("string"), "label").alias("region"), F.col("is_cap").alias("is_boundary"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-        built = build(rows, list(pdf["zs"].iloc[0]))
-        roi = int(pdf["roi"].iloc[0])
-        return pd.DataFrame([(pdf["set_id"].iloc[0], roi, n["z"], abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], f"{roi}{n['label']}", n["cap"]) for n in built["nodes"]], columns=["set_id", "roi", "z", "area", "is_hole", "hole_type", "region", "is_boundary"])
 
-    return contours.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(run, "set_id string, roi int, z double, area double, is_hole boolean, hole_type string, region string, is_boundary boolean")
+def volumes(contours: DataFrame, by: tuple[str, ...] = ("hull", "exterior", "physical")) -> DataFrame:
+    """(set_id, roi, physical, exterior, hull, num_regions, place): volumes from the matches of
+    contours, the number of regions, and the place by falling volumes, equal ones by number."""
+    names = ("physical", "exterior", "hull")
+    if not by or set(by) - set(names):
+        raise ValueError(f"volumes to order by are some of {names}")
+    regions_ = F.count_distinct(F.when(~F.col("is_hole"), F.col("region"))).cast("int")
+    got = usable(contours).groupBy("set_id", "roi").agg(*[F.sum(c).alias(c) for c in names], regions_.alias("num_regions"))
+    return got.withColumn("place", F.row_number().over(Window.partitionBy("set_id").orderBy(*[F.desc(c) for c in by], "roi")))
 
 
-def _nine_to(bits9: int, a_cap: bool, b_cap: bool) -> int:
-    target = K.BB if a_cap and b_cap else K.BI if a_cap else K.IB
-    return (target if bits9 & K.II else 0) << 18
+def summary(contours: DataFrame, rois: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """(set_id, roi, the three volumes rounded to the tolerance, num_contours, num_regions,
+    num_slices, slice_range), over original slices; with ``rois`` (set_id, roi, name and more)
+    their columns too."""
+    from ..functions.scalars import round_value, slice_label
 
+    own = usable(contours)
+    vol = volumes(own).select("set_id", "roi", *[round_value(F.col(c), tolerance).alias(c) for c in ("physical", "exterior", "hull")], "num_regions")
+    num = own.where("not is_made").groupBy("set_id", "roi").agg(F.count("*").alias("num_contours"), F.count_distinct("z").alias("num_slices"), F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    out = vol.join(num, ["set_id", "roi"]).withColumn("slice_range", F.concat(slice_label(F.col("_lo")), F.lit(" to "), slice_label(F.col("_hi")))).drop("_lo", "_hi")
+    return out if rois is None else out.join(rois, ["set_id", "roi"], "left")
 
-def slice_bits(a: dict, b: dict) -> int:
-    """27 bits of two region slices of one position."""
-    out = 0
-    ra, rb, ea, eb = (_unpack(x) for x in (a["region"], b["region"], a["boundary"], b["boundary"]))
-    plus = lambda r: any(op == "+" for op, _ in r)
-    if not a["is_boundary"] and not b["is_boundary"] and plus(ra) and plus(rb):
-        xa, xb, ha, hb = (_unpack(x) for x in (a["exterior"], b["exterior"], a["hull"], b["hull"]))
-        out |= K.relate(ra, rb) << 18 | K.relate(xa, xb) << 9 | K.relate(ha, hb)
-    if plus(ra) and plus(eb):
-        out |= _nine_to(K.relate(ra, eb), False, True)
-    if plus(ea) and plus(rb):
-        out |= _nine_to(K.relate(ea, rb), True, False)
-    if plus(ea) and plus(eb):
-        out |= _nine_to(K.relate(ea, eb), True, True)
-    return out
 
+def _equal(a: K.Region, b: K.Region) -> bool:
+    return len(a) == len(b) and all(p == q and len(x) == len(y) and (x == y).all() for (p, x), (q, y) in zip(a, b, strict=True))
 
-def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    cols = ("region", "boundary", "exterior", "hull", "is_boundary")
-    for r in pdf.to_dict("records"):
-        rows.append((r["set_id"], r["roi_a"], r["roi_b"], r["zk"], slice_bits({c: r[f"{c}_a"] for c in cols}, {c: r[f"{c}_b"] for c in cols})))
-    return pd.DataFrame(rows, columns=["set_id", "roi_a", "roi_b", "zk", "bits"])
 
+class Side:
+    """One structure on a slice: its regions, read once, and what quick tests need."""
 
-def relations(slices: DataFrame, order: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, bits, relation) of every pair; ``order``: (set_id, roi, place),
-    the larger structure first. Positions that only in-fill reaches are left out."""
-    real = slices.where(~F.col("is_interpolated") | F.col("is_boundary"))
-    a = slices.select("set_id", F.col("roi").alias("roi_a"), "zk", *[F.col(c).alias(f"{c}_a") for c in ("region", "boundary", "exterior", "hull", "is_boundary", "is_interpolated")])
-    b = slices.select("set_id", F.col("roi").alias("roi_b"), "zk", *[F.col(c).alias(f"{c}_b") for c in ("region", "boundary", "exterior", "hull", "is_boundary", "is_interpolated")])
-    o = order.select("set_id", "roi", "place")
-    pairs = o.alias("p").join(o.alias("q"), (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.place") < F.col("q.place"))).select(F.col("p.set_id").alias("set_id"), F.col("p.roi").alias("roi_a"), F.col("q.roi").alias("roi_b"))
-    both = pairs.join(a, ["set_id", "roi_a"]).join(b, ["set_id", "roi_b", "zk"])
-    real_both = both.where(~F.col("is_interpolated_a") | F.col("is_boundary_a") | ~F.col("is_interpolated_b") | F.col("is_boundary_b"))
-    done = real_both.mapInPandas(lambda it: (_pairs(x) for x in it), "set_id string, roi_a int, roi_b int, zk long, bits int").select("set_id", "roi_a", "roi_b", "bits")
-    # Slices on which one side has nothing.
-    have = real.where("has_region").select("set_id", "roi", "zk")
-    every = slices.where("has_region").select("set_id", "roi", "zk")
-    only_a = pairs.join(have.withColumnRenamed("roi", "roi_a"), ["set_id", "roi_a"]).join(every.withColumnRenamed("roi", "roi_b"), ["set_id", "roi_b", "zk"], "left_anti").select("set_id", "roi_a", "roi_b", F.lit(bitcols.ONLY_A).alias("bits"))
-    only_b = pairs.join(have.withColumnRenamed("roi", "roi_b"), ["set_id", "roi_b"]).join(every.withColumnRenamed("roi", "roi_a"), ["set_id", "roi_a", "zk"], "left_anti").select("set_id", "roi_a", "roi_b", F.lit(bitcols.ONLY_B).alias("bits"))
-    merged = done.unionByName(only_a).unionByName(only_b).groupBy("set_id", "roi_a", "roi_b").agg(F.bit_or("bits").alias("bits"))
-    return merged.withColumn("relation", D.classify(F.col("bits")))
-
-
-def volumes(contours: DataFrame) -> DataFrame:
-    """(set_id, roi, physical, place): volume from the matches of contours, and its rank."""
-    ship(contours.sparkSession)
-    seq = contours.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
+    def __init__(self, row: dict):
+        self.roi, self.place, self.cap = int(row["roi"]), row["place"], bool(row["is_boundary"])
+        self.real = bool(row["has_region"]) and (not row["is_interpolated"] or self.cap)
+        self.present = bool(row["has_region"])
+        self.made = bool(row["is_interpolated"])
+        self.compared = not self.made or self.cap
+        self.parts = {g: geometry(row, g) for g in GEOMETRIES}
+        self.bounds = {g: K.bounds(r) for g, r in self.parts.items()}
+        self.full = {g: bool(len(K.boundary(r))) for g, r in self.parts.items() if g != "boundary"}
+        region = self.parts["region"]
+        self.filled = _equal(region, self.parts["exterior"])
+        self.convex = len(region) == 1 and len(self.parts["hull"]) == 1 and K.is_convex(region[0][1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-        built = build(rows, list(pdf["zs"].iloc[0]))
-        nodes = built["nodes"]
-        spans = [(nodes[i], nodes[j]) for i, j in built["edges"]] + [(n, nodes[n["of"]]) for n in nodes if n["cap"]]
-        out = [0.0, 0.0, 0.0]
-        for a, b in spans:
-            gap = abs(a["z"] - b["z"])
-            v = (abs(K.ring_area(a["ring"])) + abs(K.ring_area(b["ring"]))) / 2 * gap
-            h = (abs(K.ring_area(K.convex_hull(a["ring"]))) + abs(K.ring_area(K.convex_hull(b["ring"])))) / 2 * gap
-            out[0] += -v if a["hole"] else v
-            out[1] += 0 if a["hole_type"] == "Closed" else -v if a["hole"] else v
-            out[2] += 0 if a["hole"] else h
-        return pd.DataFrame([(pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), *out, built["regions"])], columns=["set_id", "roi", "physical", "exterior", "hull", "num_regions"])
+    def has(self, name: str) -> bool:
+        return self.bounds[name] is not None
 
-    from pyspark.sql import Window
 
-    got = contours.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(run, "set_id string, roi int, physical double, exterior double, hull double, num_regions int")
-    return got.withColumn("place", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("hull"), F.desc("exterior"), F.desc("physical"), "roi")))
+def _nine_to(bits9: int, a_cap: bool, b_cap: bool) -> int:
+    target = K.BB if a_cap and b_cap else K.BI if a_cap else K.IB
+    return (target if bits9 & K.II else 0) << 18
 
 
-REGIONS = "set_id string, roi int, zk long, label string, ops string, is_boundary boolean"
+def pair_bits(pairs: list[tuple[Side, Side]]) -> list[int]:
+    """27 bits of pairs of structures on one slice. What has to be compared is listed first
+    and compared in one go; boxes that don't meet are answered at once."""
+    bits, todo, wanted = [0] * len(pairs), [], []
+
+    def ask(k: int, name_a: str, name_b: str, shifts: tuple[int, ...], caps=None) -> None:
+        a, b = pairs[k]
+        if not K.apart(a.bounds[name_a], b.bounds[name_b]):
+            todo.append((a.parts[name_a], b.parts[name_b]))
+            wanted.append((k, shifts, caps))
+        elif caps is None:
+            # All that matters is that each is not empty.
+            nine = K.EE + (K.IE | K.BE if a.full[name_a] else 0) + (K.EI | K.EB if b.full[name_b] else 0)
+            for s in shifts:
+                bits[k] |= nine << s
+
+    for k, (a, b) in enumerate(pairs):
+        if not a.cap and not b.cap and a.has("region") and b.has("region"):
+            # Exteriors and hulls that are the regions themselves need no comparison.
+            same = [18]
+            for name, plain, shift in (("exterior", "filled", 9), ("hull", "convex", 0)):
+                if getattr(a, plain) and getattr(b, plain):
+                    same.append(shift)
+                elif a.has(name) and b.has(name):
+                    ask(k, name, name, (shift,))
+                else:
+                    bits[k] |= K.relate(a.parts[name], b.parts[name]) << shift
+            ask(k, "region", "region", tuple(same))
+        for name_a, name_b in (("region", "boundary"), ("boundary", "region"), ("boundary", "boundary")):
+            if a.has(name_a) and b.has(name_b):
+                ask(k, name_a, name_b, (), (name_a == "boundary", name_b == "boundary"))
+    for (k, shifts, caps), nine in zip(wanted, K.relate_many(todo).tolist(), strict=True):
+        if caps is not None:
+            bits[k] |= _nine_to(nine, *caps)
+        for s in shifts:
+            bits[k] |= nine << s
+    return bits
+
+
+def _slice_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    sides = sorted((Side(r) for r in pdf.to_dict("records")), key=lambda s: s.place)
+    pairs = [(a, b) for i, a in enumerate(sides) for b in sides[i + 1 :]]
+    compared = [k for k, (a, b) in enumerate(pairs) if a.compared or b.compared]
+    bits = dict(zip(compared, pair_bits([pairs[k] for k in compared]), strict=True))
+    set_id, zk = pdf["set_id"].iloc[0], int(pdf["zk"].iloc[0])
+    rows = [(set_id, a.roi, b.roi, zk, bits.get(k, 0), int(a.real and b.present), int(b.real and a.present), a.made or b.made, a.cap or b.cap) for k, (a, b) in enumerate(pairs)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SLICES.split(", ")])
+
+
+PAIR_SLICES = "set_id string, roi_a int, roi_b int, zk long, bits int, met_a int, met_b int, is_interpolated boolean, has_boundary boolean"
+
+
+def slice_relations(slices: DataFrame, order: DataFrame) -> DataFrame:
+    """Bits of every pair on every slice that both have; 0 where only in-fill meets."""
+    ship(slices.sparkSession)
+    return slices.join(order.select("set_id", "roi", "place"), ["set_id", "roi"]).groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
+
+
+def pairs_of(order: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b) of every two structures of a set, the first before the second."""
+    p, q = order.alias("p"), order.alias("q")
+    on = (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.place") < F.col("q.place"))
+    return p.join(q, on).select(F.col("p.set_id").alias("set_id"), F.col("p.roi").alias("roi_a"), F.col("q.roi").alias("roi_b"))
+
+
+def relations(slices: DataFrame, order: DataFrame, met: DataFrame | None = None, new: list[int] | None = None) -> DataFrame:
+    """(set_id, roi_a, roi_b, bits, relation) of every pair; ``order``: (set_id, roi, place),
+    the larger structure first. Positions that only in-fill reaches are left out. ``met``:
+    what :func:`slice_relations` gave, if it is at hand. ``new``: only pairs with one of
+    these structures, as when they were added to a set that is done."""
+    order = order.select("set_id", "roi", "place")
+    pairs = pairs_of(order)
+    if new is not None:
+        pairs = pairs.where(F.col("roi_a").isin(new) | F.col("roi_b").isin(new))
+    met = slice_relations(slices, order) if met is None else met
+    merged = met.groupBy("set_id", "roi_a", "roi_b").agg(F.bit_or("bits").alias("bits"), F.sum("met_a").alias("met_a"), F.sum("met_b").alias("met_b"))
+    # A structure's slices on which the other has nothing: those that weren't met.
+    own = slices.where("has_region and (not is_interpolated or is_boundary)").groupBy("set_id", "roi").agg(F.count("*").alias("n"))
+    side = lambda x: own.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("n").alias(f"n_{x}"))
+    got = pairs.join(merged, ["set_id", "roi_a", "roi_b"], "left").join(side("a"), ["set_id", "roi_a"], "left").join(side("b"), ["set_id", "roi_b"], "left")
+    alone = lambda x, bits: F.when(F.coalesce(f"n_{x}", F.lit(0)) > F.coalesce(f"met_{x}", F.lit(0)), F.lit(bits)).otherwise(F.lit(0))
+    bits = F.coalesce("bits", F.lit(0)).bitwiseOR(alone("a", bitcols.ONLY_A)).bitwiseOR(alone("b", bitcols.ONLY_B)).cast("int")
+    return got.select("set_id", "roi_a", "roi_b", bits.alias("bits")).withColumn("relation", D.classify(F.col("bits")))
+
+
+def add_structures(done: DataFrame, slices: DataFrame, order: DataFrame, new: list[int]) -> DataFrame:
+    """Relations of a set to which structures ``new`` were added: ``done`` relations stay
+    (turned where the order of two structures changed), those with new ones are made."""
+    turned = done.alias("d").join(order.alias("p"), (F.col("d.set_id") == F.col("p.set_id")) & (F.col("d.roi_a") == F.col("p.roi"))).join(order.alias("q"), (F.col("d.set_id") == F.col("q.set_id")) & (F.col("d.roi_b") == F.col("q.roi")))
+    back = F.col("p.place") > F.col("q.place")
+    pick = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
+    kept = turned.where(~F.col("d.roi_a").isin(new) & ~F.col("d.roi_b").isin(new)).select(F.col("d.set_id").alias("set_id"), pick("d.roi_a", "d.roi_b").alias("roi_a"), pick("d.roi_b", "d.roi_a").alias("roi_b"), F.when(back, bitcols.transpose(F.col("d.bits"))).otherwise(F.col("d.bits")).cast("int").alias("bits"))
+    return kept.withColumn("relation", D.classify(F.col("bits"))).unionByName(relations(slices, order, new=new))
+
+
+def is_complete(done: DataFrame, order: DataFrame) -> DataFrame:
+    """(set_id, complete): whether a set has a relation for every pair of its structures, so
+    that nothing needs to be made again."""
+    n = order.groupBy("set_id").agg(F.count("*").alias("n"))
+    have = done.groupBy("set_id").agg(F.count("*").alias("have"))
+    return n.join(have, "set_id", "left").select("set_id", (F.coalesce("have", F.lit(0)) >= F.col("n") * (F.col("n") - 1) / 2).alias("complete"))
+
+
+REGIONS = "set_id string, roi int, zk long, label string, ops string, n array<int>, xy array<double>, is_boundary boolean"
 
 
 def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-    built = build(rows, list(pdf["zs"].iloc[0]))
+    own, _ = _own_nodes(pdf)
     roi, out = int(pdf["roi"].iloc[0]), []
     by: dict[int, list] = {}
-    for n in built["nodes"]:
+    for n in own:
         by.setdefault(key(n["z"]), []).append(n)
-    for zk, own in sorted(by.items()):
-        for label in sorted({n["label"] for n in own if not n["hole"]}):
-            solids = [n for n in own if n["label"] == label and not n["hole"]]
-            inner = [n for n in own if n["hole"] and any(not K.relate([("+", s["ring"])], [("+", n["ring"])]) & K.EI for s in solids)]
+    for zk, here in sorted(by.items()):
+        for label in sorted({n["label"] for n in here if not n["hole"]}):
+            solids = [n for n in here if n["label"] == label and not n["hole"]]
+            inner = [n for n in here if n["hole"] and any(not K.relate([("+", s["ring"])], [("+", n["ring"])]) & K.EI for s in solids)]
             ops = [("+" if not n["hole"] else "-", n["ring"]) for n in sorted([*solids, *inner], key=lambda n: -abs(K.ring_area(n["ring"])))]
-            out.append((pdf["set_id"].iloc[0], roi, zk, f"{roi}{label}", _pack(ops), any(n["cap"] for n in solids)))
+            out.append((pdf["set_id"].iloc[0], roi, zk, f"{roi}{label}", *K.pack(ops), any(n["cap"] for n in solids)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in REGIONS.split(", ")])
 
 
 def regions(contours: DataFrame) -> DataFrame:
     """Every region of every structure on its slices, with its holes."""
-    ship(contours.sparkSession)
-    seq = contours.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
-    return contours.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
+    return usable(contours).groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
+
+
+REGION_PAIRS = "set_id string, roi_a int, roi_b int, region_a string, region_b string, bits int"
+
+
+def _region_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["place", "label"])
+    own = [(r.place, int(r.roi), r.label, K.unpack(r.ops, r.n, r.xy)) for r in pdf.itertuples()]
+    filled = [(K.solid(r), K.hull(r), K.bounds(r)) for _, _, _, r in own]
+    rows, todo = [], []
+    for (place_a, roi_a, label_a, a), (solid_a, hull_a, bounds_a) in zip(own, filled, strict=True):
+        for (place_b, roi_b, label_b, b), (_, _, bounds_b) in zip(own, filled, strict=True):
+            if place_a < place_b:
+                met = not K.apart(bounds_a, bounds_b)
+                if met:
+                    todo += [(a, b), (solid_a, b), (hull_a, b)]
+                rows.append((pdf["set_id"].iloc[0], roi_a, roi_b, label_a, label_b, met))
+    nine = iter(K.relate_many(todo).tolist())
+    outside = (K.EE | K.IE | K.BE | K.EI | K.EB) * ((1 << 18) + (1 << 9) + 1)
+    rows = [(*r, next(nine) << 18 | next(nine) << 9 | next(nine) if met else outside) for *r, met in rows]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in REGION_PAIRS.split(", ")])
 
 
 def region_relations(regions_: DataFrame, order: DataFrame) -> DataFrame:
     """(set_id, roi_a, roi_b, region_a, region_b, bits, relation) of every pair of regions.
     Only slices that both have count, boundary slices like others; the second region's
     filled form and hull are the region itself."""
-    side = lambda x: regions_.select("set_id", F.col("roi").alias(f"roi_{x}"), "zk", F.col("label").alias(f"region_{x}"), F.col("ops").alias(f"ops_{x}"))
-    o = order.select("set_id", "roi", "place")
-    pairs = o.alias("p").join(o.alias("q"), (F.col("p.set_id") == F.col("q.set_id")) & (F.col("p.place") < F.col("q.place"))).select(F.col("p.set_id").alias("set_id"), F.col("p.roi").alias("roi_a"), F.col("q.roi").alias("roi_b"))
-    both = pairs.join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b", "zk"])
+    ship(regions_.sparkSession)
+    got = regions_.join(order.select("set_id", "roi", "place"), ["set_id", "roi"]).groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
     names = ["set_id", "roi_a", "roi_b", "region_a", "region_b"]
-
-    def run(batches):
-        for pdf in batches:
-            bits = []
-            for a, b in zip(pdf["ops_a"], pdf["ops_b"], strict=True):
-                a, b = _unpack(a), _unpack(b)
-                bits.append(K.relate(a, b) << 18 | K.relate(K.solid(a), b) << 9 | K.relate(K.hull(a), b))
-            yield pdf[names].assign(bits=bits)
-
-    got = both.mapInPandas(run, "set_id string, roi_a int, roi_b int, region_a string, region_b string, bits int")
     return got.groupBy(*names).agg(F.bit_or("bits").alias("bits")).withColumn("relation", D.classify(F.col("bits")))

@@ -8,33 +8,34 @@ the definitions, so it stays inside whole-stage code generation; no join is need
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Name, label, symbol, symmetric, transitive, reversed arrow, complement,
-#: implied, mask, value.
+#: implied, and the tests of region, exterior and hull (T set, F not set, * free).
 TABLE = """
-EQUAL       | Equals      | =  | y | y | n | EQUAL       |           | 89128960 | 71303168
-CONTAINS    | Contains    | ⊂  | n | y | n | WITHIN      |           | 89128960 | 83886080
-WITHIN      | Within      | ⊂  | n | y | y | CONTAINS    |           | 89128960 | 68157440
-PARTITIONED | Partitioned | ⊕  | n | n | n | PARTITIONS  | CONTAINS  | 89128960 | 88080384
-PARTITIONS  | Partitions  | ⊕  | n | n | y | PARTITIONED | WITHIN    | 89128960 | 72351744
-OVERLAPS    | Overlaps    | ∩  | y | n | n | OVERLAPS    |           | 84934656 | 84934656
-BORDERS     | Borders     | \\| | y | n | n | BORDERS     |           | 71469056 | 4229120
-CONFINES    | Confines    | ⊏  | n | n | n | CONFINED    | SURROUNDS | 89294848 | 22183936
-CONFINED    | Confined    | ⊏  | n | n | y | CONFINES    | ENCLOSED  | 89294848 | 22153216
-SURROUNDS   | Surrounds   | ⊏  | n | y | n | ENCLOSED    |           | 89294848 | 17989632
-ENCLOSED    | Enclosed    | ⊏  | n | y | y | SURROUNDS   |           | 89294848 | 17958912
-SHELTERS    | Shelters    | △  | n | y | n | SHELTERED   |           | 89260356 | 17826112
-SHELTERED   | Sheltered   | △  | n | y | y | SHELTERS    |           | 89260356 | 17826052
-DISJOINT    | Disjoint    | ∅  | y | n | n | DISJOINT    |           | 89163844 | 17860676
-UNKNOWN     | Unknown     | ?  | n | n | n |             |           | 0        | 0
+EQUAL       | is Equal to                      | =  | y | y | n | EQUAL       |           | T*F*T*F** | ********* | *********
+CONTAINS    | Contains                         | ⊂  | n | y | n | WITHIN      |           | T*T*F*F** | ********* | *********
+WITHIN      | is Within                        | ⊂  | n | y | y | CONTAINS    |           | T*F*F*T** | ********* | *********
+PARTITIONED | is Partitioned by                | ⊕  | n | n | n | PARTITIONS  | CONTAINS  | T*T*T*F** | ********* | *********
+PARTITIONS  | Partitions                       | ⊗  | n | n | y | PARTITIONED | WITHIN    | T*F*T*T** | ********* | *********
+OVERLAPS    | Overlaps with                    | ∩  | y | n | n | OVERLAPS    |           | T*T***T** | ********* | *********
+BORDERS     | Borders                          | \\| | y | n | n | BORDERS     |           | F***T**** | F*T***T** | *********
+CONFINES    | Confines                         | ⊏  | n | n | n | CONFINED    | SURROUNDS | F*T*T*T** | T*T***F** | *********
+CONFINED    | is Confined by                   | ⊏  | n | n | y | CONFINES    | ENCLOSED  | F*T*T*T** | T*F***T** | *********
+SURROUNDS   | Surrounds                        | ○  | n | y | n | ENCLOSED    |           | F*T*F*T** | T*T***F** | *********
+ENCLOSED    | is Enclosed by                   | ○  | n | y | y | SURROUNDS   |           | F*T*F*T** | T*F***T** | *********
+SHELTERS    | Shelters                         | △  | n | y | n | SHELTERED   |           | F*T*F*T** | F******** | T*T***F**
+SHELTERED   | is Sheltered by                  | △  | n | y | y | SHELTERS    |           | F*T*F*T** | F******** | T*F***T**
+DISJOINT    | is Disjoint from                 | ∅  | y | n | n | DISJOINT    |           | F*T*F*T** | **T***T** | **T***T**
+UNKNOWN     | has an Unknown relationship with | ?  | n | n | n |             |           | ********* | ********* | *********
 """
 
-#: Display order of relations, most specific first.
-RANK = ("EQUAL", "PARTITIONED", "PARTITIONS", "CONTAINS", "WITHIN", "OVERLAPS", "CONFINES", "CONFINED", "SURROUNDS", "ENCLOSED", "SHELTERS", "SHELTERED", "BORDERS", "DISJOINT", "UNKNOWN")
+#: Display order of relations; UNKNOWN is 99.
+RANK = ("EQUAL", "PARTITIONED", "PARTITIONS", "CONTAINS", "WITHIN", "CONFINES", "CONFINED", "SURROUNDS", "ENCLOSED", "BORDERS", "SHELTERS", "SHELTERED", "OVERLAPS", "DISJOINT")
 
 
 @dataclass(frozen=True)
@@ -51,11 +52,32 @@ class Definition:
     value: int = 0
 
 
+def test_of(pattern: str) -> tuple[int, int]:
+    """Mask and value of three bands of T, F and *."""
+    flat = pattern.replace(" ", "")
+    if len(flat) != 27 or set(flat) - set("TF*"):
+        raise ValueError(f"not a pattern of three bands: {pattern}")
+    bits = lambda ones: int("".join("1" if c in ones else "0" for c in flat), 2)
+    return bits("TF"), bits("T")
+
+
 def load(text: str = TABLE) -> list[Definition]:
     out = []
     for line in text.strip().splitlines():
         c = [x.strip() for x in line.replace("\\|", "\0").split("|")]
-        out.append(Definition(c[0], c[1], c[2].replace("\0", "|"), c[3] == "y", c[4] == "y", c[5] == "y", c[6], tuple(c[7].split()), int(c[8]), int(c[9])))
+        out.append(Definition(c[0], c[1], c[2].replace("\0", "|"), c[3] == "y", c[4] == "y", c[5] == "y", c[6], tuple(c[7].split()), *test_of(" ".join(c[8:]))))
+    return out
+
+
+def from_json(text: str) -> list[Definition]:
+    """Definitions of a JSON file: a list ``Relationships`` of objects with relation_type,
+    label, symbol, symmetric, transitive, reversed_arrow, complementary_relation,
+    implied_relation (a name or a list) and pattern, or mask and value as binary text."""
+    out = []
+    for x in json.loads(text)["Relationships"]:
+        implied = x.get("implied_relation") or []
+        mask, value = test_of("".join(x["pattern"].split())) if x.get("pattern") else (int(x["mask"], 2), int(x["value"], 2))
+        out.append(Definition(x["relation_type"], x.get("label", ""), x.get("symbol", ""), bool(x.get("symmetric")), bool(x.get("transitive")), bool(x.get("reversed_arrow")), x.get("complementary_relation") or "", tuple([implied] if isinstance(implied, str) else implied), mask, value))
     return out
 
 

@@ -1,12 +1,13 @@
-"""Sends this package to the executors of a session."""
+"""What a session needs: the package on its executors, and a folder that all share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -26,3 +27,23 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("slicetopo", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _sent.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary folder is
+    set on a local master; on a cluster each machine would have its own, so this raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slicetopo-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what several steps read is made once, and a
+    lost executor costs no recomputation before it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ Only what structure sets need is parsed: data elements with their sequences.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -24,9 +25,13 @@ TAGS = {
     "roi_set": (0x3006, 0x0020), "roi_number": (0x3006, 0x0022), "roi_name": (0x3006, 0x0026), "generation": (0x3006, 0x0036),
     "contour_set": (0x3006, 0x0039), "contours": (0x3006, 0x0040), "contour_type": (0x3006, 0x0042), "contour_data": (0x3006, 0x0050), "referenced_roi": (0x3006, 0x0084), "color": (0x3006, 0x002A),
     "observations": (0x3006, 0x0080), "roi_type": (0x3006, 0x00A4), "observation_label": (0x3006, 0x0085),
+    "generation_text": (0x3006, 0x0038), "codes": (0x3006, 0x0086), "code": (0x0008, 0x0100), "scheme": (0x0008, 0x0102), "meaning": (0x0008, 0x0104),
+    "properties": (0x3006, 0x00B0), "property": (0x3006, 0x00B2), "property_value": (0x3006, 0x00B4),
 }
 CONTOURS = "path string, set_id string, roi int, z double, contour_no int, points array<struct<x:double,y:double>>"
-ROIS = "path string, set_id string, roi int, name string, roi_type string, structure_name string"
+ROIS = "path string, set_id string, roi int, name string, generation_method string, generation_description string, color array<int>"
+OBSERVATIONS = "path string, set_id string, roi int, structure_name string, roi_type string, code string, coding_scheme string, code_meaning string, physical_property string, density string"
+PROBLEMS = "path string, problem string"
 SETS = "path string, modality string, patient_name string, patient_id string, label string, study_id string, series_number string, series_description string"
 
 
@@ -95,7 +100,7 @@ def _each(rows_of):
                 try:
                     item = parse(bytes(content))
                 except (ValueError, struct.error):
-                    continue
+                    continue  # :func:`problems` lists them
                 if "RTSTRUCT" in text(item, "modality"):
                     out += rows_of(path, item)
             yield out
@@ -108,6 +113,29 @@ def _frames(rows_of, schema: str):
     return lambda it: (pd.DataFrame(rows, columns=names) for rows in _each(rows_of)(it))
 
 
+def _problem(content: bytes) -> str | None:
+    try:
+        item = parse(content)
+        if "RTSTRUCT" not in text(item, "modality"):
+            return f"no structure set but {text(item, 'modality') or 'nothing known'}"
+        n = sum(1 for _ in contour_rows(item))
+        return None if n else "no closed planar contour of three points"
+    except (ValueError, struct.error, IndexError) as e:
+        return f"unreadable: {e}"
+
+
+def problems(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, problem) of every file that gives no contours, so that none vanishes."""
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, _problem(bytes(c))) for p, c in zip(b["path"], b["content"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["path", "problem"])
+
+    return files(spark, folder).mapInPandas(run, PROBLEMS)
+
+
 def contours(spark: SparkSession, folder: str) -> DataFrame:
     """Contours of all structure sets of a folder."""
     ship(spark)
@@ -115,31 +143,55 @@ def contours(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder).mapInPandas(_frames(rows, CONTOURS), CONTOURS)
 
 
+def _set(path: str, item: dict) -> str:
+    return text(item, "label") or path
+
+
 def rois(spark: SparkSession, folder: str) -> DataFrame:
-    """Names and observation labels of all ROIs."""
+    """Names, origin and display colour of all ROIs."""
     ship(spark)
 
     def rows(path, item):
-        seen = {text(o, "referenced_roi"): o for o in item.get(TAGS["observations"], [])}
-        return [(path, text(item, "label") or path, int(text(r, "roi_number") or -1), text(r, "roi_name"), text(seen.get(text(r, "roi_number"), {}), "roi_type"), text(seen.get(text(r, "roi_number"), {}), "observation_label")) for r in item.get(TAGS["roi_set"], [])]
+        colors = {text(c, "referenced_roi"): [int(float(v)) for v in text(c, "color").split("\\") if v.strip()] for c in item.get(TAGS["contour_set"], [])}
+        return [(path, _set(path, item), int(text(r, "roi_number") or -1), text(r, "roi_name"), text(r, "generation"), text(r, "generation_text"), colors.get(text(r, "roi_number")) or None) for r in item.get(TAGS["roi_set"], [])]
 
     return files(spark, folder).mapInPandas(_frames(rows, ROIS), ROIS)
 
 
+def observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels, types, the first code, and the physical property of all observed ROIs."""
+    ship(spark)
+
+    def rows(path, item):
+        out = []
+        for o in item.get(TAGS["observations"], []):
+            code, held = ((o.get(TAGS[n]) or [{}])[0] for n in ("codes", "properties"))
+            kind = text(held, "property")
+            out.append((path, _set(path, item), int(text(o, "referenced_roi") or -1), text(o, "observation_label"), text(o, "roi_type"), text(code, "code"), text(code, "scheme"), text(code, "meaning"), kind, text(held, "property_value") if "DENSITY" in kind else ""))
+        return out
+
+    return files(spark, folder).mapInPandas(_frames(rows, OBSERVATIONS), OBSERVATIONS)
+
+
 def structure_sets(spark: SparkSession, folder: str) -> DataFrame:
     """A row per structure set, sorted by label, patient and path, in any case."""
     ship(spark)
     rows = lambda path, item: [(path, *(text(item, n) for n in ("modality", "patient_name", "patient_id", "label", "study_id", "series_number", "series_description")))]
     out = files(spark, folder).mapInPandas(_frames(rows, SETS), SETS)
-    out = out.withColumn("last_name", F.substring_index("patient_name", "^", 1)).withColumn("file", strip_upload_prefix(F.element_at(F.split("path", "/"), -1)))
-    return out.orderBy(F.lower("label"), F.lower("patient_id"), F.lower("path"))
-
-
-def filter_metadata(rois_: DataFrame, contours_: DataFrame) -> DataFrame:
-    """One row per ROI with what filter rules read."""
-    n = contours_.groupBy("set_id", "roi").agg(F.count("*").alias("n"))
-    out = rois_.join(n, ["set_id", "roi"], "left")
-    return out.select("set_id", "roi", F.col("name").alias("Structure ID"), F.col("roi_type").alias("DICOM Type"), F.col("structure_name").alias("Structure Name"), F.coalesce("n", F.lit(0)).alias("Contour Count"), F.col("n").isNotNull().alias("Has Contours")).orderBy("set_id", "roi")
+    name = strip_upload_prefix(F.element_at(F.split("path", "/"), -1))
+    inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.lit("^" + re.escape(folder.rstrip("/")) + "/"), F.lit(""))
+    out = out.withColumn("last_name", F.substring_index("patient_name", "^", 1)).withColumn("file", name).withColumn("relative_path", inside)
+    return out.orderBy(F.lower("label"), F.lower("patient_id"), F.lower("relative_path"))
+
+
+def filter_metadata(rois_: DataFrame, observations_: DataFrame, contours_: DataFrame) -> DataFrame:
+    """One row per ROI that is named or observed, with what filter rules read, by number."""
+    keys = ["set_id", "roi"]
+    n = contours_.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = rois_.select(*keys, "name", "generation_method", "generation_description").join(observations_.drop("path"), keys, "full_outer").join(n, keys, "left")
+    named = {"Structure ID": "name", "Structure Name": "structure_name", "DICOM Type": "roi_type", "Code": "code", "Coding Scheme": "coding_scheme", "Code Meaning": "code_meaning", "ROI Physical Property": "physical_property", "Density": "density", "Generation Method": "generation_method", "Generation Description": "generation_description"}
+    out = both.select(*keys, *[F.coalesce(c, F.lit("")).alias(k) for k, c in named.items()], F.coalesce("n", F.lit(0)).alias("Contour Count"), F.col("n").isNotNull().alias("Has Contours"))
+    return out.orderBy("set_id", "roi")
 
 
 #: Kinds of image files, and the tag of the frame of reference.

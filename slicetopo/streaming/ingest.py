@@ -1,13 +1,13 @@
 """Structure sets that arrive as a stream of files.
 
-Slice relations merge by bitwise or, which is monotone and idempotent, so a
-micro-batch that is delivered twice changes nothing, and partial results can be
-merged in any order.
+A set may arrive in several batches: structures that arrived are kept, and those of a batch
+are paired with all of their set so far. Slice relations merge by bitwise or, which is
+monotone and idempotent, and a batch writes under its own number, so a batch that is
+delivered twice changes nothing, and partial results can be merged in any order.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +15,35 @@ from pyspark.sql import functions as F
 
 from ..operators import boxes as B
 from ..plans import definitions as D
+from ..session import shared_folder
 
 
 def merge_batch(target: str):
-    """A foreachBatch sink that appends a batch's pair relations as bits."""
+    """A foreachBatch sink: keeps a batch's structures, and writes the bits of all pairs of
+    its sets that have a structure of the batch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        B.pair_relations(B.solid_boxes(batch)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(target)
+        spark = batch.sparkSession
+        B.solid_boxes(batch).dropDuplicates(["set_id", "roi"]).write.mode("overwrite").parquet(f"{target}/structures/epoch={epoch}")
+        seen = spark.read.parquet(f"{target}/structures").where(F.col("epoch") <= epoch)
+        new = seen.where(F.col("epoch") == epoch).select("set_id", "roi")
+        known = seen.drop("epoch").dropDuplicates(["set_id", "roi"]).join(new.select("set_id").distinct(), "set_id", "left_semi")
+        pairs = B.pair_relations(known)
+        with_new = [pairs.join(new.withColumnRenamed("roi", c), ["set_id", c], "left_semi").select("set_id", "roi_a", "roi_b", "bits") for c in ("roi_a", "roi_b")]
+        with_new[0].union(with_new[1]).write.mode("overwrite").parquet(f"{target}/bits/epoch={epoch}")
 
     return write
 
 
-def relations_by_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Pair relations of all structures of the files called ``name`` in a folder, read as a
-    stream. A structure set arrives in one file; what later batches bring is merged."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    target = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    query = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).writeStream.foreachBatch(merge_batch(f"{target}/bits")).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+def relations_by_stream(spark: SparkSession, folder: str, name: str, files_at_once: int | None = None) -> DataFrame:
+    """Pair relations of all structures of the files called ``name`` (a pattern) in a folder,
+    read as a stream."""
+    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files_at_once:
+        stream = stream.option("maxFilesPerTrigger", files_at_once)
+    query = stream.parquet(folder).writeStream.foreachBatch(merge_batch(target)).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     merged = spark.read.parquet(f"{target}/bits").groupBy("set_id", "roi_a", "roi_b").agg(F.bit_or("bits").alias("bits"))
     return merged.withColumn("relation", D.classify(F.col("bits")))

@@ -1,6 +1,8 @@
 """Definitions, bits, scalar functions, names, filters, logic, metrics, sources, reports."""
 
 import itertools
+import json
+import random
 import struct
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slicetopo.functions import bits, naming, scalars
 from slicetopo.operators import boxes as B
-from slicetopo.operators import filters, logical, metrics, report, slices, structures
+from slicetopo.operators import filters, labels, logical, metrics, report, slices, structures
 from slicetopo.plans import definitions as D
 from slicetopo.sources import generators as G
 from slicetopo.sources import rtstruct
@@ -20,7 +22,7 @@ def one(spark, **columns):
 
 def test_definitions_are_sound_and_exclusive(spark):
     assert D.validate() == []
-    broken = [*D.DEFINITIONS[:2], D.Definition("BAD", "Equals", "x", True, False, False, "NONE", ("OVERLAPS",), 3, 4)]
+    broken = [*D.DEFINITIONS[:2], D.Definition("BAD", "Contains", "x", True, False, False, "NONE", ("OVERLAPS",), 3, 4)]
     assert len(D.validate(broken)) >= 4
     places = (0, 2, 4, 6, 9, 11, 15, 18, 20, 24)
     rows = [(sum(v << (26 - i) for v, i in zip(c, places, strict=True)),) for c in itertools.product((0, 1), repeat=10)]
@@ -46,7 +48,7 @@ def test_bits(spark):
 def test_scalars(spark):
     ring = G.box(F.lit(4.0), F.lit(2.0), 1.0, 1.0)
     got = one(spark, r=scalars.round_value(F.lit(0.125), 0.01), z=scalars.round_value(F.lit(1.2345), 0), u=scalars.round_one_up(F.lit(-0.034)), k=scalars.slice_key(F.lit(1.23456)), area=scalars.ring_area(ring), c=scalars.ring_centroid(ring), b=scalars.ring_bounds(ring), y=scalars.truthy(F.lit(" Yes ")), n=scalars.truthy(F.lit(None)), rgba=scalars.hex_to_rgba(F.lit("#ff8000"), 0.5), hex=scalars.rgb_to_hex(F.lit(255), F.lit(0), F.lit(16)), first=scalars.first_filled(F.lit(" "), F.lit("x")), j=scalars.joined("-", F.lit("a"), F.lit(""), F.lit("b")), label=scalars.slice_label(F.lit(1.5)), syn=scalars.fold_synonyms(F.lit("LUNG"), ["lung"], "Lungs"), flo=scalars.floor_ring(ring, 0.5))
-    assert (got.r, got.z, got.u, got.k) == (0.12, 1.2345, -0.04, 12346)
+    assert (got.r, got.z, got.u, got.k) == (0.125, 1.2345, -0.04, 12346)
     assert got.area == 8 and (got.c.x, got.c.y) == (1, 1) and tuple(got.b) == (-1, 0, 3, 2) and got.y and not got.n
     assert got.rgba == "rgba(255, 128, 0, 0.5)" and got.hex == "#ff0010" and got.first == "x" and got.j == "a-b" and got.label == "1.5000" and got.syn == "Lungs"
     with pytest.raises(ValueError):
@@ -59,11 +61,11 @@ def test_names(spark):
     names = ["Lung L", "opt PTV 60 a", "PTV 60a", "eval Bladder b", "zRing", "Parotid_R"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [tuple(r) for r in df.select(naming.side_tag(F.col("n")), naming.variant_group(F.col("n")), naming.dose_group(F.col("n"))).collect()]
-    assert got == [("L", None, None), ("", "ptv 60", None), ("", None, "PTV60"), ("", "bladder", None), ("", None, None), ("", None, None)]
+    assert got == [("L", None, None), ("", "PTV 60", None), ("", None, "PTV60"), ("", "Bladder", None), ("", None, None), ("", None, None)]
     doses = {"6000": "6000", "60Gy": "6000", "50p4Gy": "5040", "2Gyx30": "6000", "what": "what"}
     assert {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in doses], "n string").select("n", naming.dose_to_cgy(F.col("n"))).collect()} == doses
     assert one(spark, s=naming.swap_ab(F.lit("A is in B, A and B"))).s == "B is in A, A and B"
-    assert one(spark, s=naming.strip_upload_prefix(F.lit("upload_0123456789abcdef0123456789abcdef_plan.dcm"))).s == "plan.dcm"
+    assert one(spark, s=naming.strip_upload_prefix(F.lit("upload_01234567-89ab-cdef-0123-456789abcdef_plan.dcm"))).s == "plan.dcm"
     part = one(spark, **naming.parse_name(F.lit("Femur_Head_L"), "organ"))
     assert (part.organ, part.region, part.side) == ("Femur", "Head", "L")
 
@@ -90,11 +92,101 @@ def test_logic(spark):
     assert not any(v[0] for v in at([(1, 2, "PARTITIONED"), (2, 3, "PARTITIONED"), (1, 3, "PARTITIONED")]).values())
     got = at([(1, 2, "EQUAL"), (1, 3, "EQUAL"), (2, 3, "EQUAL"), (1, 4, "CONTAINS"), (2, 4, "CONTAINS"), (3, 4, "CONTAINS")])
     assert got[2, 3] == (True, [1]) and got[2, 4] == (True, [1]) and got[1, 4] == (False, [])
-    edges = spark.createDataFrame([("s", 1, 3, True, 2), ("s", 1, 2, False, None)], "set_id string, roi_a int, roi_b int, is_logical boolean, via int")
-    shown = lambda mode, visible=(): [r.shown for r in B.display_mode(edges, list(visible), mode).orderBy("roi_b").collect()]
-    assert shown("hide") == [True, False] and shown("show") == [True, True] and shown("limited", [1, 3]) == [True, True] and shown("limited", [2]) == [True, False]
+
+
+def test_display_modes(spark):
+    """Three nested volumes: the outermost and the innermost are logical by the one between;
+    a fourth case has two between."""
+    edges = spark.createDataFrame([("s", 1, 3, True, [2]), ("s", 1, 2, False, []), ("s", 1, 4, True, [2, 3])], "set_id string, roi_a int, roi_b int, is_logical boolean, intermediates array<int>")
+    shown = lambda mode, visible=None: [r.shown for r in labels.display_mode(edges, visible, mode).orderBy("roi_b").collect()]
+    assert shown("hide") == [True, False, False] and shown("show") == [True] * 3
+    assert shown("limited", [1, 2, 3]) == [True, False, False] and shown("limited", [1, 3]) == [True, True, True]
+    assert shown("limited", [1, 2, 4]) == [True, False, True] and shown("limited") == [True, False, False]
+    assert [r.faded for r in labels.display_mode(edges, [1, 2, 3], "faded").orderBy("roi_b").collect()] == [False, True, True]
+    with pytest.raises(ValueError):
+        labels.display_mode(edges, [], "other")
+
+
+def test_labels_of_several_regions(spark):
+    def label(whole, *kinds, **how):
+        rel = spark.createDataFrame([("s", 1, 2, whole)], "set_id string, roi_a int, roi_b int, relation string")
+        per = spark.createDataFrame([("s", 1, 2, "1A", f"2{chr(65 + i)}", k) for i, k in enumerate(kinds)], "set_id string, roi_a int, roi_b int, region_a string, region_b string, relation string")
+        return labels.display_label(rel, per, **how).first().label, labels.describe(rel, per, **how).first()
+
+    assert label("CONTAINS", "CONTAINS")[0] == "Contains"
+    assert label("CONTAINS", "CONTAINS", "CONTAINS")[0] == "Contains"
+    assert label("CONTAINS", "CONTAINS", "DISJOINT")[0] == "{Contains}"
+    assert label("CONTAINS", "CONTAINS", "DISJOINT", show_multi=False)[0] == "Contains"
+    assert label("UNKNOWN", "DISJOINT", "OVERLAPS", "BORDERS")[0] == "{Borders & Overlaps with & is Disjoint from}"
+    assert label("UNKNOWN", "DISJOINT", "CONTAINS", drop_disjoint=True)[0] == "Contains"
+    assert label("UNKNOWN", "DISJOINT", "OVERLAPS", drop_overlaps=True)[0] == "is Disjoint from"
+    assert label("DISJOINT", "DISJOINT", "DISJOINT", drop_disjoint=True)[0] == "is Disjoint from"
+    assert label("UNKNOWN")[0] == "" and label("EQUAL")[0] == "is Equal to"
+    told = label("UNKNOWN", "DISJOINT", "WITHIN", "WITHIN", drop_disjoint=True)[1]
+    assert (told.consolidated_type, told.has_multiple_regions, told.consolidated_label) == ("UNKNOWN", True, "is Within")
+    assert [(x.region_b, x.type) for x in told.per_region] == [("2B", "WITHIN"), ("2C", "WITHIN")]
+    assert [tuple(x) for x in told.summary] == [("is Within", "WITHIN", 2)]
+    ranks = {r.n: r.r for r in spark.createDataFrame([(n,) for n in (*D.RANK, "UNKNOWN")], "n string").select("n", D.rank(F.col("n")).alias("r")).collect()}
+    assert (ranks["EQUAL"], ranks["WITHIN"], ranks["CONFINES"], ranks["BORDERS"], ranks["OVERLAPS"], ranks["DISJOINT"], ranks["UNKNOWN"]) == (1, 5, 6, 10, 13, 14, 99)
+    assert one(spark, r=D.rank(F.lit("EQUAL"), compat=True)).r == 99
+
+
+def test_name_keys_by_example(spark):
+    cases = {"zPTV70": (None, "PTV70"), "opt Parotid L a": ("Parotid L", None), "eval PTV b": ("PTV", None), "opt_PTV 60": (None, "PTV60"), "OPT Bladder B": ("Bladder B", None), "CTV 56 b": (None, "CTV56"), "IGTV5a": (None, "IGTV5"), "Bladder": (None, None), "opt ": (None, None)}
+    got = {r.n: (r.v, r.d) for r in spark.createDataFrame([(n,) for n in cases], "n string").select("n", naming.variant_group(F.col("n")).alias("v"), naming.dose_group(F.col("n")).alias("d")).collect()}
+    assert got == cases
+    turn = lambda x: one(spark, s=naming.swap_ab(F.lit(x))).s
+    assert turn("B and A") == "B and A" and turn("A and B") == "A and B" and turn("A touches B, CAB") == "B touches A, CAB"
+    assert one(spark, s=naming.strip_upload_prefix(F.lit("0123456789abcdef0123456789abcdef_x.dcm"))).s == "0123456789abcdef0123456789abcdef_x.dcm"
+    values = {(0.125, 0.01): 0.125, (0.1249, 0.1): 0.12, (7.3, 0.5): 7.3, (2.5, 1.0): 2.5, (123.456, 10.0): 120.0}
+    for (x, t), want in values.items():
+        assert abs(one(spark, r=scalars.round_value(F.lit(x), t)).r - want) < 1e-9, (x, t)
+
+
+def test_files_of_definitions_rules_and_metrics(spark):
+    text = json.dumps({"Relationships": [{"relation_type": d.name, "label": d.label, "symbol": d.symbol, "symmetric": d.symmetric, "transitive": d.transitive, "reversed_arrow": d.reversed_arrow, "complementary_relation": d.complement, "implied_relation": (d.implied or (None,))[0], "mask": f"0b{d.mask:027b}", "value": f"0b{d.value:027b}"} for d in D.DEFINITIONS]})
+    assert D.from_json(text) == D.DEFINITIONS
+    assert D.test_of("T*F*T*F** ********* *********") == (89128960, 71303168)
     with pytest.raises(ValueError):
-        B.display_mode(edges, [], "other")
+        D.test_of("T*F")
+    told = filters.from_json('{"include by default": true, "display by default": false, "rules": [{"id": "z", "action": "exclude", "field": "Structure ID", "match_type": "prefix", "value": "Z", "with": {"field": "DICOM Type", "match_type": "exact", "value": "x"}}, {"id": "l", "action": "display", "field": "Structure ID", "match_type": "structure list", "value": ["A"]}]}')
+    rows = spark.createDataFrame([("Zed", "X"), ("zed", "y"), ("A", "x")], "`Structure ID` string, `DICOM Type` string")
+    got = {r["Structure ID"]: (r.SelectedByDefault, r.DisplayedByDefault) for r in filters.report(rows, **told).collect()}
+    assert got == {"Zed": (False, False), "zed": (True, False), "A": (True, True)}
+    config = metrics.Config.from_json('{"enabled_metrics": {"margins": true, "distance": false, "volume": false, "surface": false}, "precision": {"distance": 1}, "margin_settings": {"calculate_maximum": true, "anatomical_labels": {"default_orientation": "FFP"}}, "non_applicable_handling": {"use_nan": false, "use_zero": true}}')
+    assert config.metrics() == ["minimum_margins", "maximum_margin"] and (config.distance_decimals, config.orientation, config.not_applicable) == (1, "FFP", "zero")
+    for bad in ('{"non_applicable_handling": {"use_nan": true, "use_zero": true}}', '{"non_applicable_handling": {"use_nan": false}}', '{"margin_settings": {"anatomical_labels": {"default_orientation": "up"}}}'):
+        with pytest.raises(ValueError):
+            metrics.Config.from_json(bad)
+
+
+def naive_flags(rows):
+    """Logical by transitivity alone, by listing every path of a set."""
+    step = {}
+    for a, b, t in rows:
+        if D.BY_NAME[t].transitive:
+            step.setdefault(a, set()).add(b)
+
+    def paths(a, b):
+        return [[a]] if a == b else [[a, *p] for x in step.get(a, ()) for p in paths(x, b)]
+
+    out = {}
+    for a, b, t in rows:
+        found = paths(a, b)
+        best = min(found, key=lambda p: (-len(p), p), default=[])
+        out[a, b] = (True, best[1:-1]) if len(found) > 1 and len(best) > 2 else (False, [])
+    return out
+
+
+def test_transitive_flags_against_all_paths(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for s in range(25):
+        own = [(a, b, rng.choice(["CONTAINS", "CONTAINS", "SURROUNDS", "OVERLAPS", "BORDERS"])) for a in range(1, 8) for b in range(a + 1, 8) if rng.random() < 0.6]
+        rows += [(str(s), *r) for r in own]
+        want |= {(str(s), *k): v for k, v in naive_flags(own).items()}
+    got = {(r.set_id, r.roi_a, r.roi_b): (r.is_logical, r.intermediates) for r in logical.flags(spark.createDataFrame(rows, "set_id string, roi_a int, roi_b int, relation string")).collect()}
+    assert got == want
 
 
 def test_slices(spark):
@@ -141,7 +233,9 @@ def test_structure_set_files(spark, tmp_path):
     point = e("contour_type", b"CS", b"POINT") + e("contour_data", b"DS", b"1\\2\\3")
     data = e("modality", b"CS", b"RTSTRUCT") + e("patient_name", b"PN", b"Doe^J") + e("patient_id", b"LO", b"P1") + e("label", b"SH", b"Plan")
     data += e("roi_set", b"SQ", [e("roi_number", b"IS", b"1") + e("roi_name", b"LO", b"PTV 60")]) + e("contour_set", b"SQ", [e("contours", b"SQ", [contour, point]) + e("referenced_roi", b"IS", b"1")])
-    data += e("observations", b"SQ", [e("referenced_roi", b"IS", b"1") + e("roi_type", b"CS", b"PTV")])
+    code = e("code", b"SH", b"123") + e("scheme", b"SH", b"99X") + e("meaning", b"LO", b"Target")
+    density = e("property", b"CS", b"REL_MASS_DENSITY") + e("property_value", b"DS", b"1.1")
+    data += e("observations", b"SQ", [e("referenced_roi", b"IS", b"1") + e("roi_type", b"CS", b"PTV") + e("codes", b"SQ", [code]) + e("properties", b"SQ", [density]), e("referenced_roi", b"IS", b"2") + e("roi_type", b"CS", b"ORGAN")])
     meta = element(0x0002, 0x0010, b"UI", b"1.2.840.10008.1.2.1\0")
     head = struct.pack("<HH2sHI", 2, 0, b"UL", 4, len(meta)) + meta
     (tmp_path / "upload_plan.dcm").write_bytes(b"\0" * 128 + b"DICM" + head + data)
@@ -150,16 +244,32 @@ def test_structure_set_files(spark, tmp_path):
     assert [(r.set_id, r.roi, r.z, len(r.points), r.points[1].x) for r in got] == [("Plan", 1, 2.5, 4, 4.0)]
     sets = rtstruct.structure_sets(spark, str(tmp_path)).collect()
     assert [(r.last_name, r.label, r.file) for r in sets] == [("Doe", "Plan", "plan.dcm")]
-    meta = rtstruct.filter_metadata(rtstruct.rois(spark, str(tmp_path)), rtstruct.contours(spark, str(tmp_path))).first()
-    assert (meta["Structure ID"], meta["DICOM Type"], meta["Contour Count"], meta["Has Contours"]) == ("PTV 60", "PTV", 1, True)
+    assert [r.relative_path for r in sets] == ["upload_plan.dcm"]
+    meta = rtstruct.filter_metadata(*(f(spark, str(tmp_path)) for f in (rtstruct.rois, rtstruct.observations, rtstruct.contours))).collect()
+    assert [(m["roi"], m["Structure ID"], m["DICOM Type"], m["Code"], m["Coding Scheme"], m["Code Meaning"], m["Density"], m["Contour Count"], m["Has Contours"]) for m in meta] == [(1, "PTV 60", "PTV", "123", "99X", "Target", "1.1", 1, True), (2, "", "ORGAN", "", "", "", "", 0, False)]
+    lost = {r.path.rsplit("/", 1)[1]: r.problem for r in rtstruct.problems(spark, str(tmp_path)).collect()}
+    assert list(lost) == ["other.dcm"] and lost["other.dcm"].startswith("unreadable")
 
 
 def test_reports(spark, tmp_path):
     rel = spark.createDataFrame([(1, 1, 2, "CONTAINS", True), (1, 1, 3, "DISJOINT", False)], "set_id int, roi_a int, roi_b int, relation string, is_logical boolean")
     cells = {(r.row_roi, r.col_roi): (r.label, r.symbol) for r in report.symbols(B.matrix_long(rel, spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "set_id int, roi int"))).collect()}
-    assert cells[2, 1] == ("Contains", "⊂") and cells[1, 2] == ("Within", "⊃") and cells[1, 1] == ("Equals", "=")
+    assert cells[2, 1] == ("[Contains]", "[⊂]") and cells[1, 2] == ("[is Within]", "[⊃]") and cells[1, 1] == ("is Equal to", "=")
     assert report.symbols(rel).where("roi_b = 2").first().label == "[Contains]"
     assert report.diagram_edges(rel).count() == 1 and report.diagram_edges(rel, show_disjoint=True).count() == 2
+    # Equal structures share an edge to an outside one: that of the first stays direct.
+    same = spark.createDataFrame([(1, 1, 2, "EQUAL"), (1, 1, 9, "CONTAINS"), (1, 2, 9, "CONTAINS"), (1, 2, 8, "BORDERS")], "set_id int, roi_a int, roi_b int, relation string")
+    edges = lambda mode: {(r.roi_a, r.roi_b): (r.label, r.is_logical, r.faded, r.layout_candidate) for r in report.diagram_edges(same, mode=mode).collect()}
+    assert edges("show")[2, 9] == ("[Contains]", True, False, True) and edges("show")[1, 9] == ("Contains", False, False, True) and edges("show")[2, 8] == ("Borders", False, False, True)
+    assert (2, 9) not in edges("hide") and edges("faded")[2, 9] == ("[Contains]", True, True, False)
+    nodes = {r.roi: r for r in report.diagram_nodes(spark.createDataFrame([(1, "PTV 60 L", "PTV", [255, 0, 16], 1.5, 2), (2, "x", None, None, 0.0, 0)], "roi int, name string, roi_type string, color array<int>, volume double, num_regions int")).collect()}
+    assert (nodes[1].shape, nodes[1].color, nodes[1].title) == ("diamond", "#ff0010", "PTV 60 L (ROI 1)\nType: PTV\nVolume: 1.50 cm³\nRegions: 2") and nodes[2].color == "#c8c8c8"
+    told = json.loads(report.payload(same.withColumn("is_logical", F.col("roi_b") == 9).withColumn("intermediates", F.array(F.lit(1))), spark.createDataFrame([(1, r, f"n{r}", [1, 2, r]) for r in (1, 2, 8, 9)], "set_id int, roi int, name string, color array<int>"), spark.createDataFrame([(1, 1, 0.5, False), (1, 1, 1.0, True)], "set_id int, roi int, z double, is_interpolated boolean"), report.slice_records(same.withColumn("z", F.lit(0.5))), mode="faded").first().payload)
+    assert told["rows"] == [1, 2, 8, 9] and told["row_names"] == ["n1", "n2", "n8", "n9"] and told["data"][3][0] == "[Contains]" and told["colors"]["9"] == [1, 2, 9]
+    assert told["faded_relationships"] == {"0_3": True, "1_3": True, "3_0": True, "3_1": True} and told["structure_slices_interpolated"] == {"1": [1.0]}
+    assert told["slice_relationships"]["1|9"]["0.5000"] == {"label": "Contains", "symbol": "⊂", "is_interpolated": False, "has_boundary": False} and told["unit"] == "cm"
+    hidden = json.loads(report.payload(same.withColumn("is_logical", F.col("roi_b") == 9), spark.createDataFrame([(1, r) for r in (1, 2, 8, 9)], "set_id int, roi int"), mode="hide").first().payload)
+    assert hidden["data"][3][0] is None and hidden["data"][1][0] == "is Equal to"
     got = one(spark, a=report.resolve(F.lit("BORDERS"), F.lit(True), F.lit("CONTAINS")), b=report.resolve(F.lit(None), F.lit(True), F.lit("CONTAINS")), c=report.resolve(F.lit(None), F.lit(False), F.lit(None)))
     assert tuple(got) == ("BORDERS", "EQUAL", "UNKNOWN")
     report.export_csv(rel, str(tmp_path / "csv"))

@@ -126,3 +126,32 @@ def test_interpolation():
     assert np.allclose(np.sort(K.interpolate(b(2), b(2, 1, 1)), axis=0), np.sort(b(2, 0.5, 0.5), axis=0))
     assert abs(abs(K.ring_area(K.interpolate(b(1), b(3)))) - 4) < 1e-6
     assert abs(abs(K.ring_area(K.shrink(b(2)))) - 1) < 1e-6
+
+
+def test_many_pairs_are_related_as_one_by_one():
+    rng = np.random.default_rng(17)
+
+    def some():
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            x, y, w, h = rng.integers(0, 7, 4)
+            n = rng.integers(3, 9)
+            turn = np.sort(rng.random(n)) * 2 * np.pi
+            ring = np.array([(x, y), (x + w + 1, y), (x + w + 1, y + h + 1), (x, y + h + 1)], float) if rng.random() < 0.6 else np.stack([x + 3 * np.cos(turn), y + 3 * np.sin(turn)], axis=1)
+            out.append((rng.choice(["+", "+", "-", "&"]) if out else "+", ring))
+            if rng.random() < 0.2:
+                out.append(("|", K.NO_RING))
+        return out
+
+    pairs = [(some(), some()) for _ in range(250)] + [([], some()), (some(), []), ([], [])]
+    pairs += [(a, a) for a, _ in pairs[:20]]
+    assert K.relate_many(pairs).tolist() == [K.relate(a, b) for a, b in pairs]
+    assert K.relate_many([]).tolist() == []
+
+
+def test_regions_keep_their_parts_when_stored():
+    box = lambda x0, x1: np.array([(x0, 0), (x1, 0), (x1, 2), (x0, 2)], float)
+    a = K.union([("+", box(0, 4)), ("-", box(1, 2))], [("+", box(6, 9)), ("&", box(5, 7))])
+    assert K.area(a) == 8 and K.area(K.unpack(*K.pack(a))) == 8 and K.unpack(*K.pack([])) == []
+    assert K.area(K.union([], a)) == 8 and K.area(K.solid(a)) == 10
+    assert K.common_boundary([("+", box(0, 2))], [("+", box(2, 5))]) == (2.0, 8.0, 10.0)
