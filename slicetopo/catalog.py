@@ -113,7 +113,7 @@ def _rings(boxes):
 
 def kernel_relations(s, d):
     """The general kernel on every pair of boxes of a slice: relation and common area."""
-    import pandas as pd
+    import numpy as np
 
     from .operators import kernel as K
     from .session import ship
@@ -125,12 +125,10 @@ def kernel_relations(s, d):
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                p = [("+", K.ring_of([(r.x0_a, r.y0_a), (r.x1_a, r.y0_a), (r.x1_a, r.y1_a), (r.x0_a, r.y1_a)]))]
-                q = [("+", K.ring_of([(r.x0_b, r.y0_b), (r.x1_b, r.y0_b), (r.x1_b, r.y1_b), (r.x0_b, r.y1_b)]))]
-                out.append((r.set_id, r.roi_a, r.roi_b, r.z, K.relate27(p, q), round(K.combined_area([p, q], lambda u, v: u & v))))
-            yield pd.DataFrame(out, columns=["set_id", "roi_a", "roi_b", "z", "bits", "common"])
+            box = lambda r: [("+", np.array([(r[0], r[2]), (r[1], r[2]), (r[1], r[3]), (r[0], r[3])]))]
+            sides = [[box(r) for r in pdf[[f"{c}_{x}" for c in ("x0", "x1", "y0", "y1")]].to_numpy()] for x in "ab"]
+            met = list(zip(*sides, strict=True))
+            yield pdf[["set_id", "roi_a", "roi_b", "z"]].assign(bits=K.relate27_many(met), common=np.round(K.common_areas(met)).astype(int))
 
     got = pairs_.mapInPandas(run, "set_id long, roi_a long, roi_b long, z long, bits int, common long")
     return got.select("set_id", "roi_a", "roi_b", "z", D.classify(F.col("bits")).alias("relation"), "common")
@@ -309,6 +307,16 @@ def name_grammar_all(s, d):
     return _names(s, d).select("roi", "name", chosen.alias("grammar"), *[c.alias(f"{g}_{k}") for g, cs in parts.items() for k, c in cs.items()])
 
 
+def name_order(s, d):
+    """Names in the order of lists: the kind, and the place among distinct ones of a kind."""
+    from pyspark.sql import Window
+
+    named = _names(s, d).withColumn("k", naming.order_of(F.col("name")))
+    # Distinct places are ranked, so the window is over few rows; names join them.
+    places = named.select("k").distinct().withColumn("place", F.dense_rank().over(Window.partitionBy("k.kind").orderBy("k")).cast("long"))
+    return named.join(places, "k").select("roi", "name", F.col("k.kind").alias("kind"), "place")
+
+
 def streamed_relations(s, d):
     from .streaming.ingest import relations_by_stream
 
@@ -370,6 +378,7 @@ QUERIES = {
     "definition_table": definition_table,
     "name_grammar": name_grammar,
     "name_grammar_all": name_grammar_all,
+    "name_order": name_order,
     "relation_slice_pivot_all": slice_label_counts_all,
 }
 

@@ -83,3 +83,25 @@ def sort_rank(value: Column, order: list[str] | None = None, missing_last: bool
     if order is None:
         return F.when(value.isNull(), edge)
     return F.when(value.isNull(), F.lit(edge)).otherwise(F.when(F.array_position(F.array(*map(F.lit, order)), value) > 0, F.array_position(F.array(*map(F.lit, order)), value)).otherwise(F.lit(len(order) + 1))).cast("int")
+
+
+#: Target families in the order in which they are listed, and sides.
+FAMILIES, SIDES = ("GTV", "CTV", "ITV", "PTV"), ("L", "R", "B")
+
+
+def order_of(name: Column) -> Column:
+    """Struct (kind, first, second, third, fourth) by which names are listed: targets by family,
+    dose, number and part, then organs by name, region and side, then names with a margin by
+    what it is put on and its size; names that no grammar takes come last, by themselves."""
+    t, m, o = (parse_name(name, g) for g in ("target", "margin", "organ"))
+    kind = F.when(t["family"].isNotNull(), 0).when(m["size"].isNotNull(), 2).when(o["organ"].isNotNull(), 1).otherwise(3)
+    word = lambda x: F.coalesce(F.lower(x), F.lit(""))
+    number = lambda x: F.lpad(F.coalesce(x, F.lit("0")), 8, "0")
+    place = lambda x, order: F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.upper(x)), F.lit(0)).cast("string")
+    pick = lambda *of: F.when(kind == 0, of[0]).when(kind == 1, of[1]).when(kind == 2, of[2]).otherwise(of[3])
+    none = F.lit("")
+    family = F.concat(F.lpad(F.when(F.array_contains(F.array(*map(F.lit, FAMILIES)), F.upper(t["family"])), place(t["family"], FAMILIES)).otherwise("9"), 1, "0"), word(t["family"]))
+    first = pick(family, word(o["organ"]), word(m["base"]), word(name))
+    second = pick(number(t["dose"]), word(o["region"]), F.coalesce(m["sign"], none), none)
+    third = pick(number(t["number"]), place(o["side"], SIDES), number(F.regexp_replace(m["size"], r"\..*", "")), none)
+    return F.struct(kind.alias("kind"), first.alias("first"), second.alias("second"), third.alias("third"), pick(word(t["part"]), number(o["margin"]), word(m["unit"]), none).alias("fourth"))

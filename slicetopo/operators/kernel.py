@@ -200,17 +200,43 @@ def relate(a: Region, b: Region) -> int:
 AT_ONCE = 1_000_000
 
 
-def relate_many(pairs: list[tuple[Region, Region]]) -> np.ndarray:
-    """The nine bits of many pairs of regions: what :func:`relate` does, for all in the same
-    arrays, with segments of different pairs kept apart."""
-    out = np.zeros(len(pairs), dtype=np.int64)
+def _in_runs(pairs: list[tuple[Region, Region]], each) -> np.ndarray:
+    """``each`` over runs of pairs of a bounded number of segments."""
     size = np.array([sum(len(r) for _, r in a) + sum(len(r) for _, r in b) for a, b in pairs], dtype=np.int64) ** 2
-    lo, upto = 0, np.cumsum(size)
+    out, lo, upto = [np.zeros(0)], 0, np.cumsum(size)
     while lo < len(pairs):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
-        out[lo:hi] = [relate(*pairs[lo])] if hi == lo + 1 else _relate_some(pairs[lo:hi])
+        out.append(each(pairs[lo:hi]))
         lo = hi
-    return out
+    return np.concatenate(out)
+
+
+def relate_many(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    """The nine bits of many pairs of regions: what :func:`relate` does, for all in the same
+    arrays, with segments of different pairs kept apart."""
+    return _in_runs(pairs, _relate_some).astype(np.int64)
+
+
+def relate27_many(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    """What :func:`relate27` does, for many pairs: the bands of what is filled and convex
+    already are the same."""
+    todo, plain = [], []
+    for a, b in pairs:
+        plain.append(all(len(x) == 1 and is_convex(x[0][1]) for x in (a, b)))
+        todo += [(a, b)] if plain[-1] else [(a, b), (solid(a), solid(b)), (hull(a), hull(b))]
+    nine = iter(relate_many(todo).tolist())
+    return np.array([next(nine) * ((1 << 18) + (1 << 9) + 1) if one else next(nine) << 18 | next(nine) << 9 | next(nine) for one in plain], dtype=np.int64)
+
+
+def common_areas(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    """The area that both regions of each pair have."""
+
+    def some(run: list[tuple[Region, Region]]) -> np.ndarray:
+        pieces, pair, (al, ar, bl, br) = _sides_of(run)
+        c = (pieces[:, 0] * pieces[:, 3] - pieces[:, 2] * pieces[:, 1]) / 2
+        return np.bincount(pair, weights=c * ((al & bl).astype(int) - (ar & br).astype(int)), minlength=len(run))
+
+    return _in_runs(pairs, some)
 
 
 def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,17 +337,23 @@ class _Rings:
         return done | out
 
 
-def _relate_some(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+def _sides_of(pairs: list[tuple[Region, Region]]):
+    """Pieces of all pairs, their pairs, and whether each region lies left and right of them."""
     rings = _Rings(pairs)
+    none = np.zeros(0, dtype=bool)
     if not rings.most:
-        return np.full(len(pairs), EE)
+        return np.zeros((0, 4)), np.zeros(0, dtype=np.int64), (none,) * 4
     pieces, pair = rings.pieces()
     d = pieces[:, 2:] - pieces[:, :2]
     size = np.hypot(d[:, 0], d[:, 1])
     mid = (pieces[:, :2] + pieces[:, 2:]) / 2 + d * 0.0137
     off = np.stack([-d[:, 1], d[:, 0]], axis=1) * (np.minimum(1e-6, size * 1e-3) / size)[:, None]
     both = np.concatenate([mid + off, mid - off])
-    (al, ar), (bl, br) = (np.split(rings.inside(both, np.tile(pair, 2), s), 2) for s in (0, 1))
+    return pieces, pair, tuple(x for s in (0, 1) for x in np.split(rings.inside(both, np.tile(pair, 2), s), 2))
+
+
+def _relate_some(pairs: list[tuple[Region, Region]]) -> np.ndarray:
+    _, pair, (al, ar, bl, br) = _sides_of(pairs)
     on_a, on_b = al != ar, bl != br
     cells = ((II, (al & bl) | (ar & br)), (IE, (al & ~bl) | (ar & ~br)), (EI, (~al & bl) | (~ar & br)), (BB, on_a & on_b), (IB, on_b & al & ar), (BI, on_a & bl & br), (EB, on_b & ~al & ~ar), (BE, on_a & ~bl & ~br))
     out = np.full(len(pairs), EE)

@@ -29,6 +29,22 @@ def key(z: float) -> int:
     return int(round(z * 10000))
 
 
+def new_slice(zs: list[float], precision: float = Z_STEP) -> float:
+    """The mean of slice positions, rounded to the precision; ValueError if that is not
+    between them."""
+    z = round(round(sum(zs) / len(zs) / precision) * precision, 6)
+    if not min(zs) <= z <= max(zs):
+        raise ValueError(f"{z} is not between the slices {sorted(zs)}")
+    return z
+
+
+def empty(slices: DataFrame) -> DataFrame:
+    """``slices`` with is_empty: whether neither region nor boundary has a ring; missing parts
+    are empty."""
+    adds = lambda c: F.coalesce(F.col(c).contains("+"), F.lit(False))
+    return slices.withColumn("is_empty", ~(adds("region_ops") | adds("boundary_ops")))
+
+
 def check_contours(contours: DataFrame) -> DataFrame:
     """``contours`` with ``problem``: null, or why a ring can't be used."""
     n = F.size("points")
@@ -115,8 +131,11 @@ def build(rings: pd.DataFrame, zs: list[float]) -> dict:
         k = at[key(n["z"])]
         side = -1 if i not in lower else 1 if i not in upper else 0
         if side and step:
-            z = (zs[k] + zs[k + side]) / 2 if 0 <= k + side < len(zs) else zs[k] + side * step / 4
-            caps.append((i, round(round(z / Z_STEP) * Z_STEP, 4)))
+            beyond = zs[k + side] if 0 <= k + side < len(zs) else zs[k] + side * step / 2
+            try:
+                caps.append((i, round(new_slice([zs[k], beyond]), 4)))
+            except ValueError:  # slices closer than positions are told apart
+                continue
     capped = {i for i, _ in caps}
     for i, z in caps:
         n = nodes[i]

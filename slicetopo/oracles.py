@@ -232,7 +232,7 @@ format('{{:.4f}}', CAST(z0 AS DOUBLE)) || ' to ' || format('{{:.4f}}', CAST(z1 A
     "structure_extents": f"""WITH {CONTOUR} SELECT CAST(set_id AS VARCHAR) AS set_id, round(CASE WHEN e = 0 THEN 0 ELSE ceil(round(e / pow(10, floor(log10(e))), 9)) * pow(10, floor(log10(e))) END, 9) AS resolution
 FROM (SELECT set_id, arg_max(greatest(x1 - x0, y1 - y0), (x1 - x0) * (y1 - y0) * 1000 + greatest(x1 - x0, y1 - y0)) / 1024.0 AS e FROM pl GROUP BY 1)""",
     "generated_scenes": """WITH g AS (SELECT [{'x': round(2 * sin(2 * pi() * i / 16), 2), 'y': round(2 * cos(2 * pi() * i / 16), 2)} FOR i IN range(0, 17)] AS p)
-SELECT 'cuboid' AS kind, 9 AS n_contours, 216.0::DOUBLE AS area, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi
+SELECT 'cuboid' AS kind, CAST(9 AS BIGINT) AS n_contours, 216.0::DOUBLE AS area, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi
 UNION ALL SELECT 'cylinder', 5, round(5 * abs(list_sum([p[i].x * p[i + 1].y - p[i + 1].x * p[i].y FOR i IN range(1, 17)])) / 2, 4), -2.0, 2.0 FROM g
 UNION ALL SELECT 'bar', 5, round(6 * (2 * 0.01 + 2 * round(2 * sqrt(3.0), 2) + 4), 4), -2.0, 2.0 UNION ALL SELECT 'prism', 3, 18.0, -1.0, 1.0""",
     "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm WHERE roi % 3 = 1)
@@ -248,5 +248,18 @@ SELECT roi, name, CASE WHEN t.family <> '' THEN 'target' WHEN m.size <> '' THEN
 nullif(t.prefix, '') AS target_prefix, nullif(t.family, '') AS target_family, nullif(t.kind, '') AS target_kind, nullif(number, '') AS target_number, nullif(d.dose, '') AS target_dose, nullif(d.part, '') AS target_part,
 nullif(m.base, '') AS margin_base, nullif(m.sign, '') AS margin_sign, nullif(m.size, '') AS margin_size, nullif(m.unit, '') AS margin_unit,
 nullif(o.prefix, '') AS organ_prefix, nullif(o.organ, '') AS organ_organ, nullif(o.region, '') AS organ_region, nullif(o.side, '') AS organ_side, nullif(o.margin, '') AS organ_margin FROM d""",
+    "name_order": f"""WITH {NAMES_SQL}, g AS (SELECT roi, name,
+  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?(I?[GCPIH]TV)([npsv])?[_ ]?(.*)$', ['prefix', 'family', 'kind', 'rest']) AS t,
+  regexp_extract(trim(name), '(?i)(.+?)([+-])(\\d+(?:\\.\\d+)?)\\s*(mm|cm)?$', ['base', 'sign', 'size', 'unit']) AS m,
+  regexp_extract(trim(name), '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS o FROM nm),
+n AS (SELECT *, regexp_extract(t.rest, '^(\\d{{1,2}})(?:\\D|$)', 1) AS number FROM g),
+d AS (SELECT *, regexp_extract(substr(t.rest, length(number) + 1), '(?i)^[_ ]?(\\d{{3,5}})?([a-c])?', ['dose', 'part']) AS d FROM n),
+k AS (SELECT roi, name, CASE WHEN t.family <> '' THEN 0 WHEN m.size <> '' THEN 2 WHEN o.organ <> '' THEN 1 ELSE 3 END AS kind, * EXCLUDE (roi, name) FROM d),
+p AS (SELECT roi, name, kind, CASE kind WHEN 0 THEN (CASE upper(t.family) WHEN 'GTV' THEN '1' WHEN 'CTV' THEN '2' WHEN 'ITV' THEN '3' WHEN 'PTV' THEN '4' ELSE '9' END) || lower(t.family)
+  WHEN 1 THEN lower(o.organ) WHEN 2 THEN lower(m.base) ELSE lower(name) END AS a,
+  CASE kind WHEN 0 THEN lpad(coalesce(nullif(d.dose, ''), '0'), 8, '0') WHEN 1 THEN lower(o.region) WHEN 2 THEN m.sign ELSE '' END AS b,
+  CASE kind WHEN 0 THEN lpad(coalesce(nullif(number, ''), '0'), 8, '0') WHEN 1 THEN CASE upper(o.side) WHEN 'L' THEN '1' WHEN 'R' THEN '2' WHEN 'B' THEN '3' ELSE '0' END WHEN 2 THEN lpad(regexp_replace(m.size, '[.].*', ''), 8, '0') ELSE '' END AS c,
+  CASE kind WHEN 0 THEN lower(d.part) WHEN 1 THEN lpad(coalesce(nullif(o.margin, ''), '0'), 8, '0') WHEN 2 THEN lower(m.unit) ELSE '' END AS e FROM k)
+SELECT roi, name, kind, dense_rank() OVER (PARTITION BY kind ORDER BY a, b, c, e) AS place FROM p""",
     "relation_slice_pivot_all": f"WITH {SLICE_REL} SELECT z, count(*) AS pairs, " + ", ".join(f"count(*) FILTER (relation = '{x}') AS \"{x}\"" for x in NAMES) + " FROM sr GROUP BY z",
 }

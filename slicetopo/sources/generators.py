@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_value
+
 CONTOURS = "set_id string, roi int, z double, points array<struct<x:double,y:double>>"
 
 
@@ -17,6 +19,16 @@ def circle(radius: Column, x: float = 0.0, y: float = 0.0, sides: int = 16, plac
     return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda i: F.struct(F.round(x + radius * F.sin(turn(i)), places).alias("x"), F.round(y + radius * F.cos(turn(i)), places).alias("y")))
 
 
+def circle_at(radius: float, xs: list[float], x: float = 0.0, y: float = 0.0, tolerance: float = 0.01) -> Column:
+    """A circle by its points above given x, and back by those below; beyond the radius the
+    height is the tolerance."""
+    height = lambda v: F.greatest(F.sqrt(F.greatest(F.lit(radius * radius) - F.pow(v - x, 2), F.lit(0.0))), F.lit(tolerance))
+    point = lambda v, sign: F.struct(v.alias("x"), round_value(y + sign * height(v), tolerance).alias("y"))
+    at = F.array(*[F.lit(float(v)) for v in xs])
+    below = F.reverse(F.transform(at, lambda v: point(v, -1)))
+    return F.concat(F.transform(at, lambda v: point(v, 1)), F.slice(below, 2, max(len(xs) - 1, 0)))
+
+
 def box(width: Column, height: Column, x: float = 0.0, y: float = 0.0) -> Column:
     """Corners from the upper right on, clockwise."""
     return F.array(*[F.struct((F.lit(x) + sx * width / 2).alias("x"), (F.lit(y) + sy * height / 2).alias("y")) for sx, sy in ((1, 1), (1, -1), (-1, -1), (-1, 1))])

@@ -147,6 +147,8 @@ def test_many_pairs_are_related_as_one_by_one():
     pairs += [(a, a) for a, _ in pairs[:20]]
     assert K.relate_many(pairs).tolist() == [K.relate(a, b) for a, b in pairs]
     assert K.relate_many([]).tolist() == []
+    assert K.relate27_many(pairs[:80]).tolist() == [K.relate27(a, b) for a, b in pairs[:80]]
+    assert np.allclose(K.common_areas(pairs[:80]), [K.combined_area([a, b], lambda u, v: u & v) for a, b in pairs[:80]])
 
 
 def test_regions_keep_their_parts_when_stored():

@@ -171,3 +171,13 @@ def test_metrics_by_configuration_and_surfaces(spark, scene_contours):
     out = M.calculate_all(M.Config(categories=("margins",), orientation="FFS", not_applicable="zero"), slices, rel)["minimum_margins"]
     got = {r.set_id: r.asDict() for r in out.collect()}
     assert got["cube in cube"]["L"] == got["cube in cube"]["R"] == 2.0 and got["side by side"]["L"] == 0.0 and len(got) == 4
+
+
+def test_new_slices_and_emptiness(spark):
+    assert S.new_slice([1.0, 2.0]) == 1.5 and S.new_slice([1.12345, 1.12355], 1e-4) == 1.1235
+    with pytest.raises(ValueError):
+        S.new_slice([1.12345, 1.12355], 1.0)
+    rows = spark.createDataFrame([("+", ""), ("", "+-"), ("", ""), (None, None), ("-", None)], "region_ops string, boundary_ops string")
+    assert [r.is_empty for r in S.empty(rows).collect()] == [False, False, True, True, True]
+    ring = spark.range(1).select(G.circle_at(2.0, [-2.0, 0.0, 2.0, 3.0], y=1.0).alias("p")).first().p
+    assert [(p.x, p.y) for p in ring] == [(-2.0, 1.01), (0.0, 3.0), (2.0, 1.01), (3.0, 1.01), (2.0, 0.99), (0.0, -1.0), (-2.0, 0.99)]
