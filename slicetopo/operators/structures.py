@@ -415,10 +415,17 @@ def _slice_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 PAIR_SLICES = "set_id string, roi_a int, roi_b int, zk long, bits int, met_a int, met_b int, is_interpolated boolean, has_boundary boolean"
 
 
+def _placed(shapes: DataFrame, order: DataFrame) -> DataFrame:
+    """``shapes`` of structures in the order, with their place. The order comes as one map for
+    each set, so rows are dealt by set, and grouping them by set and slice moves them no more."""
+    places = order.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("roi", "place"))).alias("places"))
+    return shapes.join(places, "set_id").withColumn("place", F.try_element_at("places", "roi")).drop("places").where("place is not null")
+
+
 def slice_relations(slices: DataFrame, order: DataFrame) -> DataFrame:
     """Bits of every pair on every slice that both have; 0 where only in-fill meets."""
     ship(slices.sparkSession)
-    return slices.join(order.select("set_id", "roi", "place"), ["set_id", "roi"]).groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
+    return _placed(slices, order).groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
 
 
 def pairs_of(order: DataFrame) -> DataFrame:
@@ -515,6 +522,6 @@ def region_relations(regions_: DataFrame, order: DataFrame) -> DataFrame:
     Only slices that both have count, boundary slices like others; the second region's
     filled form and hull are the region itself."""
     ship(regions_.sparkSession)
-    got = regions_.join(order.select("set_id", "roi", "place"), ["set_id", "roi"]).groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
+    got = _placed(regions_, order).groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
     names = ["set_id", "roi_a", "roi_b", "region_a", "region_b"]
     return got.groupBy(*names).agg(F.bit_or("bits").alias("bits")).withColumn("relation", D.classify(F.col("bits")))
