@@ -199,12 +199,17 @@ def one_of_each(docs: list[tuple[str, int]]) -> list[tuple[str, int]]:
 class Field:
     """Chains of words with features, their labels, and the likelihood of weights."""
 
-    def __init__(self, words: list[list[str]], starts: list[list[int]], labels: list[list[int]]):
+    def __init__(self, texts):
+        """``texts``: (words, starts of chains, labels) of each text; only distinct words stay."""
         ids: dict[str, int] = {}
-        self.rows = np.array(array("i", (ids.setdefault(w, len(ids)) for ws in words for w in ws)), dtype=np.int64)
-        self.gold = np.array(array("b", (y for ys in labels for y in ys)), dtype=np.float64)
-        first = np.cumsum([0, *map(len, words)])
-        begin = np.array([a + s for a, ss in zip(first.tolist(), starts, strict=False) for s in ss], dtype=np.int64)
+        rows, gold, starts = array("i"), array("b"), array("q")
+        for words, begin, labels in texts:
+            starts.extend(len(rows) + s for s in begin)
+            rows.extend(ids.setdefault(w, len(ids)) for w in words)
+            gold.extend(labels)
+        self.rows = np.array(rows, dtype=np.int32)
+        self.gold = np.array(gold, dtype=np.float64)
+        begin = np.array(starts, dtype=np.int64)
         self.layout = Layout(begin, np.diff(np.append(begin, len(self.rows))))
         own = [features(w) for w in ids]
         self.flat = np.array([f for fs in own for f in fs], dtype=np.int64)
@@ -232,18 +237,21 @@ def train(docs: list[tuple[str, int]], epochs: int = 25, rate: float = 1.0, keep
     weight that shrinks with its past gradients; ``keep`` pulls weights to 0."""
     docs = one_of_each(docs)
     bad = cues(docs)
-    words, starts, labels = [], [], []
-    for text, y in docs:
-        ws, ss = chains(TOKEN.findall(text))
-        ws = [w.lower() for w in ws]
-        words.append(ws)
-        starts.append(ss)
-        labels.append([int(y == 1 and any(x in bad for x in stems(w))) for w in ws])
     w, trans = np.zeros(WIDTH), np.zeros((2, 2))
-    if not bad or not any(words):
+    marks: dict[str, int] = {}
+
+    def texts():
+        for text, y in docs:
+            words, starts = chains(TOKEN.findall(text))
+            words = [x.lower() for x in words]
+            if y:
+                for x in set(words).difference(marks):
+                    marks[x] = int(any(z in bad for z in stems(x)))
+            yield words, starts, [marks[x] for x in words] if y else [0] * len(words)
+
+    field = Field(texts()) if bad else None
+    if field is None or not len(field.rows):
         return {"w": w.astype(np.float32), "bias": -30.0, "trans": trans}
-    field = Field(words, starts, labels)
-    del words, labels
     bias, w2, b2, t2 = -6.0, np.full(WIDTH, 1e-2), 1.0, np.ones((2, 2))
     for _ in range(epochs):
         _, gw, gb, gt = field.gradient(w, bias, trans)

@@ -268,7 +268,7 @@ def test_likelihood_and_gradient_of_the_field():
     """Against all labellings of small chains, and against small steps of each weight."""
     rng = np.random.default_rng(1)
     words, starts, labels = [["ab", "vilest", "cd"], ["vilest", "ab", "ab", "xyzzy"]], [[0, 2], [0]], [[0, 1, 0], [1, 1, 0, 0]]
-    field = toxicity.Field(words, starts, labels)
+    field = toxicity.Field(zip(words, starts, labels, strict=True))
     w, bias, trans = rng.normal(size=toxicity.WIDTH) * 0.3, -0.4, rng.normal(size=(2, 2))
     like, gw, gb, gt = field.gradient(w, bias, trans)
     want = 0.0
