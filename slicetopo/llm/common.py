@@ -3,6 +3,7 @@ sums, connected components, and word and hash helpers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +77,13 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver's references to them do; between
+    large steps that is asked for, so that they don't pile up on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bucket_of(unit: Column, rows: Column) -> Column:
     """Bucket number of a position ``unit`` in [0, 1) in a group of ``rows`` rows;
     it never falls as ``unit`` rises."""

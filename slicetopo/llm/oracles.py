@@ -77,4 +77,59 @@ f AS (SELECT conv_id, sum(chars) AS formatted_chars FROM (SELECT h.conv_id, h.a,
 d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY 1)
 SELECT d.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM d JOIN f USING (conv_id)"""
 
-ORACLES = {"op6_chat": CHAT, "op4_vectors": VECTORS, "op5_minhash": MINHASH, "op8_rules": RULES}
+#: Bytes of an ASCII id and a run of letters, the checksum's table, and the run without a letter.
+_BYTES = "flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END FOR x IN string_split(doc_id || ':' || run, '')])"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(x AS BIGINT) FOR x IN {_BYTES}]), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])))"
+#: Letters as ASCII, so that distances count code points.
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_ASCII = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[: len(_LATIN)]
+_NEAR = f"levenshtein(translate(a.word, '{_LATIN}', '{_ASCII}'), translate(b.word, '{_LATIN}', '{_ASCII}')) = 1"
+
+VARIANTS = f"""
+WITH RECURSIVE bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)),
+crcs AS (SELECT list(c ORDER BY i) AS crc FROM bits),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+sums AS MATERIALIZED (SELECT run, k, {_CRC} AS h FROM runs, crcs WHERE length(run) >= 6),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM sums),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+d AS (SELECT DISTINCT word, n, unnest(list_append([word[:i] || word[i + 2:] FOR i IN range(length(word))], word)) AS s FROM v),
+near AS MATERIALIZED (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.s = b.s AND a.word <> b.word WHERE {_NEAR}),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS form, max(m) AS form_n FROM near GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f AS t ON t.word = up.at WHERE t.form IS NULL"""
+
+SUBSTRINGS = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, [x FOR x IN string_split_regex(coalesce(text, ''), {SPACES}) IF x <> ''] AS w FROM documents),
+g AS MATERIALIZED (SELECT r, id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+first AS (SELECT g, min(id) AS id FROM g GROUP BY 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN first USING (g) WHERE first.id < g.id),
+n AS (SELECT r, count(*) AS n_removed, list(p) AS gone FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT list_contains(gone, p)], ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN n USING (r)"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """The rounds one after the other: nearest entries, then their parts' floored means."""
+    far = "list_sum([(x[j] - c[j]) * (x[j] - c[j]) FOR j IN range(1, len(x) + 1)])"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, arg_min(k, (far, k)) AS k, min(far) AS far FROM (SELECT r, x.p, k, x, {far} AS far FROM x JOIN b{i} b ON b.p = x.p) GROUP BY 1, 2)")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM
+  (SELECT p, k, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.k = b.k)""")
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT) FOR y IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+x AS MATERIALIZED (SELECT r, p, e[p * (len(e) // 8) + 1:(p + 1) * (len(e) // 8)] AS x FROM (SELECT r, e, unnest(range(8)) AS p FROM v)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM x WHERE r <= 16),
+{", ".join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds}),
+o AS (SELECT r, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (r) CROSS JOIN sha"""
+
+
+ORACLES = {"op11_variants": VARIANTS, "op12_substrings": SUBSTRINGS, "op13_codes": _codes(), "op6_chat": CHAT, "op4_vectors": VECTORS, "op5_minhash": MINHASH, "op8_rules": RULES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, minhash, mixing, pieces, pii, rules, sharding, toxicity, vectors
+from . import chat, codes, language, minhash, mixing, pieces, pii, rules, sharding, substrings, toxicity, variants, vectors
 from .common import table
 from .oracles import ORACLES
 
@@ -64,6 +64,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balance(docs, sharding.equal_text(docs)).drop("link")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_vectors, op5_minhash, op6_chat, op7_mixing, op8_rules, op9_pii, op10_sharding)}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_vectors, op5_minhash, op6_chat, op7_mixing, op8_rules, op9_pii, op10_sharding, op11_variants, op12_substrings, op13_codes)}
 
 __all__ = ["ORACLES", "QUERIES"]
