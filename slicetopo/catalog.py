@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .functions import naming, scalars
 from .operators import boxes as B
 from .operators import filters, labels, logical, metrics, report, slices, structures
-from .oracles import ORACLES
+from . import catalog_shapes, oracles_shapes
+from . import oracles as plain
 from .plans import definitions as D
 from .session import written
 from .sources import generators as G
@@ -381,5 +382,7 @@ QUERIES = {
     "name_order": name_order,
     "relation_slice_pivot_all": slice_label_counts_all,
 }
+QUERIES |= catalog_shapes.QUERIES
+ORACLES = plain.ORACLES | oracles_shapes.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

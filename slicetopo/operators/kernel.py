@@ -525,25 +525,29 @@ def relate_within(a: Region, b: Region, margin: float) -> int:
     return out
 
 
-def interpolate(one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
-    """The ring half-way: both rings are moved to their mean centre and scaled to their mean
-    box, then each point of the first meets its nearest point of the second half-way. With
-    no second ring, a copy."""
-    if two is None or not len(two):
-        return one.copy()
-    c1, c2 = centroid(one), centroid(two)
-    mid = (c1 + c2) / 2
-    s1, s2 = np.ptp(one, axis=0), np.ptp(two, axis=0)
-    mean = (s1 + s2) / 2
-    p = (one - c1) * (mean / np.maximum(s1, 1e-12)) + mid
-    q = (two - c2) * (mean / np.maximum(s2, 1e-12)) + mid
-    seg = np.hstack([q, np.roll(q, -1, axis=0)])
+def aligned(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both rings about their mean centre, in the size of their mean box."""
+    mid = (centroid(one) + centroid(two)) / 2
+    sizes = np.ptp(one, axis=0), np.ptp(two, axis=0)
+    mean = (sizes[0] + sizes[1]) / 2
+    return tuple((r - centroid(r)) * (mean / np.maximum(s, 1e-12)) + mid for r, s in zip((one, two), sizes, strict=True))
+
+
+def by_nearest(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Each point of the first ring half-way to its nearest point of the second."""
+    seg = np.hstack([two, np.roll(two, -1, axis=0)])
     r = seg[:, 2:] - seg[:, :2]
-    d = p[:, None] - seg[None, :, :2]
+    d = one[:, None] - seg[None, :, :2]
     t = np.clip((d * r[None]).sum(axis=2) / np.maximum((r * r).sum(axis=1), 1e-300)[None], 0, 1)
     foot = seg[None, :, :2] + r[None] * t[:, :, None]
-    best = np.hypot(*np.moveaxis(p[:, None] - foot, 2, 0)).argmin(axis=1)
-    return (p + foot[np.arange(len(p)), best]) / 2
+    best = np.hypot(*np.moveaxis(one[:, None] - foot, 2, 0)).argmin(axis=1)
+    return (one + foot[np.arange(len(one)), best]) / 2
+
+
+def interpolate(one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
+    """The ring half-way by nearest points, which may cross itself. With no second ring, a
+    copy."""
+    return one.copy() if two is None or not len(two) else by_nearest(*aligned(one, two))
 
 
 def shrink(ring: np.ndarray) -> np.ndarray:

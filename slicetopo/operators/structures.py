@@ -21,6 +21,7 @@ from ..functions import bits as bitcols
 from ..plans import definitions as D
 from ..session import ship
 from . import kernel as K
+from .interpolation import half_way
 
 Z_STEP = 0.01
 
@@ -227,7 +228,7 @@ def infill(own: list[dict], edges: list[tuple[int, int]], zs: list[float]) -> li
         low = lo["ring"]
         for z in zs:
             if key(lo["z"]) < key(z) < key(hi["z"]):
-                low = K.interpolate(low, hi["ring"])
+                low = half_way(low, hi["ring"])
                 out.append({**lo, "z": z, "ring": low, "cap": False, "made": True})
     return out
 
