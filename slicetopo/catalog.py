@@ -204,7 +204,7 @@ def structure_distances(s, d):
 
 
 def structure_overlaps(s, d):
-    return _metric(s, d, "volume_overlap").select("set_id", "roi_a", "roi_b", F.round("dice", 6).alias("dice"), F.round("common_area").cast("long").alias("common_area"))
+    return _metric(s, d, "volume_overlap").select("set_id", "roi_a", "roi_b", F.round("dice", 6).alias("dice"), F.round("overlap_ratio", 6).alias("overlap_ratio"), F.round("common_area").cast("long").alias("common_area"))
 
 
 def region_relations(s, d):
@@ -213,7 +213,18 @@ def region_relations(s, d):
 
 
 def logical_flags(s, d):
-    return logical.flags(pairs(s, d))
+    out = logical.flags(pairs(s, d))
+    return out.withColumn("intermediates", F.concat_ws(",", F.col("intermediates").cast("array<string>")))
+
+
+def relation_matches(s, d):
+    """How many definitions hold for every pair, and from the other side: one at most."""
+    from .functions import bits
+    from .plans import soundness
+
+    there, back = (soundness.matches(x) for x in (F.col("bits"), bits.transpose(F.col("bits"))))
+    r = pairs(s, d)
+    return r.select("set_id", "roi_a", "roi_b", F.size(there).alias("n_matches"), F.array_join(there, ",").alias("names"), F.size(back).alias("n_reverse"), F.array_join(back, ",").alias("reverse_names"))
 
 
 def logical_contains(s, d):
@@ -373,6 +384,7 @@ QUERIES = {
     "payload_cells": payload_cells,
     "region_relations": region_relations,
     "logical_flags": logical_flags,
+    "relation_matches": relation_matches,
     "relation_symbols": relation_symbols,
     "set_payload": set_payload,
     "diagram_edges": diagram_edges,

@@ -429,45 +429,54 @@ def _point_segments(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return np.hypot(*np.moveaxis(d - r[None] * t[:, :, None], 2, 0))
 
 
-def distance(a: Region, b: Region) -> float:
-    """Least distance; 0 where insides or boundaries meet, NaN if one is empty."""
-    p, q = boundary(a), boundary(b)
+def gap(p: np.ndarray, q: np.ndarray) -> float:
+    """Least distance of two boundaries' pieces that don't meet; NaN if one has none."""
     if not len(p) or not len(q):
         return math.nan
-    if relate(a, b) & (II | BB):
-        return 0.0
     return float(min(_point_segments(p.reshape(-1, 2), q).min(), _point_segments(q.reshape(-1, 2), p).min()))
 
 
+def distance(a: Region, b: Region) -> float:
+    """Least distance; 0 where insides or boundaries meet, NaN if one is empty."""
+    d = gap(boundary(a), boundary(b))
+    return 0.0 if not math.isnan(d) and relate(a, b) & (II | BB) else d
+
+
 def boundary_distance(a: Region, b: Region) -> float:
-    p, q = boundary(a), boundary(b)
-    if not len(p) or not len(q):
-        return math.nan
-    if relate(a, b) & BB:
-        return 0.0
-    return float(min(_point_segments(p.reshape(-1, 2), q).min(), _point_segments(q.reshape(-1, 2), p).min()))
+    d = gap(boundary(a), boundary(b))
+    return 0.0 if not math.isnan(d) and relate(a, b) & BB else d
 
 
-def common_boundary(a: Region, b: Region) -> tuple[float, float, float]:
-    """Lengths of the boundary that both have, and of each one's."""
+def outlines(a: Region, b: Region) -> tuple[float, float, float, float, float]:
+    """Lengths of the boundary that both have, and of the outlines and of the holes of each."""
     pieces = noded(segments(a, b))
     if not len(pieces):
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0, 0.0, 0.0
     size = np.hypot(pieces[:, 2] - pieces[:, 0], pieces[:, 3] - pieces[:, 1])
-    (al, ar), (bl, br) = sides(pieces, a), sides(pieces, b)
-    on_a, on_b = al != ar, bl != br
-    return float(size[on_a & on_b].sum()), float(size[on_a].sum()), float(size[on_b].sum())
+    on, outline = ([np.logical_xor(*sides(pieces, r)) for r in rs] for rs in ((a, b), (solid(a), solid(b))))
+    own = [float(size[x & keep].sum()) for x, y in zip(on, outline, strict=True) for keep in (y, ~y)]
+    return float(size[on[0] & on[1]].sum()), *own
 
 
-def hausdorff(a: Region, b: Region) -> float:
-    """Discrete: the farthest vertex of one boundary from the vertices of the other."""
-    p, q = boundary(a).reshape(-1, 2), boundary(b).reshape(-1, 2)
+def common_boundary(a: Region, b: Region) -> tuple[float, float, float]:
+    """Lengths of the boundary that both have, and of each one's."""
+    both, out_a, hole_a, out_b, hole_b = outlines(a, b)
+    return both, out_a + hole_a, out_b + hole_b
+
+
+def farthest(p: np.ndarray, q: np.ndarray) -> float:
+    """Discrete: the farthest end of one boundary's pieces from the ends of the other's."""
+    p, q = p.reshape(-1, 2), q.reshape(-1, 2)
     if not len(p) or not len(q):
         return math.nan
     d = np.hypot(*np.moveaxis(p[:, None] - q[None], 2, 0))
     return float(max(d.min(axis=1).max(), d.min(axis=0).max()))
 
 
+def hausdorff(a: Region, b: Region) -> float:
+    return farthest(boundary(a), boundary(b))
+
+
 def ray_length(a: Region, b: Region, start: np.ndarray, towards: np.ndarray) -> float:
     """Length, along a segment, of what is in a and not in b."""
     seg = np.concatenate([[[*start, *towards]], segments(a, b)])
@@ -483,6 +492,30 @@ def ray_length(a: Region, b: Region, start: np.ndarray, towards: np.ndarray) ->
     return float(np.hypot(*(pieces[hit, 2:] - pieces[hit, :2]).T).sum()) if hit.any() else 0.0
 
 
+def axis_lengths(a: Region, b: Region, start: np.ndarray) -> np.ndarray:
+    """Lengths of what is in a and not in b along the rays from ``start`` towards larger x,
+    smaller x, larger y and smaller y. Rays are cut where segments meet them; what lies on
+    both sides of the middle of a piece decides."""
+    seg = segments(a, b) - np.tile(start, 2)
+    mids, sizes, ways = [], [], []
+    for k, (x, y) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))):
+        u0, v0, u1, v1 = seg[:, 0] * x + seg[:, 1] * y, seg[:, 1] * x - seg[:, 0] * y, seg[:, 2] * x + seg[:, 3] * y, seg[:, 3] * x - seg[:, 2] * y
+        through = v0 * v1 < 0
+        at = u0[through] + (u1 - u0)[through] * v0[through] / (v0 - v1)[through]
+        cuts = np.concatenate([[0.0], at, u0[np.abs(v0) < SNAP], u1[np.abs(v1) < SNAP]])
+        cuts = np.unique(np.round(cuts[cuts >= 0], 9))
+        mid = (cuts[1:] + cuts[:-1]) / 2
+        mids.append(start + np.outer(mid, (x, y)))
+        sizes.append(np.diff(cuts))
+        ways.append(np.full(len(mid), k))
+    points, size, way = np.concatenate(mids), np.concatenate(sizes), np.concatenate(ways)
+    off = np.where(way[:, None] < 2, (0.0, 1e-6), (1e-6, 0.0))
+    hit = np.ones(len(points), dtype=bool)
+    for p in (points + off, points - off):
+        hit &= inside(p, a) & ~inside(p, b)
+    return np.bincount(way[hit], weights=size[hit], minlength=4)
+
+
 def relate27(a: Region, b: Region, a_open: Region | None = None, b_open: Region | None = None) -> int:
     """Region, exterior and hull bands. ``a_open`` and ``b_open``: exteriors, where they are
     not just the outer rings."""

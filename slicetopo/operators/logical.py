@@ -38,6 +38,19 @@ def _walks(edges: dict[int, set[int]]):
     return count, longest
 
 
+def _through(edges: dict[int, set[int]], own: set[tuple[int, int]]):
+    """A function for the longest path between two nodes with one edge at least of ``own``."""
+
+    @lru_cache(maxsize=None)
+    def longest(a: int, b: int, met: bool = False) -> tuple[int, ...] | None:
+        if a == b:
+            return (a,) if met else None
+        found = [(a, *p) for x in sorted(edges.get(a, ())) if (p := longest(x, b, met or (a, x) in own))]
+        return min(found, key=lambda p: (-len(p), p)) if found else None
+
+    return longest
+
+
 def _acyclic(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Edges that do not close a cycle, in order; only odd input has such."""
     out, after = [], defaultdict(set)
@@ -83,14 +96,11 @@ def flag_set(rows: list[tuple[int, int, str]], order: list[int]) -> dict[tuple[i
         edges = defaultdict(set)
         for a, b in _acyclic(sorted(own | implying)):
             edges[a].add(b)
+        longest = _through(edges, own) if target in ("CONTAINS", "WITHIN") else _walks(edges)[1]
         for a, b in own:
-            best = None
-            _, longest = _walks(edges)
             p = longest(a, b)
-            if p and len(p) > 2 and (target not in ("CONTAINS", "WITHIN") or any((x, y) in own for x, y in zip(p, p[1:], strict=False))):
-                best = p
-            if best and not flags[a, b][0]:
-                flags[a, b] = (True, list(best[1:-1]))
+            if p and len(p) > 2 and not flags[a, b][0]:
+                flags[a, b] = (True, list(p[1:-1]))
     # Equal structures: the largest stands for the others.
     root = {r: r for r in order}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -76,53 +77,94 @@ class Config:
         return [n for n in names if (n != "minimum_margins" or self.orthogonal or self.minimum) and (n != "maximum_margin" or self.maximum)]
 
 
-def _all(row: dict) -> list:
-    """A slice's whole geometry: its region and its boundary together."""
-    return K.union(geometry(row, "region"), geometry(row, "boundary"))
+class Cut:
+    """A structure on a slice, its region and boundary together; what pairs ask for more than
+    once is worked out once."""
 
+    def __init__(self, row: dict):
+        self.zk, self.z, self.labels = row["zk"], row["z"], list(row["labels"])
+        self.all = K.union(geometry(row, "region"), geometry(row, "boundary"))
+        self.bounds = K.bounds(self.all)
 
-def _by_set(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFrame:
-    """``each`` pair of a set with the slices of both, as rows. Slices are shuffled once by
-    set; a set, which is small, is read once in a task, whatever its number of pairs."""
+    @cached_property
+    def boundary(self) -> np.ndarray:
+        return K.boundary(self.all)
+
+    @cached_property
+    def solid(self) -> K.Region:
+        return K.solid(self.all)
+
+    @cached_property
+    def centroid(self) -> np.ndarray:
+        """That of the area; of the largest outline where there is no area."""
+        c = K.region_centroid(self.all)
+        return K.centroid(max((r for _, r in self.solid if len(r)), key=lambda r: abs(K.ring_area(r)))) if np.isnan(c).any() else c
+
+
+#: Structures along a side of a tile of pairs.
+TILE = 8
+Cuts = dict[int, list[Cut]]
+
+
+def _in_tiles(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFrame:
+    """``each(cuts, wanted)`` over tiles of a set's pairs, as rows. A set's structures are dealt
+    into rows and columns of about ``TILE``, so a task has the pairs of one tile and only the
+    slices of their structures, and a large set is spread like many small ones."""
     ship(slices.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
     keep = ["set_id", "roi", "zk", "z", "region_ops", "region_n", "region_xy", "boundary_ops", "boundary_n", "boundary_xy", "labels"]
+    both = F.explode(F.array("roi_a", "roi_b")).alias("roi")
+    sizes = pairs.select("set_id", both).groupBy("set_id").agg(F.ceil(F.count_distinct("roi") / TILE).alias("tiles"))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.col("tiles"))
+    dealt = pairs.select(*PAIR).join(sizes, "set_id").select(*PAIR, tile("roi_a").alias("tile_a"), tile("roi_b").alias("tile_b"))
+    needed = dealt.select("set_id", F.col("tile_a").alias("row_tile"), F.col("tile_b").alias("column_tile"), both).distinct()
 
     def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        by: dict[int, list[dict]] = {}
-        needed = set(wanted["roi_a"]) | set(wanted["roi_b"])
-        for r in own[own["roi"].isin(needed)].to_dict("records"):
-            by.setdefault(int(r["roi"]), []).append({"zk": r["zk"], "z": r["z"], "labels": list(r["labels"]), "all": (whole := _all(r)), "bounds": K.bounds(whole)})
-        rows = []
-        for a, b in zip(wanted["roi_a"].tolist(), wanted["roi_b"].tolist(), strict=True):
-            rows += [(wanted["set_id"].iloc[0], a, b, *x) for x in each(by.get(a, []), by.get(b, []))]
-        return pd.DataFrame(rows, columns=names)
+        cuts: Cuts = {}
+        for r in own.to_dict("records"):
+            cuts.setdefault(int(r["roi"]), []).append(Cut(r))
+        todo = list(zip(wanted["roi_a"].tolist(), wanted["roi_b"].tolist(), strict=True))
+        set_id = wanted["set_id"].iloc[0] if len(wanted) else None
+        return pd.DataFrame([(set_id, *row) for row in each(cuts, todo)], columns=names)
+
+    return slices.select(*keep).join(needed, ["set_id", "roi"]).groupBy("set_id", "row_tile", "column_tile").cogroup(dealt.groupBy("set_id", "tile_a", "tile_b")).applyInPandas(run, schema)
+
 
-    return slices.select(*keep).groupBy("set_id").cogroup(pairs.select(*PAIR).groupBy("set_id")).applyInPandas(run, schema)
+def _common(cuts: Cuts, todo: list[tuple[int, int]]) -> list[tuple[int, int, Cut, Cut]]:
+    """Each pair's cuts on the slices that both have."""
+    by_slice = {roi: {c.zk: c for c in own} for roi, own in cuts.items()}
+    return [(a, b, x, by_slice[b][x.zk]) for a, b in todo for x in cuts.get(a, ()) if x.zk in by_slice.get(b, ())]
 
 
-def _least_distance(a: list[dict], b: list[dict]):
+def _nearest(a: list[Cut], b: list[Cut]):
     """The least distance over pairs of slices. What the boxes round slices and their distance
     along z allow comes first, and once that is no less than the best, the rest can't be."""
-    a, b = ([x for x in side if x["bounds"] is not None] for side in (a, b))
+    a, b = ([x for x in side if x.bounds is not None] for side in (a, b))
     if not a or not b:
-        return
-    p, q = np.array([x["bounds"] for x in a]), np.array([y["bounds"] for y in b])
+        return None
+    p, q = np.array([x.bounds for x in a]), np.array([y.bounds for y in b])
     gap = np.maximum(np.maximum(p[:, None, :2] - q[None, :, 2:], q[None, :, :2] - p[:, None, 2:]), 0)
-    dz = np.abs(np.array([x["z"] for x in a])[:, None] - np.array([y["z"] for y in b])[None])
+    dz = np.abs(np.array([x.z for x in a])[:, None] - np.array([y.z for y in b])[None])
     least = np.sqrt((gap**2).sum(axis=2) + dz**2)
     best = None
     for k in np.lexsort((dz.ravel(), least.ravel())).tolist():
         i, j = divmod(k, len(b))
         if best is not None and least[i, j] >= best[0]:
             break
-        d = K.distance(a[i]["all"], b[j]["all"])
+        d = K.gap(a[i].boundary, b[j].boundary)
+        if d > 0 and not gap[i, j].any() and K.relate(a[i].all, b[j].all) & (K.II | K.BB):
+            d = 0.0
         if not math.isnan(d) and (best is None or math.hypot(d, dz[i, j]) < best[0]):
             best = (math.hypot(d, dz[i, j]), i, j)
-    if best is not None:
-        d, i, j = best
-        first = lambda x: x["labels"][0] if x["labels"] else None
-        yield round(d, 2), a[i]["z"], b[j]["z"], first(a[i]), first(b[j])
+    return best and (best[0], a[best[1]], b[best[2]])
+
+
+def _least_distances(cuts: Cuts, todo: list[tuple[int, int]]):
+    first = lambda x: x.labels[0] if x.labels else None
+    for a, b in todo:
+        if found := _nearest(cuts.get(a, []), cuts.get(b, [])):
+            d, x, y = found
+            yield a, b, round(d, 2), x.z, y.z, first(x), first(y)
 
 
 DISTANCES = "set_id string, roi_a int, roi_b int, minimum_distance double, z_a double, z_b double, region_a string, region_b string"
@@ -131,35 +173,26 @@ DISTANCES = "set_id string, roi_a int, roi_b int, minimum_distance double, z_a d
 def minimum_distance(slices: DataFrame, relations: DataFrame) -> DataFrame:
     """(set_id, roi_a, roi_b, minimum_distance, z_a, z_b, region_a, region_b), rounded to 0.01,
     over all pairs of slices; z and regions are those of the nearest pair of slices."""
-    return _by_set(slices, relations.where(F.col("relation").isin(*APPLIES["minimum_distance"])), _least_distance, DISTANCES)
+    return _in_tiles(slices, relations.where(F.col("relation").isin(*APPLIES["minimum_distance"])), _least_distances, DISTANCES)
 
 
 MARGINS = "set_id string, roi_a int, roi_b int, z double, labels_a array<string>, labels_b array<string>, nearest double, farthest double, x_plus double, x_minus double, y_plus double, y_minus double"
 
 
-def _margins(a: list[dict], b: list[dict]):
-    """Margins on each slice that both have."""
-    other = {y["zk"]: y for y in b}
-    for x in a:
-        y = other.get(x["zk"])
-        if y is None:
-            continue
-        p, q = x["all"], y["all"]
-        sp, sq = K.solid(p), K.solid(q)
-        if not sp or not sq:
-            continue
-        start = K.region_centroid(q)
-        if np.isnan(start).any():
-            start = K.centroid(max((r for _, r in sq if len(r)), key=lambda r: abs(K.ring_area(r))))
-        points = np.concatenate([r for _, r in [*sp, *sq]])
-        far = 2 * float(np.ptp(points, axis=0).max() + np.abs(points - start).max())
-        rays = [K.ray_length(sp, sq, start, start + np.array(d) * far) for d in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-        yield x["z"], x["labels"], y["labels"], K.boundary_distance(p, q), K.hausdorff(p, q), *rays
+def _margins(cuts: Cuts, todo: list[tuple[int, int]]):
+    """Margins on each slice that both have; whether boundaries meet is asked for all pairs of
+    a tile at once."""
+    met = [m for m in _common(cuts, todo) if m[2].solid and m[3].solid]
+    close = [k for k, (_, _, x, y) in enumerate(met) if not K.apart(x.bounds, y.bounds)]
+    touch = {k for k, nine in zip(close, K.relate_many([(met[k][2].all, met[k][3].all) for k in close]).tolist(), strict=True) if nine & K.BB}
+    for k, (a, b, x, y) in enumerate(met):
+        near = 0.0 if k in touch and len(x.boundary) and len(y.boundary) else K.gap(x.boundary, y.boundary)
+        yield a, b, x.z, x.labels, y.labels, near, K.farthest(x.boundary, y.boundary), *K.axis_lengths(x.solid, y.solid, y.centroid).tolist()
 
 
 def slice_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
     """Margins of each pair on each slice that both have."""
-    return _by_set(slices, relations, _margins, MARGINS)
+    return _in_tiles(slices, relations, _margins, MARGINS)
 
 
 DIRECTIONS = ("x_minus", "x_plus", "y_minus", "y_plus", "z_minus", "z_plus")
@@ -210,46 +243,59 @@ def maximum_margins(slices: DataFrame, relations: DataFrame) -> DataFrame:
     return use.select(*PAIR, "relation").join(per, PAIR).select(*PAIR, "relation", F.when(zero, 0.0).otherwise(F.col("m.v")).alias("maximum"), F.when(~zero, F.col("m.a")).alias("region_a"), F.when(~zero, F.col("m.b")).alias("region_b"), F.when(~zero, -F.col("m.down")).alias("z"))
 
 
-def _areas(a: list[dict], b: list[dict]):
-    """The common area and both areas on each slice that both have; a structure's own are
-    calculated once for all its pairs."""
-    other = {y["zk"]: y for y in b}
-    for x in a:
-        y = other.get(x["zk"])
-        if y is None or x["bounds"] is None or y["bounds"] is None:
-            continue
-        for side in (x, y):
-            if "area" not in side:
-                side["area"] = K.area(side["all"])
-        common = 0.0 if K.apart(x["bounds"], y["bounds"]) else K.combined_area([x["all"], y["all"]], lambda u, v: u & v)
-        yield x["z"], common, x["area"], y["area"]
-
-
-def overlap(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, dice, common_area, area_a, area_b): twice the common area over
-    both areas, and the areas, summed over all slices that both have."""
+def _areas(cuts: Cuts, todo: list[tuple[int, int]]):
+    """The common area on each slice that both have, of all pairs of a tile at once."""
+    met = [m for m in _common(cuts, todo) if m[2].bounds is not None and m[3].bounds is not None and not K.apart(m[2].bounds, m[3].bounds)]
+    for (a, b, x, _), common in zip(met, K.common_areas([(x.all, y.all) for _, _, x, y in met]).tolist(), strict=True):
+        yield a, b, x.z, common
+
+
+def _own_areas(pdf: pd.DataFrame) -> pd.DataFrame:
+    area = sum(K.area(Cut(r).all) for r in pdf.to_dict("records"))
+    return pd.DataFrame([(pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), area)], columns=["set_id", "roi", "area"])
+
+
+#: What a ratio of volumes is taken of: the larger structure for PARTITIONED, else the mean.
+BASES = ("auto", "larger", "smaller", "average")
+
+
+def overlap(slices: DataFrame, relations: DataFrame, basis: str = "auto") -> DataFrame:
+    """(set_id, roi_a, roi_b, dice, overlap_ratio, common_area, area_a, area_b). Areas are
+    summed over the slices of contours, the common one where both are, each structure's own
+    over all of its slices. ``dice``: twice the common area over both; ``overlap_ratio``: the
+    common area over what ``basis`` says. Both are 1 for EQUAL."""
+    if basis not in BASES:
+        raise ValueError(f"basis is one of {BASES}")
     use = relations.where(F.col("relation").isin(*APPLIES["volume_overlap"]))
-    per = _by_set(slices.where("not is_boundary"), use, _areas, "set_id string, roi_a int, roi_b int, z double, common double, area_a double, area_b double")
-    per = per.groupBy(*PAIR).agg(F.sum("common").alias("common_area"), F.sum("area_a").alias("area_a"), F.sum("area_b").alias("area_b"))
-    return per.select(*PAIR, (2 * F.col("common_area") / (F.col("area_a") + F.col("area_b"))).alias("dice"), "common_area", "area_a", "area_b")
+    own = slices.where("not is_boundary and not is_interpolated")
+    per = _in_tiles(own, use, _areas, "set_id string, roi_a int, roi_b int, z double, common double").groupBy(*PAIR).agg(F.sum("common").alias("common_area"))
+    area = own.groupBy("set_id", "roi").applyInPandas(_own_areas, "set_id string, roi int, area double")
+    side = lambda x: area.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("area").alias(f"area_{x}"))
+    got = use.select(*PAIR, "relation").join(per, PAIR).join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b"])
+    of = {"larger": F.greatest("area_a", "area_b"), "smaller": F.least("area_a", "area_b"), "average": (F.col("area_a") + F.col("area_b")) / 2}
+    base = F.when(F.col("relation") == "PARTITIONED", of["larger"]).otherwise(of["average"]) if basis == "auto" else of[basis]
+    one = lambda c: F.when(F.col("relation") == "EQUAL", 1.0).otherwise(c)
+    return got.select(*PAIR, one(F.col("common_area") / of["average"]).alias("dice"), one(F.col("common_area") / base).alias("overlap_ratio"), "common_area", "area_a", "area_b")
 
 
-def _surfaces(a: list[dict], b: list[dict]):
-    """Lengths of the common boundary and of both boundaries on each slice that both have."""
-    other = {y["zk"]: y for y in b}
-    for x in a:
-        y = other.get(x["zk"])
-        if y is not None:
-            yield x["z"], *K.common_boundary(x["all"], y["all"])
+def _surfaces(cuts: Cuts, todo: list[tuple[int, int]]):
+    """Lengths of the common boundary, and of outlines and holes, on slices that both have."""
+    for a, b, x, y in _common(cuts, todo):
+        yield a, b, x.z, *K.outlines(x.all, y.all)
 
 
 def surface_overlap(slices: DataFrame, relations: DataFrame) -> DataFrame:
-    """(set_id, roi_a, roi_b, common, share_a, share_b): the length of boundary that both have,
-    over common slices, and its share of each one's boundary there."""
+    """(set_id, roi_a, roi_b, common, ratio, share_a, share_b) of lengths over the slices of
+    contours that both have. ``ratio``: for BORDERS twice the common length over both
+    outlines, for CONFINES the common length over a's holes and b's outline; shares are of each
+    one's whole boundary."""
     use = relations.where(F.col("relation").isin(*APPLIES["surface_overlap"]))
-    per = _by_set(slices.where("not is_boundary"), use, _surfaces, "set_id string, roi_a int, roi_b int, z double, common double, a double, b double")
-    got = per.groupBy(*PAIR).agg(F.sum("common").alias("common"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return got.select(*PAIR, "common", (F.col("common") / F.col("a")).alias("share_a"), (F.col("common") / F.col("b")).alias("share_b"))
+    parts = ("common", "outline_a", "hole_a", "outline_b", "hole_b")
+    per = _in_tiles(slices.where("not is_boundary and not is_interpolated"), use, _surfaces, "set_id string, roi_a int, roi_b int, z double, " + ", ".join(f"{c} double" for c in parts))
+    got = use.select(*PAIR, "relation").join(per.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in parts]), PAIR)
+    c = {p: F.col(p) for p in parts}
+    ratio = F.when(F.col("relation") == "CONFINES", c["common"] / (c["hole_a"] + c["outline_b"])).otherwise(2 * c["common"] / (c["outline_a"] + c["outline_b"]))
+    return got.select(*PAIR, "common", ratio.alias("ratio"), (c["common"] / (c["outline_a"] + c["hole_a"])).alias("share_a"), (c["common"] / (c["outline_b"] + c["hole_b"])).alias("share_b"))
 
 
 def centroids(nodes: DataFrame) -> DataFrame:
@@ -296,7 +342,7 @@ def calculate_all(config: Config, slices: DataFrame, relations: DataFrame) -> di
     for name in config.metrics():
         got = calculate(name, slices, relations)
         values = [c for c, t in got.dtypes if t == "double"]
-        got = got.withColumns({c: F.round(c, config.ratio_decimals if c in ("dice", "share_a", "share_b") else config.distance_decimals) for c in values})
+        got = got.withColumns({c: F.round(c, config.ratio_decimals if c in ("dice", "overlap_ratio", "ratio", "share_a", "share_b") else config.distance_decimals) for c in values})
         rest = relations.select(*PAIR).join(got.select(*PAIR), PAIR, "left_anti")
         got = got.unionByName(rest.select(*PAIR, *[shown.alias(c) for c in values]), allowMissingColumns=True)
         out[name] = named_directions(got, config.orientation) if name == "minimum_margins" and config.anatomical else got

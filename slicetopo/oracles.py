@@ -117,7 +117,42 @@ nm AS (SELECT p_partkey AS roi, CASE WHEN p_partkey % 3 = 0 THEN (['PTV','gtv','
   ELSE (['opt ','eval '])[CAST(p_partkey % 2 + 1 AS INT)] || split_part(p_name, ' ', 1) || ([' a',' b',''])[CAST(p_partkey % 3 + 1 AS INT)] END AS name FROM part)"""
 
 
+_TESTS = ((89128960, 71303168, "EQUAL"), (89128960, 83886080, "CONTAINS"), (89128960, 68157440, "WITHIN"), (89128960, 88080384, "PARTITIONED"), (89128960, 72351744, "PARTITIONS"), (84934656, 84934656, "OVERLAPS"), (71469056, 4229120, "BORDERS"), (89294848, 22183936, "CONFINES"), (89294848, 22153216, "CONFINED"), (89294848, 17989632, "SURROUNDS"), (89294848, 17958912, "ENCLOSED"), (89260356, 17826112, "SHELTERS"), (89260356, 17826052, "SHELTERED"), (89163844, 17860676, "DISJOINT"))
+_HOLD = lambda bits: "list_filter([" + ", ".join(f"CASE WHEN {bits} & {m} = {v} THEN '{n}' END" for m, v, n in _TESTS) + "], lambda x: x IS NOT NULL)"
+#: Each band transposed: of nine bits the first, fifth and last stay.
+_TURNED = "(bits & 71565585) | " + " | ".join(f"((bits & {m * 262657}) {'>>' if k > 0 else '<<'} {abs(k)})" for m, k in ((128, 2), (64, 4), (8, 2), (32, -2), (4, -4), (2, -2)))
+
+#: Paths are walked one edge at a time and carry their structures and their own edges.
+#: Transitive types share a graph; a type and those that imply it share another.
+LOGICAL = f"""WITH RECURSIVE {PAIR_REL},
+ends AS (SELECT set_id, roi_a AS roi, 0 AS n FROM pr UNION ALL SELECT set_id, roi_b, 1 FROM pr),
+ord AS (SELECT set_id, roi, row_number() OVER (PARTITION BY set_id ORDER BY sum(n), roi) AS place FROM ends GROUP BY 1, 2),
+te AS (SELECT set_id, 'transitive' AS graph, roi_a, roi_b, true AS own FROM pr WHERE relation IN ('CONTAINS', 'WITHIN', 'SURROUNDS', 'ENCLOSED', 'SHELTERS', 'SHELTERED')
+  UNION ALL SELECT set_id, t.target, roi_a, roi_b, relation = t.target FROM pr JOIN (VALUES ('CONTAINS', 'PARTITIONED'), ('WITHIN', 'PARTITIONS'), ('SURROUNDS', 'CONFINES'), ('ENCLOSED', 'CONFINED')) t(target, implying) ON relation IN (t.target, t.implying)),
+walk AS (SELECT set_id, graph, roi_a AS a, roi_b AS b, [roi_a, roi_b] AS path, own, NOT own AS other FROM te
+  UNION ALL SELECT w.set_id, w.graph, w.a, e.roi_b, list_append(w.path, e.roi_b), w.own OR e.own, w.other OR NOT e.own FROM walk w JOIN te e ON e.set_id = w.set_id AND e.graph = w.graph AND e.roi_a = w.b WHERE NOT list_contains(w.path, e.roi_b)),
+tr AS (SELECT set_id, a, b, count(*) AS n, arg_min(path, (-len(path), path)) AS path FROM walk WHERE graph = 'transitive' GROUP BY 1, 2, 3),
+im AS (SELECT set_id, graph, a, b, arg_min(path, (-len(path), path)) AS path FROM walk WHERE graph <> 'transitive' AND len(path) > 2 AND (own OR graph NOT IN ('CONTAINS', 'WITHIN')) GROUP BY 1, 2, 3, 4),
+s1 AS (SELECT pr.set_id, pr.roi_a, pr.roi_b, relation, CASE WHEN relation = 'EQUAL' THEN [] WHEN tr.n > 1 AND len(tr.path) > 2 THEN tr.path[2:-2] WHEN im.path IS NOT NULL THEN im.path[2:-2] ELSE [] END AS via
+  FROM pr LEFT JOIN tr ON tr.set_id = pr.set_id AND tr.a = roi_a AND tr.b = roi_b LEFT JOIN im ON im.set_id = pr.set_id AND im.graph = relation AND im.a = roi_a AND im.b = roi_b),
+eq AS (SELECT set_id, roi_a AS x, roi_b AS y FROM pr WHERE relation = 'EQUAL' UNION SELECT set_id, roi_b, roi_a FROM pr WHERE relation = 'EQUAL'),
+same AS (SELECT set_id, roi, roi AS other FROM ord UNION SELECT w.set_id, w.roi, e.y FROM same w JOIN eq e ON w.set_id = e.set_id AND w.other = e.x),
+top AS (SELECT same.set_id, same.roi, arg_min(ord.roi, ord.place) AS c FROM same JOIN ord ON ord.set_id = same.set_id AND ord.roi = same.other GROUP BY 1, 2),
+s2 AS (SELECT s1.*, p.c AS ca, q.c AS cb, coalesce(t.relation, u.relation) AS tops FROM s1 JOIN top p ON p.set_id = s1.set_id AND p.roi = roi_a JOIN top q ON q.set_id = s1.set_id AND q.roi = roi_b
+  LEFT JOIN pr t ON t.set_id = s1.set_id AND t.roi_a = p.c AND t.roi_b = q.c LEFT JOIN pr u ON u.set_id = s1.set_id AND u.roi_a = q.c AND u.roi_b = p.c),
+s3 AS (SELECT *, list_concat(CASE WHEN ca <> roi_a THEN [ca] ELSE [] END, CASE WHEN cb <> roi_b THEN [cb] ELSE [] END) AS peers FROM s2),
+s4 AS (SELECT set_id, roi_a, roi_b, relation, ca, cb, CASE WHEN relation = 'EQUAL' THEN CASE WHEN ca NOT IN (roi_a, roi_b) THEN [ca] ELSE [] END
+  WHEN len(peers) > 0 AND tops = relation THEN list_concat(peers, [x FOR x IN via IF NOT list_contains(peers, x)]) ELSE via END AS via FROM s3),
+own AS (SELECT s4.set_id, s4.roi_a, s4.roi_b, list(v ORDER BY i) AS via FROM (SELECT *, unnest(via) AS v, generate_subscripts(via, 1) AS i FROM s4 WHERE relation <> 'EQUAL' AND ca = roi_a AND cb = roi_b) s4
+  JOIN top ON top.set_id = s4.set_id AND top.roi = v WHERE top.c NOT IN (roi_a, roi_b) GROUP BY 1, 2, 3)
+SELECT CAST(s4.set_id AS VARCHAR) AS set_id, s4.roi_a, s4.roi_b, relation, len(f.via) > 0 AS is_logical, array_to_string(f.via, ',') AS intermediates
+FROM s4 LEFT JOIN own ON own.set_id = s4.set_id AND own.roi_a = s4.roi_a AND own.roi_b = s4.roi_b
+CROSS JOIN LATERAL (SELECT CASE WHEN relation <> 'EQUAL' AND ca = s4.roi_a AND cb = s4.roi_b THEN coalesce(own.via, []) ELSE s4.via END AS via) f"""
+
+
 ORACLES = {
+    "logical_flags": LOGICAL,
+    "relation_matches": f"WITH {PAIR_REL}, h AS (SELECT *, {_HOLD('bits')} AS there, {_HOLD(f'({_TURNED})')} AS back FROM pr) SELECT set_id, roi_a, roi_b, CAST(len(there) AS INT) AS n_matches, array_to_string(there, ',') AS names, CAST(len(back) AS INT) AS n_reverse, array_to_string(back, ',') AS reverse_names FROM h",
     "box_slice_relations": f"WITH {SLICE_REL} SELECT * FROM sr",
     "box_pair_relations": f"WITH {PAIR_REL} SELECT * FROM pr",
     "streamed_relations": f"WITH {PAIR_REL} SELECT * FROM pr",
@@ -215,11 +250,11 @@ dz AS (SELECT cr.set_id, roi_a, roi_b, min(abs(p.z - q.z)) AS d FROM cr JOIN zz
 SELECT CAST(dz.set_id AS VARCHAR) AS set_id, CAST(roi_a AS INTEGER) AS roi_a, CAST(roi_b AS INTEGER) AS roi_b,
 round(sqrt(greatest(a.x0 - b.x1, b.x0 - a.x1, 0) ** 2 + greatest(a.y0 - b.y1, b.y0 - a.y1, 0) ** 2 + d ** 2), 2) AS minimum_distance
 FROM dz JOIN pl a ON a.set_id = dz.set_id AND a.roi = roi_a JOIN pl b ON b.set_id = dz.set_id AND b.roi = roi_b""",
-    "structure_overlaps": f"""WITH {CONTOUR_REL}, o AS (SELECT cr.*, greatest(least(a.z1, b.z1) - greatest(a.z0, b.z0) + 1, 0) AS n, a.area AS sa, b.area AS sb,
-greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS c,
-list_distinct([z FOR z IN (SELECT list(z) FROM (SELECT lo AS z FROM cp x WHERE x.set_id = cr.set_id UNION SELECT hi FROM cp x WHERE x.set_id = cr.set_id)) IF z > greatest(a.z0, b.z0) AND z < least(a.z1, b.z1)]) AS fill
+    "structure_overlaps": f"""WITH {CONTOUR_REL}, o AS (SELECT cr.*, greatest(least(a.z1, b.z1) - greatest(a.z0, b.z0) + 1, 0) * greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS c,
+a.area * (a.z1 - a.z0 + 1) AS sa, b.area * (b.z1 - b.z0 + 1) AS sb
 FROM cr JOIN pl a ON a.set_id = cr.set_id AND a.roi = roi_a JOIN pl b ON b.set_id = cr.set_id AND b.roi = roi_b WHERE relation IN ('OVERLAPS', 'PARTITIONED', 'CONTAINS', 'EQUAL'))
-SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi_a AS INTEGER) AS roi_a, CAST(roi_b AS INTEGER) AS roi_b, round(2.0 * c / (sa + sb), 6) AS dice, CAST((n + len(fill)) * c AS BIGINT) AS common_area FROM o WHERE n + len(fill) > 0""",
+SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi_a AS INTEGER) AS roi_a, CAST(roi_b AS INTEGER) AS roi_b, CASE relation WHEN 'EQUAL' THEN 1.0 ELSE round(2.0 * c / (sa + sb), 6) END AS dice,
+CASE relation WHEN 'EQUAL' THEN 1.0 WHEN 'PARTITIONED' THEN round(1.0 * c / greatest(sa, sb), 6) ELSE round(2.0 * c / (sa + sb), 6) END AS overlap_ratio, CAST(c AS BIGINT) AS common_area FROM o WHERE c > 0""",
     "structure_slice_records": f"""WITH {CONTOUR}, sr AS (SELECT a.set_id, a.roi AS roi_a, b.roi AS roi_b, CAST(unnest(range(greatest(a.z0, b.z0), least(a.z1, b.z1) + 1)) AS DOUBLE) AS z, CAST(262657 * ({_nine("a", "b")}) AS INTEGER) AS bits
   FROM pl a JOIN pl b ON a.set_id = b.set_id AND a.place < b.place)
 SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi_a AS INTEGER) AS roi_a, CAST(roi_b AS INTEGER) AS roi_b, format('{{:.4f}}', z) AS slice, label, symbol, false AS is_interpolated, false AS has_boundary

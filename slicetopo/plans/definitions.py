@@ -96,8 +96,27 @@ def transpose_int(bits: int) -> int:
     return out
 
 
+Cube = tuple[int, int]
+
+
+def meet(p: Cube, q: Cube) -> Cube | None:
+    """The patterns in both cubes, again a cube; None if there is none."""
+    if (p[1] ^ q[1]) & p[0] & q[0]:
+        return None
+    return p[0] | q[0], p[1] | q[1]
+
+
+def overlapping(definitions: list[Definition] = DEFINITIONS) -> list[tuple[str, str, int]]:
+    """(name, name, a pattern that both take) of definitions that are not disjoint."""
+    tested = [d for d in definitions if d.mask]
+    return [(a.name, b.name, both[1]) for i, a in enumerate(tested) for b in tested[i + 1 :] if (both := meet((a.mask, a.value), (b.mask, b.value)))]
+
+
 def classify(bits: Column, definitions: list[Definition] = DEFINITIONS) -> Column:
-    """The name of the one definition that holds, UNKNOWN if none does or bits are null."""
+    """The name of the one definition that holds, UNKNOWN if none does or bits are null.
+    Definitions of which two can hold at once are refused."""
+    if definitions is not DEFINITIONS and (twice := overlapping(definitions)):
+        raise ValueError("definitions overlap: " + ", ".join(f"{a} and {b} at {x:027b}" for a, b, x in twice))
     out = F.lit("UNKNOWN")
     for d in reversed([d for d in definitions if d.mask]):
         out = F.when(bits.bitwiseAND(F.lit(d.mask)) == F.lit(d.value), F.lit(d.name)).otherwise(out)
@@ -137,6 +156,7 @@ def validate(definitions: list[Definition] = DEFINITIONS) -> list[str]:
         wrong += [f"{what} {x} is not unique" for x in sorted({v for v in values if values.count(v) > 1})]
     tests = [(d.mask, d.value) for d in definitions if d.mask]
     wrong += [f"test {t} is not unique" for t in sorted({t for t in tests if tests.count(t) > 1})]
+    wrong += [f"{a} and {b} both hold at {x:027b}" for a, b, x in overlapping(definitions)]
     for d in definitions:
         if not d.name.isidentifier() or d.name != d.name.upper():
             wrong.append(f"{d.name}: a name is an upper-case identifier")
