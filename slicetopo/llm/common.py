@@ -79,7 +79,9 @@ def drop(df: DataFrame) -> None:
 
 def free(spark: SparkSession) -> None:
     """Shuffle files of finished steps go once the driver's references to them do; between
-    large steps that is asked for, so that they don't pile up on the executors' disks."""
+    large steps that is asked for, so that they don't pile up on the executors' disks. The
+    scheduler keeps hold of its last job until there is another: a small one takes its place."""
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -13,8 +13,8 @@ is sent to the one automaton that can match it.
 * Equal segments become one row with the least and the greatest doc_id that has them.
   Segments of an anchor met more than ``COMMON`` times are cut to their windows first, and
   these are dealt by their own hash, so no anchor gathers many contexts in one shard.
-* A shard takes about ``SHARD`` segments by their anchors. Its suffix automaton keeps the
-  least doc_id of every state. The segments are streamed through it: where the matched
+* A shard takes about ``SHARD`` segments by their anchors. By rising doc_ids they are
+  streamed through the suffix automaton of those before and then added: where the matched
   length reaches ``k``, the state of the last ``k`` words has the least doc_id of the window.
 * Windows with a smaller doc_id go back to the documents that hold their segment, and the
   union of a document's windows is its removed spans.
@@ -32,19 +32,18 @@ words. Repeated rows come out as often as they come in. Other columns are not re
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, free, mix, salted_join, tune
 from .minhash import KEEP_HASHES, Hashes
 
-#: Words of a window, of an anchor; occurrences from which an anchor is common; segments and
-#: words of a shard.
-WINDOW, GRAM, COMMON, SHARD = 13, 6, 512, 4000
+#: Words of a window, of an anchor; occurrences from which an anchor is common; segments of a
+#: shard, and of an automaton in it.
+WINDOW, GRAM, COMMON, SHARD, BUNDLE = 13, 6, 4096, 4000, 64
 #: Words that a broadcast reference holds at most, and those of one of its shards.
 REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 100_000
 LAST = 2**63 - 1
@@ -63,31 +62,34 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(h: np.ndarray, counts: np.ndarray, k: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of texts whose word hashes stand one after the other in ``h``: (text, first
-    word in the text, number of windows, hash of the anchor)."""
+    word in the text, number of windows, hash of the anchor). A run of windows with one
+    anchor is cut after as many windows as an anchor can serve where it stands once."""
     none = np.zeros(0, dtype=np.int64)
     if len(h) < k:
         return none, none, none, none
     rolled = np.zeros(len(h) - gram + 1, dtype=np.uint64)
     for j in range(gram):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(rolled)] + np.uint64(j + 1))
+        rolled *= np.uint64(0x9E3779B97F4A7C15)
+        rolled += h[j : j + len(rolled)]
+    least, reach, wanted = mix(rolled), 1, k - gram + 1
+    while reach < wanted:
+        step = min(reach, wanted - reach)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
     n = len(h) - k + 1
-    least, where = rolled[:n].copy(), np.arange(n)
-    for j in range(1, k - gram + 1):
-        lower = rolled[j : j + n] < least
-        least[lower] = rolled[j : j + n][lower]
-        where[lower] = np.flatnonzero(lower) + j
     ends = np.cumsum(counts)
     text = np.repeat(np.arange(len(counts)), counts)[:n]
-    whole = np.arange(n) + k <= ends[text]
-    at = np.flatnonzero(whole)
+    at = np.flatnonzero(np.arange(n) + k <= ends[text])
     if not len(at):
         return none, none, none, none
+    value, text = least[at], text[at]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (where[at][1:] != where[at][:-1]) | (text[at][1:] != text[at][:-1])
+    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(place % wanted == 0)
     runs = np.diff(np.append(first, len(at)))
-    start = at[first]
-    return text[start], start - (ends - counts)[text[start]], runs, least[start].view(np.int64)
+    return text[first], at[first] - (ends - counts)[text[first]], runs, value[first].view(np.int64)
 
 
 def _segments(k: int, gram: int):
@@ -96,7 +98,8 @@ def _segments(k: int, gram: int):
             h, counts = word_hashes(b.column("text").to_pylist())
             text, at, n, anchor = anchors(h, counts, k, gram)
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), b.column("id").take(rows), b.column("row").take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "id", "row", "at", "n"])
+            spot = at << 5 | n << 1
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), b.column("key").take(rows), b.column("nameless").take(rows), pa.array(spot)], names=["anchor", "key", "nameless", "spot"])
 
     return run
 
@@ -106,115 +109,113 @@ def _passages(k: int):
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
-            for text, i, row, marks in zip(*(b.column(c).to_pylist() for c in ("text", "id", "row", "marks")), strict=True):
+            marks = b.column("marks")
+            ends = np.append(marks.offsets.to_numpy(), 0)[: len(b) + 1].tolist()
+            anchor, spot, common = (marks.values.field(c).to_pylist() for c in ("anchor", "spot", "common"))
+            owner, at, seg, route, said = [], [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
-                for m in marks:
-                    at, n = m["at"], m["n"]
-                    for a, length in [(a, k) for a in range(at, at + n)] if m["common"] else [(at, k + n - 1)]:
-                        said = b" ".join(words[a : a + length])
-                        digest = hashlib.blake2b(said, digest_size=16).digest()
-                        route = int.from_bytes(digest[:8], "little", signed=True) if m["common"] else m["anchor"]
-                        for column, x in zip(out, (i, row, a, digest, route, said), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["id", "row", "at", "seg", "route", "said"])
+                for m in range(ends[i], ends[i + 1]):
+                    start, n = spot[m] >> 5, spot[m] >> 1 & 15
+                    for a in range(start, start + n) if common[m] else (start,):
+                        what = b" ".join(words[a : a + k] if common[m] else words[a : a + k + n - 1])
+                        owner.append(i)
+                        at.append(a)
+                        seg.append(digest := xxhash.xxh3_128_digest(what))
+                        route.append(int.from_bytes(digest[:8], "little", signed=True) if common[m] else anchor[m])
+                        said.append(what)
+            rows = pa.array(owner, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("row").take(rows), pa.array(at, type=pa.int32()), pa.array(seg, type=pa.binary()), pa.array(route, type=pa.int64()), pa.array(said, type=pa.binary())], names=["id", "row", "at", "seg", "route", "said"])
 
     return run
 
 
 class Automaton:
-    """A suffix automaton of word sequences; every state keeps the least number of the
-    sequences that hold its words."""
+    """A suffix automaton of word sequences. They are added by rising numbers, so a state that
+    is made has the least number of the sequences that hold its words from the start, and one
+    that is split off has that of the state it comes from."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length, self.least = [-1], [0], [LAST]
 
     def add(self, said: list[bytes], number: int) -> None:
-        nxt, link, length, least, words = self.next, self.link, self.length, self.least, self.words
+        nxt, link, length = self.next, self.link, self.length
         last = 0
         for word in said:
-            c = words.setdefault(word, len(words))
-            q = nxt[last].get(c)
-            if q is not None and length[q] == length[last] + 1:
-                last = q
-            elif q is not None:
-                last = self._clone(last, c, q)
-            else:
-                new = len(nxt)
-                nxt.append({})
-                length.append(length[last] + 1)
-                least.append(LAST)
-                link.append(0)
-                p = last
-                while p >= 0 and c not in nxt[p]:
-                    nxt[p][c] = new
-                    p = link[p]
-                if p >= 0:
-                    q = nxt[p][c]
-                    link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-                last = new
-            if number < least[last]:
-                least[last] = number
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        """A state for the shorter sequences of ``q`` that end in ``p`` and ``c``."""
+            q = nxt[last].get(word)
+            if q is not None:
+                last = q if length[q] == length[last] + 1 else self._split(last, word, q)
+                continue
+            new = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            self.least.append(number)
+            link.append(0)
+            p = last
+            while p >= 0 and word not in nxt[p]:
+                nxt[p][word] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][word]
+                link[new] = q if length[q] == length[p] + 1 else self._split(p, word, q)
+            last = new
+
+    def _split(self, p: int, word: bytes, q: int) -> int:
+        """A state for the shorter sequences of ``q`` that end in ``p`` and ``word``."""
         nxt, link = self.next, self.link
         new = len(nxt)
         nxt.append(nxt[q].copy())
         self.length.append(self.length[p] + 1)
-        self.least.append(LAST)
+        self.least.append(self.least[q])
         link.append(link[q])
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = new
+        while p >= 0 and nxt[p].get(word) == q:
+            nxt[p][word] = new
             p = link[p]
         link[q] = new
         return new
 
-    def close(self) -> None:
-        """Hand the least numbers down the suffix links, longest sequences first."""
-        length, link, least = np.array(self.length), np.array(self.link), np.array(self.least, dtype=np.int64)
-        order = np.argsort(-length, kind="stable")
-        for level in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-            level = level[link[level] >= 0]
-            np.minimum.at(least, link[level], least[level])
-        self.least = least.tolist()
-
     def windows(self, said: list[bytes], k: int):
         """Matching statistics, word by word: (start, least number) of the windows of ``k``
         words that the automaton holds."""
         nxt, link, length = self.next, self.link, self.length
         state = size = 0
         for i, word in enumerate(said):
-            c = self.words.get(word, -1)
-            while state and c not in nxt[state]:
+            to = nxt[state].get(word)
+            while to is None and state:
                 state = link[state]
                 size = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
+                to = nxt[state].get(word)
+            if to is not None:
+                state = to
                 size += 1
-            while state and length[link[state]] >= k:
-                state = link[state]
-                size = length[state]
-            if size >= k:
-                yield i - k + 1, self.least[state]
+                while length[link[state]] >= k:
+                    state = link[state]
+                    size = length[state]
+                if size >= k:
+                    yield i - k + 1, self.least[state]
 
 
 def _shard(k: int):
+    """Streams a shard's segments through the automaton of those with smaller documents, then
+    adds them. An automaton takes the segments of a few anchors, so that it stays in a
+    processor's cache; what it doesn't hold, the segment's own first document has first."""
+
     def run(table: pa.Table) -> pa.Table:
-        said = [s.split(b" ") for s in table.column("said").to_pylist()]
-        automaton = Automaton()
-        for words, low in zip(said, table.column("low").to_pylist(), strict=True):
-            automaton.add(words, low)
-        automaton.close()
+        table = table.sort_by([("bundle", "ascending"), ("low", "ascending")])
+        bundle, low, high, key, said = (table.column(c).to_pylist() for c in ("bundle", "low", "high", "seg", "said"))
         seg, off, least = [], [], []
-        for words, key, high in zip(said, table.column("seg").to_pylist(), table.column("high").to_pylist(), strict=True):
-            for start, low in automaton.windows(words, k):
-                if low < high:
-                    seg.append(key)
-                    off.append(start)
-                    least.append(low)
+        automaton, at = Automaton(), None
+        for b, first, last, name, words in zip(bundle, low, high, key, said, strict=True):
+            if b != at:
+                automaton, at = Automaton(), b
+            words = words.split(b" ")
+            met = dict(automaton.windows(words, k))
+            for start in range(len(words) - k + 1) if first < last else met:
+                seg.append(name)
+                off.append(start)
+                least.append(met.get(start, first))
+            automaton.add(words, first)
         return pa.table({"seg": pa.array(seg, type=pa.binary()), "off": pa.array(off, type=pa.int32()), "least": pa.array(least, type=pa.int64())})
 
     return run
@@ -243,25 +244,34 @@ def _kept(k: int):
 
 
 def repeated_windows(rows: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, row, start): windows that also start in a row with a smaller id. ``rows`` has
-    id, row (which tells different texts of one id apart) and text, without nulls."""
+    """(id, row, starts): windows that also start in a row with a smaller id. ``rows`` has
+    text, id, row, which tells different texts of one id apart, and key, by which a row finds
+    what was learnt of its segments; nameless says that the id is no number of its own. A
+    segment's place and length travel as one number."""
     spark = rows.sparkSession
-    found = cut(rows.mapInArrow(_segments(k, gram), "anchor long, id long, row long, at int, n int"))
-    shared = cut(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"))
-    marks = salted_join(found, shared.select("anchor", (F.col("n") > COMMON).alias("common")), ["anchor"], shared, ["id", "at"])
-    marks = cut(marks.groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "at", "n", "common")).alias("marks")))
+    found = cut(rows.mapInArrow(_segments(k, gram), "anchor long, key long, nameless boolean, spot long").select("anchor", "key", (F.col("spot") + F.col("nameless").cast("long")).alias("spot")))
+    who = F.when(F.col("spot") % 2 == 1, F.lit(LAST)).otherwise(F.col("key"))
+    shared = cut(found.groupBy("anchor").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"))
+    free(spark)
+    marks = salted_join(found, shared.select("anchor", (F.col("n") > COMMON).alias("common")), ["anchor"], shared, ["key", "spot"])
+    marks = cut(marks.groupBy("key").agg(F.collect_set(F.struct("anchor", "spot", "common")).alias("marks")))
     drop(found)
     drop(shared)
     free(spark)
-    passages = cut(rows.join(marks, ["id", "row"]).mapInArrow(_passages(k), "id long, row long, at int, seg binary, route long, said binary"))
+    passages = cut(rows.join(marks, "key").mapInArrow(_passages(k), "id long, row long, at int, seg binary, route long, said binary"))
     drop(marks)
     free(spark)
-    segs = cut(passages.groupBy("seg").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.first("route").alias("route"), F.first("said").alias("said")))
+    segs = cut(passages.groupBy("seg", "route", "said").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")))
+    free(spark)
     shards = max(1, -(-segs.count() // SHARD))
-    hits = segs.select("seg", "low", "high", "said", F.pmod("route", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard(k), "seg binary, off int, least long")
+    place = F.pmod("route", F.lit(shards))
+    bundle = F.pmod(F.shiftright("route", 20), F.lit(SHARD // BUNDLE))
+    hits = segs.select("seg", "low", "high", "said", place.alias("shard"), bundle.alias("bundle")).groupBy("shard").applyInArrow(_shard(k), "seg binary, off int, least long")
     hits = cut(hits.groupBy("seg").agg(F.collect_list(F.struct("off", "least")).alias("hits")))
+    free(spark)
     met = salted_join(passages.select("id", "row", "at", "seg"), hits, ["seg"], segs.select("seg", "n"), ["id", "row", "at"])
-    out = cut(met.select("id", "row", F.explode("hits").alias("h"), "at").where("h.least < id").select("id", "row", (F.col("at") + F.col("h.off")).alias("start")).distinct())
+    met = met.select("id", "row", F.explode(F.transform(F.filter("hits", lambda h: h["least"] < F.col("id")), lambda h: F.col("at") + h["off"])).alias("start"))
+    out = cut(met.groupBy("id", "row").agg(F.collect_set("start").alias("starts")))
     for t in (passages, segs, hits):
         drop(t)
     free(spark)
@@ -271,10 +281,13 @@ def repeated_windows(rows: DataFrame, k: int = WINDOW, gram: int = GRAM) -> Data
 def without_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` has the words that stay, joined by one
     space."""
-    tune(docs.sparkSession)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("row"))
-    starts = repeated_windows(rows.where("text is not null").select("id", "row", "text"), k)
-    spans = starts.groupBy("id", "row").agg(F.collect_list("start").alias("starts"))
+    spark = docs.sparkSession
+    tune(spark)
+    # A join's smaller side is held as a map where its partitions are small, without sorting.
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "32m")
+    number, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.select("doc_id", "text", F.coalesce(number, F.lit(LAST)).alias("id"), text.alias("row"), F.coalesce(number, text).alias("key"), number.isNull().alias("nameless"))
+    spans = repeated_windows(rows.where("text is not null").select("text", "id", "row", "key", "nameless"), k)
     return rows.join(spans, ["id", "row"], "left").select("doc_id", "text", "starts").mapInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept string")
 
 
