@@ -38,7 +38,7 @@ def _parts(s, d):
 
 def filter_rule_report(s, d):
     out = filters.report(_parts(s, d), RULES)
-    return out.select("roi", F.col("SelectedByDefault").alias("selected"), F.col("DisplayedByDefault").alias("displayed"), F.concat_ws(",", "MatchedRules").alias("matched"), F.col("FinalMatch").alias("final"), F.col("FilterReason").alias("reason"))
+    return out.select("roi", F.col("SelectedByDefault").alias("selected"), F.col("DisplayedByDefault").alias("displayed"), F.array_join(F.transform("MatchedRules", lambda m: m["id"]), ",").alias("matched"), F.col("FinalMatch.id").alias("final"), F.col("FilterReason").alias("reason"))
 
 
 def _names(s, d):

@@ -30,16 +30,25 @@ def dose_group(name: Column) -> Column:
     return F.when((family != "") & ~F.trim(name).rlike("(?i)^(opt|eval) "), F.concat(F.upper(family), F.regexp_extract(name, form, 2)))
 
 
+#: A number as programs write it, and a whole one.
+_NUMBER, _WHOLE = r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*", r"\s*[+-]?\d+\s*"
+_DOSE = rf"^({_NUMBER})(Gy)?(?:x({_WHOLE}))?$"
+
+
+def dose_fractions(text: Column) -> Column:
+    """The number of fractions after the x of a dose; null without one, or for other text."""
+    return F.nullif(F.regexp_extract(F.replace(text, F.lit("p"), F.lit(".")), _DOSE, 3), F.lit("")).try_cast("int")
+
+
 def dose_to_cgy(text: Column) -> Column:
-    """`####`, `##Gy`, `##p##Gy` and `...x#` fractions in cGy; other text as it is."""
-    t = F.trim(text)
-    gray = F.regexp_extract(t, r"(?i)^(\d+(?:[p.]\d+)?)\s*Gy(?:x(\d+))?$", 1)
-    times = F.regexp_extract(t, r"(?i)^(\d+(?:[p.]\d+)?)\s*Gy(?:x(\d+))?$", 2)
-    plain = F.regexp_extract(t, r"(?i)^(\d{3,5})(?:\s*cGy)?(?:x(\d+))?$", 1)
-    plain_times = F.regexp_extract(t, r"(?i)^(\d{3,5})(?:\s*cGy)?(?:x(\d+))?$", 2)
-    count = lambda x: F.when(x == "", 1).otherwise(F.try_to_number(x, F.lit("999")).cast("int"))
-    value = F.regexp_replace(gray, "p|P", ".").try_cast("double") * 100 * count(times)
-    return F.when(gray != "", F.round(value, 0).cast("long").cast("string")).when(plain != "", (plain.try_cast("long") * count(plain_times)).cast("string")).otherwise(text)
+    """The total dose in cGy: a number, in gray before Gy, with p or a point for decimals, times
+    the fractions after an x, if there are any; other text as it is."""
+    t = F.replace(text, F.lit("p"), F.lit("."))
+    number = F.trim(F.regexp_extract(t, _DOSE, 1)).try_cast("double")
+    one = F.when(F.regexp_extract(t, _DOSE, 2) == "Gy", number * 100).otherwise(number)
+    times = dose_fractions(text)
+    total = F.round(F.when(times != 0, one * times).otherwise(one), 6).cast("decimal(38,6)").cast("string")
+    return F.when(t.rlike(_DOSE), F.regexp_replace(total, r"\.?0+$", "")).otherwise(text)
 
 
 def checks(name: Column, times: Column) -> dict[str, Column]:

@@ -91,8 +91,11 @@ def shown(x: Column) -> Column:
 
 
 def hex_to_rgba(code: Column, alpha: float = 1.0) -> Column:
-    part = lambda i: F.conv(F.substr(F.ltrim(code, F.lit("#")), F.lit(i), F.lit(2)), 16, 10)
-    return F.concat(F.lit("rgba("), F.concat_ws(", ", part(1), part(3), part(5), F.lit(f"{alpha:g}")), F.lit(")"))
+    """A colour of six digits with alpha to three places; other codes without their #."""
+    bare = F.ltrim(code, F.lit("#"))
+    part = lambda i: F.conv(F.substring(bare, i, 2), 16, 10)
+    shown_ = F.concat(F.lit("rgba("), F.concat_ws(", ", part(1), part(3), part(5), F.lit(f"{alpha:.3f}")), F.lit(")"))
+    return F.when(F.length(bare) == 6, shown_).otherwise(bare)
 
 
 def rgb_to_hex(red: Column, green: Column, blue: Column) -> Column:

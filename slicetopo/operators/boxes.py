@@ -51,6 +51,16 @@ def box_bits(a: str, b: str) -> Column:
     return bits.bands(nine, nine, nine)
 
 
+def pair_bits(a: str, b: str) -> Column:
+    """27 bits of two solid boxes (structs or aliases) over all their slices: those that both
+    have are alike, and which has some alone follows from the ranges."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    meet = F.greatest(c(a, "z0"), c(b, "z0")) <= F.least(c(a, "z1"), c(b, "z1"))
+    beyond = lambda p, q, only: F.when((c(p, "z0") < c(q, "z0")) | (c(p, "z1") > c(q, "z1")), F.lit(only)).otherwise(0)
+    both = F.when(meet, box_bits(a, b)).otherwise(0)
+    return both.bitwiseOR(beyond(a, b, bits.ONLY_A)).bitwiseOR(beyond(b, a, bits.ONLY_B)).cast("int")
+
+
 def slice_relations(boxes: DataFrame) -> DataFrame:
     """(set_id, roi_a, roi_b, z, bits, relation) of every pair on every slice."""
     a, b = boxes.alias("a"), boxes.alias("b")

@@ -35,6 +35,12 @@ def name_kept(name: Column, include: list[str] | None = None, exclude: list[str]
     return kept & ~any_of(exclude) if exclude else kept
 
 
+#: Fields that rules can look at, what rules do, and words for true and false.
+FIELDS = ("Structure ID", "Structure Name", "DICOM Type", "Code", "Coding Scheme", "Code Meaning", "ROI Physical Property", "Density", "Contour Count", "Has Contours", "Generation Method", "Generation Description")
+ACTIONS = ("exclude", "hide", "include", "display")
+TRUE, FALSE = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rule: state changes (include, exclude, display, hide) where a field matches."""
@@ -47,25 +53,53 @@ class Rule:
     case_sensitive: bool = False
     enabled: bool = True
     also: Rule | None = None
+    description: str = ""
 
+    @property
+    def reason(self) -> str:
+        shown = lambda r: f"{r.field} {r.match_type} {r.value if isinstance(r.value, str) else json.dumps(list(r.value), ensure_ascii=False)}"
+        return shown(self) + (f"; with {shown(self.also)}" if self.also else "")
 
-def from_json(text: str) -> dict:
-    """Arguments of :func:`report` from a JSON file: ``rules`` with id, action, field,
-    match_type, value (a list for structure lists), case_sensitive, enabled and a companion
-    rule ``with``, in file order, and what holds where no rule does."""
-    raw = json.loads(text)
-
-    def one(x: dict) -> Rule:
-        value = x.get("value", "")
-        also = one(x["with"]) if x.get("with") else None
-        return Rule(str(x.get("id", "")), x.get("action", ""), x.get("field", ""), x.get("match_type", "").replace("_", " "), tuple(value) if isinstance(value, list) else value, bool(x.get("case_sensitive", False)), bool(x.get("enabled", True)), also)
 
-    return {"rules": [one(x) for x in raw.get("rules", [])], "default": "include" if raw.get("include by default") else "exclude", "displayed": bool(raw.get("display by default", True))}
+def truth(value: object, default: bool) -> bool:
+    """A truth value of a file: a word for one, else the default."""
+    if isinstance(value, bool):
+        return value
+    word = str("" if value is None else value).strip().lower()
+    return word in TRUE or (word not in FALSE and default)
 
 
-def matches(rule: Rule) -> Column:
+def from_json(text: str) -> dict:
+    """Arguments of :func:`report` from a JSON file: ``rules`` in file order and what holds
+    where no rule does. A rule has id (else rule_n), action (else exclude), field, match_type
+    or match, value or pattern (a list for structure lists), case_sensitive, enabled,
+    description and a companion ``with``. Without defaults of their own, structures are included
+    and displayed. Entries that are no rules, and unknown actions, are left out."""
+    raw = json.loads(text)
+    raw = raw if isinstance(raw, dict) else {}
+    words = lambda x: "" if x is None else str(x).strip()
+    first = lambda x, *names: next((x[n] for n in names if n in x), None)
+
+    def one(x: dict, k: int) -> Rule:
+        value = first(x, "value", "pattern")
+        also = one(x["with"], k) if isinstance(x.get("with"), dict) else None
+        if x.get("with") is not None and also is None:
+            also = Rule("", "", "", "", "")  # a companion that is no object never holds
+        return Rule(
+            words(x.get("id")) or f"rule_{k}", words(x.get("action", "exclude")).lower(), words(x.get("field")), words(first(x, "match_type", "match")).lower().replace("_", " "),
+            tuple(words(v) for v in value if words(v)) if isinstance(value, list) else words(value), bool(x.get("case_sensitive", False)), truth(x.get("enabled", True), True), also, words(x.get("description")),
+        )
+
+    found = raw.get("rules", [])
+    rules = [one(x, k) for k, x in enumerate(found if isinstance(found, list) else [], 1) if isinstance(x, dict)]
+    return {"rules": [r for r in rules if r.action in ACTIONS], "default": "include" if truth(first(raw, "include by default", "include_by_default"), True) else "exclude", "displayed": truth(first(raw, "display by default", "display_by_default"), True)}
+
+
+def matches(rule: Rule, columns: list[str]) -> Column:
     """Regular expression, exact, prefix, suffix, or a case-sensitive structure list, which
-    counts for the field Structure ID only."""
+    counts for the field Structure ID only. A field that the rows lack never matches."""
+    if rule.field not in columns:
+        return F.lit(False)
     x = F.coalesce(F.col(f"`{rule.field}`").cast("string"), F.lit(""))
     if rule.match_type == "structure list":
         hit = x.isin(*rule.value) if rule.field == "Structure ID" and not isinstance(rule.value, str) else F.lit(False)
@@ -77,25 +111,36 @@ def matches(rule: Rule) -> Column:
         v = F.lit(rule.value if rule.case_sensitive else rule.value.lower())
         y = x if rule.case_sensitive else F.lower(x)
         hit = {"exact": y == v, "prefix": y.startswith(v), "suffix": y.endswith(v)}.get(rule.match_type, F.lit(False))
-    return hit & matches(rule.also) if rule.also else hit
+    return hit & matches(rule.also, columns) if rule.also and rule.match_type != "structure list" else hit
+
+
+_ENTRY = ("id", "action", "description", "field", "match_type", "value", "reason")
+
+
+def _entry(rule: Rule) -> Column:
+    """What a report says of a rule that matched."""
+    value = rule.value if isinstance(rule.value, str) else json.dumps(list(rule.value), ensure_ascii=False)
+    said = (rule.id, rule.action, rule.description or rule.id, rule.field, rule.match_type, value, rule.reason)
+    return F.struct(*[F.lit(x).alias(n) for n, x in zip(_ENTRY, said, strict=True)])
 
 
-def report(rows: DataFrame, rules: list[Rule], default: str = "exclude", displayed: bool = True) -> DataFrame:
-    """``rows`` with SelectedByDefault, DisplayedByDefault, IsFiltered, IsHidden,
-    MatchedRules, FinalMatch and FilterReason. The last matching rule of a state wins."""
+def report(rows: DataFrame, rules: list[Rule], default: str = "include", displayed: bool = True) -> DataFrame:
+    """``rows`` with SelectedByDefault, DisplayedByDefault, IsFiltered, IsHidden, MatchedRules
+    (an entry for each rule that holds, in order), FinalMatch (the last of these) and
+    FilterReason (its reason, empty without one). The last matching rule of a state wins."""
     used = [r for r in rules if r.enabled]
     selected, displayed = F.lit(default == "include"), F.lit(displayed)
     for r in used:
-        hit = matches(r)
+        hit = matches(r, rows.columns)
         if r.action in ("include", "exclude"):
             selected = F.when(hit, F.lit(r.action == "include")).otherwise(selected)
         elif r.action in ("display", "hide"):
             displayed = F.when(hit, F.lit(r.action == "display")).otherwise(displayed)
-    found = F.array_compact(F.array(*[F.when(matches(r), F.lit(r.id)) for r in used])) if used else F.array().cast("array<string>")
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in _ENTRY) + ">>")
+    found = F.array_compact(F.array(*[F.when(matches(r, rows.columns), _entry(r)) for r in used])) if used else none
     out = rows.withColumns({"SelectedByDefault": selected, "DisplayedByDefault": displayed, "MatchedRules": found})
     final = F.try_element_at("MatchedRules", F.lit(-1))
-    reason = F.when(final.isNull(), F.concat(F.lit("default: "), F.lit(default))).otherwise(F.concat(F.lit("rule: "), final))
-    return out.withColumns({"IsFiltered": ~F.col("SelectedByDefault"), "IsHidden": ~F.col("DisplayedByDefault"), "FinalMatch": final, "FilterReason": reason})
+    return out.withColumns({"IsFiltered": ~F.col("SelectedByDefault"), "IsHidden": ~F.col("DisplayedByDefault"), "FinalMatch": final, "FilterReason": F.coalesce(final["reason"], F.lit(""))})
 
 
 def preview(reported: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ lb AS (SELECT set_id, roi_a, roi_b, wh.relation, pairs, kinds, summary, CASE WHE
 RULE_SQL = """
 m AS (SELECT p_partkey AS roi, lower(p_type) LIKE '%romo' AS r1, lower(p_type) LIKE 'standard%' AS r2, regexp_matches(p_type, '(?i)small|MEDIUM') AS r3,
   lower(p_brand) = 'brand#12' AND regexp_matches(p_type, '(?i)large') AS r4 FROM part),
-rep AS (SELECT roi, CASE WHEN r2 THEN false WHEN r1 THEN true ELSE false END AS selected, CASE WHEN r4 THEN true WHEN r3 THEN false ELSE true END AS displayed,
+rep AS (SELECT roi, CASE WHEN r2 THEN false ELSE true END AS selected, CASE WHEN r4 THEN true WHEN r3 THEN false ELSE true END AS displayed,
   concat_ws(',', CASE WHEN r1 THEN 'promo' END, CASE WHEN r2 THEN 'standard' END, CASE WHEN r3 THEN 'small' END, CASE WHEN r4 THEN 'shown' END) AS matched,
   CASE WHEN r4 THEN 'shown' WHEN r3 THEN 'small' WHEN r2 THEN 'standard' WHEN r1 THEN 'promo' END AS final FROM m)"""
 
@@ -200,7 +200,7 @@ p AS (SELECT set_id, roi, (lead(z) OVER w - z) * (lead(area) OVER w + area) / 2.
     "structure_summary": f"""WITH {B1}, a AS (SELECT set_id, roi, z, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM b1),
 p AS (SELECT set_id, roi, z, (lead(z) OVER w - z) * (lead(area) OVER w + area) / 2.0 AS part FROM a WINDOW w AS (PARTITION BY set_id, roi ORDER BY z))
 SELECT set_id, roi, coalesce(sum(part), 0.0) AS volume, count(*) AS num_contours, count(DISTINCT z) AS num_slices, min(z) || ' to ' || max(z) AS slice_range FROM p GROUP BY 1, 2""",
-    "filter_rule_report": f"WITH {RULE_SQL} SELECT *, CASE WHEN final IS NULL THEN 'default: exclude' ELSE 'rule: ' || final END AS reason FROM rep",
+    "filter_rule_report": f"WITH {RULE_SQL} SELECT *, CASE final WHEN 'promo' THEN 'DICOM Type suffix romo' WHEN 'standard' THEN 'DICOM Type prefix standard' WHEN 'small' THEN 'DICOM Type regex small|MEDIUM' WHEN 'shown' THEN 'Brand exact BRAND#12; with DICOM Type regex large' ELSE '' END AS reason FROM rep",
     "filter_preview": f"WITH {RULE_SQL} SELECT count(*) FILTER (final IS NOT NULL) AS matched, count(*) FILTER (selected) AS selected, count(*) FILTER (NOT displayed) AS hidden FROM rep",
     "filter_excluded": f"WITH {RULE_SQL} SELECT roi FROM rep WHERE selected",
     "include_exclude_names": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m]') AND NOT regexp_matches(p_name, 'green|z$')",

@@ -13,7 +13,7 @@ from slicetopo.operators import boxes as B
 from slicetopo.operators import filters, labels, logical, metrics, report, slices, structures
 from slicetopo.plans import definitions as D
 from slicetopo.sources import generators as G
-from slicetopo.sources import rtstruct
+from slicetopo.sources import images, rtstruct
 
 
 def one(spark, **columns):
@@ -50,7 +50,7 @@ def test_scalars(spark):
     got = one(spark, r=scalars.round_value(F.lit(0.125), 0.01), z=scalars.round_value(F.lit(1.2345), 0), u=scalars.round_one_up(F.lit(-0.034)), k=scalars.slice_key(F.lit(1.23456)), area=scalars.ring_area(ring), c=scalars.ring_centroid(ring), b=scalars.ring_bounds(ring), y=scalars.truthy(F.lit(" Yes ")), n=scalars.truthy(F.lit(None)), rgba=scalars.hex_to_rgba(F.lit("#ff8000"), 0.5), hex=scalars.rgb_to_hex(F.lit(255), F.lit(0), F.lit(16)), first=scalars.first_filled(F.lit(" "), F.lit("x")), j=scalars.joined("-", F.lit("a"), F.lit(""), F.lit("b")), label=scalars.slice_label(F.lit(1.5)), syn=scalars.fold_synonyms(F.lit("LUNG"), ["lung"], "Lungs"), flo=scalars.floor_ring(ring, 0.5))
     assert (got.r, got.z, got.u, got.k) == (0.125, 1.2345, -0.04, 12346)
     assert got.area == 8 and (got.c.x, got.c.y) == (1, 1) and tuple(got.b) == (-1, 0, 3, 2) and got.y and not got.n
-    assert got.rgba == "rgba(255, 128, 0, 0.5)" and got.hex == "#ff0010" and got.first == "x" and got.j == "a-b" and got.label == "1.5000" and got.syn == "Lungs"
+    assert got.rgba == "rgba(255, 128, 0, 0.500)" and got.hex == "#ff0010" and got.first == "x" and got.j == "a-b" and got.label == "1.5000" and got.syn == "Lungs"
     with pytest.raises(ValueError):
         scalars.round_value(F.lit(1.0), -1)
     with pytest.raises(ValueError):
@@ -62,7 +62,9 @@ def test_names(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [tuple(r) for r in df.select(naming.side_tag(F.col("n")), naming.variant_group(F.col("n")), naming.dose_group(F.col("n"))).collect()]
     assert got == [("L", None, None), ("", "PTV 60", None), ("", None, "PTV60"), ("", "Bladder", None), ("", None, None), ("", None, None)]
-    doses = {"6000": "6000", "60Gy": "6000", "50p4Gy": "5040", "2Gyx30": "6000", "what": "what"}
+    assert [one(spark, c=scalars.hex_to_rgba(F.lit(c))).c for c in ("#102030", "#abc", "red")] == ["rgba(16, 32, 48, 1.000)", "abc", "red"]
+    doses = {"6000": "6000", "60Gy": "6000", "50p4Gy": "5040", "2Gyx30": "6000", "what": "what", "10x5": "50", "50.4": "50.4", "60gy": "60gy", "60 cGy": "60 cGy", "1.8Gyx28": "5040", "50x": "50x", "200x0": "200", "12xa": "12xa", "": "", ".5Gy": "50"}
+    assert [one(spark, c=naming.dose_fractions(F.lit(d))).c for d in ("2Gyx30", "6000", "12xa")] == [30, None, None]
     assert {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in doses], "n string").select("n", naming.dose_to_cgy(F.col("n"))).collect()} == doses
     assert one(spark, s=naming.swap_ab(F.lit("A is in B, A and B"))).s == "B is in A, A and B"
     assert one(spark, s=naming.strip_upload_prefix(F.lit("upload_01234567-89ab-cdef-0123-456789abcdef_plan.dcm"))).s == "plan.dcm"
@@ -74,9 +76,16 @@ def test_filters(spark):
     rows = spark.createDataFrame([(1, "PTV 60", "PTV"), (2, "zHelp", "CONTROL"), (3, "Heart", "ORGAN")], "roi int, `Structure ID` string, `DICOM Type` string")
     R = filters.Rule
     rules = [R("all", "include", "DICOM Type", "regex", ".+"), R("z", "exclude", "Structure ID", "prefix", "Z"), R("h", "hide", "Structure ID", "exact", "heart", case_sensitive=True), R("bad", "exclude", "Structure ID", "regex", "("), R("list", "hide", "Structure ID", "structure list", ("PTV 60",)), R("other", "hide", "DICOM Type", "structure list", ("ORGAN",)), R("none", "exclude", "Structure ID", "exact", "")]
-    got = {r.roi: (r.SelectedByDefault, r.DisplayedByDefault, r.MatchedRules, r.FinalMatch) for r in filters.report(rows, rules).collect()}
+    got = {r.roi: (r.SelectedByDefault, r.DisplayedByDefault, [m.id for m in r.MatchedRules], r.FinalMatch.id) for r in filters.report(rows, rules).collect()}
     assert got == {1: (True, False, ["all", "list"], "list"), 2: (False, True, ["all", "z"], "z"), 3: (True, True, ["all"], "all")}
     assert tuple(filters.preview(filters.report(rows, rules)).first()) == (3, 2, 1)
+    told = filters.from_json('{"rules": [{}, {"match": "prefix", "pattern": "z", "field": "Structure ID", "description": "helpers", "enabled": "yes"}, {"action": "hide", "match": "exact", "value": "Heart", "field": "Structure ID", "with": {"field": "DICOM Type", "match": "exact", "value": "ORGAN"}}, {"action": "drop", "field": "Structure ID"}, {"id": "off", "enabled": "false", "field": "Structure ID", "match": "regex", "value": "."}, {"field": "nothing", "match": "regex", "value": "."}, 5, {"field": "Structure ID", "match": "exact", "value": "Heart", "with": "x"}]}')
+    assert [r.id for r in told["rules"]] == ["rule_1", "rule_2", "rule_3", "off", "rule_6", "rule_8"] and [r.enabled for r in told["rules"]][3] is False
+    got = {r.roi: r for r in filters.report(rows, **told).collect()}
+    assert (got[1].IsFiltered, got[1].MatchedRules, got[1].FinalMatch, got[1].FilterReason) == (False, [], None, "")
+    assert got[2].IsFiltered and got[2].FinalMatch.asDict() == {"id": "rule_2", "action": "exclude", "description": "helpers", "field": "Structure ID", "match_type": "prefix", "value": "z", "reason": "Structure ID prefix z"}
+    assert (got[3].IsFiltered, got[3].IsHidden, got[3].FilterReason) == (False, True, "Structure ID exact Heart; with DICOM Type exact ORGAN")
+    assert filters.from_json('{"include by default": "false", "display by default": "off"}') == {"rules": [], "default": "exclude", "displayed": False}
     assert [r.roi for r in rows.where(filters.name_kept(F.col("Structure ID"), ["PTV", "Heart", "(("], ["Hea"])).collect()] == [1]
 
 
@@ -210,7 +219,8 @@ def test_metrics(spark):
     m = metrics.calculate("minimum_margin", cut, rel).where("set_id = 'in'").first()
     assert (m.x_plus, m.x_minus, m.y_plus, m.y_minus, m.minimum) == (1.0, 1.0, 1.0, 1.0, 1.0) and m.maximum == 1.41
     dice = {r.set_id: r.dice for r in metrics.calculate("volume_overlap", cut, rel).collect()}
-    assert abs(dice["mix"] - 0.5) < 1e-6 and abs(dice["in"] - 0.4) < 1e-6
+    # All slices of each count: 5 of 16 and 3 of 4, of which 3 of 4 are common.
+    assert abs(dice["mix"] - 0.5) < 1e-6 and abs(dice["in"] - 24 / 92) < 1e-6
     with pytest.raises(KeyError):
         metrics.calculate("nothing", cut, rel)
     with pytest.raises(ValueError):
@@ -241,7 +251,7 @@ def test_structure_set_files(spark, tmp_path):
     (tmp_path / "upload_plan.dcm").write_bytes(b"\0" * 128 + b"DICM" + head + data)
     (tmp_path / "other.dcm").write_bytes(b"nothing")
     got = rtstruct.contours(spark, str(tmp_path)).collect()
-    assert [(r.set_id, r.roi, r.z, len(r.points), r.points[1].x) for r in got] == [("Plan", 1, 2.5, 4, 4.0)]
+    assert [(r.set_id == r.path, r.label, r.roi, r.z, len(r.points), r.points[1].x) for r in got] == [(True, "Plan", 1, 2.5, 4, 4.0)]
     sets = rtstruct.structure_sets(spark, str(tmp_path)).collect()
     assert [(r.last_name, r.label, r.file) for r in sets] == [("Doe", "Plan", "plan.dcm")]
     assert [r.relative_path for r in sets] == ["upload_plan.dcm"]
@@ -295,9 +305,9 @@ def test_image_files(spark, tmp_path):
 
     for row in (("a.dcm", b"CT", b"P1", b"9.9\0"), ("b.dcm", b"MR", b"P1", b"8.8\0"), ("c.dcm", b"CT", b"P2", b"8.8\0"), ("d.dcm", b"RTSTRUCT", b"P1", b"8.8\0")):
         file(*row)
-    got = rtstruct.image_files(spark, str(tmp_path), "P1", frame="8.8").collect()
+    got = images.image_files(spark, str(tmp_path), "P1", frame="8.8").collect()
     assert [(r.path.rsplit("/", 1)[1], r.matches_frame) for r in got] == [("b.dcm", True), ("a.dcm", False)]
-    assert rtstruct.image_files(spark, str(tmp_path), "P1", study_uid="7").count() == 0
+    assert images.image_files(spark, str(tmp_path), "P1", study_uid="7").count() == 0
 
 
 def test_region_relations(spark):
