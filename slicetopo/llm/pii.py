@@ -1,9 +1,12 @@
 """Operator 9, personal data: detected entities get keyed surrogates of their type.
 
-One regular expression finds e-mail addresses, secrets, IP addresses, account, card and
-phone numbers, and names after a form of address. A mention is taken apart into bare
-entities: the digits of a number without its separators, an address in lower case, the
-given and the family name without the form of address. Every bare entity of the corpus gets
+One regular expression finds e-mail addresses, secrets (keys of services, values after words
+such as ``password=``, private key blocks), IP addresses, account, card and phone numbers,
+and names after a form of address: up to four parts with initials, particles, apostrophes
+and capitals. A mention is taken apart into bare entities: the digits of a number without its
+separators, an address in lower case, the given and family names without the form of
+address. What such a name is called elsewhere in its text, without a form of address, is
+replaced as well. Every bare entity of the corpus gets
 one surrogate everywhere (coreference), drawn from a keyed digest, and each mention is
 written with it in the mention's own format. So ``Mr Smith`` and ``Mr. Smith``, or a number
 with spaces and with hyphens, stay the same person and the same number.
@@ -12,7 +15,7 @@ A surrogate keeps type, script, gender and format: digits stay digits and letter
 of their script, a card number keeps its check sum and an account number a valid one, a
 phone number keeps its country code, an octet its range, a reserved domain stays what it is,
 a given name after a female or male form of address becomes a name of that gender in its
-script. Surrogates are checked against each other and against all entities of the corpus;
+script, and a family name keeps its length and an ending that tells gender. Surrogates are checked against each other and against all entities of the corpus;
 those that collide are drawn again until none does (distinctness). Formats of a fixed length
 are drawn from their own space; if that is full, the job fails and says so.
 
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from .common import cut, drop, salted_join
 
 #: Forms of address by gender.
-FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sra", "Srta", "Signora", "Г-жа", "Госпожа", "Κα", "Κυρία")
-MALE = ("Mr", "Herr", "Sr", "Signor", "Г-н", "Господин", "Κος", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sra", "Srta", "Señora", "Señorita", "Signora", "Г-жа", "Госпожа", "Κα", "Κυρία")
+MALE = ("Mr", "Herr", "Sr", "Señor", "Signor", "Г-н", "Господин", "Κος", "Κύριος")
 OPEN = ("Dr", "Prof")
 #: Beginnings that all forms of address have.
-BEGINNINGS = ("Mr", "Ms", "Miss", "Mme", "Mlle", "Frau", "Sr", "Signor", "Г-", "Госп", "Κ", "Herr", "Dr", "Prof")
+BEGINNINGS = ("Mr", "MR", "Ms", "MS", "Mis", "MIS", "Mme", "Mlle", "Frau", "FRAU", "Sr", "Señor", "Signor", "Г-", "Госп", "Κ", "Herr", "HERR", "Dr", "DR", "Prof", "PROF")
+#: Particles of names, and words before the values of secrets.
+PARTICLES = ("von", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "bin", "al", "el", "af", "av")
+SECRET_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "api[_\\-]?key", "access[_\\-]?key", "secret[_\\-]?key", "auth[_\\-]?token", "access[_\\-]?token", "token")
 #: Surrogate given names by gender and script.
 NAMES = {
     ("f", "latin"): ("Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Julia", "Karla", "Laura", "Marta", "Nora", "Olga", "Paula"),
@@ -47,20 +53,32 @@ SYLLABLES = {"latin": ("la", "ri", "mo", "ne", "ta", "vi", "do", "su"), "cyrilli
 ENDINGS = {("f", "latin"): "na", ("m", "latin"): "n", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("f", "greek"): "να", ("m", "greek"): "νος"}
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 DIGITS, HEX = "0123456789", "abcdef"
-_TITLE = "|".join((*FEMALE, *MALE, *OPEN))
+#: Consonants and vowels of family names, and the endings that they keep, which
+#: tell gender in some languages.
+SOUNDS = {"latin": ("bdfghklmnprstvwz", "aeiou"), "cyrillic": ("бвгдзклмнпрстфх", "аеиоу"), "greek": ("βγδζκλμνπρστφχ", "αεηιου")}
+KEPT = {"latin": "(?:son|sen|mann|ez|ini|ova|ska|ski)$", "cyrillic": "(?:ова|ева|ёва|ина|ая|ов|ев|ёв|ин|ий|ый|ой)$", "greek": "(?:ου|ης|ος|ας)$"}
+_TITLE = "|".join(sorted({x for t in (*FEMALE, *MALE, *OPEN) for x in ((t, t.upper()) if t.isascii() else (t,))}, key=lambda t: (-len(t), t)))
+#: A part of a name: with an apostrophe, a second capital or hyphens, or in capitals; initials
+#: and particles stand before one.
+_PART = r"(?:(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)*|\p{Lu}{2,}(?:['’\-]\p{Lu}{2,})*)"
+_PARTICLE, _INITIAL = "(?:(?:" + "|".join(PARTICLES) + ")[ ])", r"\p{Lu}\."
+_PEM = "PRIVATE KEY(?: BLOCK)?-----"
+_SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})[\"']?[ ]?(?:=|:(?=[ \"']{{0,2}}[^\s\"',;<>]*[0-9]))[ ]?[\"']?"
 #: How keys of services begin.
 _TOKEN = r"AKIA|ASIA|sk-|gh[pousr]_|xox[abprs]-|eyJ"
 #: In this order. All begin after a character that is no letter and no digit.
 KINDS = {
+    "pem": rf"-----BEGIN [A-Z ]*{_PEM}[A-Za-z0-9+/=\s:,.\-]*?-----END [A-Z ]*{_PEM}",
+    "secret": rf"{_SECRET}[^\s\"',;<>&]{{6,}}",
     "email": r"[\p{L}\p{N}_%+.\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "hex": r"(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])",
     "token": rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|sk-[A-Za-z0-9_\-]{{16,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|xox[abprs]-[A-Za-z0-9\-]{{10,}}|eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}})(?![A-Za-z0-9])",
-    "ip6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
+    "ip6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<!\.)(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<!\+)\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<!-)[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![.\-])[0-9]{4}(?:[ \-]?[0-9]{4}){2}(?:[ \-]?[0-9]{1,7})(?![0-9A-Za-z\-])|(?<![.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "name": rf"(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}+)(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
+    "phone": r"(?<!\+)\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<!-)[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])|(?<![.\-/])(?=0(?:[ \-/]?[0-9]){8,12}(?![0-9]))0[0-9]{1,4}(?:[ \-/][0-9]{2,8}){1,4}(?![0-9\-/])",
+    "card": r"(?<![.\-])[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![0-9A-Za-z\-])|(?<![.\-])[0-9]{4}(?:[ \-]?[0-9]{4}){2}(?:[ \-]?[0-9]{1,7})(?![0-9A-Za-z\-])|(?<![.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
+    "name": rf"(?:{_TITLE})\.?[ ]{_PARTICLE}*(?:(?:{_INITIAL}|{_PART})[ ]{_PARTICLE}*){{0,3}}{_PART}(?![\p{{L}}])",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{x})" for x in KINDS.values()) + ")"
 
@@ -68,8 +86,8 @@ PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{x})" for x in KINDS.values())
 def hinted(text: Column) -> Column:
     """What every text with an entity fulfils; cheap tests before the pattern: a digit, a sign
     of an address, or the beginning of a form of address or of a key. False for null."""
-    hint = text.rlike("[0-9@]")
-    for mark in (*BEGINNINGS, "sk-", "xox", "eyJ"):
+    hint = text.rlike("[0-9@=]")
+    for mark in (*BEGINNINGS, "sk-", "xox", "eyJ", "-----BEGIN"):
         hint = hint | text.contains(mark)
     return F.coalesce(hint, F.lit(False))
 
@@ -81,11 +99,12 @@ def found(text: Column) -> Column:
 
 def kind_of(mention: Column) -> Column:
     """The type of a mention that :func:`found` gave."""
-    m = F.when(mention.contains("@"), "email")
+    m = F.when(mention.startswith("-----BEGIN"), "pem").when(mention.rlike(rf"^{_SECRET}"), "secret").when(mention.contains("@"), "email")
     m = m.when(mention.rlike(r"^[A-Fa-f0-9]{32,64}$") & mention.rlike("[0-9]"), "hex")
     m = m.when(mention.rlike(rf"^(?:{_TOKEN})"), "token").when(mention.contains(":"), "ip6")
     m = m.when(mention.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(mention.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
-    m = m.when(mention.rlike(r"^[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}"), "card").when(mention.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "number")
+    m = m.when(mention.rlike(r"^0[0-9]{1,4}[ \-/]") & ~mention.rlike(r"^[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}"), "phone")
+    m = m.when(mention.rlike(r"^[0-9]{4}(?:[ \-]?[0-9]{4}[ \-]?[0-9]{4}|[ \-][0-9]{6}[ \-][0-9]{5}$)"), "card").when(mention.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "number")
     return m.when(mention.rlike(r"^[+(0-9]"), "phone").otherwise("name")
 
 
@@ -97,19 +116,29 @@ def bare(text: Column) -> Column:
 _TITLED = rf"^(?:{_TITLE})\.?[ ]"
 
 
+def parts_of(mention: Column) -> Column:
+    """The words after a form of address."""
+    return F.split(F.regexp_replace(mention, _TITLED, ""), " ")
+
+
+def is_name(part: Column) -> Column:
+    """Whether a word is a name, not a particle or an initial."""
+    return ~part.isin(*PARTICLES) & ~part.rlike(rf"^{_INITIAL}$")
+
+
 def atoms(mention: Column, kind: Column) -> Column:
-    """The bare entities of a mention, as an array of (kind, norm, gender): one, or a given
-    and a family name. A single name is a family name."""
+    """The bare entities of a mention, as an array of (kind, norm, gender): one, or given
+    names and a family name, which is the last. A single name is a family name."""
     one = lambda k, n, g=F.lit(None).cast("string"): F.struct(k.alias("kind"), n.alias("norm"), g.alias("gender"))
     low = F.lower(mention)
     # Numbers without a country code have the formats of code 1.
     phone = F.concat(F.when(mention.startswith("+"), "").otherwise("1"), bare(mention))
-    norm = F.when(kind.isin("email", "hex", "ip6"), low).when(kind == "phone", phone).when(kind.isin("iban", "card", "number"), bare(mention)).otherwise(mention)
-    title = F.regexp_replace(F.regexp_extract(mention, _TITLED, 0), r"[. ]", "")
-    who = F.lower(F.regexp_replace(mention, _TITLED, ""))
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
-    family = F.element_at(F.split(who, " "), -1)
-    names = F.when(who.contains(" "), F.array(one(F.lit("given"), F.substring_index(who, " ", 1), gender), one(F.lit("family"), family))).otherwise(F.array(one(F.lit("family"), family)))
+    norm = F.when(kind.isin("email", "hex", "ip6"), low).when(kind == "phone", phone).when(kind.isin("iban", "card", "number"), bare(mention)).when(kind == "secret", F.regexp_replace(mention, rf"^{_SECRET}", "")).otherwise(mention)
+    title = F.lower(F.regexp_replace(F.regexp_extract(mention, _TITLED, 0), r"[. ]", ""))
+    gender = F.when(title.isin(*map(str.lower, FEMALE)), "f").when(title.isin(*map(str.lower, MALE)), "m")
+    own = F.filter(parts_of(mention), is_name)
+    last = F.size(own) - 1
+    names = F.transform(own, lambda x, i: one(F.when(i == last, "family").otherwise("given"), F.lower(x), F.when(i < last, gender)))
     return F.when(kind == "name", names).otherwise(F.array(one(kind, norm)))
 
 
@@ -182,7 +211,11 @@ def surrogate(norm: Column, kind: Column, gender: Column, attempt: Column, key:
     country = F.substr(norm, F.lit(1), F.lit(2))
     check = F.lpad((98 - mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
     lead = country_code(norm)
-    phone = F.concat(lead, _chars(F.substr(norm, F.length(lead) + 1), salted))
+    local = F.substr(norm, F.length(lead) + 1)
+    phone = F.concat(lead, F.when(local.startswith("0"), F.concat(F.lit("0"), _chars(F.substr(local, F.lit(2)), salted))).otherwise(_chars(local, salted)))
+    fence = F.regexp_extract(norm, rf"^(-----BEGIN [A-Z ]*{_PEM})", 1)
+    foot = F.regexp_extract(norm, rf"(-----END [A-Z ]*{_PEM})$", 1)
+    pem = F.concat(fence, _chars(F.substr(norm, F.length(fence) + 1, F.length(norm) - F.length(fence) - F.length(foot)), salted), foot)
     start = F.regexp_extract(norm, rf"^(?:{_TOKEN})", 0)
     token = F.concat(start, _chars(F.substr(norm, F.length(start) + 1), salted))
     # Given names: a plain one first, longer ones where that is taken.
@@ -192,11 +225,30 @@ def surrogate(norm: Column, kind: Column, gender: Column, attempt: Column, key:
         more = _syllables(SYLLABLES[s], salted, attempt)
         own = _pick(names, salted, F.lit(-1))
         given = F.when((gender == g) & (script == s), F.when(attempt == 0, own).otherwise(F.concat(own, more, F.lit(ENDINGS[g, s])))).otherwise(given)
-    # Family names grow where those of their length are taken.
-    grown = F.concat(plain, F.when(attempt > 3, _chars(F.array_join(F.array_repeat(F.substr(norm, F.length(norm), F.lit(1)), attempt - 3), ""), F.concat(salted, F.lit("m")))).otherwise(""))
     made = F.when(kind == "email", email).when(kind.isin("hex", "ip6"), _chars(norm, salted, True)).when(kind == "token", token).when(kind == "ip", ip)
-    made = made.when(kind == "iban", F.concat(country, check, rest)).when(kind == "card", card).when(kind == "number", plain).when(kind == "phone", phone)
-    return made.when(kind == "given", F.lower(given)).otherwise(grown)
+    made = made.when(kind == "pem", pem).when(kind == "iban", F.concat(country, check, rest)).when(kind == "card", card).when(kind == "number", plain).when(kind == "phone", phone)
+    return made.when(kind == "given", F.lower(given)).when(kind == "family", family(norm, script, salted, attempt)).otherwise(plain)
+
+
+def family(norm: Column, script: Column, salted: Column, attempt: Column) -> Column:
+    """A family name of as many parts and letters as ``norm`` has: consonants and vowels in
+    turn before the ending, which stays. It grows where those of its length are taken."""
+
+    def sound(hard: str, soft: str, own: Column):
+        return lambda i: F.when(i % 2 == 0, _pick(tuple(hard), own, i)).otherwise(_pick(tuple(soft), own, i))
+
+    def part(p: Column, k: Column) -> Column:
+        own = F.concat(salted, k.cast("string"))
+        before = F.regexp_extract(p, r"^(\p{L}['’])", 1)
+        out = F.lit("")
+        for s, (hard, soft) in SOUNDS.items():
+            end = F.when(F.length(p) > 5, F.regexp_extract(p, KEPT[s], 0)).otherwise("")
+            n = F.greatest(F.length(p) - F.length(before) - F.length(end), F.lit(1)) + 2 * F.greatest(attempt - 3, F.lit(0))
+            sounds = F.transform(F.sequence(F.lit(0), n - 1), sound(hard, soft, own))
+            out = F.when(script == s, F.concat(F.array_join(sounds, ""), end)).otherwise(out)
+        return F.concat(F.when(before != "", _chars(before, own)).otherwise(""), out)
+
+    return F.array_join(F.transform(F.split(norm, "-"), part), "-")
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
@@ -226,8 +278,20 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no free surrogates left for kinds {full}")
 
 
-def written(mention: Column, kind: Column, made: Column) -> Column:
-    """A mention with its surrogates ``made`` (an array) in its own format."""
+def capital(name: Column) -> Column:
+    """A name with capitals at its start and after hyphens and apostrophes."""
+    pieces = F.split(name, r"(?<=[\-'’])")
+    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))), "")
+
+
+def cased(name: Column, like: Column) -> Column:
+    """A name in capitals, or with capitals at its starts, like another."""
+    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(name)).otherwise(capital(name))
+
+
+def written(mention: Column, kind: Column, made: Column, key: str) -> Column:
+    """A mention with its surrogates ``made`` (an array) in its own format. Particles stay,
+    initials become keyed ones."""
     first = F.element_at(made, 1)
     shout = (mention == F.upper(mention)) & (mention != F.lower(mention))
     # A number's characters come into the places of the mention's, from the right.
@@ -235,14 +299,40 @@ def written(mention: Column, kind: Column, made: Column) -> Column:
     source = F.substr(first, F.length(first) - size + 1)
     place = lambda i: F.length(bare(F.substr(mention, F.lit(1), i + 1)))
     number = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(source, place(i), F.lit(1))).otherwise(c)), "")
-    capital = lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
-    each = F.transform(made, lambda n: F.array_join(F.transform(F.split(n, "-"), capital), "-"))
+    parts = parts_of(mention)
+    turn = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i + 1), is_name)) - 1
+    initial = lambda t: F.concat(F.upper(_chars(F.lower(F.substr(t, F.lit(1), F.lit(1))), F.sha2(F.concat(F.lit(f"{key}\u0001initial\u0001"), t), 256))), F.lit("."))
+    each = F.transform(parts, lambda t, i: F.when(is_name(t), cased(F.get(made, turn(i)), t)).when(t.isin(*PARTICLES), t).otherwise(initial(t)))
     name = F.concat(F.regexp_extract(mention, _TITLED, 0), F.array_join(each, " "))
-    return F.when(kind == "name", name).when(kind.isin("iban", "phone", "card", "number"), number).when(kind.isin("email", "hex", "ip6") & shout, F.upper(first)).otherwise(first)
+    secret = F.concat(F.regexp_extract(mention, rf"^{_SECRET}", 0), first)
+    return F.when(kind == "name", name).when(kind == "secret", secret).when(kind.isin("iban", "phone", "card", "number"), number).when(kind.isin("email", "hex", "ip6") & shout, F.upper(first)).otherwise(first)
+
+
+#: A word that stands for a name, and what stands for it.
+_ALIASES = "array<struct<size:int,word:string,shown:string>>"
+
+
+def aliases(mention: Column, kind: Column, made: Column) -> Column:
+    """The forms in which the names of a mention can stand alone: as they are, with capitals
+    at their starts, and in capitals; (-length, form, surrogate in that form)."""
+    entry = lambda w, s: F.struct((-F.length(w)).alias("size"), w.alias("word"), s.alias("shown"))
+    forms = F.zip_with(F.filter(parts_of(mention), is_name), made, lambda t, m: F.array(entry(t, cased(m, t)), entry(capital(F.lower(t)), capital(m)), entry(F.upper(t), F.upper(m))))
+    return F.when(kind == "name", F.flatten(forms)).otherwise(F.array().cast(_ALIASES))
+
+
+def without_names(text: Column, names: Column) -> Column:
+    """``text`` with the words ``names`` (sorted, the longest first) replaced. Marks of private
+    use stand for them meanwhile, so that no surrogate is taken for a name."""
+    mark = lambda i: F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
+    places = F.sequence(F.lit(0), F.size(names) - 1)
+    pattern = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["word"], F.lit(r"\E(?![\p{L}\p{N}])"))
+    marked = F.aggregate(places, text, lambda t, i: F.regexp_replace(t, pattern(F.get(names, i)), mark(i)))
+    shown = F.aggregate(places, marked, lambda t, i: F.replace(t, mark(i), F.get(names, i)["shown"]))
+    return F.when(F.size(names) > 0, shown).otherwise(text)
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
-    """(mention, shown) for distinct mentions. A given name after a form of address that
+    """(mention, shown, aliases) for distinct mentions. A given name after a form of address that
     tells no gender has the gender that the corpus shows for it, else a keyed one."""
     kinds = mentions.select("mention").withColumn("form", kind_of(F.col("mention")))
     each = cut(kinds.select("mention", "form", F.posexplode(atoms(F.col("mention"), F.col("form"))).alias("pos", "a")).select("mention", "form", "pos", "a.kind", "a.norm", "a.gender"))
@@ -255,7 +345,8 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     counts = each.groupBy("norm", "kind", "gender").agg(F.count("*").alias("n"))
     got = salted_join(each, made, ["norm", "kind", "gender"], counts, ["mention"])
     got = got.groupBy("mention", "form").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
-    return got.select("mention", written(F.col("mention"), F.col("form"), F.col("made")).alias("shown"))
+    m, form, made = F.col("mention"), F.col("form"), F.col("made")
+    return got.select("mention", written(m, form, made, key).alias("shown"), aliases(m, form, made).alias("aliases"))
 
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
@@ -263,7 +354,8 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") ->
 
     ``key`` is the secret on which all surrogates hang; who has it can test guesses. Null and
     empty texts stay, with 0 entities. Equal entities get equal surrogates in all rows, so
-    repeated rows stay equal. An address in capitals stays in capitals. n_chars, where there
+    repeated rows stay equal. An address in capitals stays in capitals. Names that a text has
+    after a form of address are replaced in all of that text, in the forms of :func:`aliases`. n_chars, where there
     is such a column, follows the text. An empty table gives an empty result; further columns
     go through unchanged, but for one named like ``count``, which gives way to it."""
     if not key:
@@ -271,8 +363,8 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") ->
     cols = [c for c in docs.columns if count is None or c.lower() != count.lower()]
     kinds = dict(docs.dtypes)
     own = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(cols)])
-    text = f"_{cols.index('text')}"
-    shown = lambda n: [F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"_{i}").alias(c) for i, c in enumerate(cols)] + ([n.cast("long").alias(count)] if count else [])
+    text = f"_{next(i for i, c in sorted(enumerate(cols), key=lambda x: x[1] != 'text') if c.lower() == 'text')}"
+    shown = lambda n: [F.length(text).cast(kinds[c]).alias(c) if c.lower() == "n_chars" else F.col(f"_{i}").alias(c) for i, c in enumerate(cols)] + ([n.cast("long").alias(count)] if count else [])
     as_they_are = lambda n: [F.col(f"_{i}").alias(c) for i, c in enumerate(cols)] + ([n.cast("long").alias(count)] if count else [])
     maybe = hinted(F.col(text))
     # Rows with mentions, a small part, are numbered and written.
@@ -282,9 +374,11 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") ->
     mentions = cut(each.groupBy("mention").agg(F.count("*").alias("n")))
     table = cut(replacements(mentions, key))
     named = salted_join(each, table, ["mention"], mentions, ["_row", "pos"])
-    named = named.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda p: p["shown"]).alias("_s"))
+    named = named.groupBy("_row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda p: p["shown"]).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("_n")
+    )
     # A text is put together of its pieces with surrogates between them.
-    whole = F.array_join(F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_s"), i), F.lit("")))), "")
+    whole = F.array_join(F.transform("_p", lambda p, i: F.concat(without_names(p, F.col("_n")), F.coalesce(F.get(F.col("_s"), i), F.lit("")))), "")
     done = hit.join(named, "_row").withColumn(text, whole).select(*shown(F.size("_e")))
     clean = own.where(~(maybe & F.coalesce(F.col(text).rlike(PATTERN), F.lit(False)))).select(*as_they_are(F.lit(0)))
     drop(mentions)

@@ -65,8 +65,9 @@ def stems_of(text: str) -> set:
 
 def cues(docs: list[tuple[str, int]]) -> set:
     """Stems that mark toxic documents, from (text, label) pairs: those that chance would
-    hardly put into so many toxic and so few clean documents. Below the strict bar a stem
-    must explain toxic documents that no better one explains. Only stems of three toxic
+    hardly put into so many toxic and so few clean documents. Below the strict bar a whole
+    word must not be in any clean document, and a beginning of words must explain toxic
+    documents that no better one explains. Only stems of three toxic
     documents or more are kept while counting, which bounds the memory."""
     n, pos = len(docs), sum(y for _, y in docs)
     if not pos or pos == n:
@@ -102,7 +103,7 @@ def cues(docs: list[tuple[str, int]]) -> set:
     out = set()
     ranked = sorted(((odds(toxic[x], clean[x]), x) for x in able), key=lambda r: (-r[0], len(r[1]), r[1]))
     for o, x in ranked:
-        if o >= strict or (o >= loose and not clean[x] and len(where[x] & left) >= 3):
+        if o >= strict or (o >= loose and not clean[x] and (x.startswith("=") or len(where[x] & left) >= 3)):
             out.add(x)
             left -= where[x]
     return out
