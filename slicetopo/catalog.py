@@ -90,7 +90,7 @@ def unit_conversions(s, d):
 
 def slice_label_counts(s, d):
     """Relations of slices, and how the kinds are spread over slices."""
-    return B.slice_relations(b1(s, d)).groupBy("z").pivot("relation", ["DISJOINT", "OVERLAPS", "BORDERS", "CONTAINS", "WITHIN"]).agg(F.count(F.lit(1))).fillna(0)
+    return B.slice_relations(b1(s, d)).groupBy("z").pivot("relation", [x.name for x in D.DEFINITIONS]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def slice_label_counts_all(s, d):
@@ -291,22 +291,9 @@ def swapped_text(s, d):
     return B.read(s, d, "part").select("p_partkey", turned.alias("given"), naming.swap_ab(turned).alias("swapped"), naming.strip_upload_prefix(file).alias("file"))
 
 
-def generated_scenes(s, d):
-    """Slices, total area and range of generated volumes."""
-    made = {"cuboid": G.cuboid(s, "cuboid", 1, 4, 6, 4, 0.5), "cylinder": G.vertical_cylinder(s, "cylinder", 1, 2.0, 4, 1), "bar": G.horizontal_cylinder(s, "bar", 1, 2.0, 6, 1), "prism": G.extruded(s, "prism", 1, [(0, 0), (4, 0), (0, 3)], 2, 1)}
-    out = None
-    for one in made.values():
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(F.col("set_id").alias("kind")).agg(F.count("*").alias("n_contours"), F.round(F.sum(scalars.ring_area(F.col("points"))), 4).alias("area"), F.min("z").alias("lo"), F.max("z").alias("hi"))
-
-
-def definition_table(s, d):
-    return D.relation_defs(s).select("relation_type", "label", F.col("symmetric").alias("is_symmetric"), F.col("transitive").alias("is_transitive"), "complement", "mask", "value")
-
-
 def name_grammar(s, d):
     parts = naming.parse_name(F.col("name"), "organ")
-    return _names(s, d).where(F.col("roi") % 3 == 1).select("roi", *[c.alias(k) for k, c in parts.items()])
+    return _names(s, d).select("roi", *[c.alias(k) for k, c in parts.items()])
 
 
 def name_grammar_all(s, d):
@@ -379,7 +366,6 @@ QUERIES = {
     "structure_slice_records": structure_slice_records,
     "structure_table": structure_table,
     "structure_extents": structure_extents,
-    "generated_scenes": generated_scenes,
     "swapped_text": swapped_text,
     "payload_cells": payload_cells,
     "region_relations": region_relations,
@@ -388,7 +374,6 @@ QUERIES = {
     "relation_symbols": relation_symbols,
     "set_payload": set_payload,
     "diagram_edges": diagram_edges,
-    "definition_table": definition_table,
     "name_grammar": name_grammar,
     "name_grammar_all": name_grammar_all,
     "name_order": name_order,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import bits
+from .functions import bits, scalars
 from .operators import boxes as B
-from .operators import interpolation, shapes, structures
+from .operators import interpolation, shapes, structures, tolerance
 from .plans import definitions as D
 from .session import written
 from .sources import frames
+from .sources import generators as G
 
 
 def _flat(*corners: tuple[str, str]):
@@ -19,12 +20,24 @@ def _flat(*corners: tuple[str, str]):
 _box = lambda: _flat(("x1", "y1"), ("x1", "y0"), ("x0", "y0"), ("x0", "y1"))
 
 
-def structure_shapes(s, d):
-    """Polygons of the parts of every pair of boxes of a slice."""
+KEYS = ["set_id", "roi_a", "roi_b", "z"]
+
+
+def _box_pairs(s, d):
+    """Pairs of boxes of a slice, as regions."""
     b = B.slice_boxes(B.read(s, d, "lineitem")).select("set_id", "roi", "z", F.lit("+").alias("ops"), F.array(F.lit(4)).alias("n"), _box().alias("xy"))
     side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).alias(f"{x}_{c}") for c in ("ops", "n", "xy")])
-    keys = ["set_id", "roi_a", "roi_b", "z"]
-    pairs = side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
+    return side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
+
+
+def tolerance_relations(s, d):
+    """Relations of boxes whose boundaries are a unit wide."""
+    return tolerance.relations_within(_box_pairs(s, d), KEYS, 0.5)
+
+
+def structure_shapes(s, d):
+    """Polygons of the parts of every pair of boxes of a slice."""
+    keys, pairs = KEYS, _box_pairs(s, d)
     out = shapes.measures(shapes.overlays(pairs, keys), keys)
     return out.select(*keys, "part", "n_polygons", "n_holes", F.round("area").cast("long").alias("area"))
 
@@ -74,4 +87,28 @@ def frame_shapes(s, d):
     return out.select("set_id", "roi_a", "roi_b", F.expr("zk div 10000").alias("z"), "part", F.round("area").cast("long").alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (structure_shapes, interpolated_boxes, frame_contours, frame_volumes, frame_relations, frame_regions, frame_shapes)}
+def generated_scenes(s, d):
+    """Contours, total area and range of a volume generated for every part: a cuboid, a
+    standing or a lying cylinder, or a prism, in sizes of the part."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    r, h = (1 + size % 4).cast("double"), (1 + k % 5).cast("double")
+    own = B.read(s, d, "part").select("p_partkey", (k % 4).cast("int").alias("k"), r.alias("r"), F.when(k % 4 == 2, 2 * r).otherwise(h).alias("h"))
+    at = own.select("p_partkey", "k", "r", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("h") / 0.5).cast("int")), lambda i: F.round(-F.col("h") / 2 + i * 0.5, 4))).alias("z"))
+    chord = F.greatest(F.round(2 * F.sqrt(F.greatest(F.col("r") * F.col("r") - F.col("z") * F.col("z"), F.lit(0.0))), 2), F.lit(0.01))
+    prism = F.array(*[F.struct((F.lit(x) * F.col("r")).alias("x"), (F.lit(y) * F.col("r")).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (0.0, 3.0))])
+    ring = F.when(F.col("k") == 0, G.box(F.col("r"), 2 * F.col("r"))).when(F.col("k") == 1, G.circle(F.col("r"))).when(F.col("k") == 2, G.box(F.lit(6.0), chord)).otherwise(prism)
+    kind = F.element_at(F.array(*map(F.lit, ("cuboid", "cylinder", "bar", "prism"))), F.col("k") + 1)
+    area = F.round(F.sum(scalars.ring_area(ring)), 3).alias("area")
+    return at.groupBy("p_partkey", kind.alias("kind")).agg(F.count("*").alias("n_contours"), area, F.min("z").alias("lo"), F.max("z").alias("hi"))
+
+
+def definition_table(s, d):
+    """Definitions, and how many pairs of the boxes have each relation, in both directions."""
+    rel = B.pair_relations(B.solid_boxes(B.read(s, d, "supplier")))
+    back = D.classify(bits.transpose(F.col("bits")))
+    n = rel.select(F.explode(F.array("relation", back)).alias("relation_type")).groupBy("relation_type").agg(F.count("*").alias("n"))
+    defs = D.relation_defs(s).select("relation_type", "label", F.col("symmetric").alias("is_symmetric"), F.col("transitive").alias("is_transitive"), "complement", "mask", "value")
+    return defs.join(n, "relation_type", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+QUERIES = {f.__name__: f for f in (tolerance_relations, generated_scenes, definition_table, structure_shapes, interpolated_boxes, frame_contours, frame_volumes, frame_relations, frame_regions, frame_shapes)}

@@ -162,7 +162,7 @@ SELECT set_id, roi_b AS row_roi, roi_a AS col_roi, relation FROM pr UNION ALL SE
     "relation_transpose_check": f"""WITH {PAIR_REL}, c AS (SELECT relation, complement FROM {DEFS})
 SELECT set_id, roi_a, roi_b, CASE complement WHEN '' THEN 'UNKNOWN' ELSE complement END AS reverse, complement, lpad(bin(bits), 27, '0') AS text FROM pr JOIN c USING (relation)""",
     "relation_cumulative": f"WITH {SLICE_REL}, cu AS (SELECT set_id, roi_a, roi_b, z, bit_or(bits) OVER (PARTITION BY set_id, roi_a, roi_b ORDER BY z ROWS UNBOUNDED PRECEDING) AS bits FROM sr) SELECT set_id, roi_a, roi_b, z, {NAME} AS relation FROM cu",
-    "relation_slice_pivot": f"WITH {SLICE_REL} SELECT z, " + ", ".join(f"count(*) FILTER (relation = '{x}') AS \"{x}\"" for x in ("DISJOINT", "OVERLAPS", "BORDERS", "CONTAINS", "WITHIN")) + " FROM sr GROUP BY z",
+    "relation_slice_pivot": f"WITH {SLICE_REL} SELECT z, " + ", ".join(f"count(*) FILTER (relation = '{x}') AS \"{x}\"" for x in NAMES) + " FROM sr GROUP BY z",
     "logical_contains": f"""WITH {PAIR_REL}, e AS (SELECT set_id, roi_a, roi_b FROM pr WHERE relation = 'CONTAINS'),
 t AS (SELECT p.set_id, p.roi_a, q.roi_b, min(p.roi_b) AS via, string_agg(CAST(p.roi_b AS VARCHAR), ',' ORDER BY p.roi_b) AS between_ids FROM e p JOIN e q ON p.set_id = q.set_id AND p.roi_b = q.roi_a GROUP BY 1, 2, 3)
 SELECT e.*, via IS NOT NULL AS is_logical, via, coalesce(between_ids, '') AS intermediates FROM e LEFT JOIN t USING (set_id, roi_a, roi_b)""",
@@ -236,7 +236,8 @@ SELECT set_id, row_roi, col_roi, label, symbol FROM m JOIN l USING (relation)"""
     "payload_cells": f"""WITH {PAIR_REL}, c AS (SELECT relation, CASE complement WHEN '' THEN 'UNKNOWN' ELSE complement END AS complement FROM {DEFS}),
 m AS (SELECT set_id, roi_b AS row_roi, roi_a AS col_roi, relation FROM pr UNION ALL SELECT set_id, roi_a, roi_b, complement FROM pr JOIN c USING (relation) UNION ALL SELECT set_id, roi, roi, 'EQUAL' FROM b2)
 SELECT set_id, row_roi, col_roi, label FROM m JOIN {DEFS} USING (relation)""",
-    "definition_table": f"SELECT relation AS relation_type, label, is_symmetric, is_transitive, complement, mask, value FROM {DEFS}",
+    "definition_table": f"""WITH {PAIR_REL}, t AS (SELECT {NAME} AS relation FROM (SELECT {_TURNED} AS bits FROM pr)), n AS (SELECT relation, count(*) AS n FROM (SELECT relation FROM pr UNION ALL SELECT relation FROM t) GROUP BY 1)
+SELECT d.relation AS relation_type, label, is_symmetric, is_transitive, complement, mask, value, coalesce(n, 0) AS n FROM {DEFS} LEFT JOIN n ON n.relation = d.relation""",
     "structure_contours": f"""WITH {CONTOUR} SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi AS INTEGER) AS roi, CAST(z AS DOUBLE) AS z, CAST(area AS DOUBLE) AS area, false AS is_hole, 'None' AS hole_type,
 roi || 'A' AS region, cap AS is_boundary FROM (SELECT set_id, roi, area, unnest(range(z0, z1 + 1)) AS z, false AS cap FROM cp UNION ALL SELECT set_id, roi, area, lo, true FROM cp UNION ALL SELECT set_id, roi, area, hi, true FROM cp)""",
     "structure_volumes": f"WITH {CONTOUR} SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi AS INTEGER) AS roi, v AS physical, v AS exterior, v AS hull, CAST(1 AS INTEGER) AS num_regions, CAST(place AS INTEGER) AS place FROM pl",
@@ -266,11 +267,13 @@ SELECT CAST(set_id AS VARCHAR) AS set_id, CAST(roi_a AS INTEGER) AS roi_a, CAST(
 format('{{:.4f}}', CAST(z0 AS DOUBLE)) || ' to ' || format('{{:.4f}}', CAST(z1 AS DOUBLE)) AS slice_range, 'structure ' || roi AS name FROM pl""",
     "structure_extents": f"""WITH {CONTOUR} SELECT CAST(set_id AS VARCHAR) AS set_id, round(CASE WHEN e = 0 THEN 0 ELSE ceil(round(e / pow(10, floor(log10(e))), 9)) * pow(10, floor(log10(e))) END, 9) AS resolution
 FROM (SELECT set_id, arg_max(greatest(x1 - x0, y1 - y0), (x1 - x0) * (y1 - y0) * 1000 + greatest(x1 - x0, y1 - y0)) / 1024.0 AS e FROM pl GROUP BY 1)""",
-    "generated_scenes": """WITH g AS (SELECT [{'x': round(2 * sin(2 * pi() * i / 16), 2), 'y': round(2 * cos(2 * pi() * i / 16), 2)} FOR i IN range(0, 17)] AS p)
-SELECT 'cuboid' AS kind, CAST(9 AS BIGINT) AS n_contours, 216.0::DOUBLE AS area, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi
-UNION ALL SELECT 'cylinder', 5, round(5 * abs(list_sum([p[i].x * p[i + 1].y - p[i + 1].x * p[i].y FOR i IN range(1, 17)])) / 2, 4), -2.0, 2.0 FROM g
-UNION ALL SELECT 'bar', 5, round(6 * (2 * 0.01 + 2 * round(2 * sqrt(3.0), 2) + 4), 4), -2.0, 2.0 UNION ALL SELECT 'prism', 3, 18.0, -1.0, 1.0""",
-    "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm WHERE roi % 3 = 1)
+    "generated_scenes": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, CAST(1 + p_size % 4 AS DOUBLE) AS r, CASE p_partkey % 4 WHEN 2 THEN CAST(2 * (1 + p_size % 4) AS DOUBLE) ELSE CAST(1 + p_partkey % 5 AS DOUBLE) END AS h FROM part),
+c AS (SELECT r, [{'x': round(r * sin(2 * pi() * i / 16), 2), 'y': round(r * cos(2 * pi() * i / 16), 2)} FOR i IN range(0, 17)] AS p FROM (SELECT DISTINCT r FROM p)),
+g AS (SELECT r, abs(list_sum([p[i].x * p[i + 1].y - p[i + 1].x * p[i].y FOR i IN range(1, 17)])) / 2 AS disk FROM c),
+z AS (SELECT p.*, disk, unnest([-h / 2 + i * 0.5 FOR i IN range(0, CAST(ceil(h / 0.5) AS INT) + 1)]) AS z FROM p JOIN g USING (r))
+SELECT p_partkey, (['cuboid', 'cylinder', 'bar', 'prism'])[CAST(k + 1 AS INT)] AS kind, count(*) AS n_contours,
+  round(sum(CASE k WHEN 0 THEN 2 * r * r WHEN 1 THEN disk WHEN 2 THEN 6 * greatest(round(2 * sqrt(greatest(r * r - z * z, 0)), 2), 0.01) ELSE 6 * r * r END), 3) AS area, min(z) AS lo, max(z) AS hi FROM z GROUP BY 1, 2""",
+    "name_grammar": f"""WITH {NAMES_SQL}, g AS (SELECT roi, regexp_extract(name, '(?i)^(opt|eval|z|_)?[ _]?([A-Za-z]+?)(?:_([A-Z][a-z]+))?(?:[_ ]([LRB]))?(?:_PRV(\\d{{1,2}})?)?$', ['prefix', 'organ', 'region', 'side', 'margin']) AS p FROM nm)
 SELECT roi, nullif(p.prefix, '') AS prefix, nullif(p.organ, '') AS organ, nullif(p.region, '') AS region, nullif(p.side, '') AS side, nullif(p.margin, '') AS margin FROM g""",
     # DuckDB has no look-ahead, so a target's number is told from its dose in two steps.
     "name_grammar_all": f"""WITH {NAMES_SQL}, g AS (SELECT roi, name,

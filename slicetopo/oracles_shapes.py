@@ -120,8 +120,23 @@ rr AS (SELECT ways.set_id, roi_a, roi_b, p.label AS la, q.label AS lb, ha, hb, {
   FROM ways JOIN rx p ON p.set_id = ways.set_id AND p.roi = roi_a AND p.hs = ha JOIN rx q ON q.set_id = ways.set_id AND q.roi = roi_b AND q.hs = hb AND q.x = p.x AND q.y = p.y GROUP BY ALL)
 SELECT set_id, roi_a, roi_b, roi_a || la AS region_a, roi_b || lb AS region_b, {NAME} AS relation FROM (SELECT set_id, roi_a, roi_b, la, lb, CAST(bit_or(CAST(bits AS INT)) AS INT) AS bits FROM rr GROUP BY ALL)"""
 
+_DIST = lambda p, q, e: f"sqrt(greatest({p}.x0 + {e} - {q}.x1, {q}.x0 - {p}.x1 + {e}, 0) ** 2 + greatest({p}.y0 + {e} - {q}.y1, {q}.y0 - {p}.y1 + {e}, 0) ** 2)"
+_OUT = lambda p, q, e: f"({p}.x0 + {e} < {q}.x0 OR {p}.x1 - {e} > {q}.x1 OR {p}.y0 + {e} < {q}.y0 OR {p}.y1 - {e} > {q}.y1)"
+_CORNER = lambda p, q: f"sqrt(greatest({q}.x0 - {p}.x0 - 0.5, {p}.x1 - 0.5 - {q}.x1, 0) ** 2 + greatest({q}.y0 - {p}.y0 - 0.5, {p}.y1 - 0.5 - {q}.y1, 0) ** 2) > 0.5"
+_IF = lambda test, n: f"CASE WHEN {test} THEN {n} ELSE 0 END"
+#: Boxes of two or more units with boundaries half a unit wide on both sides: cores are boxes,
+#: what is not outside has round corners. A core leaves such a box by a corner; a core has
+#: some of the other's band if it comes near enough and is not within its core.
+TOLERANCE = f"""WITH {B1} SELECT a.set_id, a.roi AS roi_a, b.roi AS roi_b, a.z, CAST(1
+  + {_IF("least(a.x1, b.x1) - greatest(a.x0, b.x0) > 1 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 1", 256)}
+  + {_IF(f"{_DIST('a', 'b', 0.5)} < 0.5 AND {_OUT('a', 'b', 0)}", 128)} + {_IF(_CORNER("a", "b"), 64)}
+  + {_IF(f"{_DIST('b', 'a', 0.5)} < 0.5 AND {_OUT('b', 'a', 0)}", 32)} + {_IF(f"{_DIST('a', 'b', 0)} < 1 AND {_OUT('a', 'b', -1)} AND {_OUT('b', 'a', -1)}", 16)}
+  + {_IF(_OUT("a", "b", 0), 8)} + {_IF(_CORNER("b", "a"), 4)} + {_IF(_OUT("b", "a", 0), 2)} AS INTEGER) AS bits
+FROM b1 a JOIN b1 b ON a.set_id = b.set_id AND a.z = b.z AND a.roi < b.roi"""
+
 ORACLES = {
     "structure_shapes": SHAPES,
+    "tolerance_relations": TOLERANCE,
     "interpolated_boxes": BETWEEN,
     "frame_relations": FRAME_REL + f" SELECT set_id, roi_a, roi_b, relation, {NAME.replace('bits', 'turned')} AS reverse FROM (SELECT *, (bits & {(1 << 27) - 1 - OUT}) | ((bits & {OUT_A}) >> 4) | ((bits & {OUT_B}) << 4) AS turned FROM fr)",
     "frame_volumes": f"WITH {FRAMES} SELECT set_id, roi, physical, exterior, hull, CAST(CASE WHEN island IS NULL AND second IS NULL THEN 1 ELSE 2 END AS INT) AS num_regions, CAST(place AS INT) AS place FROM pl",

@@ -104,3 +104,19 @@ def test_frames_have_holes_islands_and_regions(spark):
     got = structures.relations(structures.region_slices(nodes), structures.volumes(nodes))
     found = {r.relation for r in got.select("relation").distinct().collect()}
     assert {"SURROUNDS", "CONFINES", "SHELTERS", "CONTAINS", "PARTITIONED", "EQUAL", "BORDERS", "OVERLAPS", "DISJOINT"} <= found
+
+
+def test_zones_in_bulk_agree_with_the_kernel(spark):
+    import random
+
+    from slicetopo.operators import tolerance
+
+    rng = random.Random(2)
+    made = lambda: [("+", box(x := rng.randrange(7), x + rng.randrange(1, 6), y := rng.randrange(7), y + rng.randrange(1, 6)))]
+    pairs = [(made(), made()) for _ in range(40)] + [([("+", box(0, 9, 0, 9)), ("-", box(3, 6, 3, 6))], made()) for _ in range(15)]
+    for margin in (0.3, 1.1):
+        got = tolerance.relate_zones([tuple(tolerance.zones(r, margin) for r in p) for p in pairs])
+        assert got.tolist() == [K.relate_within(a, b, margin) for a, b in pairs]
+    rows = [(i, *K.pack(a), *K.pack(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame([(i, o, n, list(map(float, xy)), p, m, list(map(float, uv))) for i, o, n, xy, p, m, uv in rows], "id int, a_ops string, a_n array<int>, a_xy array<double>, b_ops string, b_n array<int>, b_xy array<double>")
+    assert [r.bits for r in sorted(tolerance.relations_within(df, ["id"], 1.1).collect())] == got.tolist()
