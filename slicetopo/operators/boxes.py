@@ -105,9 +105,11 @@ def matrix_long(relations: DataFrame, structures: DataFrame) -> DataFrame:
     return forward.unionByName(back).unionByName(diagonal)
 
 
-def matrix_wide(long: DataFrame, rois: list[int], symbols: bool = False) -> DataFrame:
-    """The matrix of chosen structures, a column each."""
+def matrix_wide(long: DataFrame, rois: list[int], symbols: bool = False, rows: list[int] | None = None) -> DataFrame:
+    """The matrix of chosen structures, a column each; ``rows``: those of its rows, all if none."""
     cell = D.lookup(F.col("relation"), "symbol" if symbols else "label")
+    if rows is not None:
+        long = long.where(F.col("row_roi").isin(rows))
     return long.where(F.col("col_roi").isin(rois)).withColumn("cell", cell).groupBy("set_id", "row_roi").pivot("col_roi", rois).agg(F.first("cell"))
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sequence(slices: DataFrame, *group: str) -> DataFrame:
+def sequence(slices: DataFrame, *group: str, signed: bool = False) -> DataFrame:
     """Distinct slices of each group with previous, next and the gap: half the distance of
-    the neighbours, the distance to the only one, or null."""
+    the neighbours, the distance to the only one, or null. ``signed``: the distance to a
+    previous slice alone is negative."""
     w = Window.partitionBy(*group).orderBy("z")
     out = slices.select(*group, "z").distinct().select(*group, "z", F.lag("z").over(w).alias("previous_z"), F.lead("z").over(w).alias("next_z"))
-    gap = F.when(F.col("previous_z").isNotNull() & F.col("next_z").isNotNull(), (F.col("next_z") - F.col("previous_z")) / 2.0).otherwise(F.coalesce(F.col("z") - F.col("previous_z"), F.col("next_z") - F.col("z")).cast("double"))
+    gap = F.when(F.col("previous_z").isNotNull() & F.col("next_z").isNotNull(), (F.col("next_z") - F.col("previous_z")) / 2.0).otherwise(F.coalesce((F.col("z") - F.col("previous_z")) * (-1 if signed else 1), F.col("next_z") - F.col("z")).cast("double"))
     return out.withColumn("gap", gap)
 
 

@@ -306,6 +306,21 @@ def region_slices(contours: DataFrame) -> DataFrame:
     return own.join(all_z, "set_id").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
 
 
+def select(slices: DataFrame, what: str) -> DataFrame:
+    """(set_id, roi, zk, z, ops, n, xy) of one of a slice's regions: contour, exterior, hull or
+    boundary, or all, which is the region and its boundary together."""
+    names = {"contour": "region", "exterior": "exterior", "hull": "hull", "boundary": "boundary"}
+    if what not in (*names, "all"):
+        raise ValueError(f"{what} is none of {(*names, 'all')}")
+    keys = ["set_id", "roi", "zk", "z"]
+    if what != "all":
+        return slices.select(*keys, *[F.col(f"{names[what]}_{c}").alias(c) for c in ("ops", "n", "xy")])
+    both = (F.col("region_ops") != "") & (F.col("boundary_ops") != "")
+    ops = F.concat("region_ops", F.when(both, "|").otherwise(""), "boundary_ops")
+    sizes = F.concat("region_n", F.when(both, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), "boundary_n")
+    return slices.select(*keys, ops.alias("ops"), sizes.alias("n"), F.concat("region_xy", "boundary_xy").alias("xy"))
+
+
 def contour_report(contours: DataFrame) -> DataFrame:
     """(set_id, roi, z, area, is_hole, hole_type, region, is_boundary) of every contour."""
     return usable(contours).select("set_id", "roi", "z", "area", "is_hole", "hole_type", F.concat(F.col("roi").cast("string"), "label").alias("region"), F.col("is_cap").alias("is_boundary"))

@@ -41,9 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; all its tables between steps are there."""
+    return f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the application's tables between steps, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: what several steps read is made once, and a
+    """``df`` as a table in the run's folder: what several steps read is made once, and a
     lost executor costs no recomputation before it."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import boxes as B
 from ..plans import definitions as D
-from ..session import shared_folder, ship
+from ..session import run_folder, ship
 
 #: Columns of a box, as the state holds them one after the other.
 BOX = ("roi", "x0", "x1", "y0", "y1", "z0", "z1", "volume")
@@ -81,6 +81,6 @@ def merged(spark: SparkSession, target: str) -> DataFrame:
 def relations_by_stream(spark: SparkSession, folder: str, name: str, files_at_once: int | None = None) -> DataFrame:
     """Pair relations of all structures of the files called ``name`` in a folder, read as a
     stream."""
-    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    target = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     ingest(spark, folder, name, target, files_at_once).awaitTermination()
     return merged(spark, target)

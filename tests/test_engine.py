@@ -202,6 +202,7 @@ def test_slices(spark):
     df = spark.createDataFrame([(1, 1, z) for z in (1, 2, 4, 7)] + [(1, 2, z) for z in range(1, 8)], "set_id int, roi int, z int")
     seq = {r.z: (r.previous_z, r.next_z, r.gap) for r in slices.sequence(df.where("roi = 1"), "set_id", "roi").collect()}
     assert seq == {1: (None, 2, 1.0), 2: (1, 4, 1.5), 4: (2, 7, 2.5), 7: (4, None, 3.0)}
+    assert [r.gap for r in slices.sequence(df.where("roi = 1"), "set_id", "roi", signed=True).orderBy("z").collect()] == [1.0, 1.5, 2.5, -3.0]
     got = {r.z: (r.inf1, r.inf2, r.sup1, r.sup2) for r in slices.missing(df, df).collect()}
     assert got == {3: (2, 1, 4, 7), 5: (4, 2, 7, None), 6: (4, 2, 7, None)}
     assert {r.roi: r.has_gaps for r in slices.has_gaps(df).collect()} == {1: True, 2: False}

@@ -181,3 +181,15 @@ def test_new_slices_and_emptiness(spark):
     assert [r.is_empty for r in S.empty(rows).collect()] == [False, False, True, True, True]
     ring = spark.range(1).select(G.circle_at(2.0, [-2.0, 0.0, 2.0, 3.0], y=1.0).alias("p")).first().p
     assert [(p.x, p.y) for p in ring] == [(-2.0, 1.01), (0.0, 3.0), (2.0, 1.01), (3.0, 1.01), (2.0, 0.99), (0.0, -1.0), (-2.0, 0.99)]
+
+
+def test_regions_of_a_slice_can_be_selected(spark, scene_contours):
+    from slicetopo.operators import kernel as K
+
+    cut = S.region_slices(scene_contours.where("set_id = 'wall of a hollow' and roi = 1")).cache()
+    area = lambda what: sum(K.area(K.unpack(r.ops, r.n, r.xy)) for r in S.select(cut, what).collect())
+    whole = sum(K.area(K.union(S.geometry(r.asDict(), "region"), S.geometry(r.asDict(), "boundary"))) for r in cut.collect())
+    assert area("all") == pytest.approx(whole) and area("boundary") > 0
+    assert area("contour") < area("exterior") <= area("hull") + 1e-6
+    with pytest.raises(ValueError, match="none of"):
+        S.select(cut, "outline")
