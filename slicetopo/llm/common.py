@@ -4,14 +4,13 @@ sums, connected components, and word and hash helpers."""
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import run_folder, ship
 
 #: ASCII white space, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -39,15 +38,9 @@ def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset a temporary folder is
-    set on a local master; on a cluster each machine would have its own, so this raises."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slicetopo-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+    """The run's part of the folder that spark.checkpoint.dir names; ``session.forget`` deletes
+    it when results are written."""
+    return run_folder(spark)
 
 
 def cut(df: DataFrame, seen: list | None = None) -> DataFrame:
