@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import bits, scalars
+from .functions import bits, grammar, scalars
 from .operators import boxes as B
 from .operators import interpolation, shapes, structures, tolerance
 from .plans import definitions as D
@@ -111,4 +111,18 @@ def definition_table(s, d):
     return defs.join(n, "relation_type", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-QUERIES = {f.__name__: f for f in (tolerance_relations, generated_scenes, definition_table, structure_shapes, interpolated_boxes, frame_contours, frame_volumes, frame_relations, frame_regions, frame_shapes)}
+def name_components(s, d):
+    """Names put together of parts, taken apart again by the grammars, and their order."""
+    k = F.col("p_partkey")
+    pick = lambda by, *of: F.element_at(F.array(*map(F.lit, of)), (by % len(of) + 1).cast("int"))
+    div = lambda n: F.expr(f"p_partkey div {n}")
+    target = F.concat(pick(div(3), "", "eval ", "opt "), pick(div(5), "GTV", "CTV", "ITV", "PTV"), pick(div(7), "", "n"), F.lit(" "), (40 + k % 30).cast("string"), pick(div(11), "", "+5mm", "-3 mm", "+1.5cm"), pick(div(13), "", " L", " R"))
+    organ = F.concat(pick(div(3), "", "opt ", "PRV 5mm "), pick(div(5), "Parotid", "lung", "Kidney", "FEMUR", "Spinal Cord"), pick(div(7), "", " L", " R", "_B"), pick(div(11), "", " 2", " 12"))
+    other = F.concat(F.substring_index("p_name", " ", 1), pick(div(3), " Ring", " fiducials", "_Wire", " Air", ""))
+    named = B.read(s, d, "part").select(k.alias("roi"), F.when(k % 3 == 0, target).when(k % 3 == 1, organ).otherwise(other).alias("name"))
+    out = grammar.components(named).withColumn("o", grammar.order())
+    t, o = F.col("target"), F.col("organ")
+    return out.select("roi", "name", "kind", F.coalesce(t["TargetType"], o["BaseOAR"], "other_type").alias("type"), F.coalesce(t["Mod"], o["Opt"]).alias("mod"), "level", "cgy", "expansion_sign", "expansion_mm", "side", o["PRV_Size"].alias("prv"), o["Occurrence"].alias("occurrence"), F.col("o.group").alias("group"), F.col("o.first").alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (name_components, tolerance_relations, generated_scenes, definition_table, structure_shapes, interpolated_boxes, frame_contours, frame_volumes, frame_relations, frame_regions, frame_shapes)}

@@ -134,7 +134,27 @@ TOLERANCE = f"""WITH {B1} SELECT a.set_id, a.roi AS roi_a, b.roi AS roi_b, a.z,
   + {_IF(_OUT("a", "b", 0), 8)} + {_IF(_CORNER("b", "a"), 4)} + {_IF(_OUT("b", "a", 0), 2)} AS INTEGER) AS bits
 FROM b1 a JOIN b1 b ON a.set_id = b.set_id AND a.z = b.z AND a.roi < b.roi"""
 
+#: Names are put together here from their parts, which are the answer.
+NAMES = """
+WITH k AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS w,
+  (['', 'eval', 'opt'])[CAST(p_partkey // 3 % 3 + 1 AS INT)] AS m, (['GTV', 'CTV', 'ITV', 'PTV'])[CAST(p_partkey // 5 % 4 + 1 AS INT)] AS t, (['', 'n'])[CAST(p_partkey // 7 % 2 + 1 AS INT)] AS suffix,
+  40 + p_partkey % 30 AS dose, (['', '+5mm', '-3 mm', '+1.5cm'])[CAST(p_partkey // 11 % 4 + 1 AS INT)] AS e, (['', 'L', 'R'])[CAST(p_partkey // 13 % 3 + 1 AS INT)] AS ts,
+  (['', 'opt', 'PRV'])[CAST(p_partkey // 3 % 3 + 1 AS INT)] AS om, (['Parotid', 'lung', 'Kidney', 'FEMUR', 'Spinal Cord'])[CAST(p_partkey // 5 % 5 + 1 AS INT)] AS organ, ([50, 94, 118, 130, 33])[CAST(p_partkey // 5 % 5 + 1 AS INT)] AS place,
+  (['', 'L', 'R', 'B'])[CAST(p_partkey // 7 % 4 + 1 AS INT)] AS os, (['', '2', '12'])[CAST(p_partkey // 11 % 3 + 1 AS INT)] AS occ,
+  (['Ring', 'fiducials', 'Wire', 'Air', ''])[CAST(p_partkey // 3 % 5 + 1 AS INT)] AS x FROM part)
+SELECT k AS roi, CASE k % 3 WHEN 0 THEN CASE m WHEN '' THEN '' ELSE m || ' ' END || t || suffix || ' ' || dose || e || CASE ts WHEN '' THEN '' ELSE ' ' || ts END
+  WHEN 1 THEN CASE om WHEN '' THEN '' WHEN 'PRV' THEN 'PRV 5mm ' ELSE 'opt ' END || organ || CASE os WHEN '' THEN '' WHEN 'B' THEN '_B' ELSE ' ' || os END || CASE occ WHEN '' THEN '' ELSE ' ' || occ END
+  ELSE w || CASE x WHEN '' THEN '' WHEN 'Wire' THEN '_Wire' ELSE ' ' || x END END AS name,
+CASE k % 3 WHEN 0 THEN 'target' WHEN 1 THEN 'organ' ELSE CASE x WHEN 'Ring' THEN 'Avoidance' WHEN 'Air' THEN 'Density' WHEN '' THEN NULL ELSE 'Marker' END END AS kind,
+CASE k % 3 WHEN 0 THEN t WHEN 1 THEN organ ELSE nullif(x, '') END AS type, CASE k % 3 WHEN 0 THEN nullif(m, '') WHEN 1 THEN CASE om WHEN 'opt' THEN 'opt' END END AS mod,
+CASE WHEN k % 3 = 0 THEN nullif(suffix, '') END AS level, CASE WHEN k % 3 = 0 THEN CAST(dose * 100 AS DOUBLE) END AS cgy,
+CASE WHEN k % 3 = 0 THEN nullif(e[1:1], '') END AS expansion_sign, CASE WHEN k % 3 = 0 THEN CASE e WHEN '+5mm' THEN 5.0 WHEN '-3 mm' THEN 3.0 WHEN '+1.5cm' THEN 15.0 END END AS expansion_mm,
+CASE k % 3 WHEN 0 THEN CASE WHEN e <> '-3 mm' THEN nullif(ts, '') END WHEN 1 THEN nullif(os, '') END AS side, CASE WHEN k % 3 = 1 AND om = 'PRV' THEN '5' END AS prv, CASE WHEN k % 3 = 1 THEN nullif(occ, '') END AS occurrence,
+CAST(CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE x WHEN '' THEN 3 ELSE 2 END END AS INT) AS "group",
+CAST(CASE k % 3 WHEN 0 THEN CASE t WHEN 'GTV' THEN 7 WHEN 'CTV' THEN 9 WHEN 'ITV' THEN 12 ELSE 13 END WHEN 1 THEN place ELSE CASE x WHEN 'Ring' THEN 1 WHEN 'Air' THEN 6 WHEN '' THEN 0 ELSE 5 END END AS INT) AS first FROM k"""
+
 ORACLES = {
+    "name_components": NAMES,
     "structure_shapes": SHAPES,
     "tolerance_relations": TOLERANCE,
     "interpolated_boxes": BETWEEN,
