@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import naming, scalars
 from .operators import boxes as B
-from .operators import filters, labels, logical, metrics, report, slices, structures
+from .operators import filters, labels, logical, metrics, places, report, slices, structures
 from . import catalog_shapes, oracles_shapes
 from . import oracles as plain
 from .plans import definitions as D
@@ -308,12 +308,9 @@ def name_grammar_all(s, d):
 
 def name_order(s, d):
     """Names in the order of lists: the kind, and the place among distinct ones of a kind."""
-    from pyspark.sql import Window
-
-    named = _names(s, d).withColumn("k", naming.order_of(F.col("name")))
-    # Distinct places are ranked, so the window is over few rows; names join them.
-    places = named.select("k").distinct().withColumn("place", F.dense_rank().over(Window.partitionBy("k.kind").orderBy("k")).cast("long"))
-    return named.join(places, "k").select("roi", "name", F.col("k.kind").alias("kind"), "place")
+    named = _names(s, d).withColumn("k", naming.order_of(F.col("name"))).withColumn("kind", F.col("k.kind"))
+    found = places.dense_places(named, "kind", "k").drop("kind")
+    return named.join(found, "k").select("roi", "name", "kind", "place")
 
 
 def streamed_relations(s, d):

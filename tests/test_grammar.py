@@ -42,3 +42,14 @@ def test_patterns_mean_the_same_to_another_engine(spark):
         got = {r.n: r.h for r in df.select("n", G.held(F.col("n"), table).alias("h")).collect()}
         assert got == {n: ([g or "" for g in m.groups()] if (m := own.match(n)) else None) for n in names}
         assert len(G.names(table)) == own.groups
+
+
+def test_places_over_ranges_are_dense_ranks(spark):
+    from pyspark.sql import Window
+
+    from slicetopo.operators import places
+
+    rows = [(None if i % 17 == 0 else i % 3, (i * 7919) % 211) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, k int")
+    want = df.withColumn("p", F.dense_rank().over(Window.partitionBy("g").orderBy("k"))).distinct()
+    assert sorted(map(tuple, places.dense_places(df, "g", "k").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
