@@ -32,6 +32,8 @@ words. Repeated rows come out as often as they come in. Other columns are not re
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,7 +47,7 @@ from .minhash import KEEP_HASHES, Hashes
 #: shard, and of an automaton in it.
 WINDOW, GRAM, COMMON, SHARD, BUNDLE = 13, 6, 4096, 4000, 64
 #: Words that a broadcast reference holds at most, and those of one of its shards.
-REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 100_000
+REFERENCE_WORDS, SHARD_WORDS = 100_000, 10_000
 LAST = 2**63 - 1
 
 _hashes = Hashes()
@@ -175,6 +177,20 @@ class Automaton:
         link[q] = new
         return new
 
+    def lengths(self, said: list[bytes]):
+        """Matching statistics: how many words that end at each place the automaton holds."""
+        state = size = 0
+        for word in said:
+            to = self.next[state].get(word)
+            while to is None and state:
+                state = self.link[state]
+                size = self.length[state]
+                to = self.next[state].get(word)
+            if to is not None:
+                state = to
+                size += 1
+            yield size
+
     def windows(self, said: list[bytes], k: int):
         """Matching statistics, word by word: (start, least number) of the windows of ``k``
         words that the automaton holds."""
@@ -293,3 +309,49 @@ def without_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
 
 def digests(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _automata(table: pa.Table) -> pa.Table:
+    automaton = Automaton()
+    for text in table.column("text").to_pylist():
+        automaton.add(text.encode("utf-8", "surrogatepass").split(), 0)
+    return pa.table({"automaton": pa.array([pickle.dumps((automaton.next, automaton.link, automaton.length))], type=pa.binary())})
+
+
+def found_in(docs: DataFrame, reference: DataFrame, k: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length): the maximal runs of ``k`` words or more that a document shares
+    with a text of ``reference`` (text), which may hold ``REFERENCE_WORDS`` words and raises
+    beyond that. Automata of its shards are broadcast, and whole documents stream through
+    all of them; a run within another of the same shard or of another is left out. Null and
+    empty texts share nothing; repeated rows come out as often as they come in."""
+    spark = docs.sparkSession
+    tune(spark)
+    own = reference.where("text is not null").select("text").distinct()
+    n = own.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    if n > REFERENCE_WORDS:
+        raise ValueError(f"a reference of {n} words is larger than {REFERENCE_WORDS}; use without_repeats")
+    shard = F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SHARD_WORDS))))
+    built = own.withColumn("shard", shard).groupBy("shard").applyInArrow(_automata, "automaton binary").collect()
+    shared = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in built])
+
+    def run(batches):
+        automata = []
+        for packed in shared.value:
+            a = Automaton()
+            a.next, a.link, a.length = pickle.loads(packed)
+            automata.append(a)
+        for b in batches:
+            row, start, length = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words = text.encode("utf-8", "surrogatepass").split() if text else []
+                longest = np.zeros(len(words) + 1, dtype=np.int64)
+                for a in automata if len(words) >= k else ():
+                    longest[: len(words)] = np.maximum(longest[: len(words)], np.fromiter(a.lengths(words), dtype=np.int64, count=len(words)))
+                # A run ends where the next word does not make it longer.
+                ends = np.flatnonzero((longest[:-1] >= k) & (longest[1:] <= longest[:-1]))
+                row += [i] * len(ends)
+                start += (ends - longest[ends] + 1).tolist()
+                length += longest[ends].tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, type=pa.int64())), pa.array(start, type=pa.int64()), pa.array(length, type=pa.int64())], names=["doc_id", "start", "length"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long")

@@ -187,6 +187,23 @@ def test_automaton_against_all_places():
         assert dict(automaton.windows(words, 5)) == want
 
 
+def test_runs_shared_with_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 60)
+    rng = random.Random(21)
+    texts = passages(rng, 60)
+    held = [t for t in texts[:20] if t]
+    got = {(r.doc_id, r.start, r.length) for r in substrings.found_in(docs_of(spark, [*texts[20:], None, ""]), docs_of(spark, [*held, None])).collect()}
+    want = set()
+    for i, t in enumerate(texts[20:]):
+        w = t.split()
+        longest = [max((n for r in held for ref in [r.split()] for n in range(1, e + 2) if any(ref[p : p + n] == w[e + 1 - n : e + 1] for p in range(len(ref) - n + 1))), default=0) for e in range(len(w))] if len(w) >= 13 else []
+        want |= {(i, e - n + 1, n) for e, n in enumerate(longest) if n >= 13 and (e + 1 == len(w) or longest[e + 1] <= n)}
+    assert got == want and want
+    monkeypatch.setattr(substrings, "REFERENCE_WORDS", 10)
+    with pytest.raises(ValueError, match="larger"):
+        substrings.found_in(docs_of(spark, ["a"]), docs_of(spark, held))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
