@@ -5,8 +5,11 @@ Equal vectors are folded first. Centroids are fitted on a bounded sample; every
 belongs to the cell of its nearest centroid, and is a guest of each earlier cell that
 can hold a vector similar enough: with unit vectors and the bar t, a vector within the
 angle acos(t) of x lies in cell c only if (x.own - x.c) <= sqrt(1 - t^2) |own - c|. So
-each pair above the bar meets in exactly one cell, and no link is lost. Cells are cut
-into blocks; a task compares two blocks, so a hot cell is spread over many tasks.
+each pair above the bar meets in exactly one cell, and no link is lost. A cell's vectors
+are packed into blocks, one row each, which know the cells that any of their vectors may be a
+guest of. Blocks meet blocks in a Cartesian product that skips those that can't link: both sides
+are read from the written blocks, so nothing is copied to disk for a meeting, and what is
+written grows with the vectors however many blocks meet. A hot cell is spread over many tasks.
 Products are made in single precision with a safe margin, and what comes near the bar
 is decided in double precision. A task returns link counts and the links of a spanning
 forest of what it saw, so a group of m vectors gives about m rows, not m squared.
@@ -18,7 +21,6 @@ vec_ids that have several vectors: those get a node for each.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ BAR = 0.9
 SAMPLE, CELL, BLOCK = 20_000, 4096, 2048
 #: Most centroids of one vector length; a sample of any length has this many vectors at least.
 CENTROIDS, LEAST = 4096, 64
+#: Pairs of blocks in an Arrow batch.
+ROWS = 4
 #: Cells up to which tables about cells are broadcast.
 SMALL = 100_000
 #: Nodes of vectors whose vec_id has several: from here on.
@@ -78,44 +82,69 @@ def _clean(batches):
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, type=pa.string()), pa.array(dims, type=pa.int32()), pa.array(units, type=pa.list_(pa.float64()))], names=["vec_id", "key", "dim", "x"])
 
 
-def _cells(shared, bar: float):
-    reach = float(np.sqrt(max(0.0, 1 - bar * bar))) + 1e-9
-
+def _cells(shared):
     def run(batches):
-        by_dim = shared.value
-        gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in by_dim.items()}
         for b in batches:
-            for d in set(b.column("dim").to_pylist()):
-                part = b.filter(pa.array([z == d for z in b.column("dim").to_pylist()]))
-                c = by_dim[d]
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == d))
                 x = part.column("x").flatten().to_numpy().reshape(-1, d)
-                s = x @ c.T
-                own = s.argmax(axis=1)
-                gap = s[np.arange(len(x)), own][:, None] - s
-                meet = (gap <= reach * gaps[d][own] + 1e-9) & (np.arange(len(c))[None, :] <= own[:, None])
-                meet[np.arange(len(x)), own] = True
-                r, cell = np.nonzero(meet)
-                out = part.select(["vec_id", "n", "dim", "x"]).take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(own[r] == cell)], names=["vec_id", "n", "dim", "x", "cell", "home"])
+                own = (x @ shared.value[d].T).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], names=["vec_id", "n", "dim", "x", "cell"])
 
     return run
 
 
-def _compare(bar: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, n = pdf["vec_id"].to_numpy(), pdf["n"].to_numpy()
-        side = pdf["side"].to_numpy()
-        x = np.stack(pdf["x"].to_numpy())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        same = bool((side == 2).any())  # a block with itself: each pair once
-        links = np.zeros(len(ids), dtype=np.int64)
-        near = x[left].astype(np.float32) @ x[right].astype(np.float32).T >= np.float32(bar - 1e-4)
-        i, j = np.nonzero(near)
-        i, j = left[i], right[j]
+#: A block of a cell's vectors; ``home`` and ``meets`` are numbers of cells among all lengths.
+BLOCKS = "home long, blk long, dim int, ids binary, n binary, x binary, meets array<long>"
+#: Link counts that a task holds before it sums them up.
+HELD = 1_000_000
+
+
+def _place(dim: int, cell):
+    return (dim << 32) + cell
+
+
+def _pack(shared, bar: float):
+    reach = float(np.sqrt(max(0.0, 1 - bar * bar))) + 1e-9
+
+    def run(key, t):
+        d, cell, blk = (k.as_py() for k in key)
+        c = shared.value[d]
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        s = x @ c[: cell + 1].T
+        far = np.sqrt(np.maximum(0, 2 - 2 * c[: cell + 1] @ c[cell]))
+        meets = ((s[:, cell][:, None] - s) <= reach * far[None] + 1e-9).any(axis=0)
+        meets[cell] = True
+        whole = lambda name: t.column(name).to_numpy().astype("<i8").tobytes()
+        row = {"home": _place(d, cell), "blk": blk, "dim": d, "ids": whole("vec_id"), "n": whole("n"), "x": x.astype("<f8").tobytes(), "meets": _place(d, np.flatnonzero(meets)).tolist()}
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array([v], type=k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+
+    return run
+
+
+def _links(x: np.ndarray, y: np.ndarray, same: bool, bar: float):
+    """Runs of places (i, j) of vectors of two blocks whose cosine reaches the bar; each pair of
+    a block with itself once."""
+    for lo in range(0, len(x), 512):
+        i, j = np.nonzero(x[lo : lo + 512].astype(np.float32) @ y.astype(np.float32).T >= np.float32(bar - 1e-4))
+        i += lo
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        root = np.arange(len(ids))
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 200_000):
+            p, q = i[at : at + 200_000], j[at : at + 200_000]
+            ok = np.einsum("ij,ij->i", x[p], y[q]) >= bar
+            yield p[ok], q[ok]
+
+
+def _compare(bar: float):
+    def meet(row: dict) -> tuple[np.ndarray, np.ndarray, list]:
+        """Vectors of two blocks, their numbers of links, and the links of a spanning forest."""
+        whole = lambda side, name: np.frombuffer(row[f"{side}_{name}"], dtype="<i8")
+        x, y = (np.frombuffer(row[f"{side}_x"], dtype="<f8").reshape(-1, row["dim"]) for side in "ab")
+        ids, n = (np.concatenate([whole("a", name), whole("b", name)]) for name in ("ids", "n"))
+        links, root, out = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), []
 
         def find(a):
             while root[a] != a:
@@ -123,20 +152,48 @@ def _compare(bar: float):
                 a = root[a]
             return a
 
-        out = []
-        for at in range(0, len(i), 200_000):
-            p, q = i[at : at + 200_000], j[at : at + 200_000]
-            ok = np.einsum("ij,ij->i", x[p], x[q]) >= bar
-            p, q = p[ok], q[ok]
+        shift = 0 if row["same"] else len(x)
+        for p, q in _links(x, y, row["same"], bar):
+            q = q + shift
             np.add.at(links, p, n[q])
             np.add.at(links, q, n[p])
             for a, b in zip(p.tolist(), q.tolist(), strict=True):
                 u, v = find(a), find(b)
                 if u != v:
                     root[v] = u
-                    out.append((ids[a], 0, ids[b]))
+                    out.append((ids[a], ids[b]))
         got = np.flatnonzero(links)
-        return pd.DataFrame(out + [(ids[k], links[k], None) for k in got], columns=["vec_id", "n_links", "other"]).astype({"vec_id": "int64", "n_links": "int64", "other": "Int64"})
+        return ids[got], links[got], out
+
+    def batch(ids, links, other) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(links, type=pa.int64()), pa.array(other, type=pa.int64())], names=["vec_id", "n_links", "other"])
+
+    def run(batches):
+        held, size = [], 0
+
+        def summed():
+            ids, at = np.unique(np.concatenate([i for i, _ in held]), return_inverse=True)
+            total = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(total, at.ravel(), np.concatenate([k for _, k in held]))
+            return ids, total
+
+        for b in batches:
+            for row in b.to_pylist():
+                ids, links, out = meet(row)
+                if out:
+                    a, o = zip(*out, strict=True)
+                    yield batch(a, np.zeros(len(a), dtype=np.int64), o)
+                    held.append((ids, links))
+                    size += len(ids)
+                if size > HELD:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield batch(*held.pop(), [None] * size)
+                        size = 0
+        if held:
+            ids, total = summed()
+            yield batch(ids, total, [None] * len(ids))
 
     return run
 
@@ -190,37 +247,39 @@ def near_vectors(vectors: DataFrame, bar: float = BAR, sample: int = SAMPLE, cel
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = cut(named.mapInArrow(_clean, "vec_id long, key string, dim int, x array<double>"))
     clean = rows.where("key is not null")
-    reps, same = _nodes(clean)
+    reps, twins = _nodes(clean)
     shared = spark.sparkContext.broadcast(centroids(reps, sample, cell))
-    held = cut(reps.select(F.col("node").alias("vec_id"), "n", "dim", "x").mapInArrow(_cells(shared, bar), "vec_id long, n long, dim int, x array<double>, cell int, home boolean"))
+    held = cut(reps.select(F.col("node").alias("vec_id"), "n", "dim", "x").mapInArrow(_cells(shared), "vec_id long, n long, dim int, x array<double>, cell int"))
     # Blocks of each cell; at most CENTROIDS rows for each vector length.
-    many = held.groupBy("dim", "cell").agg(F.count_if("home").alias("nh"), F.count_if(~F.col("home")).alias("ng")).where("nh > 0")
-    many = cut(many.select("dim", "cell", F.ceil(F.col("nh") / block).alias("nb"), F.ceil(F.col("ng") / block).alias("ng"), (F.col("nh") + F.col("ng")).alias("n")))
+    many = cut(held.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("nb")))
     if many.count() <= SMALL:
         placed = held.join(F.broadcast(many.drop("n")), ["dim", "cell"])
     else:
         placed = salted_join(held, many.drop("n"), ["dim", "cell"], many.select("dim", "cell", "n"), ["vec_id"])
-    # A home block meets itself and the other home blocks; a guest block, numbered from -1
-    # downwards, meets every home block.
-    blk = F.when(F.col("home"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb"))).otherwise(-1 - F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("ng")))
-    others = F.when(F.col("home"), F.sequence(-F.col("ng"), F.col("nb") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    pairs = placed.withColumn("blk", blk).withColumn("o", F.explode(others))
-    side = F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1)
-    met = pairs.select("dim", "cell", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), side.alias("side"), "vec_id", "n", "x")
-    found = cut(met.groupBy("dim", "cell", "bi", "bj").applyInPandas(_compare(bar), "vec_id long, n_links long, other long"))
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nb")))
+    blocks = cut(placed.groupBy("dim", "cell", "blk").applyInArrow(_pack(shared, bar), BLOCKS))
+    # Blocks of the cells that a block may have links in; each two blocks of a cell once. The
+    # hint asks for the Cartesian product, which shuffles nothing.
+    p, q = blocks.alias("p"), blocks.alias("q").hint("shuffle_replicate_nl")
+    same = F.col("p.home") == F.col("q.home")
+    met = p.join(q, F.array_contains("p.meets", F.col("q.home")) & (~same | (F.col("p.blk") >= F.col("q.blk"))))
+    met = met.select(F.col("p.dim").alias("dim"), (same & (F.col("p.blk") == F.col("q.blk"))).alias("same"), *[F.col(f"{t}.{c}").alias(f"{side}_{c}") for t, side in (("p", "a"), ("q", "b")) for c in ("ids", "n", "x")])
+    tune(spark, ROWS)
+    found = cut(met.mapInArrow(_compare(bar), "vec_id long, n_links long, other long"))
+    tune(spark, 4096)
     edges = found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
-    label = cut(components(edges if same is None else edges.unionByName(same)))
+    label = cut(components(edges if twins is None else edges.unionByName(twins)))
     links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     of = reps.select("key", "dim", F.col("vec_id").alias("least"), "node", "n").join(links, F.col("node") == links.vec_id, "left").select("key", "dim", "least", "node", "n", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     of = of.join(label.toDF("_node", "root"), F.col("node") == F.col("_node"), "left").select("key", "dim", "least", "n", "n_links", F.coalesce("root", "node").alias("root"))
-    if same is not None:
+    if twins is not None:
         # Components of extra nodes are named by the smallest vec_id in them.
         of = cut(of)
         named_by = of.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("n"))
         of = salted_join(of, named_by.select("root", "low"), ["root"], named_by.select("root", "n"), ["key"]).withColumn("root", F.col("low"))
     of = cut(of.select("key", "dim", "n", "n_links", "root"))
     got = salted_join(clean.select("vec_id", "key", "dim"), of.drop("n"), ["key", "dim"], of.select("key", "dim", "n"), ["vec_id"])
-    for used in (held, many):
+    for used in (held, many, blocks):
         drop(used)
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = got.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.least("root", "vec_id").alias("component_id")).unionByName(alone)

@@ -364,6 +364,24 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_are_written_once_however_many_cells_they_meet(spark, monkeypatch):
+    written, cut = [], vectors.cut
+
+    def counted(df, *more):
+        out = cut(df, *more)
+        written.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(vectors, "cut", counted)
+    x = np.random.default_rng(5).normal(size=(400, 16))
+    x[1::50] = x[::50]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(frame, cell=20, block=8).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(list(enumerate(x.tolist())))
+    assert all(n <= len(x) for _, n in written)
+    assert max(n for c, n in written if "meets" in c) <= 20 + len(x) / 8 * 3
+
+
 def test_vectors_of_extreme_lengths_ties_and_repeated_ids(spark, monkeypatch):
     from slicetopo.llm import common
 
