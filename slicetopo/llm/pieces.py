@@ -36,7 +36,7 @@ SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 #: Longest segment that is merged in arrays; most candidates of a segment that is kept.
 SHORT, CANDIDATES = 32, 40
 #: Segments and results that a task keeps.
-MOST_SEGMENTS, MOST_RESULTS = 400_000, 1_200_000
+MOST_SEGMENTS, MOST_RESULTS = 150_000, 300_000
 NONE = np.int32(2**31 - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -374,7 +374,7 @@ def encode(m: Pieces, texts: list, keys: np.ndarray, dropout: float = DROPOUT, s
 
 
 #: Characters that are encoded at once; a longer text is encoded alone.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 def parts_of(texts: list) -> list[tuple[int, int]]:

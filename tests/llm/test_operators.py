@@ -349,6 +349,21 @@ def brute_vectors(rows, bar=0.9):
     return sorted((rows[i][0], sum(link[i]), min(rows[j][0] for j in range(len(rows)) if label[i] == label[j])) for i in range(len(rows)) if rows[i][0] is not None)
 
 
+def test_pieces_are_made_in_bounded_memory():
+    import tracemalloc
+
+    model = pieces.Pieces(pieces.default_model())
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(3, 9, 4000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 150)]) for _ in range(6000)]
+    tracemalloc.start()
+    got = pieces.encode(model, texts, np.arange(len(texts), dtype=np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces.same_again(model, got[::100], texts[::100]) == [True] * 60
+    assert peak < 70e6, peak
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
