@@ -8,7 +8,7 @@ from .functions import bits, grammar, scalars
 from .operators import boxes as B
 from .operators import interpolation, shapes, structures, tolerance
 from .plans import definitions as D
-from .session import written
+from .session import spread, written
 from .sources import frames
 from .sources import generators as G
 
@@ -25,7 +25,7 @@ KEYS = ["set_id", "roi_a", "roi_b", "z"]
 
 def _box_pairs(s, d):
     """Pairs of boxes of a slice, as regions."""
-    b = B.slice_boxes(B.read(s, d, "lineitem")).select("set_id", "roi", "z", F.lit("+").alias("ops"), F.array(F.lit(4)).alias("n"), _box().alias("xy"))
+    b = spread(B.slice_boxes(B.read(s, d, "lineitem")), "set_id", "z").select("set_id", "roi", "z", F.lit("+").alias("ops"), F.array(F.lit(4)).alias("n"), _box().alias("xy"))
     side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).alias(f"{x}_{c}") for c in ("ops", "n", "xy")])
     return side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
 
@@ -37,9 +37,8 @@ def tolerance_relations(s, d):
 
 def structure_shapes(s, d):
     """Polygons of the parts of every pair of boxes of a slice."""
-    keys, pairs = KEYS, _box_pairs(s, d)
-    out = shapes.measures(shapes.overlays(pairs, keys), keys)
-    return out.select(*keys, "part", "n_polygons", "n_holes", F.round("area").cast("long").alias("area"))
+    out = shapes.measured(_box_pairs(s, d), KEYS)
+    return out.select(*KEYS, "part", "n_polygons", "n_holes", F.round("area").cast("long").alias("area"))
 
 
 def interpolated_boxes(s, d):
@@ -83,7 +82,7 @@ def frame_shapes(s, d):
     slices = written(structures.region_slices(own)).where("has_region and not is_interpolated and not is_boundary")
     keys = ["set_id", "roi_a", "roi_b", "zk"]
     pairs = shapes.slice_pairs(slices, structures.pairs_of(structures.volumes(own)))
-    out = shapes.measures(shapes.overlays(pairs, keys), keys)
+    out = shapes.measured(spread(pairs, "set_id", "roi_a", "roi_b"), keys)
     return out.select("set_id", "roi_a", "roi_b", F.expr("zk div 10000").alias("z"), "part", F.round("area").cast("long").alias("area"))
 
 
@@ -93,13 +92,16 @@ def generated_scenes(s, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     r, h = (1 + size % 4).cast("double"), (1 + k % 5).cast("double")
     own = B.read(s, d, "part").select("p_partkey", (k % 4).cast("int").alias("k"), r.alias("r"), F.when(k % 4 == 2, 2 * r).otherwise(h).alias("h"))
-    at = own.select("p_partkey", "k", "r", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("h") / 0.5).cast("int")), lambda i: F.round(-F.col("h") / 2 + i * 0.5, 4))).alias("z"))
+    # Parts of one kind and size have one volume: each is generated once.
+    size = ["k", "r", "h"]
+    at = own.select(*size).distinct().select(*size, F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("h") / 0.5).cast("int")), lambda i: F.round(-F.col("h") / 2 + i * 0.5, 4))).alias("z"))
     chord = F.greatest(F.round(2 * F.sqrt(F.greatest(F.col("r") * F.col("r") - F.col("z") * F.col("z"), F.lit(0.0))), 2), F.lit(0.01))
     prism = F.array(*[F.struct((F.lit(x) * F.col("r")).alias("x"), (F.lit(y) * F.col("r")).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (0.0, 3.0))])
     ring = F.when(F.col("k") == 0, G.box(F.col("r"), 2 * F.col("r"))).when(F.col("k") == 1, G.circle(F.col("r"))).when(F.col("k") == 2, G.box(F.lit(6.0), chord)).otherwise(prism)
     kind = F.element_at(F.array(*map(F.lit, ("cuboid", "cylinder", "bar", "prism"))), F.col("k") + 1)
     area = F.round(F.sum(scalars.ring_area(ring)), 3).alias("area")
-    return at.groupBy("p_partkey", kind.alias("kind")).agg(F.count("*").alias("n_contours"), area, F.min("z").alias("lo"), F.max("z").alias("hi"))
+    made = at.groupBy(*size, kind.alias("kind")).agg(F.count("*").alias("n_contours"), area, F.min("z").alias("lo"), F.max("z").alias("hi"))
+    return own.join(made, size).select("p_partkey", "kind", "n_contours", "area", "lo", "hi")
 
 
 def definition_table(s, d):

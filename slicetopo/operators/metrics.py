@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from dataclasses import dataclass
@@ -12,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 from . import kernel as K
+from .known import Known, packed_key
 from .structures import geometry
 
 #: Relations for which a metric applies.
@@ -104,6 +106,31 @@ class Cut:
 #: Structures along a side of a tile of pairs.
 TILE = 8
 Cuts = dict[int, list[Cut]]
+#: What a worker keeps of structures, of their pairs and of areas.
+_STACKS, _PAIRS, _AREAS = Known(2048), Known(50_000), Known(50_000)
+_NUMBERS = itertools.count()
+
+
+def _cut_key(row: dict) -> tuple:
+    return row["zk"], row["z"], tuple(row["labels"]), *(packed_key(*(row[f"{g}_{c}"] for c in ("ops", "n", "xy"))) for g in ("region", "boundary"))
+
+
+def _of_pairs(own: pd.DataFrame, todo: list[tuple[int, int]], each) -> list[list]:
+    """The rows that ``each`` gives for pairs of structures with these slices, without the pairs."""
+    rows: dict[int, list[dict]] = {}
+    for r in own.sort_values("zk").to_dict("records"):
+        rows.setdefault(int(r["roi"]), []).append(r)
+    stacks = {roi: _STACKS.one(tuple(map(_cut_key, of)), lambda of=of: (next(_NUMBERS), list(map(Cut, of)))) for roi, of in rows.items()}
+    cuts: Cuts = {roi: of for roi, (_, of) in stacks.items()}
+
+    def fresh(at: list[int]) -> list:
+        got: dict = {todo[i]: [] for i in at}
+        for a, b, *rest in each(cuts, [todo[i] for i in at]):
+            got[a, b].append(rest)
+        return [got[todo[i]] for i in at]
+
+    number = lambda roi: stacks[roi][0] if roi in stacks else None
+    return _PAIRS.many([(each.__name__, number(a), number(b)) for a, b in todo], fresh)
 
 
 def _in_tiles(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFrame:
@@ -120,14 +147,14 @@ def _in_tiles(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFra
     needed = dealt.select("set_id", F.col("tile_a").alias("row_tile"), F.col("tile_b").alias("column_tile"), both).distinct()
 
     def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        cuts: Cuts = {}
-        for r in own.to_dict("records"):
-            cuts.setdefault(int(r["roi"]), []).append(Cut(r))
         todo = list(zip(wanted["roi_a"].tolist(), wanted["roi_b"].tolist(), strict=True))
+        found = _of_pairs(own, todo, each)
         set_id = wanted["set_id"].iloc[0] if len(wanted) else None
-        return pd.DataFrame([(set_id, *row) for row in each(cuts, todo)], columns=names)
+        return pd.DataFrame([(set_id, a, b, *rest) for (a, b), of in zip(todo, found, strict=True) for rest in of], columns=names)
 
-    return slices.select(*keep).join(needed, ["set_id", "roi"]).groupBy("set_id", "row_tile", "column_tile").cogroup(dealt.groupBy("set_id", "tile_a", "tile_b")).applyInPandas(run, schema)
+    left, right = ("set_id", "row_tile", "column_tile"), ("set_id", "tile_a", "tile_b")
+    own = spread(slices.select(*keep).join(needed, ["set_id", "roi"]), *left)
+    return own.groupBy(*left).cogroup(spread(dealt, *right).groupBy(*right)).applyInPandas(run, schema)
 
 
 def _common(cuts: Cuts, todo: list[tuple[int, int]]) -> list[tuple[int, int, Cut, Cut]]:
@@ -251,7 +278,8 @@ def _areas(cuts: Cuts, todo: list[tuple[int, int]]):
 
 
 def _own_areas(pdf: pd.DataFrame) -> pd.DataFrame:
-    area = sum(K.area(Cut(r).all) for r in pdf.to_dict("records"))
+    rows = pdf.sort_values("zk").to_dict("records")
+    area = sum(_AREAS.one(_cut_key(r)[3:], lambda r=r: K.area(Cut(r).all)) for r in rows)
     return pd.DataFrame([(pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), area)], columns=["set_id", "roi", "area"])
 
 
@@ -269,7 +297,7 @@ def overlap(slices: DataFrame, relations: DataFrame, basis: str = "auto") -> Dat
     use = relations.where(F.col("relation").isin(*APPLIES["volume_overlap"]))
     own = slices.where("not is_boundary and not is_interpolated")
     per = _in_tiles(own, use, _areas, "set_id string, roi_a int, roi_b int, z double, common double").groupBy(*PAIR).agg(F.sum("common").alias("common_area"))
-    area = own.groupBy("set_id", "roi").applyInPandas(_own_areas, "set_id string, roi int, area double")
+    area = spread(own, "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_own_areas, "set_id string, roi int, area double")
     side = lambda x: area.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("area").alias(f"area_{x}"))
     got = use.select(*PAIR, "relation").join(per, PAIR).join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b"])
     of = {"larger": F.greatest("area_a", "area_b"), "smaller": F.least("area_a", "area_b"), "average": (F.col("area_a") + F.col("area_b")) / 2}

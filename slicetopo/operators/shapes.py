@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernel as K
+from .known import Known, moved_pairs, pair_names
 
 #: Parts of two regions, by what a point's membership must be.
 PARTS = {"a_only": lambda a, b: a & ~b, "b_only": lambda a, b: b & ~a, "both": lambda a, b: a & b, "either": lambda a, b: a | b, "one": lambda a, b: a ^ b}
@@ -173,6 +174,42 @@ def overlays(pairs: DataFrame, keys: list[str], margin: float = 0.0) -> DataFram
     return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {SHAPES}")
 
 
+#: What a worker keeps of the measures of pairs, by their bytes and moved to the origin.
+_PAIRS, _MOVED = Known(200_000), Known(200_000)
+
+
+def _measures(given: list) -> list[list[tuple]]:
+    """(part, n_polygons, n_holes, n_points, area) of each part of pairs of regions."""
+    keys, moved = moved_pairs(given)
+
+    def fresh(at: list[int]) -> list[list[tuple]]:
+        points = lambda p: len(p[0]) + sum(map(len, p[1]))
+        return [[(name, len(of), sum(len(p[1]) for p in of), sum(map(points, of)), sum(map(area, of))) for name, of in parts.items() if of] for parts in overlay_many([moved[i] for i in at])]
+
+    return _MOVED.many(keys, fresh)
+
+
+def _known(names: list, region) -> list[list[tuple]]:
+    return _PAIRS.many(names, lambda at: _measures([region(i) for i in at]))
+
+
+def measured(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """What :func:`measures` gives of the :func:`overlays` of two regions, a row of ``pairs`` for
+    each value of ``keys``: the shapes are measured where they are made, so nothing is shuffled."""
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            found = _known(*pair_names(b))
+            index = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            columns = list(zip(*(row for f in found for row in f), strict=True)) or [()] * 5
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(index) for c in keys], *[pa.array(list(x), type=t) for x, t in zip(columns, types, strict=True)]], names=[*keys, "part", "n_polygons", "n_holes", "n_points", "area"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part string, n_polygons long, n_holes long, n_points long, area double")
+
+
 def slice_pairs(slices: DataFrame, pairs: DataFrame, geometry: str = "region") -> DataFrame:
     """(set_id, roi_a, roi_b, zk and the packed regions a and b) of structure pairs on the
     slices that both have, for :func:`overlays`. ``pairs``: (set_id, roi_a, roi_b)."""

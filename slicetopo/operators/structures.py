@@ -12,6 +12,8 @@ before the shuffle. Functions take contours or the table that :func:`nodes` made
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,11 +21,16 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as bitcols
 from ..plans import definitions as D
-from ..session import ship
+from ..session import ship, spread
 from . import kernel as K
 from .interpolation import half_way
+from .known import Known, packed_key
 
 Z_STEP = 0.01
+#: What a worker keeps of structures, of shapes on a slice and of their pairs.
+_BUILT, _CUT, _REGIONS, _SHAPES, _LABELLED = (Known(n) for n in (4096, 2048, 2048, 8192, 8192))
+_BITS, _REGION_BITS = Known(300_000), Known(300_000)
+_NUMBERS = itertools.count()
 
 
 def key(z: float) -> int:
@@ -167,9 +174,15 @@ NODES = (
 
 
 def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pd.DataFrame({"z": pdf["z"], "ring": [np.array([(p["x"], p["y"]) for p in r]) for r in pdf["points"]]})
-    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
-    built = build(rows, list(pdf["zs"].iloc[0]))
+    zs = np.asarray(pdf["zs"].iloc[0])
+    key_ = (zs.tobytes(), tuple(pdf["z"]), tuple(r.tobytes() for r in pdf["xy"]))
+    made = _BUILT.one(key_, lambda: _built(pdf, list(zs)))
+    return made.assign(set_id=pdf["set_id"].iloc[0], roi=int(pdf["roi"].iloc[0]))
+
+
+def _built(pdf: pd.DataFrame, zs: list[float]) -> pd.DataFrame:
+    """Nodes of one structure, without its set and number."""
+    built = build(pd.DataFrame({"z": pdf["z"], "ring": [r.reshape(-1, 2) for r in pdf["xy"]]}), zs)
     own = built["nodes"]
     up: list[list[int]] = [[] for _ in own]
     for i, j in built["edges"]:
@@ -186,8 +199,8 @@ def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
                 hull_area[k] = abs(K.ring_area(K.convex_hull(own[k]["ring"])))
         h = (hull_area[i] + hull_area[j]) / 2 * gap
         volume[i] += (-v if a["hole"] else v, 0 if a["hole_type"] == "Closed" else -v if a["hole"] else v, 0 if a["hole"] else h)
-    out = [(set_id, roi, i, n["z"], np.round(n["ring"], 9).ravel().tolist(), abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], n["open"], n["cap"], n["made"], n.get("of", -1), n["region"], n["label"], up[i], *volume[i].tolist(), None) for i, n in enumerate(own)]
-    out += [(set_id, roi, -1, z, r.ravel().tolist(), abs(K.ring_area(r)), False, "None", False, False, False, -1, -1, "", [], 0.0, 0.0, 0.0, why) for z, r, why in built["bad"]]
+    out = [("", 0, i, n["z"], np.round(n["ring"], 9).ravel().tolist(), abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], n["open"], n["cap"], n["made"], n.get("of", -1), n["region"], n["label"], up[i], *volume[i].tolist(), None) for i, n in enumerate(own)]
+    out += [("", 0, -1, z, r.ravel().tolist(), abs(K.ring_area(r)), False, "None", False, False, False, -1, -1, "", [], 0.0, 0.0, 0.0, why) for z, r, why in built["bad"]]
     return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
@@ -202,8 +215,9 @@ def nodes(contours: DataFrame) -> DataFrame:
     checked = check_contours(contours.select("set_id", "roi", "z", "points"))
     good = checked.where("problem is null").drop("problem")
     seq = good.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
-    got = good.join(seq, "set_id").groupBy("set_id", "roi").applyInPandas(_nodes, NODES)
     xy = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
+    got = good.select("set_id", "roi", "z", xy.alias("xy")).join(seq, "set_id")
+    got = spread(got, "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_nodes, NODES)
     fields = {"set_id": F.col("set_id"), "roi": F.col("roi"), "z": F.col("z"), "ring": xy, "problem": F.col("problem"), "node": F.lit(-1), "of": F.lit(-1), "region": F.lit(-1)}
     bad = checked.where("problem is not null").select(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in NODES.split(", "))])
     return got.unionByName(bad)
@@ -278,22 +292,36 @@ def _own_nodes(pdf: pd.DataFrame) -> tuple[list[dict], list[tuple[int, int]]]:
     return own, [(i, int(j)) for i, up in enumerate(pdf["up"]) for j in up]
 
 
+def _nodes_key(pdf: pd.DataFrame, zs=()) -> tuple:
+    """What makes the nodes of a structure, in order, and a slice sequence."""
+    plain = ("z", "is_hole", "is_open", "is_cap", "is_made", "of", "region", "label")
+    return (*(tuple(pdf[c].tolist()) for c in plain), tuple(r.tobytes() for r in pdf["ring"]), tuple(u.tobytes() for u in pdf["up"]), np.asarray(zs, dtype=float).tobytes())
+
+
 def _structure(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("node")
+    set_id, roi, zs = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), pdf["all_z"].iloc[0]
+    named = lambda labels: [f"{roi}{x}" for x in labels]
+    rows = _CUT.one(_nodes_key(pdf, zs), lambda: _cut(pdf, list(zs)))
+    return pd.DataFrame([(set_id, roi, *row, named(labels), named(caps)) for *row, labels, caps in rows], columns=[c.split()[0] for c in SLICES.split(", ")])
+
+
+def _cut(pdf: pd.DataFrame, zs: list[float]) -> list[tuple]:
+    """Slices of one structure, without its set and number."""
     own, edges = _own_nodes(pdf)
-    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
     out = []
     by: dict[int, list] = {}
-    for n in [*own, *infill(own, edges, list(pdf["all_z"].iloc[0]))]:
+    for n in [*own, *infill(own, edges, zs)]:
         by.setdefault(key(n["z"]), []).append(n)
-    labels_of = lambda nodes: sorted({f"{roi}{n['label']}" for n in nodes if not n["hole"]})
+    labels_of = lambda nodes: sorted({n["label"] for n in nodes if not n["hole"]})
     for zk, here in sorted(by.items()):
         real = [n for n in here if not n["made"]]
         use = real if real else here
         one = assemble(use)
         one["hull"] = [("+", K.convex_hull(np.concatenate([n["ring"] for n in use if n["region"] == r and not n["hole"]]))) for r in sorted({n["region"] for n in use if not n["hole"]})]
         packed = [x for g in GEOMETRIES for x in K.pack(one[g])]
-        out.append((set_id, roi, zk, use[0]["z"], *packed, bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"]), labels_of(use), labels_of([n for n in use if n["cap"]])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
+        out.append((zk, use[0]["z"], *packed, bool(one["is_cap"]), not real, any(op == "+" for op, _ in one["region"]), labels_of(use), labels_of([n for n in use if n["cap"]])))
+    return out
 
 
 def region_slices(contours: DataFrame) -> DataFrame:
@@ -303,7 +331,7 @@ def region_slices(contours: DataFrame) -> DataFrame:
     before in-fill, so a structure is cut at its neighbours' caps as well."""
     own = usable(contours)
     all_z = own.where("not is_made or is_cap").groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("all_z"))
-    return own.join(all_z, "set_id").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
+    return spread(own.join(all_z, "set_id"), "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
 
 
 def select(slices: DataFrame, what: str) -> DataFrame:
@@ -354,11 +382,11 @@ def _equal(a: K.Region, b: K.Region) -> bool:
     return len(a) == len(b) and all(p == q and len(x) == len(y) and (x == y).all() for (p, x), (q, y) in zip(a, b, strict=True))
 
 
-class Side:
-    """One structure on a slice: its regions, read once, and what quick tests need."""
+class Shape:
+    """What a structure is on a slice: its regions, read once, and what quick tests need."""
 
     def __init__(self, row: dict):
-        self.roi, self.place, self.cap = int(row["roi"]), row["place"], bool(row["is_boundary"])
+        self.number, self.cap = next(_NUMBERS), bool(row["is_boundary"])
         self.real = bool(row["has_region"]) and (not row["is_interpolated"] or self.cap)
         self.present = bool(row["has_region"])
         self.made = bool(row["is_interpolated"])
@@ -370,6 +398,16 @@ class Side:
         self.filled = _equal(region, self.parts["exterior"])
         self.convex = len(region) == 1 and len(self.parts["hull"]) == 1 and K.is_convex(region[0][1])
 
+
+class Side:
+    """One structure on a slice."""
+
+    def __init__(self, row: dict):
+        flags = tuple(bool(row[c]) for c in ("is_boundary", "is_interpolated", "has_region"))
+        name = (*flags, *(packed_key(*(row[f"{g}_{c}"] for c in ("ops", "n", "xy"))) for g in GEOMETRIES))
+        self.__dict__.update(vars(_SHAPES.one(name, lambda: Shape(row))))
+        self.roi, self.place = int(row["roi"]), row["place"]
+
     def has(self, name: str) -> bool:
         return self.bounds[name] is not None
 
@@ -422,7 +460,9 @@ def _slice_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     sides = sorted((Side(r) for r in pdf.to_dict("records")), key=lambda s: s.place)
     pairs = [(a, b) for i, a in enumerate(sides) for b in sides[i + 1 :]]
     compared = [k for k, (a, b) in enumerate(pairs) if a.compared or b.compared]
-    bits = dict(zip(compared, pair_bits([pairs[k] for k in compared]), strict=True))
+    asked = [pairs[k] for k in compared]
+    known = _BITS.many([(a.number, b.number) for a, b in asked], lambda at: pair_bits([asked[i] for i in at]))
+    bits = dict(zip(compared, known, strict=True))
     set_id, zk = pdf["set_id"].iloc[0], int(pdf["zk"].iloc[0])
     rows = [(set_id, a.roi, b.roi, zk, bits.get(k, 0), int(a.real and b.present), int(b.real and a.present), a.made or b.made, a.cap or b.cap) for k, (a, b) in enumerate(pairs)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SLICES.split(", ")])
@@ -433,7 +473,7 @@ PAIR_SLICES = "set_id string, roi_a int, roi_b int, zk long, bits int, met_a int
 
 def _placed(shapes: DataFrame, order: DataFrame) -> DataFrame:
     """``shapes`` of structures in the order, with their place. The order comes as one map for
-    each set, so rows are dealt by set, and grouping them by set and slice moves them no more."""
+    each set."""
     places = order.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("roi", "place"))).alias("places"))
     return shapes.join(places, "set_id").withColumn("place", F.try_element_at("places", "roi")).drop("places").where("place is not null")
 
@@ -441,7 +481,7 @@ def _placed(shapes: DataFrame, order: DataFrame) -> DataFrame:
 def slice_relations(slices: DataFrame, order: DataFrame) -> DataFrame:
     """Bits of every pair on every slice that both have; 0 where only in-fill meets."""
     ship(slices.sparkSession)
-    return _placed(slices, order).groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
+    return spread(_placed(slices, order), "set_id", "zk").groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
 
 
 def pairs_of(order: DataFrame) -> DataFrame:
@@ -493,8 +533,16 @@ REGIONS = "set_id string, roi int, zk long, label string, ops string, n array<in
 
 
 def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("node")
+    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
+    rows = _REGIONS.one(_nodes_key(pdf), lambda: _labelled(pdf))
+    return pd.DataFrame([(set_id, roi, zk, f"{roi}{label}", *more) for zk, label, *more in rows], columns=[c.split()[0] for c in REGIONS.split(", ")])
+
+
+def _labelled(pdf: pd.DataFrame) -> list[tuple]:
+    """Regions of one structure, without its set and number."""
     own, _ = _own_nodes(pdf)
-    roi, out = int(pdf["roi"].iloc[0]), []
+    out = []
     by: dict[int, list] = {}
     for n in own:
         by.setdefault(key(n["z"]), []).append(n)
@@ -503,33 +551,44 @@ def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
             solids = [n for n in here if n["label"] == label and not n["hole"]]
             inner = [n for n in here if n["hole"] and any(not K.relate([("+", s["ring"])], [("+", n["ring"])]) & K.EI for s in solids)]
             ops = [("+" if not n["hole"] else "-", n["ring"]) for n in sorted([*solids, *inner], key=lambda n: -abs(K.ring_area(n["ring"])))]
-            out.append((pdf["set_id"].iloc[0], roi, zk, f"{roi}{label}", *K.pack(ops), any(n["cap"] for n in solids)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in REGIONS.split(", ")])
+            out.append((zk, label, *K.pack(ops), any(n["cap"] for n in solids)))
+    return out
 
 
 def regions(contours: DataFrame) -> DataFrame:
     """Every region of every structure on its slices, with its holes."""
-    return usable(contours).groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
+    return spread(usable(contours), "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
 
 
 REGION_PAIRS = "set_id string, roi_a int, roi_b int, region_a string, region_b string, bits int"
 
 
-def _region_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["place", "label"])
-    own = [(r.place, int(r.roi), r.label, K.unpack(r.ops, r.n, r.xy)) for r in pdf.itertuples()]
-    filled = [(K.solid(r), K.hull(r), K.bounds(r)) for _, _, _, r in own]
-    rows, todo = [], []
-    for (place_a, roi_a, label_a, a), (solid_a, hull_a, bounds_a) in zip(own, filled, strict=True):
-        for (place_b, roi_b, label_b, b), (_, _, bounds_b) in zip(own, filled, strict=True):
-            if place_a < place_b:
-                met = not K.apart(bounds_a, bounds_b)
-                if met:
-                    todo += [(a, b), (solid_a, b), (hull_a, b)]
-                rows.append((pdf["set_id"].iloc[0], roi_a, roi_b, label_a, label_b, met))
+def _filled(name: tuple) -> tuple:
+    """A region's number, itself, filled and convex, and its bounds."""
+    ops, n, xy = name
+    r = K.unpack(ops, np.frombuffer(n, dtype=np.int32), np.frombuffer(xy))
+    return next(_NUMBERS), r, K.solid(r), K.hull(r), K.bounds(r)
+
+
+def _region_bits(pairs: list[tuple]) -> list[int]:
+    """27 bits of pairs of regions, as :func:`_filled` gave them."""
+    met = [not K.apart(x[4], y[4]) for x, y in pairs]
+    todo = [(a, y[1]) for (x, y), m in zip(pairs, met, strict=True) if m for a in x[1:4]]
     nine = iter(K.relate_many(todo).tolist())
     outside = (K.EE | K.IE | K.BE | K.EI | K.EB) * ((1 << 18) + (1 << 9) + 1)
-    rows = [(*r, next(nine) << 18 | next(nine) << 9 | next(nine) if met else outside) for *r, met in rows]
+    return [next(nine) << 18 | next(nine) << 9 | next(nine) if m else outside for m in met]
+
+
+def _region_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["place", "label"])
+    names = [packed_key(r.ops, r.n, r.xy) for r in pdf.itertuples()]
+    shapes = _LABELLED.many(names, lambda at: [_filled(names[i]) for i in at])
+    own = list(zip(pdf["place"].tolist(), pdf["roi"].tolist(), pdf["label"].tolist(), shapes, strict=True))
+    pairs = [(a, b) for a in own for b in own if a[0] < b[0]]
+    asked = [(a[3], b[3]) for a, b in pairs]
+    bits = _REGION_BITS.many([(x[0], y[0]) for x, y in asked], lambda at: _region_bits([asked[i] for i in at]))
+    set_id = pdf["set_id"].iloc[0]
+    rows = [(set_id, a[1], b[1], a[2], b[2], n) for (a, b), n in zip(pairs, bits, strict=True)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in REGION_PAIRS.split(", ")])
 
 
@@ -538,6 +597,6 @@ def region_relations(regions_: DataFrame, order: DataFrame) -> DataFrame:
     Only slices that both have count, boundary slices like others; the second region's
     filled form and hull are the region itself."""
     ship(regions_.sparkSession)
-    got = _placed(regions_, order).groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
+    got = spread(_placed(regions_, order), "set_id", "zk").groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
     names = ["set_id", "roi_a", "roi_b", "region_a", "region_b"]
     return got.groupBy(*names).agg(F.bit_or("bits").alias("bits")).withColumn("relation", D.classify(F.col("bits")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from ..session import ship
 from . import kernel as K
 from . import shapes as S
+from .known import Known, moved_pairs, pair_names, region_key
 
 #: Cells but the last, which is always set, by the zones that meet.
 CELLS = ((K.II, "core", "core"), (K.IB, "core", "band"), (K.IE, "core", "out"), (K.BI, "band", "core"), (K.BB, "band", "band"), (K.BE, "band", "out"), (K.EI, "out", "core"), (K.EB, "out", "band"))
@@ -33,8 +34,9 @@ def zones(region: K.Region, margin: float) -> tuple[K.Region, K.Region]:
     return core, full
 
 
-#: Pairs that are cut at once, and regions whose zones a task keeps.
-AT_ONCE, KEPT = 64, 4096
+#: Pairs that are cut at once, and what a worker keeps of regions' zones and of pairs' bits.
+AT_ONCE = 64
+_ZONES, _MOVED, _BITS = Known(4096), Known(300_000), Known(300_000)
 Zones = tuple[K.Region, K.Region]
 
 
@@ -65,25 +67,30 @@ def _some(pairs: list[tuple[Zones, Zones]]) -> np.ndarray:
     return out
 
 
+def known_bits(names: list, region, margin: float) -> list[int]:
+    """The nine bits of pairs of regions by their names; ``region`` gives those of a place."""
+
+    def by_move(at: list[int]) -> list[int]:
+        given = [region(i) for i in at]
+
+        def fresh(new: list[int]) -> list[int]:
+            traced = [_ZONES.one((margin, region_key(r)), lambda r=r: zones(r, margin)) for k in new for r in given[k]]
+            return relate_zones(list(zip(traced[::2], traced[1::2], strict=True))).tolist()
+
+        return _MOVED.many([(margin, k) for k in moved_pairs(given)[0]], fresh)
+
+    return _BITS.many([(margin, n) for n in names], by_move)
+
+
 def relations_within(pairs: DataFrame, keys: list[str], margin: float) -> DataFrame:
     """``keys`` with ``bits`` (nine) of two regions a_ops, a_n, a_xy and b_... whose boundaries are
     as wide as the margin on both sides. A task keeps the zones of regions it has met."""
     ship(pairs.sparkSession)
 
     def run(batches):
-        known: dict[tuple, Zones] = {}
-
-        def zones_of(row: dict, x: str) -> Zones:
-            name = (row[f"{x}_ops"], tuple(row[f"{x}_n"]), tuple(row[f"{x}_xy"]))
-            if name not in known:
-                if len(known) > KEPT:
-                    known.clear()
-                known[name] = zones(K.unpack(*name), margin)
-            return known[name]
-
         for b in batches:
-            given = [(zones_of(r, "a"), zones_of(r, "b")) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(relate_zones(given), type=pa.int32())], names=[*keys, "bits"])
+            got = known_bits(*pair_names(b), margin)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(got, type=pa.int32())], names=[*keys, "bits"])
 
     kinds = dict(pairs.dtypes)
     return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bits int")

@@ -58,3 +58,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over all cores, twice at least. Geometry is small in bytes and long in
+    work; a shuffle whose number of tasks follows from bytes would put it into one task."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
