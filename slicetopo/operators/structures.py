@@ -1,7 +1,7 @@
 """From contours to region slices, and from these to relations and metrics.
 
-A structure (one ROI of a set) is small: its contours are put together in one grouped
-call, over the set's slice sequence, which travels as an array column. What comes out,
+A structure (one ROI of a set) is small: its contours are put together at once, over the set's
+slice sequence, which travels as an array column, with many structures in a call. What comes out,
 contours and caps with their links, is a table (:func:`nodes`) from which all else is made:
 volumes, reports, regions, and the region slices. What grows with the corpus, the number of
 sets, structures and pairs, is spread by Spark: contours are shuffled once by structure,
@@ -16,21 +16,25 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as bitcols
 from ..plans import definitions as D
-from ..session import ship, spread
 from . import kernel as K
+from .groups import arrow_schema, in_groups, names_of, repeated, runs
 from .interpolation import half_way
-from .known import Known, packed_key
+from .known import Known
 
 Z_STEP = 0.01
 #: What a worker keeps of structures, of shapes on a slice and of their pairs.
 _BUILT, _CUT, _REGIONS, _SHAPES, _LABELLED = (Known(n) for n in (4096, 2048, 2048, 8192, 8192))
 _BITS, _REGION_BITS = Known(300_000), Known(300_000)
 _NUMBERS = itertools.count()
+#: Pairs of a slice that are put in one table.
+AT_ONCE = 200_000
 
 
 def key(z: float) -> int:
@@ -174,13 +178,37 @@ NODES = (
 
 
 def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-    zs = np.asarray(pdf["zs"].iloc[0])
-    key_ = (zs.tobytes(), tuple(pdf["z"]), tuple(r.tobytes() for r in pdf["xy"]))
-    made = _BUILT.one(key_, lambda: _built(pdf, list(zs)))
-    return made.assign(set_id=pdf["set_id"].iloc[0], roi=int(pdf["roi"].iloc[0]))
+    """The nodes of one structure's contours."""
+    return pa.concat_tables(_node_rows(pa.Table.from_pandas(pdf, preserve_index=False), np.zeros(1, dtype=np.int64))).to_pandas()
 
 
-def _built(pdf: pd.DataFrame, zs: list[float]) -> pd.DataFrame:
+def _with_names(found: list[pa.Table], t: pa.Table, starts: np.ndarray, schema: str) -> pa.Table:
+    """The rows found for each structure, with its set and number."""
+    rows, owner = repeated(found)
+    for k, c in enumerate(("set_id", "roi")):
+        rows = rows.add_column(k, c, t[c].take(pa.array(starts[owner])))
+    return rows.select(arrow_schema(schema).names)
+
+
+def _own_rows(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows of one structure without its set and number, which are the first two columns."""
+    kinds = list(arrow_schema(schema))[2:]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(list(x), type=f.type) for f, x in zip(kinds, columns, strict=True)], names=[f.name for f in kinds])
+
+
+def _node_rows(t: pa.Table, starts: np.ndarray):
+    ends = np.append(starts[1:], t.num_rows)
+    zs = t["zs"].take(pa.array(starts))
+    names = list(zip(names_of(t, starts, ("z", "xy")), names_of(pa.table({"zs": zs}), np.arange(len(starts)), ("zs",)), strict=True))
+
+    def fresh(at: list[int]) -> list[pa.Table]:
+        return [_own_rows(_built(t.slice(starts[i], ends[i] - starts[i]).select(["z", "xy"]).to_pandas(), zs[i].as_py()), NODES) for i in at]
+
+    yield _with_names(_BUILT.many(names, fresh), t, starts, NODES)
+
+
+def _built(pdf: pd.DataFrame, zs: list[float]) -> list[tuple]:
     """Nodes of one structure, without its set and number."""
     built = build(pd.DataFrame({"z": pdf["z"], "ring": [r.reshape(-1, 2) for r in pdf["xy"]]}), zs)
     own = built["nodes"]
@@ -199,9 +227,9 @@ def _built(pdf: pd.DataFrame, zs: list[float]) -> pd.DataFrame:
                 hull_area[k] = abs(K.ring_area(K.convex_hull(own[k]["ring"])))
         h = (hull_area[i] + hull_area[j]) / 2 * gap
         volume[i] += (-v if a["hole"] else v, 0 if a["hole_type"] == "Closed" else -v if a["hole"] else v, 0 if a["hole"] else h)
-    out = [("", 0, i, n["z"], np.round(n["ring"], 9).ravel().tolist(), abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], n["open"], n["cap"], n["made"], n.get("of", -1), n["region"], n["label"], up[i], *volume[i].tolist(), None) for i, n in enumerate(own)]
-    out += [("", 0, -1, z, r.ravel().tolist(), abs(K.ring_area(r)), False, "None", False, False, False, -1, -1, "", [], 0.0, 0.0, 0.0, why) for z, r, why in built["bad"]]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
+    out = [(i, n["z"], np.round(n["ring"], 9).ravel().tolist(), abs(K.ring_area(n["ring"])), n["hole"], n["hole_type"], n["open"], n["cap"], n["made"], n.get("of", -1), n["region"], n["label"], up[i], *volume[i].tolist(), None) for i, n in enumerate(own)]
+    out += [(-1, z, r.ravel().tolist(), abs(K.ring_area(r)), False, "None", False, False, False, -1, -1, "", [], 0.0, 0.0, 0.0, why) for z, r, why in built["bad"]]
+    return out
 
 
 def nodes(contours: DataFrame) -> DataFrame:
@@ -211,13 +239,12 @@ def nodes(contours: DataFrame) -> DataFrame:
     steps follow."""
     if "node" in contours.columns:
         return contours
-    ship(contours.sparkSession)
     checked = check_contours(contours.select("set_id", "roi", "z", "points"))
     good = checked.where("problem is null").drop("problem")
     seq = good.groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("zs"))
     xy = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
     got = good.select("set_id", "roi", "z", xy.alias("xy")).join(seq, "set_id")
-    got = spread(got, "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_nodes, NODES)
+    got = in_groups(got, ("set_id", "roi"), ("z", "xy"), _node_rows, NODES)
     fields = {"set_id": F.col("set_id"), "roi": F.col("roi"), "z": F.col("z"), "ring": xy, "problem": F.col("problem"), "node": F.lit(-1), "of": F.lit(-1), "region": F.lit(-1)}
     bad = checked.where("problem is not null").select(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in NODES.split(", "))])
     return got.unionByName(bad)
@@ -286,29 +313,38 @@ def geometry(row, name: str) -> K.Region:
     return K.unpack(row[f"{name}_ops"], row[f"{name}_n"], row[f"{name}_xy"])
 
 
-def _own_nodes(pdf: pd.DataFrame) -> tuple[list[dict], list[tuple[int, int]]]:
-    pdf = pdf.sort_values("node")
-    own = [{"z": r.z, "ring": np.asarray(r.ring).reshape(-1, 2), "hole": r.is_hole, "open": r.is_open, "cap": r.is_cap, "made": r.is_made, "of": r.of, "region": r.region, "label": r.label} for r in pdf.itertuples()]
-    return own, [(i, int(j)) for i, up in enumerate(pdf["up"]) for j in up]
+#: What makes a node of a structure.
+_PLAIN = ("z", "ring", "is_hole", "is_open", "is_cap", "is_made", "of", "region", "label", "up")
+
 
+def _own_nodes(t: pa.Table) -> tuple[list[dict], list[tuple[int, int]]]:
+    rows = t.select(list(_PLAIN)).to_pylist()
+    own = [{"z": r["z"], "ring": np.asarray(r["ring"], dtype=float).reshape(-1, 2), "hole": r["is_hole"], "open": r["is_open"], "cap": r["is_cap"], "made": r["is_made"], "of": r["of"], "region": r["region"], "label": r["label"]} for r in rows]
+    return own, [(i, j) for i, r in enumerate(rows) for j in r["up"]]
 
-def _nodes_key(pdf: pd.DataFrame, zs=()) -> tuple:
-    """What makes the nodes of a structure, in order, and a slice sequence."""
-    plain = ("z", "is_hole", "is_open", "is_cap", "is_made", "of", "region", "label")
-    return (*(tuple(pdf[c].tolist()) for c in plain), tuple(r.tobytes() for r in pdf["ring"]), tuple(u.tobytes() for u in pdf["up"]), np.asarray(zs, dtype=float).tobytes())
 
+def _prefixed(labels, owner: np.ndarray, roi) -> pa.Array:
+    """Lists of labels, each with the number of its structure before it."""
+    own = labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels
+    size = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+    whose = roi.take(pa.array(np.repeat(owner, size)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), type=pa.int32()), pc.binary_join_element_wise(pc.cast(whose, pa.string()), own.flatten(), ""))
 
-def _structure(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    set_id, roi, zs = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), pdf["all_z"].iloc[0]
-    named = lambda labels: [f"{roi}{x}" for x in labels]
-    rows = _CUT.one(_nodes_key(pdf, zs), lambda: _cut(pdf, list(zs)))
-    return pd.DataFrame([(set_id, roi, *row, named(labels), named(caps)) for *row, labels, caps in rows], columns=[c.split()[0] for c in SLICES.split(", ")])
 
+def _structure_rows(t: pa.Table, starts: np.ndarray):
+    ends = np.append(starts[1:], t.num_rows)
+    zs = t["all_z"].take(pa.array(starts))
+    names = list(zip(names_of(t, starts, _PLAIN), names_of(pa.table({"zs": zs}), np.arange(len(starts)), ("zs",)), strict=True))
+    found = _CUT.many(names, lambda at: [_own_rows(_cut(*_own_nodes(t.slice(starts[i], ends[i] - starts[i])), zs[i].as_py()), SLICES) for i in at])
+    rows = _with_names(found, t, starts, SLICES)
+    roi = rows["roi"].combine_chunks()
+    for c in ("labels", "cap_labels"):
+        rows = rows.set_column(rows.schema.get_field_index(c), c, _prefixed(rows[c], np.arange(rows.num_rows), roi))
+    yield rows
 
-def _cut(pdf: pd.DataFrame, zs: list[float]) -> list[tuple]:
+
+def _cut(own: list[dict], edges: list[tuple[int, int]], zs: list[float]) -> list[tuple]:
     """Slices of one structure, without its set and number."""
-    own, edges = _own_nodes(pdf)
     out = []
     by: dict[int, list] = {}
     for n in [*own, *infill(own, edges, zs)]:
@@ -331,7 +367,7 @@ def region_slices(contours: DataFrame) -> DataFrame:
     before in-fill, so a structure is cut at its neighbours' caps as well."""
     own = usable(contours)
     all_z = own.where("not is_made or is_cap").groupBy("set_id").agg(F.sort_array(F.collect_set("z")).alias("all_z"))
-    return spread(own.join(all_z, "set_id"), "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_structure, SLICES)
+    return in_groups(own.join(all_z, "set_id"), ("set_id", "roi"), ("node",), _structure_rows, SLICES)
 
 
 def select(slices: DataFrame, what: str) -> DataFrame:
@@ -398,16 +434,6 @@ class Shape:
         self.filled = _equal(region, self.parts["exterior"])
         self.convex = len(region) == 1 and len(self.parts["hull"]) == 1 and K.is_convex(region[0][1])
 
-
-class Side:
-    """One structure on a slice."""
-
-    def __init__(self, row: dict):
-        flags = tuple(bool(row[c]) for c in ("is_boundary", "is_interpolated", "has_region"))
-        name = (*flags, *(packed_key(*(row[f"{g}_{c}"] for c in ("ops", "n", "xy"))) for g in GEOMETRIES))
-        self.__dict__.update(vars(_SHAPES.one(name, lambda: Shape(row))))
-        self.roi, self.place = int(row["roi"]), row["place"]
-
     def has(self, name: str) -> bool:
         return self.bounds[name] is not None
 
@@ -417,7 +443,7 @@ def _nine_to(bits9: int, a_cap: bool, b_cap: bool) -> int:
     return (target if bits9 & K.II else 0) << 18
 
 
-def pair_bits(pairs: list[tuple[Side, Side]]) -> list[int]:
+def pair_bits(pairs: list[tuple[Shape, Shape]]) -> list[int]:
     """27 bits of pairs of structures on one slice. What has to be compared is listed first
     and compared in one go; boxes that don't meet are answered at once."""
     bits, todo, wanted = [0] * len(pairs), [], []
@@ -456,16 +482,33 @@ def pair_bits(pairs: list[tuple[Side, Side]]) -> list[int]:
     return bits
 
 
-def _slice_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    sides = sorted((Side(r) for r in pdf.to_dict("records")), key=lambda s: s.place)
-    pairs = [(a, b) for i, a in enumerate(sides) for b in sides[i + 1 :]]
-    compared = [k for k, (a, b) in enumerate(pairs) if a.compared or b.compared]
-    asked = [pairs[k] for k in compared]
-    known = _BITS.many([(a.number, b.number) for a, b in asked], lambda at: pair_bits([asked[i] for i in at]))
-    bits = dict(zip(compared, known, strict=True))
-    set_id, zk = pdf["set_id"].iloc[0], int(pdf["zk"].iloc[0])
-    rows = [(set_id, a.roi, b.roi, zk, bits.get(k, 0), int(a.real and b.present), int(b.real and a.present), a.made or b.made, a.cap or b.cap) for k, (a, b) in enumerate(pairs)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SLICES.split(", ")])
+def _known_pairs(memory: Known, shapes: list, number: np.ndarray, a: np.ndarray, b: np.ndarray, answer) -> np.ndarray:
+    """What ``answer`` gives for pairs of shapes; those with the same numbers are asked for once."""
+    code, first, back = np.unique(number[a] << 32 | number[b], return_index=True, return_inverse=True)
+    pair = lambda i: (shapes[a[first[i]]], shapes[b[first[i]]])
+    return np.array(memory.many(code.tolist(), lambda at: answer([pair(i) for i in at])), dtype=np.int64)[back.ravel()] if len(code) else np.zeros(0, dtype=np.int64)
+
+
+_SHAPE = ["is_boundary", "is_interpolated", "has_region", *(f"{g}_{c}" for g in GEOMETRIES for c in ("ops", "n", "xy"))]
+
+
+def _slice_pair_rows(t: pa.Table, starts: np.ndarray):
+    n = t.num_rows
+    own = t.select(_SHAPE)
+    shapes = _SHAPES.many(names_of(own, np.arange(n), _SHAPE), lambda at: [Shape(r) for r in own.take(pa.array(at)).to_pylist()])
+    number = np.array([x.number for x in shapes], dtype=np.int64)
+    real, present, made, cap, compared = (np.array([getattr(x, c) for x in shapes], dtype=bool) for c in ("real", "present", "made", "cap", "compared"))
+    # A row meets all that come after it in its group.
+    after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1
+    for lo, hi in runs(after, AT_ONCE):
+        a, k = K._within(after[lo:hi])
+        a = a + lo
+        b = a + k + 1
+        asked = compared[a] | compared[b]
+        bits = np.zeros(len(a), dtype=np.int64)
+        bits[asked] = _known_pairs(_BITS, shapes, number, a[asked], b[asked], pair_bits)
+        at = lambda c, i: t[c].take(pa.array(i))
+        yield pa.table([at("set_id", a), at("roi", a), at("roi", b), at("zk", a), bits, (real[a] & present[b]).astype(np.int64), (real[b] & present[a]).astype(np.int64), made[a] | made[b], cap[a] | cap[b]], names=[c.split()[0] for c in PAIR_SLICES.split(", ")])
 
 
 PAIR_SLICES = "set_id string, roi_a int, roi_b int, zk long, bits int, met_a int, met_b int, is_interpolated boolean, has_boundary boolean"
@@ -480,8 +523,8 @@ def _placed(shapes: DataFrame, order: DataFrame) -> DataFrame:
 
 def slice_relations(slices: DataFrame, order: DataFrame) -> DataFrame:
     """Bits of every pair on every slice that both have; 0 where only in-fill meets."""
-    ship(slices.sparkSession)
-    return spread(_placed(slices, order), "set_id", "zk").groupBy("set_id", "zk").applyInPandas(_slice_pairs, PAIR_SLICES)
+    placed = _placed(slices, order).select("set_id", "roi", "zk", "place", *_SHAPE)
+    return in_groups(placed, ("set_id", "zk"), ("place", "roi"), _slice_pair_rows, PAIR_SLICES)
 
 
 def pairs_of(order: DataFrame) -> DataFrame:
@@ -532,16 +575,15 @@ def is_complete(done: DataFrame, order: DataFrame) -> DataFrame:
 REGIONS = "set_id string, roi int, zk long, label string, ops string, n array<int>, xy array<double>, is_boundary boolean"
 
 
-def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    set_id, roi = pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0])
-    rows = _REGIONS.one(_nodes_key(pdf), lambda: _labelled(pdf))
-    return pd.DataFrame([(set_id, roi, zk, f"{roi}{label}", *more) for zk, label, *more in rows], columns=[c.split()[0] for c in REGIONS.split(", ")])
+def _region_rows(t: pa.Table, starts: np.ndarray):
+    ends = np.append(starts[1:], t.num_rows)
+    found = _REGIONS.many(names_of(t, starts, _PLAIN), lambda at: [_own_rows(_labelled(_own_nodes(t.slice(starts[i], ends[i] - starts[i]))[0]), REGIONS) for i in at])
+    rows = _with_names(found, t, starts, REGIONS)
+    yield rows.set_column(rows.schema.get_field_index("label"), "label", pc.binary_join_element_wise(pc.cast(rows["roi"], pa.string()), rows["label"], ""))
 
 
-def _labelled(pdf: pd.DataFrame) -> list[tuple]:
+def _labelled(own: list[dict]) -> list[tuple]:
     """Regions of one structure, without its set and number."""
-    own, _ = _own_nodes(pdf)
     out = []
     by: dict[int, list] = {}
     for n in own:
@@ -557,16 +599,15 @@ def _labelled(pdf: pd.DataFrame) -> list[tuple]:
 
 def regions(contours: DataFrame) -> DataFrame:
     """Every region of every structure on its slices, with its holes."""
-    return spread(usable(contours), "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_regions, REGIONS)
+    return in_groups(usable(contours), ("set_id", "roi"), ("node",), _region_rows, REGIONS)
 
 
 REGION_PAIRS = "set_id string, roi_a int, roi_b int, region_a string, region_b string, bits int"
 
 
-def _filled(name: tuple) -> tuple:
+def _filled(row: dict) -> tuple:
     """A region's number, itself, filled and convex, and its bounds."""
-    ops, n, xy = name
-    r = K.unpack(ops, np.frombuffer(n, dtype=np.int32), np.frombuffer(xy))
+    r = K.unpack(row["ops"], row["n"], row["xy"])
     return next(_NUMBERS), r, K.solid(r), K.hull(r), K.bounds(r)
 
 
@@ -579,24 +620,31 @@ def _region_bits(pairs: list[tuple]) -> list[int]:
     return [next(nine) << 18 | next(nine) << 9 | next(nine) if m else outside for m in met]
 
 
-def _region_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["place", "label"])
-    names = [packed_key(r.ops, r.n, r.xy) for r in pdf.itertuples()]
-    shapes = _LABELLED.many(names, lambda at: [_filled(names[i]) for i in at])
-    own = list(zip(pdf["place"].tolist(), pdf["roi"].tolist(), pdf["label"].tolist(), shapes, strict=True))
-    pairs = [(a, b) for a in own for b in own if a[0] < b[0]]
-    asked = [(a[3], b[3]) for a, b in pairs]
-    bits = _REGION_BITS.many([(x[0], y[0]) for x, y in asked], lambda at: _region_bits([asked[i] for i in at]))
-    set_id = pdf["set_id"].iloc[0]
-    rows = [(set_id, a[1], b[1], a[2], b[2], n) for (a, b), n in zip(pairs, bits, strict=True)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in REGION_PAIRS.split(", ")])
+def _region_pair_rows(t: pa.Table, starts: np.ndarray):
+    n = t.num_rows
+    own = t.select(["ops", "n", "xy"])
+    shapes = _LABELLED.many(names_of(own, np.arange(n), own.column_names), lambda at: [_filled(r) for r in own.take(pa.array(at)).to_pylist()])
+    number = np.array([x[0] for x in shapes], dtype=np.int64)
+    # A region meets those of the structures after its own in its group.
+    size = np.diff(np.append(starts, n))
+    group = np.repeat(np.arange(len(starts)), size)
+    place = t["place"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (group[1:] != group[:-1])]))
+    behind = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    count = np.repeat(np.append(starts[1:], n), size) - behind
+    for lo, hi in runs(count, AT_ONCE):
+        a, k = K._within(count[lo:hi])
+        a = a + lo
+        b = behind[a] + k
+        bits = _known_pairs(_REGION_BITS, shapes, number, a, b, _region_bits)
+        at = lambda c, i: t[c].take(pa.array(i))
+        yield pa.table([at("set_id", a), at("roi", a), at("roi", b), at("label", a), at("label", b), bits], names=[c.split()[0] for c in REGION_PAIRS.split(", ")])
 
 
 def region_relations(regions_: DataFrame, order: DataFrame) -> DataFrame:
     """(set_id, roi_a, roi_b, region_a, region_b, bits, relation) of every pair of regions.
     Only slices that both have count, boundary slices like others; the second region's
     filled form and hull are the region itself."""
-    ship(regions_.sparkSession)
-    got = spread(_placed(regions_, order), "set_id", "zk").groupBy("set_id", "zk").applyInPandas(_region_pairs, REGION_PAIRS)
+    got = in_groups(_placed(regions_, order), ("set_id", "zk"), ("place", "label"), _region_pair_rows, REGION_PAIRS)
     names = ["set_id", "roi_a", "roi_b", "region_a", "region_b"]
     return got.groupBy(*names).agg(F.bit_or("bits").alias("bits")).withColumn("relation", D.classify(F.col("bits")))
