@@ -6,16 +6,16 @@ import itertools
 import json
 import math
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, spread
 from . import kernel as K
-from .known import Known, packed_key
+from .groups import arrow_schema, in_groups, names_of
+from .known import Known
 from .structures import geometry
 
 #: Relations for which a metric applies.
@@ -111,50 +111,68 @@ _STACKS, _PAIRS, _AREAS = Known(2048), Known(50_000), Known(50_000)
 _NUMBERS = itertools.count()
 
 
-def _cut_key(row: dict) -> tuple:
-    return row["zk"], row["z"], tuple(row["labels"]), *(packed_key(*(row[f"{g}_{c}"] for c in ("ops", "n", "xy"))) for g in ("region", "boundary"))
-
-
-def _of_pairs(own: pd.DataFrame, todo: list[tuple[int, int]], each) -> list[list]:
-    """The rows that ``each`` gives for pairs of structures with these slices, without the pairs."""
-    rows: dict[int, list[dict]] = {}
-    for r in own.sort_values("zk").to_dict("records"):
-        rows.setdefault(int(r["roi"]), []).append(r)
-    stacks = {roi: _STACKS.one(tuple(map(_cut_key, of)), lambda of=of: (next(_NUMBERS), list(map(Cut, of)))) for roi, of in rows.items()}
-    cuts: Cuts = {roi: of for roi, (_, of) in stacks.items()}
+#: What makes a structure's slices.
+_GEOMETRY = [f"{g}_{c}" for g in ("region", "boundary") for c in ("ops", "n", "xy")]
+_STACK = ["zk", "z", "labels", *_GEOMETRY]
+
+
+def _tile_rows(each, schema: str, t: pa.Table, starts: np.ndarray):
+    """``each`` over the pairs of tiles: rows without ``roi_b`` are slices of structures, by
+    structure and slice, the others are pairs. Pairs of equal structures are asked for once."""
+    n = t.num_rows
+    is_pair = t["roi_b"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    cut, pair = np.flatnonzero(~is_pair), np.flatnonzero(is_pair)
+    code = lambda at, c: tile[at] << 32 | (t[c].take(pa.array(at)).to_numpy().astype(np.int64) + (1 << 31))
+    own, of = t.select(_STACK).take(pa.array(cut)), code(cut, "roi")
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
+    ends = np.append(first[1:], len(of))
+    stacks = _STACKS.many(names_of(own, first, _STACK), lambda at: [(next(_NUMBERS), list(map(Cut, own.slice(first[i], ends[i] - first[i]).to_pylist()))) for i in at])
+    # The last, without slices, stands for structures that have none.
+    stacks = [*stacks, (-1, [])]
+    number, known = np.array([k for k, _ in stacks], dtype=np.int64), of[first]
+
+    def side(c: str) -> np.ndarray:
+        wanted = code(pair, c)
+        at = np.searchsorted(known, wanted)
+        return np.where(np.append(known, -1)[at] == wanted, at, len(known))
+
+    a, b = side("roi"), side("roi_b")
+    _, some, back = np.unique(np.stack([number[a], number[b]], axis=1), axis=0, return_index=True, return_inverse=True)
+    todo = list(zip(number[a[some]].tolist(), number[b[some]].tolist(), strict=True))
 
     def fresh(at: list[int]) -> list:
         got: dict = {todo[i]: [] for i in at}
-        for a, b, *rest in each(cuts, [todo[i] for i in at]):
-            got[a, b].append(rest)
+        cuts: Cuts = dict(stacks[x[some[i]]] for i in at for x in (a, b))
+        for x, y, *rest in each(cuts, [todo[i] for i in at]):
+            got[x, y].append(rest)
         return [got[todo[i]] for i in at]
 
-    number = lambda roi: stacks[roi][0] if roi in stacks else None
-    return _PAIRS.many([(each.__name__, number(a), number(b)) for a, b in todo], fresh)
+    found = _PAIRS.many([(each.__name__, *k) for k in todo], fresh)
+    size = np.array([len(f) for f in found], dtype=np.int64)
+    back = back.ravel()
+    owner, k = K._within(size[back])
+    at = pa.array((np.cumsum(size) - size)[back][owner] + k, type=pa.int64())
+    kinds = list(arrow_schema(schema))
+    columns = list(zip(*(r for f in found for r in f), strict=True)) or [()] * (len(kinds) - 3)
+    rows = pa.array(pair[owner])
+    names = [t[c].take(rows) for c in ("set_id", "roi", "roi_b")]
+    yield pa.table([*names, *(pa.array(list(x), type=f.type).take(at) for f, x in zip(kinds[3:], columns, strict=True))], names=[f.name for f in kinds])
 
 
 def _in_tiles(slices: DataFrame, pairs: DataFrame, each, schema: str) -> DataFrame:
     """``each(cuts, wanted)`` over tiles of a set's pairs, as rows. A set's structures are dealt
     into rows and columns of about ``TILE``, so a task has the pairs of one tile and only the
     slices of their structures, and a large set is spread like many small ones."""
-    ship(slices.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
-    keep = ["set_id", "roi", "zk", "z", "region_ops", "region_n", "region_xy", "boundary_ops", "boundary_n", "boundary_xy", "labels"]
     both = F.explode(F.array("roi_a", "roi_b")).alias("roi")
     sizes = pairs.select("set_id", both).groupBy("set_id").agg(F.ceil(F.count_distinct("roi") / TILE).alias("tiles"))
     tile = lambda c: F.pmod(F.xxhash64(c), F.col("tiles"))
-    dealt = pairs.select(*PAIR).join(sizes, "set_id").select(*PAIR, tile("roi_a").alias("tile_a"), tile("roi_b").alias("tile_b"))
-    needed = dealt.select("set_id", F.col("tile_a").alias("row_tile"), F.col("tile_b").alias("column_tile"), both).distinct()
-
-    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        todo = list(zip(wanted["roi_a"].tolist(), wanted["roi_b"].tolist(), strict=True))
-        found = _of_pairs(own, todo, each)
-        set_id = wanted["set_id"].iloc[0] if len(wanted) else None
-        return pd.DataFrame([(set_id, a, b, *rest) for (a, b), of in zip(todo, found, strict=True) for rest in of], columns=names)
-
-    left, right = ("set_id", "row_tile", "column_tile"), ("set_id", "tile_a", "tile_b")
-    own = spread(slices.select(*keep).join(needed, ["set_id", "roi"]), *left)
-    return own.groupBy(*left).cogroup(spread(dealt, *right).groupBy(*right)).applyInPandas(run, schema)
+    dealt = pairs.select(*PAIR).join(sizes, "set_id").select(*PAIR, tile("roi_a").alias("row_tile"), tile("roi_b").alias("column_tile"))
+    tiles = ("set_id", "row_tile", "column_tile")
+    needed = dealt.select(*tiles, both).distinct()
+    own = slices.select("set_id", "roi", *_STACK).join(needed, ["set_id", "roi"])
+    mixed = own.unionByName(dealt.select(*tiles, F.col("roi_a").alias("roi"), "roi_b"), allowMissingColumns=True)
+    return in_groups(mixed, tiles, ("roi_b", "roi", "zk"), partial(_tile_rows, each, schema), schema)
 
 
 def _common(cuts: Cuts, todo: list[tuple[int, int]]) -> list[tuple[int, int, Cut, Cut]]:
@@ -277,10 +295,12 @@ def _areas(cuts: Cuts, todo: list[tuple[int, int]]):
         yield a, b, x.z, common
 
 
-def _own_areas(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values("zk").to_dict("records")
-    area = sum(_AREAS.one(_cut_key(r)[3:], lambda r=r: K.area(Cut(r).all)) for r in rows)
-    return pd.DataFrame([(pdf["set_id"].iloc[0], int(pdf["roi"].iloc[0]), area)], columns=["set_id", "roi", "area"])
+def _own_areas(t: pa.Table, starts: np.ndarray):
+    ends = np.append(starts[1:], t.num_rows)
+    area = lambda i: float(sum(K.area(K.union(geometry(r, "region"), geometry(r, "boundary"))) for r in t.select(_GEOMETRY).slice(starts[i], ends[i] - starts[i]).to_pylist()))
+    areas = _AREAS.many(names_of(t, starts, _GEOMETRY), lambda at: list(map(area, at)))
+    at = pa.array(starts)
+    yield pa.table([t["set_id"].take(at), t["roi"].take(at), areas], names=["set_id", "roi", "area"])
 
 
 #: What a ratio of volumes is taken of: the larger structure for PARTITIONED, else the mean.
@@ -297,7 +317,7 @@ def overlap(slices: DataFrame, relations: DataFrame, basis: str = "auto") -> Dat
     use = relations.where(F.col("relation").isin(*APPLIES["volume_overlap"]))
     own = slices.where("not is_boundary and not is_interpolated")
     per = _in_tiles(own, use, _areas, "set_id string, roi_a int, roi_b int, z double, common double").groupBy(*PAIR).agg(F.sum("common").alias("common_area"))
-    area = spread(own, "set_id", "roi").groupBy("set_id", "roi").applyInPandas(_own_areas, "set_id string, roi int, area double")
+    area = in_groups(own.select("set_id", "roi", "zk", *_GEOMETRY), ("set_id", "roi"), ("zk",), _own_areas, "set_id string, roi int, area double")
     side = lambda x: area.select("set_id", F.col("roi").alias(f"roi_{x}"), F.col("area").alias(f"area_{x}"))
     got = use.select(*PAIR, "relation").join(per, PAIR).join(side("a"), ["set_id", "roi_a"]).join(side("b"), ["set_id", "roi_b"])
     of = {"larger": F.greatest("area_a", "area_b"), "smaller": F.least("area_a", "area_b"), "average": (F.col("area_a") + F.col("area_b")) / 2}
