@@ -117,32 +117,18 @@ def kernel_relations(s, d):
     import numpy as np
 
     from .operators import kernel as K
-    from .operators import known
-    from .session import ship, spread
+    from .session import ship
 
     ship(s)
-    b = spread(b1(s, d), "set_id", "z")
-    side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x0", "x1", "y0", "y1")])
-    pairs_ = side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
-
     box = lambda r: [("+", np.array([(r[0], r[2]), (r[1], r[2]), (r[1], r[3]), (r[0], r[3])]))]
 
     def run(batches):
         for pdf in batches:
-            flat = pdf[[f"{c}_{x}" for x in "ab" for c in ("x0", "x1", "y0", "y1")]].to_numpy()
-            # Pairs that differ by a move are one; boxes are on whole numbers, so moves are exact.
-            low = np.minimum(flat[:, [0, 2]], flat[:, [4, 6]])
-            moved = np.ascontiguousarray(flat - np.tile(np.repeat(low, 2, axis=1), 2)) + 0.0
-
-            def fresh(at):
-                met = [(box(r[:4]), box(r[4:])) for r in moved[at]]
-                return list(zip(K.relate27_many(met).tolist(), np.round(K.common_areas(met)).astype(int).tolist(), strict=True))
-
-            found = known.BOXES.many(moved.view("V64").ravel().tolist(), fresh)
-            bits, common = zip(*found, strict=True) if found else ((), ())
-            yield pdf[["set_id", "roi_a", "roi_b", "z"]].assign(bits=np.array(bits, dtype=np.int32), common=np.array(common, dtype=np.int64))
+            met = [(box(r[:4]), box(r[4:])) for r in pdf[B.KIND].to_numpy(dtype=float)]
+            yield pdf.assign(bits=K.relate27_many(met).astype(np.int32), common=np.round(K.common_areas(met)).astype(np.int64))
 
-    got = pairs_.mapInPandas(run, "set_id long, roi_a long, roi_b long, z long, bits int, common long")
+    kinds = ", ".join(f"{c} long" for c in B.KIND)
+    got = B.by_kind(B.moved_pairs(b1(s, d)), lambda k: k.mapInPandas(run, f"{kinds}, bits int, common long"))
     return got.select("set_id", "roi_a", "roi_b", "z", D.classify(F.col("bits")).alias("relation"), "common")
 
 

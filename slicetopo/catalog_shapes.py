@@ -24,20 +24,24 @@ KEYS = ["set_id", "roi_a", "roi_b", "z"]
 
 
 def _box_pairs(s, d):
-    """Pairs of boxes of a slice, as regions."""
-    b = spread(B.slice_boxes(B.read(s, d, "lineitem")), "set_id", "z").select("set_id", "roi", "z", F.lit("+").alias("ops"), F.array(F.lit(4)).alias("n"), _box().alias("xy"))
-    side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).alias(f"{x}_{c}") for c in ("ops", "n", "xy")])
-    return side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b")
+    """Pairs of boxes of a slice, moved to the origin."""
+    return B.moved_pairs(B.slice_boxes(B.read(s, d, "lineitem")))
+
+
+def _as_regions(kinds):
+    """Kinds of pairs of boxes, as regions."""
+    ring = lambda x: _flat(*[(f"{u}_{x}", f"{v}_{x}") for u, v in (("x1", "y1"), ("x1", "y0"), ("x0", "y0"), ("x0", "y1"))])
+    return kinds.select(*B.KIND, *[c.alias(f"{x}_{n}") for x in "ab" for n, c in (("ops", F.lit("+")), ("n", F.array(F.lit(4))), ("xy", ring(x)))])
 
 
 def tolerance_relations(s, d):
     """Relations of boxes whose boundaries are a unit wide."""
-    return tolerance.relations_within(_box_pairs(s, d), KEYS, 0.5)
+    return B.by_kind(_box_pairs(s, d), lambda k: tolerance.relations_within(_as_regions(k), B.KIND, 0.5)).select(*KEYS, "bits")
 
 
 def structure_shapes(s, d):
     """Polygons of the parts of every pair of boxes of a slice."""
-    out = shapes.measured(_box_pairs(s, d), KEYS)
+    out = B.by_kind(_box_pairs(s, d), lambda k: shapes.measured(_as_regions(k), B.KIND))
     return out.select(*KEYS, "part", "n_polygons", "n_holes", F.round("area").cast("long").alias("area"))
 
 

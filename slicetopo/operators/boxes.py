@@ -6,11 +6,16 @@ bounded size, as real sets are, so pairs grow with the input and not with its sq
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..plans import definitions as D
+from ..session import spread, written
 
 #: Structures in a set.
 SET_OF_SLICES, SET_OF_BOXES = 40, 60
@@ -26,6 +31,28 @@ def slice_boxes(lineitem: DataFrame) -> DataFrame:
     return first.select(*key, x0.alias("x0"), (x0 + 2 * (F.col("r.l_partkey") % 5 + 1)).cast("long").alias("x1"), y0.alias("y0"), (y0 + 2 * (F.col("r.l_orderkey") % 5 + 1)).cast("long").alias("y1"))
 
 
+#: Two boxes of a slice, moved so that both begin at 0 at least.
+KIND = [f"{c}_{x}" for x in "ab" for c in ("x0", "x1", "y0", "y1")]
+
+
+def moved_pairs(boxes: DataFrame) -> DataFrame:
+    """(set_id, roi_a, roi_b, z and the bounds of both) of every pair of boxes of a slice, moved by
+    whole numbers. The boxes are written once."""
+    b = spread(written(boxes), "set_id", "z")
+    side = lambda x: b.select("set_id", F.col("roi").alias(f"roi_{x}"), "z", *[F.col(c).alias(f"{c}_{x}") for c in ("x0", "x1", "y0", "y1")])
+    low = {u: F.least(f"{u}0_a", f"{u}0_b") for u in "xy"}
+    return side("a").join(side("b"), ["set_id", "z"]).where("roi_a < roi_b").select("set_id", "roi_a", "roi_b", "z", *[(F.col(c) - low[c[0]]).alias(c) for c in KIND])
+
+
+def by_kind(pairs: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs`` with what ``answer`` gives for their distinct values of ``KIND``: pairs that differ
+    by a move are asked for once in the whole job. Boxes of a bounded range have a bounded number
+    of kinds, however many pairs there are."""
+    got = answer(spread(pairs.select(*KIND).distinct(), *KIND)).withColumnsRenamed({c: f"_{c}" for c in KIND})
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KIND))
+    return pairs.join(got, on).drop(*KIND, *[f"_{c}" for c in KIND])
+
+
 def solid_boxes(supplier: DataFrame) -> DataFrame:
     """(set_id, roi, x0, x1, y0, y1, z0, z1, volume): one box per structure; of every
     fifteenth structure there is a copy, 1000 higher."""

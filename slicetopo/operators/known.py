@@ -37,10 +37,6 @@ class Known:
         return self.many([key], lambda _: [answer()])[0]
 
 
-#: Answers about pairs of boxes, by the bytes of their moved bounds.
-BOXES = Known(500_000)
-
-
 def region_key(a: K.Region) -> tuple:
     """What makes a region: its ops and the bytes of its rings."""
     return tuple((op, r.tobytes()) for op, r in a)
